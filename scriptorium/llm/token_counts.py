@@ -17,7 +17,7 @@ from .pretoken import SPECIAL, Pretokens
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Distinct pre-tokens that a Python worker remembers; beyond it, it starts afresh.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 NONE = np.int32(1 << 30)
 
 
@@ -41,6 +41,9 @@ class Merges:
             keys[rank] = symbols[a] << 32 | symbols[b]
             made[rank] = symbols.setdefault(a + b, 256 + rank)
         self.made = np.append(made, 0)
+        self.id_of = np.zeros(256 + len(pairs), np.uint32)
+        for text, symbol in symbols.items():
+            self.id_of[symbol] = model["vocab"].get(text, 0)
         self.levels = []  # hash tables of keys and ranks; what finds its slot taken goes on to the next, smaller one
         left, bits = np.arange(len(keys)), 20
         while len(left):
@@ -65,29 +68,31 @@ class Merges:
             out[hit] = rank[at[hit]]
         return out
 
-    def count(self, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """How many symbols are left of each sequence, which lie one after the other in `symbols`.
+    def merge(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols left of each sequence, which lie one after the other in `symbols`, and how many they are.
 
         In each round, every sequence finds its lowest rank among neighbouring pairs and merges that pair wherever it
         stands (from the left where occurrences overlap); sequences without a pair to merge leave the arrays.
         """
-        symbols, out, alive = symbols.astype(np.int64), sizes.astype(np.int64).copy(), np.arange(len(sizes))
+        symbols, sizes, alive = symbols.astype(np.int64), sizes.astype(np.int64), np.arange(len(sizes))
+        count, done, owners = sizes.copy(), [], []
         while len(alive):
-            sizes = out[alive]
             first = np.cumsum(sizes) - sizes
             rank = np.full(len(symbols), NONE)
             rank[:-1] = self.find(symbols[:-1], symbols[1:])
             rank[first + sizes - 1] = NONE  # no pair across sequences
             low = np.minimum.reduceat(rank, first)
             goes_on = low < NONE
-            if not goes_on.all():  # drop what is done
+            if not goes_on.all():
                 keep = np.repeat(goes_on, sizes)
+                done.append(symbols[~keep])
+                owners.append(alive[~goes_on])
+                count[alive[~goes_on]] = sizes[~goes_on]
                 symbols, rank, alive, sizes, low = symbols[keep], rank[keep], alive[goes_on], sizes[goes_on], low[goes_on]
                 if not len(alive):
                     break
             hit = rank == np.repeat(low, sizes)
-            overlap = np.flatnonzero(hit[1:] & hit[:-1])
-            if len(overlap):  # runs like "aaaa": every other one, from the left
+            if (hit[1:] & hit[:-1]).any():  # runs like "aaaa": every other one, from the left
                 where = np.flatnonzero(hit)
                 new = np.diff(where, prepend=-2) != 1
                 place = where - where[np.maximum.accumulate(np.where(new, np.arange(len(where)), 0))]
@@ -95,49 +100,76 @@ class Merges:
             symbols[hit] = self.made[rank[hit]]
             gone = np.zeros(len(symbols), bool)
             gone[1:] = hit[:-1]
-            out[alive] = sizes - np.add.reduceat(gone, np.cumsum(sizes) - sizes, dtype=np.int64)
+            sizes = sizes - np.add.reduceat(gone, np.cumsum(sizes) - sizes, dtype=np.int64)
             symbols = symbols[~gone]
-        return out
+        # what left the arrays in different rounds, back in order
+        owner = np.concatenate([np.zeros(0, np.int64), *owners])
+        begin = np.empty(len(count), np.int64)
+        begin[owner] = np.cumsum(count[owner]) - count[owner]
+        flat = np.concatenate([np.zeros(0, np.int64), *done])
+        return flat[np.repeat(begin, count) + common.ragged(count)], count
+
+    def ids(self, symbols: np.ndarray) -> np.ndarray:
+        return self.id_of[symbols]
 
 
-class Counter:
-    """Token counts of texts; remembers those of pre-tokens by their 64-bit hashes."""
+class Encoder:
+    """Token ids, or their counts, of texts; remembers those of pre-tokens by their 64-bit hashes."""
 
     def __init__(self, path: str):
         self.merges = Merges(path)
-        self.known, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.special = next(x["id"] for x in json.load(open(path, encoding="utf-8"))["added_tokens"] if x["content"] == SPECIAL)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.at, self.size, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def pretokens(self, p: Pretokens) -> np.ndarray:
+    def learn(self, p: Pretokens) -> np.ndarray:
+        """Makes known all pre-tokens; their places in `known`."""
         seen, first, back = np.unique(p.hash, return_index=True, return_inverse=True)
-        size = np.zeros(len(seen), np.int64)
-        at = np.searchsorted(self.known, seen)
-        old = at < len(self.known)
-        old[old] = self.known[at[old]] == seen[old]
-        size[old] = self.sizes[at[old]]
-        new = np.flatnonzero(~old)
-        if len(new):
-            start, length = p.start[first[new]], p.end[first[new]] - p.start[first[new]]
-            size[new] = self.merges.count(p.bytes[np.repeat(start, length) + common.ragged(length)], length)
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known, self.sizes = seen, size
-            else:
-                known = np.concatenate((self.known, seen[new]))
-                order = np.argsort(known)
-                self.known, self.sizes = known[order], np.concatenate((self.sizes, size[new]))[order]
-        return size[back]
-
-    def texts(self, texts: list[str]) -> np.ndarray:
-        """Counts of each text; the special token's string counts as one token, as the library has it."""
+        if len(self.known) > REMEMBERED:
+            self.forget()
+        place = np.searchsorted(self.known, seen)
+        old = place < len(self.known)
+        old[old] = self.known[place[old]] == seen[old]
+        if not old.all():
+            start, length = p.start[first[~old]], p.end[first[~old]] - p.start[first[~old]]
+            symbols, size = self.merges.merge(p.bytes[np.repeat(start, length) + common.ragged(length)], length)
+            known = np.concatenate((self.known, seen[~old]))
+            order = np.argsort(known)
+            at = np.concatenate((self.at, len(self.pool) + np.cumsum(size) - size))
+            self.known, self.at, self.size = known[order], at[order], np.concatenate((self.size, size))[order]
+            self.pool = np.concatenate((self.pool, self.merges.ids(symbols)))
+            place = np.searchsorted(self.known, seen)
+        return place[back]
+
+    def split(self, texts: list[str]) -> tuple[Pretokens, list[int]]:
+        """Pre-tokens of the texts, of which those with the special token's string are in several pieces; owners of the pieces."""
         parts, owner = [], []
-        out = np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
             pieces = t.split(SPECIAL) if SPECIAL in t else [t]
-            out[i] = len(pieces) - 1
             parts += pieces
             owner += [i] * len(pieces)
-        p = Pretokens(parts)
-        sums = np.concatenate(([0], np.cumsum(self.pretokens(p))))
-        np.add.at(out, np.array(owner, np.int64), sums[p.first[1:]] - sums[p.first[:-1]])
+        return Pretokens(parts), owner
+
+    def count(self, texts: list[str]) -> np.ndarray:
+        p, owner = self.split(texts)
+        place = self.learn(p)
+        sums = np.concatenate(([0], np.cumsum(self.size[place])))
+        out = np.full(len(texts), -1, np.int64)  # a special token between two pieces
+        np.add.at(out, np.array(owner, np.int64), sums[p.first[1:]] - sums[p.first[:-1]] + 1)
+        return out
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        p, owner = self.split(texts)
+        place = self.learn(p)
+        size = self.size[place]
+        ids = self.pool[np.repeat(self.at[place], size) + common.ragged(size)]
+        bounds = np.concatenate(([0], np.cumsum(size)))[p.first]
+        out: list[np.ndarray | None] = [None] * len(texts)
+        for k, i in enumerate(owner):
+            piece = ids[bounds[k] : bounds[k + 1]]
+            out[i] = piece if out[i] is None else np.concatenate((out[i], [np.uint32(self.special)], piece))
         return out
 
 
@@ -153,11 +185,11 @@ def count_tokens(docs: DataFrame, text: str = "text", path: str | None = None, k
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text") + ", n_bytes long, n_tokens long"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(path)
+        encoder = Encoder(path)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             sizes = [len(t.encode()) for t in texts]
-            parts = [counter.texts(texts[a:b]) for a, b in common.runs(texts)]
+            parts = [encoder.count(texts[a:b]) for a, b in common.runs(texts)]
             counts = np.concatenate([np.zeros(0, np.int64), *parts])
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(sizes, pa.int64()), pa.array(counts)], [*keep, "n_bytes", "n_tokens"])
 
