@@ -1,10 +1,11 @@
 """Operators of a training-data pipeline. Nothing else in the library imports this package."""
 
-from . import mixing, packing, token_counts
+from . import language_id, mixing, packing, token_counts
 
 QUERIES = {
     "op3_token_counts": token_counts.op3_token_counts,
     "op6_pack": packing.op6_pack,
     "op8_mix_sources": mixing.op8_mix_sources,
+    "op10_language_id": language_id.op10_language_id,
 }
 ORACLES = {"op8_mix_sources": mixing.OP8_SQL}
