@@ -1,11 +1,13 @@
 """Operators of a training-data pipeline. Nothing else in the library imports this package."""
 
-from . import language_id, mixing, packing, token_counts
+from . import embeddings, language_id, mixing, packing, quality, token_counts
 
 QUERIES = {
+    "op2_quality": quality.op2_quality,
     "op3_token_counts": token_counts.op3_token_counts,
     "op6_pack": packing.op6_pack,
     "op8_mix_sources": mixing.op8_mix_sources,
+    "op9_embedding_near_duplicates": embeddings.op9_embedding_near_duplicates,
     "op10_language_id": language_id.op10_language_id,
 }
 ORACLES = {"op8_mix_sources": mixing.OP8_SQL}
