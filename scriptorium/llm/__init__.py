@@ -1,8 +1,9 @@
 """Operators of a training-data pipeline. Nothing else in the library imports this package."""
 
-from . import embeddings, language_id, mixing, packing, quality, token_counts
+from . import embeddings, language_id, minhash, mixing, packing, quality, token_counts
 
 QUERIES = {
+    "op1_minhash_near_duplicates": minhash.op1_minhash_near_duplicates,
     "op2_quality": quality.op2_quality,
     "op3_token_counts": token_counts.op3_token_counts,
     "op6_pack": packing.op6_pack,
