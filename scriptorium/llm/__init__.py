@@ -1,12 +1,13 @@
 """Operators of a training-data pipeline. Nothing else in the library imports this package."""
 
-from . import embeddings, language_id, minhash, mixing, packing, quality, substrings, token_counts
+from . import embeddings, language_id, minhash, mixing, packing, quality, substrings, suffixes, token_counts
 
 QUERIES = {
     "op1_minhash_near_duplicates": minhash.op1_minhash_near_duplicates,
     "op2_quality": quality.op2_quality,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_substring_dedup": substrings.op4_substring_dedup,
+    "op5_suffix_dedup": suffixes.op5_suffix_dedup,
     "op6_pack": packing.op6_pack,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_embedding_near_duplicates": embeddings.op9_embedding_near_duplicates,
