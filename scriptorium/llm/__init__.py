@@ -1,6 +1,6 @@
 """Operators of a training-data pipeline. Nothing else in the library imports this package."""
 
-from . import embeddings, language_id, minhash, mixing, packing, quality, substrings, suffixes, token_counts
+from . import ann, embeddings, language_id, minhash, mixing, packing, quality, substrings, suffixes, token_counts
 
 QUERIES = {
     "op1_minhash_near_duplicates": minhash.op1_minhash_near_duplicates,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_substring_dedup": substrings.op4_substring_dedup,
     "op5_suffix_dedup": suffixes.op5_suffix_dedup,
     "op6_pack": packing.op6_pack,
+    "op7_nearest_neighbours": ann.op7_nearest_neighbours,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_embedding_near_duplicates": embeddings.op9_embedding_near_duplicates,
     "op10_language_id": language_id.op10_language_id,
