@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -15,27 +15,33 @@ from .common import table
 #: Words of a passage; words of a reference block. A passage holds at least RUN whole blocks of any alignment.
 PASSAGE, BLOCK = 50, 5
 RUN = (PASSAGE - BLOCK + 1) // BLOCK
+#: Occurrences of an anchor above which the passages with it are split into several groups.
+SPLIT = 2_000
 
 
-def anchors(w: common.Words) -> tuple[np.ndarray, np.ndarray]:
-    """Places (first words) and hashes of the anchors of each text.
+def chosen(w: common.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each word where RUN blocks of one text can begin: the place of their anchor; all block hashes; that it is so.
 
     Every rolling window of BLOCK words is hashed. Of each RUN windows at steps of BLOCK, the one with the smallest hash
     (the first of equals) is an anchor. The choice depends on the words of a passage alone, whichever text it stands in:
     where one of two texts has a non-overlapping block of the reference, the other has a rolling window chosen with it.
     """
     hashes = common.rolling(common.prefix(w.hash), BLOCK)
-    n = len(hashes) - BLOCK * (RUN - 1)
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    n = max(0, len(hashes) - BLOCK * (RUN - 1))
     best, place = hashes[:n].copy(), np.arange(n)
     for k in range(1, RUN):
         here = hashes[k * BLOCK : k * BLOCK + n]
         less = here < best
         best[less] = here[less]
         place[less] = np.flatnonzero(less) + k * BLOCK
-    stop = w.first[np.searchsorted(w.first, np.arange(n), "right")]
-    place = np.unique(place[np.arange(n) + BLOCK * RUN <= stop])
+    stop = w.first[np.minimum(np.searchsorted(w.first, np.arange(n), "right"), len(w.first) - 1)]
+    return place, hashes, np.arange(n) + BLOCK * RUN <= stop
+
+
+def anchors(w: common.Words) -> tuple[np.ndarray, np.ndarray]:
+    """Places (first words) and hashes of the anchors of all texts."""
+    place, hashes, whole = chosen(w)
+    place = np.unique(place[whole])
     return place, hashes[place]
 
 
@@ -65,24 +71,31 @@ def probes(docs: DataFrame) -> DataFrame:
 
 
 def windows(docs: DataFrame) -> DataFrame:
-    """w, doc_id, place: the passages around the anchors in the column `found`, by the hash of their words."""
+    """w, doc_id, place, n: the passages with an anchor in the column `found`, by the hash of their words.
+
+    n is the largest of the anchors' numbers of occurrences (the column `often`): the same for equal passages anywhere.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, ids = common.utf8(batch.column("text")), batch.column("doc_id").to_numpy()
             for a, b in common.runs(texts):
                 w = common.Words(texts[a:b])
-                sums = common.prefix(w.hash)
-                hashes, whole = common.rolling(sums, BLOCK), common.rolling(sums, PASSAGE)
-                known = np.unique(batch.column("found").slice(a, b - a).flatten().to_numpy().view(np.uint64))
-                hit = np.concatenate(([0], np.cumsum(np.isin(hashes, known))))
-                at = np.arange(len(whole))
-                stop = w.first[np.searchsorted(w.first, at, "right")]
-                at = at[(at + PASSAGE <= stop) & (hit[at + PASSAGE - BLOCK + 1] > hit[at])]
+                known, first = np.unique(batch.column("found").slice(a, b - a).flatten().to_numpy(), return_index=True)
+                times = batch.column("often").slice(a, b - a).flatten().to_numpy()[first]
+                place, hashes, whole = chosen(w)
+                h = hashes[place].view(np.int64)
+                near = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                often = np.where(whole & (known[near] == h), times[near], 0)
+                passage = common.rolling(common.prefix(w.hash), PASSAGE)
+                at = np.arange(len(passage))  # a passage holds runs of blocks that begin at its first words
+                most = np.max([often[k : k + len(at)] for k in range(PASSAGE - BLOCK * RUN)] or [np.zeros(0, np.int64)], axis=0)
+                stop = w.first[np.minimum(np.searchsorted(w.first, at, "right"), len(w.first) - 1)]
+                at = at[(at + PASSAGE <= stop) & (most > 0)]
                 row = np.searchsorted(w.first, at, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(whole[at].view(np.int64)), pa.array(ids[a + row]), pa.array((at - w.first[row]).astype(np.int32))], ["w", "doc_id", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(passage[at].view(np.int64)), pa.array(ids[a + row]), pa.array((at - w.first[row]).astype(np.int32)), pa.array(np.minimum(most[at], 2**31 - 1).astype(np.int32))], ["w", "doc_id", "place", "n"])
 
-    return docs.select("doc_id", "text", "found").mapInArrow(work, "w long, doc_id long, place int")
+    return docs.select("doc_id", "text", "found", "often").mapInArrow(work, "w long, doc_id long, place int, n int")
 
 
 def copies(docs: DataFrame) -> DataFrame:
@@ -128,27 +141,30 @@ def removed(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     return docs.mapInArrow(work, f"{kinds}, n_words long, n_removed long, kept_text string")
 
 
-def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), split: int = SPLIT) -> DataFrame:
     """The columns `keep`, n_words, n_removed and kept_text (the words that stay, joined by one space) of every row.
 
     A word goes if a passage of 50 words that covers it also starts in a document with a smaller doc_id; passages are
     judged on the input. Documents with the word sequence of a smaller one go at once. Of the others, anchors (see
-    anchors()) that are a non-overlapping block in one document and occur in two or more are looked up; only passages
-    around these anchors are compared, by the 64-bit hash of their 50 words, which extends a hit to the whole repeat: the
-    union of its passages. Counts and minima are combined before each shuffle, and the joins that follow can be split, so
-    that a passage in a third of all documents is no single task. Null texts have no words; rows without doc_id stay whole
+    chosen()) that are a non-overlapping block in one document and occur in two or more are looked up; only passages
+    with such an anchor are compared, by the 64-bit hash of their 50 words, which extends a hit to the whole repeat: the
+    union of its passages. Counts are combined before their shuffle, and the join that follows can be split; passages with
+    an anchor that occurs more than `split` times are dealt to several groups, whose first documents meet once more. Null texts have no words; rows without doc_id stay whole
     and don't make others go; rows with one doc_id never remove each other's words (one text in several rows is treated
     alike in each). An empty table gives no rows. Columns other than doc_id, text and `keep` are not read.
     """
     base = docs.withColumn("doc_id", F.col("doc_id").cast("long")).select(*dict.fromkeys(("doc_id", "text", *keep)))
     named = base.where("doc_id is not null")
     found = probes(named)
-    known = found.groupBy("h").agg(F.count("*").alias("n"), F.max("block").alias("block")).where("n > 1 and block").select("h")
+    known = found.groupBy("h").agg(F.count("*").alias("n"), F.max("block").alias("block")).where("n > 1 and block").select("h", "n")
     whole = copies(named)
-    hits = found.select("h", "doc_id").join(known, "h").groupBy("doc_id").agg(F.collect_list("h").alias("found")).join(whole, "doc_id", "left_anti")
-    near = windows(named.join(hits, "doc_id"))
-    first = near.groupBy("w").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("w", "first")
-    repeats = near.join(first, "w").where("doc_id > first").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+    hits = found.select("h", "doc_id").join(known, "h").groupBy("doc_id").agg(F.collect_list("h").alias("found"), F.collect_list("n").alias("often")).join(whole, "doc_id", "left_anti")
+    near = windows(named.join(hits, "doc_id")).withColumn("salt", F.when(F.col("n") > split, F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / split))).otherwise(0))
+    judged = near.withColumn("first", F.min("doc_id").over(Window.partitionBy("w", "salt")))
+    # the smallest documents of each part of a split group meet once more
+    met = judged.where((F.col("n") > split) & (F.col("doc_id") == F.col("first"))).withColumn("first", F.min("doc_id").over(Window.partitionBy("w")))
+    gone = judged.where("doc_id > first").select("doc_id", "place").unionByName(met.where("doc_id > first").select("doc_id", "place"))
+    repeats = gone.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
     judged = named.join(repeats, "doc_id", "left").join(whole.withColumn("whole", F.lit(True)), "doc_id", "left")
     rest = base.where("doc_id is null").withColumns({"places": F.lit(None).cast("array<int>"), "whole": F.lit(None).cast("boolean")})
     return removed(judged.unionByName(rest), keep)
