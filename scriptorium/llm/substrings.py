@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .common import table
+from .common import cut, table
 
 #: Words of a passage; words of a reference block. A passage holds at least RUN whole blocks of any alignment.
 PASSAGE, BLOCK = 50, 5
@@ -71,9 +71,10 @@ def probes(docs: DataFrame) -> DataFrame:
 
 
 def windows(docs: DataFrame) -> DataFrame:
-    """w, doc_id, place, n: the passages with an anchor in the column `found`, by the hash of their words.
+    """w, doc_id, place, n: the passages whose anchors are all in the column `found`, by the hash of their words.
 
-    n is the largest of the anchors' numbers of occurrences (the column `often`): the same for equal passages anywhere.
+    A repeat has every one of its anchors at least twice, and one of them is a block of the reference (`often` > 0; for
+    others it is negative). n is the largest of their numbers of occurrences: the same for equal passages anywhere.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,9 +90,10 @@ def windows(docs: DataFrame) -> DataFrame:
                 often = np.where(whole & (known[near] == h), times[near], 0)
                 passage = common.rolling(common.prefix(w.hash), PASSAGE)
                 at = np.arange(len(passage))  # a passage holds runs of blocks that begin at its first words
-                most = np.max([often[k : k + len(at)] for k in range(PASSAGE - BLOCK * RUN)] or [np.zeros(0, np.int64)], axis=0)
+                own = [often[k : k + len(at)] for k in range(PASSAGE - BLOCK * RUN + 1)] if len(at) else [at]
+                most, least, top = np.max(np.abs(own), axis=0), np.min(np.abs(own), axis=0), np.max(own, axis=0)
                 stop = w.first[np.minimum(np.searchsorted(w.first, at, "right"), len(w.first) - 1)]
-                at = at[(at + PASSAGE <= stop) & (most > 0)]
+                at = at[(at + PASSAGE <= stop) & (least > 0) & (top > 0)]
                 row = np.searchsorted(w.first, at, "right") - 1
                 yield pa.RecordBatch.from_arrays([pa.array(passage[at].view(np.int64)), pa.array(ids[a + row]), pa.array((at - w.first[row]).astype(np.int32)), pa.array(np.minimum(most[at], 2**31 - 1).astype(np.int32))], ["w", "doc_id", "place", "n"])
 
@@ -146,25 +148,27 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), split:
 
     A word goes if a passage of 50 words that covers it also starts in a document with a smaller doc_id; passages are
     judged on the input. Documents with the word sequence of a smaller one go at once. Of the others, anchors (see
-    chosen()) that are a non-overlapping block in one document and occur in two or more are looked up; only passages
-    with such an anchor are compared, by the 64-bit hash of their 50 words, which extends a hit to the whole repeat: the
-    union of its passages. Counts are combined before their shuffle, and the join that follows can be split; passages with
-    an anchor that occurs more than `split` times are dealt to several groups, whose first documents meet once more. Null texts have no words; rows without doc_id stay whole
-    and don't make others go; rows with one doc_id never remove each other's words (one text in several rows is treated
-    alike in each). An empty table gives no rows. Columns other than doc_id, text and `keep` are not read.
+    chosen()) that occur in two or more documents are looked up; only passages whose anchors all do, and one of which is
+    a non-overlapping block of a document, are compared, by the 64-bit hash of their 50 words, which extends a hit to the
+    whole repeat: the union of its passages. Counts are combined before their shuffle, and the join that follows can be
+    split; passages with an anchor that occurs more than `split` times are dealt to several groups, whose first documents
+    meet once more. Null texts have no words; rows without doc_id stay whole and don't make others go; rows with one doc_id
+    never remove each other's words (one text in several rows is treated alike in each). An empty table gives no rows.
+    Columns other than doc_id, text and `keep` are not read.
     """
-    base = docs.withColumn("doc_id", F.col("doc_id").cast("long")).select(*dict.fromkeys(("doc_id", "text", *keep)))
+    base = docs if docs.schema["doc_id"].dataType.simpleString() == "bigint" else docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    base = base.select(*dict.fromkeys(("doc_id", "text", *keep)))
     named = base.where("doc_id is not null")
+    whole = cut(copies(named))
     found = probes(named)
-    known = found.groupBy("h").agg(F.count("*").alias("n"), F.max("block").alias("block")).where("n > 1 and block").select("h", "n")
-    whole = copies(named)
+    known = found.groupBy("h").agg(F.count("*").alias("n"), F.max("block").alias("block")).where("n > 1").select("h", F.when(F.col("block"), F.col("n")).otherwise(-F.col("n")).alias("n"))
     hits = found.select("h", "doc_id").join(known, "h").groupBy("doc_id").agg(F.collect_list("h").alias("found"), F.collect_list("n").alias("often")).join(whole, "doc_id", "left_anti")
     near = windows(named.join(hits, "doc_id")).withColumn("salt", F.when(F.col("n") > split, F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / split))).otherwise(0))
     judged = near.withColumn("first", F.min("doc_id").over(Window.partitionBy("w", "salt")))
-    # the smallest documents of each part of a split group meet once more
-    met = judged.where((F.col("n") > split) & (F.col("doc_id") == F.col("first"))).withColumn("first", F.min("doc_id").over(Window.partitionBy("w")))
-    gone = judged.where("doc_id > first").select("doc_id", "place").unionByName(met.where("doc_id > first").select("doc_id", "place"))
-    repeats = gone.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+    # the smallest documents of each part of a split group meet once more; what is decided already stays apart
+    again = F.when(F.col("doc_id") == F.col("first"), F.lit(0)).otherwise(F.xxhash64("doc_id", "place"))
+    met = judged.where((F.col("doc_id") > F.col("first")) | (F.col("n") > split)).withColumn("again", again).withColumn("least", F.min("doc_id").over(Window.partitionBy("w", "again")))
+    repeats = met.where("doc_id > first or doc_id > least").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
     judged = named.join(repeats, "doc_id", "left").join(whole.withColumn("whole", F.lit(True)), "doc_id", "left")
     rest = base.where("doc_id is null").withColumns({"places": F.lit(None).cast("array<int>"), "whole": F.lit(None).cast("boolean")})
     return removed(judged.unionByName(rest), keep)
