@@ -142,9 +142,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
     A class is a connected component of links; a link joins equal word sequences, and texts with a weighted Jaccard
     similarity of their five-word shingles of at least `similarity` that share a band of their signatures (at 0.8, all but
-    7 in a million do). Equal texts are one representative from then on. In each band, every member is verified against
-    the band's smallest doc_id; where that leaves members of one band in different components, these are verified across
-    components, too, so that no candidate pair that could join classes is left out. Texts without words (null, empty,
+    7 in a million do). Equal texts are one representative from then on. Each is verified against the smallest leader
+    (smallest doc_id) of its bands, then against the other leaders if they are in another component; where that leaves
+    members of one band in different components, these are verified across components, too, so that no candidate pair
+    that could join classes is left out. Texts without words (null, empty,
     white space) and rows without doc_id are classes of their own. A repeated doc_id with one text gives a row each;
     other columns are ignored.
     """
@@ -157,8 +158,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     pairs = members.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(members.select("doc_id").distinct(), "doc_id", "left_semi")
     lists = cut(element_lists(texts).dropDuplicates(["doc_id"]))
-    links = cut(verified(pairs, lists, similarity))
+    # each document against the smallest leader of its bands; then against the others that this leaves in another component
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = cut(verified(first, lists, similarity))
     components = connected_components(links)
+    known_a, known_b = (components.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
+    rest = pairs.join(first, ["a", "b"], "left_anti").join(known_a, "a", "left").join(known_b, "b", "left")
+    second = cut(verified(rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), lists, similarity))
+    if not second.isEmpty():
+        links = links.unionByName(second)
+        components = connected_components(links)
     # bands with several components: pairs across them that aren't verified yet
     labelled = members.join(components, members["doc_id"] == components["id"], "left").select("key", "doc_id", "leader", F.coalesce("component", "doc_id").alias("component"))
     mixed = cut(labelled.join(labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key"), "key"))
