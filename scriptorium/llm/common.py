@@ -61,7 +61,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_BYTES = [mix(np.arange(k, k + 256, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for k in (1, 257)]
 
 
 def prefix(values: np.ndarray) -> np.ndarray:
@@ -86,8 +86,9 @@ def rolling(sums: np.ndarray, size: int) -> np.ndarray:
     return mix((sums[size:] - sums[:n]) * down[:n] + np.uint64(size))
 
 
-def byte_sums(data: np.ndarray) -> np.ndarray:
-    return prefix(_BYTE[data])
+def byte_sums(data: np.ndarray, other: int = 0) -> np.ndarray:
+    """Prefix sums of bytes; with other = 1, of a second, independent hash."""
+    return prefix(_BYTES[other][data])
 
 
 _SPACE = np.zeros(256, bool)

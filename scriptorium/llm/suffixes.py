@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -163,6 +163,25 @@ def judge(key, group):
     return pa.concat_tables([pa.table({k: pa.array(v, pa.binary()) if k == "bytes" else pa.array(v) for k, v in p.items()}) for p in parts])
 
 
+def strings(contexts: DataFrame) -> DataFrame:
+    """w1, w2, doc_id, start: every string of DEPTH bytes in contexts, by a hash of 128 bits."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            many_of, raw = batch.column("many").to_numpy(), batch.column("bytes").to_pylist()
+            for a, b in common.runs(raw):
+                many = many_of[a:b]
+                data = np.frombuffer(b"".join(raw[a:b]), np.uint8)
+                base = np.concatenate(([0], np.cumsum(many + DEPTH - 1)))[:-1]
+                row, step = np.repeat(np.arange(b - a), many), common.ragged(many)
+                at = base[row] + step
+                keys = [pa.array(common.rolling(sums, DEPTH)[at].view(np.int64)) for sums in (common.byte_sums(data), common.byte_sums(data, 1))]
+                doc, start = (batch.column(c).to_numpy()[a:b] for c in ("doc_id", "start"))
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(doc[row]), pa.array((start[row] + step).astype(np.int32))], ["w1", "w2", "doc_id", "start"])
+
+    return contexts.select("doc_id", "start", "many", "bytes").mapInArrow(work, "w1 long, w2 long, doc_id long, start int")
+
+
 JUDGED = "kind int, h long, parted boolean, doc_id long, start int, many int, bytes binary"
 
 
@@ -199,7 +218,8 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), group:
     at a time refine groups of equal suffixes, down to 100 bytes; groups with one member leave after every pass. Only
     leading digits that occur twice get past the first pass, and travel with the bytes of their strings (about 170 for 70
     suffixes). A digit that occurs more than `split` times is dealt to several groups; the first of each group's equal
-    strings meet in another pass. Null texts are empty; rows without doc_id stay whole; several rows of one doc_id and
+    strings meet in another pass, by digit, or, where more than `split` contexts of a digit are left, by the 128-bit hash
+    of their own 100 bytes: strings that differ don't share a group, and of copies each group left one. Null texts are empty; rows without doc_id stay whole; several rows of one doc_id and
     text are treated alike in each. An empty table gives no rows. Columns other than doc_id, text and `keep` are not read.
     """
     base = docs.withColumn("doc_id", F.col("doc_id").cast("long")).select(*dict.fromkeys(("doc_id", "text", *keep)))
@@ -216,10 +236,16 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), group:
     near = contexts(named.join(hits, "doc_id")).withColumn("bucket", bucket).withColumn("parted", F.col("n") > split)
     near = near.withColumn("salt", F.when(F.col("parted"), F.pmod(F.xxhash64("doc_id", "start"), F.ceil(F.col("n") / group))).otherwise(0)).drop("n")
     judged = near.groupBy("bucket", "salt").applyInArrow(judge, JUDGED)
-    spans = judged.where("kind = 0").select("doc_id", "start", "many")
     if (most or 0) > split:
-        again = judged.where("kind = 1").withColumn("bucket", bucket).drop("kind").groupBy("bucket").applyInArrow(judge, JUDGED)
-        spans = spans.unionByName(again.where("kind = 0").select("doc_id", "start", "many"))
+        judged = cut(judged)  # read three times
+        left = judged.where("kind = 1").drop("kind")
+        crowded = F.broadcast(cut(left.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > split).select("h")))
+        again = left.join(crowded, "h", "left_anti").withColumn("bucket", bucket).groupBy("bucket").applyInArrow(judge, JUDGED)
+        first = Window.partitionBy("w1", "w2")
+        met = strings(left.join(crowded, "h", "left_semi")).withColumn("first", F.min(F.struct("doc_id", "start")).over(first))
+        later = met.where(F.struct("doc_id", "start") > F.col("first")).select("doc_id", "start", F.lit(1).alias("many"))
+        judged = judged.unionByName(again).where("kind = 0").select("doc_id", "start", "many").unionByName(later)
+    spans = judged.select("doc_id", "start", "many")
     repeats = spans.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("many").alias("many"))
     with_spans = named.join(repeats, "doc_id", "left").join(whole.withColumn("whole", F.lit(True)), "doc_id", "left")
     rest = base.where("doc_id is null").withColumns({"starts": F.lit(None).cast("array<int>"), "many": F.lit(None).cast("array<int>"), "whole": F.lit(None).cast("boolean")})

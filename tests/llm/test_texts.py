@@ -123,6 +123,29 @@ def test_repeated_bytes(spark, group, split):
     assert len(out) == len(texts)
 
 
+def common_phrase(rng, size, n):
+    """Texts with one phrase and other text around it; some of them are copied with all or a part of what is around."""
+    phrase = "".join(rng.choice("abcdefghij") for _ in range(size))
+    around = lambda: "".join(rng.choice("klmnopqrs ") for _ in range(rng.randrange(70, 120)))
+    texts = [around() + phrase + around() for _ in range(n)]
+    return texts + [t[60:-20] for t in texts[:9]] + texts[20:24] + [around() + phrase + t.split(phrase)[1] for t in texts[30:36]]
+
+
+@pytest.mark.parametrize("size", [40, 99])
+def test_a_common_phrase_with_other_text_around_it(spark, monkeypatch, size):
+    texts = common_phrase(random.Random(size), size, 300)
+    judge = suffixes.judge
+
+    def watched(key, group):
+        assert group.num_rows < 150
+        return judge(key, group)
+
+    monkeypatch.setattr(suffixes, "judge", watched)
+    docs = frame(spark, texts)
+    out = suffixes.remove_repeats(docs, group=20, split=40).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("k")).collect()
+    assert {r[0]: tuple(r[1:]) for r in out} == brute_bytes(list(enumerate(texts)))
+
+
 def test_repeated_bytes_of_a_table(spark, small):
     rows = [tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").where("length(text) < 20000").collect()]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
