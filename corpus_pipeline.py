@@ -31,10 +31,14 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it (a row each time); the one at a source's border up to its last word taken."""
-    taken = mixing.mix_sources(docs, table(spark, sf_dir, "labels")).groupBy("doc_id").agg(F.max("size").alias("size"), F.max("taken").alias("taken")).where("taken > 0")
+    """Each document as often as the mix takes it (a row each time); the one at a source's border up to its last word taken.
+
+    Rows without doc_id, and rows of one doc_id, are taken each for itself: what is taken comes back by a number of the row.
+    """
+    docs = cut(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()))
+    taken = mixing.mix_sources(docs, table(spark, sf_dir, "labels"), keep=("row",)).where("taken > 0").select("row", "size", "taken")
     times = F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("size"))))
-    rows = docs.select(*COLUMNS).join(taken, "doc_id").withColumn("time", times)
+    rows = docs.join(taken, "row").withColumn("time", times)
     left = F.least("size", F.col("taken") - (F.col("time") - 1) * F.col("size")).cast("int")
     head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORDS), F.lit(0)), F.lit(1), left), " ")
     short = left < F.col("size")

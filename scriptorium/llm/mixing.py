@@ -38,20 +38,21 @@ def targets(sizes: DataFrame) -> DataFrame:
     )
 
 
-def mix_sources(docs: DataFrame, quality: DataFrame | None = None, seed: str = "mix") -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row of docs (doc_id, text, source).
+def mix_sources(docs: DataFrame, quality: DataFrame | None = None, seed: str = "mix", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken and the columns `keep` for every row of docs (doc_id, text, source).
 
     size counts words (null text: 0). A source whose target is e times its size and a rest takes every document e times
     (complete epochs) and the rest from the documents with the smallest exponential keys -ln(u) / weight, u from a hash of
     doc_id and seed: a prefix sum of sizes in key order runs up to the rest, the document at the border is taken in part.
     The order within a source is never made in one task: keys fall into SLICES slices, whose sums are added up per source,
     and documents are only ordered within their slice. Null source: a source of its own. Null doc_id: u of an empty id.
-    Repeated rows count each; ties in the key go by doc_id and size. An empty table gives no rows; sources without words
+    Repeated rows count each; ties in the key go by doc_id, size and `keep`. An empty table gives no rows; sources without words
     take nothing. quality: doc_id, quality (1 good, 0 bad; several rows: the best); other columns are ignored.
     """
     base = docs.select(
         F.col("doc_id"), F.col("source"), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")).alias("src"),
         F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
+        *([F.struct(*keep).alias("own")] if keep else []),
     )
     if quality is not None:
         best = quality.groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -65,7 +66,7 @@ def mix_sources(docs: DataFrame, quality: DataFrame | None = None, seed: str = "
     goal = targets(slices.groupBy("src", "source").agg(F.sum("slice_size").alias("source_size"))).drop("source")
     ahead = Window.partitionBy("src").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = slices.drop("source").withColumn("ahead", F.coalesce(F.sum("slice_size").over(ahead), F.lit(0))).join(goal, "src")
-    within = Window.partitionBy("src", "slice").orderBy("key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("src", "slice").orderBy("key", F.col("doc_id").asc_nulls_last(), "size", *(["own"] if keep else [])).rowsBetween(Window.unboundedPreceding, -1)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     start = F.col("ahead") + F.coalesce(F.sum("size").over(within), F.lit(0))
     return (
@@ -74,7 +75,7 @@ def mix_sources(docs: DataFrame, quality: DataFrame | None = None, seed: str = "
         .withColumn("start", start)
         .withColumn("rest", F.floor(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
         .withColumn("taken", (F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("start")))).cast("long"))
-        .select("doc_id", "size", "source_size", "target", "taken")
+        .select("doc_id", "size", "source_size", "target", "taken", *(F.col("own")[c].alias(c) for c in keep))
     )
 
 

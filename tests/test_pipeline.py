@@ -1,0 +1,40 @@
+"""Stages of the pipeline on small tables."""
+
+from collections import Counter
+
+import pytest
+
+import corpus_pipeline
+from scriptorium.llm import mixing
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], SCHEMA)
+
+
+@pytest.fixture
+def labels(spark, tmp_path):
+    spark.createDataFrame([(1, 1, 0), (4, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    return str(tmp_path)
+
+
+def test_mixing_of_rows_without_doc_id_and_of_one_doc_id(spark, labels):
+    text = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    rows = [(i, text(f"d{i}_", 20 + i), "abc"[i % 3]) for i in range(12)]
+    rows += [(None, text(f"n{i}_", 30 + i), "abc"[i % 3]) for i in range(6)] + [(7, text("long", 90), "b"), (7, text("short", 10), "b"), (None, None, "b")]
+    docs = frame(spark, rows)
+    out = corpus_pipeline.mixed(spark, docs, labels).collect()
+    target = {r.source: r.target for r in mixing.mix_sources(docs, spark.read.parquet(f"{labels}/labels.parquet"), keep=("source",)).collect()}
+    words, times, short = Counter(), Counter(), Counter()
+    for r in out:
+        words[r.source] += len(r.text.split())
+        (whole,) = [t for i, t, s in rows if t and i == r.doc_id and s == r.source and (t + " ").startswith(r.text + " ")]
+        assert r.n_chars == len(r.text)
+        times[whole] += 1
+        short[r.source] += r.text != whole
+    assert all(abs(words[s] - target[s]) <= 1 for s in target)
+    assert max(times.values()) <= mixing.REPEATS and max(short.values()) <= 1
+    assert {r.source for r in out if r.doc_id is None} == set("abc")
+    assert corpus_pipeline.mixed(spark, docs.where("doc_id < 0"), labels).count() == 0
