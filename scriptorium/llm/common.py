@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -87,10 +88,33 @@ def rolling(sums: np.ndarray, size: int) -> np.ndarray:
 
 
 def byte_sums(data: np.ndarray, other: int = 0) -> np.ndarray:
-    """Prefix sums of bytes; with other = 1, of a second, independent hash."""
+    """Prefix sums of bytes; with other = 1, of a second table of values for the bytes."""
     return prefix(_BYTES[other][data])
 
 
+#: Polynomials modulo 2**64 are alike for some regular strings of a thousand bytes and more; longer strings get digests.
+SURE = 64
+
+
+def byte_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of spans of bytes: digests of those longer than SURE, polynomials of the others."""
+    out = span(byte_sums(data), start, end)
+    for i in np.flatnonzero(end - start > SURE):
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8).digest(), "little")
+    return out
+
+
+def digests(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two 64-bit halves of a digest of each text's word sequence, and how many words it has."""
+    both, many = bytearray(), np.zeros(len(texts), np.int64)
+    for i, t in enumerate(texts):
+        words = t.split()
+        many[i] = len(words)
+        both += hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+    halves = np.frombuffer(bytes(both), np.int64).reshape(-1, 2)
+    return halves[:, 0], halves[:, 1], many
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -105,7 +129,7 @@ class Words:
         full = ~_SPACE[self.data]
         step = np.diff(full.view(np.int8), prepend=np.int8(0))
         self.start, self.end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-        self.hash = span(byte_sums(self.data), self.start, self.end)
+        self.hash = byte_spans(self.data, self.start, self.end)
         self.first = np.searchsorted(self.start, self.base)
 
     def rows(self) -> np.ndarray:

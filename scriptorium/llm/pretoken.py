@@ -85,7 +85,7 @@ class Pretokens:
         self.end = np.append(self.start[1:], place[n])[: len(at)]
         self.first = np.searchsorted(at, base)
         self.bytes = np.frombuffer(self.data, np.uint8)
-        self.hash = common.span(common.byte_sums(self.bytes), self.start, self.end)
+        self.hash = common.byte_spans(self.bytes, self.start, self.end)
 
 
 _SHORT = {2: {"s", "t", "m", "d"}, 3: {"re", "ve", "ll"}}

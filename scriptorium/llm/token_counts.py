@@ -114,7 +114,7 @@ class Merges:
 
 
 class Encoder:
-    """Token ids, or their counts, of texts; remembers those of pre-tokens by their 64-bit hashes."""
+    """Token ids, or their counts, of texts; remembers those of pre-tokens. Hashes find them, their bytes decide."""
 
     def __init__(self, path: str):
         self.merges = Merges(path)
@@ -122,26 +122,48 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known, self.at, self.size, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-
-    def learn(self, p: Pretokens) -> np.ndarray:
-        """Makes known all pre-tokens; their places in `known`."""
+        """known: hashes, in order; for each, where its ids and its bytes are in `ids_pool` and `text`, and how many."""
+        self.known = np.zeros(0, np.uint64)
+        self.at, self.size, self.text_at, self.text_size = (np.zeros(0, np.int64) for _ in range(4))
+        self.ids_pool, self.text = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
+
+    def merged(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes of these pre-tokens; their ids go to the pool: places there and numbers."""
+        text = data[np.repeat(start, length) + common.ragged(length)]
+        symbols, size = self.merges.merge(text, length)
+        at = len(self.ids_pool) + np.cumsum(size) - size
+        self.ids_pool = np.concatenate((self.ids_pool, self.merges.ids(symbols)))
+        return text, at, size
+
+    def learn(self, p: Pretokens) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each pre-token are in the pool, and how many they are."""
         seen, first, back = np.unique(p.hash, return_index=True, return_inverse=True)
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED or max(len(self.text), len(self.ids_pool)) > 64 * REMEMBERED:
             self.forget()
         place = np.searchsorted(self.known, seen)
         old = place < len(self.known)
         old[old] = self.known[place[old]] == seen[old]
+        length = p.end - p.start
         if not old.all():
-            start, length = p.start[first[~old]], p.end[first[~old]] - p.start[first[~old]]
-            symbols, size = self.merges.merge(p.bytes[np.repeat(start, length) + common.ragged(length)], length)
-            known = np.concatenate((self.known, seen[~old]))
-            order = np.argsort(known)
-            at = np.concatenate((self.at, len(self.pool) + np.cumsum(size) - size))
-            self.known, self.at, self.size = known[order], at[order], np.concatenate((self.size, size))[order]
-            self.pool = np.concatenate((self.pool, self.merges.ids(symbols)))
+            new = first[~old]
+            text, at, size = self.merged(p.bytes, p.start[new], length[new])
+            order = np.argsort(known := np.concatenate((self.known, seen[~old])))
+            text_at = len(self.text) + np.cumsum(length[new]) - length[new]
+            self.known, self.text = known[order], np.concatenate((self.text, text))
+            self.at, self.size, self.text_at, self.text_size = (np.concatenate(x)[order] for x in ((self.at, at), (self.size, size), (self.text_at, text_at), (self.text_size, length[new])))
             place = np.searchsorted(self.known, seen)
-        return place[back]
+        place = place[back]
+        at, size = self.at[place], self.size[place]
+        other = self.text_size[place] != length
+        same = np.flatnonzero(~other)
+        begins = np.cumsum(length[same]) - length[same]
+        step = common.ragged(length[same])
+        differs = self.text[np.repeat(self.text_at[place[same]], length[same]) + step] != p.bytes[np.repeat(p.start[same], length[same]) + step]
+        if len(same) and differs.any():
+            other[same] = np.logical_or.reduceat(differs, begins)
+        if other.any():  # another pre-token has its hash: its ids are made for this once
+            _, at[other], size[other] = self.merged(p.bytes, p.start[other], length[other])
+        return at, size
 
     def split(self, texts: list[str]) -> tuple[Pretokens, list[int]]:
         """Pre-tokens of the texts, of which those with the special token's string are in several pieces; owners of the pieces."""
@@ -154,17 +176,15 @@ class Encoder:
 
     def count(self, texts: list[str]) -> np.ndarray:
         p, owner = self.split(texts)
-        place = self.learn(p)
-        sums = np.concatenate(([0], np.cumsum(self.size[place])))
+        sums = np.concatenate(([0], np.cumsum(self.learn(p)[1])))
         out = np.full(len(texts), -1, np.int64)  # a special token between two pieces
         np.add.at(out, np.array(owner, np.int64), sums[p.first[1:]] - sums[p.first[:-1]] + 1)
         return out
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         p, owner = self.split(texts)
-        place = self.learn(p)
-        size = self.size[place]
-        ids = self.pool[np.repeat(self.at[place], size) + common.ragged(size)]
+        at, size = self.learn(p)
+        ids = self.ids_pool[np.repeat(at, size) + common.ragged(size)]
         bounds = np.concatenate(([0], np.cumsum(size)))[p.first]
         out: list[np.ndarray | None] = [None] * len(texts)
         for k, i in enumerate(owner):

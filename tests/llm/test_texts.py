@@ -6,12 +6,13 @@ import re
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from scriptorium.llm import packing, substrings, suffixes, token_counts
+from scriptorium.llm import common, packing, substrings, suffixes, token_counts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h long, key string, n long"
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
@@ -56,6 +57,32 @@ def test_token_counts_of_any_characters(spark):
     assert [got[i] for i in range(len(texts))] == [len(x) for x in library(texts)]
 
 
+def thue_morse(size, one, other):
+    return "".join(other if bin(i).count("1") % 2 else one for i in range(size))
+
+
+def regular_texts():
+    """Strings for which polynomials modulo 2**64 are alike, as words and as letters."""
+    texts = []
+    for size in (512, 1024, 2048, 4096):
+        for a, b in ("ae", "aq"):
+            texts += [thue_morse(size, a, b), thue_morse(size, b, a), " ".join(thue_morse(size, a, b)), " ".join(thue_morse(size, b, a))]
+    return texts
+
+
+@pytest.mark.parametrize("buckets", [None, 50])
+def test_pretokens_with_one_hash(spark, monkeypatch, buckets):
+    texts = regular_texts() + odd_texts() * 2
+    if buckets:
+        spans = common.byte_spans
+        monkeypatch.setattr(common, "byte_spans", lambda *x: spans(*x) % np.uint64(buckets))
+    encoder = token_counts.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for part in (texts[:20], texts[20:]):
+        part = [t or "" for t in part]
+        assert [x.tolist() for x in encoder.ids(part)] == library(part)
+        assert encoder.count(part).tolist() == [len(x) for x in library(part)]
+
+
 def brute_words(rows, size=50):
     first = {}
     for i, t in rows:
