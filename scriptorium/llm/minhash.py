@@ -16,13 +16,26 @@ from .components import connected_components
 #: Words of a shingle, similarity of a link, coordinates of a signature in bands.
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 30, 5
+#: Texts, and cells of their shingles, that meet in one block on each side.
+TOGETHER, CELLS = 1024, 1 << 20
 
 
-def elements(words: common.Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the shingles of each text, the k-th copy of a shingle as an element of its own, and their texts.
+def regions(name: np.ndarray, row: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The regions of weighted elements, cut into cells of height 1: hash, text and filled height of each cell.
 
-    So a set of elements is a weighted set of shingles, each with a region of weight 1 for each copy. A text of fewer
-    words than a shingle has one shingle of all of them; a text without words has none.
+    Only an element's uppermost cell may be filled in part. A cell's hash comes from its element and its number, so that
+    texts which share a part of an element's region share its cells.
+    """
+    many = np.ceil(weight).astype(np.int64)
+    cell = common.ragged(many)
+    fill = np.minimum(1.0, np.repeat(weight, many) - cell)
+    return common.mix(np.repeat(name, many) + cell.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)), np.repeat(row, many), fill
+
+
+def elements(words: common.Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cells of the weighted shingles of each text: an element is a shingle, its weight how often it occurs.
+
+    A text of fewer words than a shingle has one shingle of all of them; a text without words has none.
     """
     sums = common.prefix(words.hash)
     count = np.diff(words.first)
@@ -33,25 +46,22 @@ def elements(words: common.Words, size: int = SHINGLE) -> tuple[np.ndarray, np.n
     shingle = common.span(sums, start, end)
     order = np.lexsort((shingle, row))
     row, shingle = row[order], shingle[order]
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (shingle[1:] != shingle[:-1])
-    at = np.arange(len(row))
-    copy = at - np.maximum.accumulate(np.where(new, at, 0))
-    return common.mix(shingle + copy.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)), row
+    new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (shingle[1:] != shingle[:-1]))[: len(row)])
+    return regions(shingle[new], row[new], np.diff(np.append(new, len(row))).astype(float))
 
 
-def signatures(element: np.ndarray, row: np.ndarray, texts: int, coordinates: int = BANDS * ROWS) -> np.ndarray:
+def signatures(cell: np.ndarray, row: np.ndarray, fill: np.ndarray, texts: int, coordinates: int = BANDS * ROWS) -> np.ndarray:
     """DartMinHash: for each text and coordinate, the earliest dart in any element's region (0 for texts without elements).
 
-    An element's darts come at the times of a Poisson process, which its hash alone decides: text A meets the same darts
-    as text B in all regions that they share. Each dart belongs to one coordinate. Only darts before a time that leaves
-    few coordinates empty are thrown: about k ln k + 2k over the whole text, however many elements it has. Texts with
-    an empty coordinate throw again, up to twice the time.
+    Darts hit a cell at the times of a Poisson process, each at a height, which the cell's hash alone decides: text A
+    meets the same darts as text B in all regions that they share; a dart above the filled height misses. Each dart
+    belongs to one coordinate. Only darts before a time that leaves few coordinates empty are thrown: about k ln k + 2k
+    over the whole text, however many elements it has. Texts with an empty coordinate throw again, up to twice the time.
     """
-    size = np.bincount(row, minlength=texts)
-    until = coordinates * (np.log(coordinates) + 2) / np.maximum(size, 1)
+    total = np.bincount(row, fill, minlength=texts)
+    until = coordinates * (np.log(coordinates) + 2) / np.where(total > 0, total, 1)
     out = np.zeros((texts, coordinates), np.uint64)
-    todo = size > 0
+    todo = total > 0
     while todo.any():
         alive = np.flatnonzero(todo[row])
         time = np.zeros(len(alive))
@@ -59,18 +69,19 @@ def signatures(element: np.ndarray, row: np.ndarray, texts: int, coordinates: in
         darts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         step = 0
         while len(alive):
-            dart = common.mix(element[alive] ^ np.uint64((step * 0x9E3779B97F4A7C15 + 0x5851F42D4C957F2D) % (1 << 64)))
+            dart = common.mix(cell[alive] ^ np.uint64((step * 0x9E3779B97F4A7C15 + 0x5851F42D4C957F2D) % (1 << 64)))
             time = time - np.log(((dart >> np.uint64(11)).astype(float) + 0.5) / (1 << 53))
-            hit = time < until[row[alive]]
-            alive, time, dart = alive[hit], time[hit], dart[hit]
+            soon = time < until[row[alive]]
+            alive, time, dart = alive[soon], time[soon], dart[soon]
             name = common.mix(dart)
-            cell = row[alive] * coordinates + (name % np.uint64(coordinates)).astype(np.int64)
-            np.minimum.at(first, cell, time)
-            darts.append((cell, time, name))
+            hit = (name >> np.uint64(40)).astype(float) < fill[alive] * (1 << 24)
+            place = row[alive[hit]] * coordinates + (name[hit] % np.uint64(coordinates)).astype(np.int64)
+            np.minimum.at(first, place, time[hit])
+            darts.append((place, time[hit], name[hit]))
             step += 1
-        for cell, when, name in darts:
-            won = when == first[cell]
-            out.ravel()[cell[won]] = name[won] | np.uint64(1)
+        for place, when, name in darts:
+            won = when == first[place]
+            out.ravel()[place[won]] = name[won] | np.uint64(1)
         empty = (first.reshape(texts, coordinates) == np.inf).any(axis=1)
         todo &= empty
         until[todo] *= 2
@@ -85,80 +96,143 @@ def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, two hashes of the word sequence (null without words), and band keys."""
+    """doc_id, pick, a digest of the word sequence in two halves (null without words), number of cells, and band keys."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = common.utf8(batch.column("text"))
             for a, b in common.runs(texts):
-                w = common.Words(texts[a:b])
-                element, row = elements(w)
-                keys = band_keys(signatures(element, row, b - a))
-                sums, again = common.prefix(w.hash), common.prefix(common.mix(w.hash ^ np.uint64(0xA5A5A5A5)))
-                none = np.diff(w.first) == 0
-                whole = [pa.array(common.span(s, w.first[:-1], w.first[1:]).view(np.int64), mask=none) for s in (sums, again)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *whole, pa.array(list(keys), pa.list_(pa.int64()))], ["doc_id", "w1", "w2", "keys"])
+                cell, row, fill = elements(common.Words(texts[a:b]))
+                keys = band_keys(signatures(cell, row, fill, b - a))
+                w1, w2, many = common.digests(texts[a:b])
+                whole = [pa.array(w, mask=many == 0) for w in (w1, w2)]
+                offsets = pa.array(np.arange(b - a + 1, dtype=np.int32) * BANDS)
+                lists = pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("doc_id", "pick")), *whole, pa.array(np.bincount(row, minlength=b - a)), lists], ["doc_id", "pick", "w1", "w2", "size", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, w1 long, w2 long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("pick"), "text").mapInArrow(work, "doc_id long, pick long, w1 long, w2 long, size long, keys array<long>")
 
 
 def element_lists(docs: DataFrame) -> DataFrame:
-    """doc_id and the sorted hashes of its weighted shingles."""
+    """doc_id, the sorted hashes of the cells of its weighted shingles, which are all different, and their number."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = common.utf8(batch.column("text"))
             for a, b in common.runs(texts):
-                element, row = elements(common.Words(texts[a:b]))
-                order = np.lexsort((element, row))
+                cell, row, _ = elements(common.Words(texts[a:b]))
+                order = np.lexsort((cell, row))
                 bounds = np.searchsorted(row[order], np.arange(b - a + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.ListArray.from_arrays(bounds, pa.array(element[order].view(np.int64)))], ["doc_id", "elements"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.ListArray.from_arrays(bounds, pa.array(cell[order].view(np.int64))), pa.array(np.diff(bounds))], ["doc_id", "elements", "cells"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, elements array<long>")
+    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, elements array<long>, cells int")
 
 
-def verified(pairs: DataFrame, lists: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose weighted Jaccard similarity is at least that."""
+def verified(pairs: DataFrame, lists: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose weighted Jaccard similarity is at least that: shared cells against cells of both."""
+    left, right = lists.select(F.col("doc_id").alias("a"), F.col("elements").alias("x")), lists.select(F.col("doc_id").alias("b"), F.col("elements").alias("y"))
+    shared = F.size(F.array_intersect("x", "y"))
+    return pairs.join(left, "a").join(right, "b").where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+
+def shared_cells(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], rows: int, columns: int, width: int = 4096) -> np.ndarray:
+    """How many cells each of the texts of x shares with each of y: products of 0/1 matrices of `width` cells at a time."""
+    (cell, row), (other, column) = x, y
+    names = np.intersect1d(cell, other)
+    at = [np.minimum(np.searchsorted(names, c), max(0, len(names) - 1)) for c in (cell, other)]
+    out = np.zeros((rows, columns), np.float32)
+    for low in range(0, len(names), width):
+        sides = []
+        for c, place, owner, n in ((cell, at[0], row, rows), (other, at[1], column, columns)):
+            part = np.flatnonzero((names[place] == c) & (place >= low) & (place < low + width))
+            side = np.zeros((n, width), np.float32)
+            side[owner[part], place[part] - low] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    return out
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = batch.column("x"), batch.column("y")
-            keep = []
-            for i in range(len(x)):
-                p, q = x[i].values.to_numpy(), y[i].values.to_numpy()
-                if min(len(p), len(q)) < similarity * max(len(p), len(q)):
-                    keep.append(False)
-                    continue
-                common_ = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(common_ >= similarity * (len(p) + len(q) - common_))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left, right = lists.select(F.col("doc_id").alias("a"), F.col("elements").alias("x")), lists.select(F.col("doc_id").alias("b"), F.col("elements").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
+def reached(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows and columns of a matrix of links, the smallest row that can be reached (their number: none)."""
+    n = len(linked)
+    label = np.where(linked.any(axis=1), np.arange(n), n)
+    while True:
+        column = np.where(linked, label[:, None], n).min(axis=0, initial=n)
+        new = np.minimum(label, np.where(linked, column[None, :], n).min(axis=1, initial=n))
+        if (new == label).all():
+            return label, column
+        label = new
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def across(members: DataFrame, lists: DataFrame, similarity: float, together: int, cells: int) -> DataFrame:
+    """a, b: links that join components, among the members (leader, doc_id, component) of each leader.
+
+    Of a leader's members, those outside of its largest component are compared with all of other components, in blocks of
+    about `together` texts and `cells` cells. A block gives its documents' links to one of their own component: rows out
+    grow with the members, not with the pairs.
+    """
+    counts = members.groupBy("leader", "component").agg(F.count("*").alias("n"))
+    main = counts.groupBy("leader").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("components")).where("components > 1").drop("components")
+    held = cut(members.join(main, "leader").join(lists.select("doc_id", "cells"), "doc_id").select("leader", "doc_id", "component", "cells", (F.col("component") != F.col("main")).alias("asks")))
+    blocks = lambda n, size: F.greatest(F.ceil(n / F.lit(together)), F.ceil(size / F.lit(cells))).cast("int")
+    sizes = held.groupBy("leader").agg(
+        blocks(F.count("*"), F.sum("cells")).alias("parts"), blocks(F.count_if("asks"), F.sum(F.when(F.col("asks"), F.col("cells")).otherwise(0))).alias("asking")
+    )
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    placed = held.join(sizes, "leader")
+    asked = placed.where("asks").withColumn("i", own("asking")).withColumn("j", every("parts"))
+    spread = asked.unionByName(placed.withColumn("asks", F.lit(False)).withColumn("j", own("parts")).withColumn("i", every("asking")))
+
+    def compare(key, group):
+        doc, component, asks = (group.column(c).to_numpy() for c in ("doc_id", "component", "asks"))
+        listed = group.column("elements").combine_chunks()
+        cell = listed.flatten().to_numpy()
+        size = np.diff(listed.offsets.to_numpy())
+        owner = np.repeat(np.arange(len(doc)), size)
+        asks = asks.astype(bool)
+        number = np.where(asks, np.cumsum(asks) - 1, np.cumsum(~asks) - 1)
+        side = asks[owner]
+        n, m = int(asks.sum()), int((~asks).sum())
+        shared = shared_cells((cell[side], number[owner[side]]), (cell[~side], number[owner[~side]]), n, m)
+        linked = shared >= similarity * (size[asks][:, None] + size[~asks][None, :] - shared)
+        linked &= component[asks][:, None] != component[~asks][None, :]
+        if not linked.any():
+            return pa.table({"a": doc[:0], "b": doc[:0]})
+        row, column = reached(linked)
+        ask = doc[asks]
+        a = np.concatenate((ask[row[row < n]], ask[column[column < n]]))
+        b = np.concatenate((ask[row < n], doc[~asks][column < n]))
+        return pa.table({"a": a[a != b], "b": b[a != b]})
+
+    return spread.join(lists, "doc_id").select("leader", "i", "j", "doc_id", "component", "asks", "elements").groupBy("leader", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, together: int = TOGETHER, cells: int = CELLS) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of its class) and kept for every row of docs (doc_id, text).
 
     A class is a connected component of links; a link joins equal word sequences, and texts with a weighted Jaccard
     similarity of their five-word shingles of at least `similarity` that share a band of their signatures (at 0.8, all but
-    7 in a million do). Equal texts are one representative from then on. Each is verified against the smallest leader
-    (smallest doc_id) of its bands, then against the other leaders if they are in another component; where that leaves
-    members of one band in different components, these are verified across components, too, so that no candidate pair
-    that could join classes is left out. Texts without words (null, empty,
-    white space) and rows without doc_id are classes of their own. A repeated doc_id with one text gives a row each;
-    other columns are ignored.
+    7 in a million do). Equal texts are one representative from then on. The leader of a band is its smallest doc_id.
+    Members are verified against their smallest leader, then against their other leaders, if these are in other
+    components. Members of one leader that still are in several components are compared across these, in blocks (see
+    across()), so that every candidate pair is linked, or in one class anyway, or found not to be alike.
+
+    Texts without words (null, empty, white space) and rows without doc_id are classes of their own. A repeated doc_id
+    gives a row each; of several texts with one doc_id, one (by a hash) stands for all. Other columns are ignored; an
+    empty table gives no rows. A text of any length is one row's work, with 8 bytes for each of its words.
     """
-    sketches = cut(sketch(docs))
-    reps = sketches.where("w1 is not null and doc_id is not null").groupBy("w1", "w2").agg(F.min("doc_id").alias("rep"))
-    known = cut(sketches.select("doc_id", "w1", "w2").join(reps, ["w1", "w2"], "left").groupBy("doc_id").agg(F.min(F.coalesce("rep", "doc_id")).alias("rep")))
-    bands = sketches.where("w1 is not null and doc_id is not null").join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.explode("keys").alias("key")).distinct()
-    shared = bands.groupBy("key").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    members = cut(bands.join(shared, "key").select("key", "doc_id", "leader"))
-    pairs = members.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(members.select("doc_id").distinct(), "doc_id", "left_semi")
-    lists = cut(element_lists(texts).dropDuplicates(["doc_id"]))
-    # each document against the smallest leader of its bands; then against the others that this leaves in another component
+    named = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
+    sketches = cut(sketch(named).where("w1 is not null"))
+    known = cut(sketches.groupBy("doc_id").agg(F.min_by(F.struct("w1", "w2"), "pick").alias("own")).select("doc_id", "own.*"))
+    reps = known.groupBy("w1", "w2").agg(F.min("doc_id").alias("rep"))
+    bands = sketches.join(reps.withColumnRenamed("rep", "doc_id"), ["doc_id", "w1", "w2"], "left_semi").select("doc_id", "size", F.explode("keys").alias("key"))
+    shared = bands.groupBy("key").agg(F.min(F.struct("doc_id", "size")).alias("leader"), F.max("doc_id").alias("last")).where("last > leader.doc_id").drop("last")
+    like = F.least("size", "leader.size") >= F.lit(similarity) * F.greatest("size", "leader.size")
+    led = cut(bands.join(shared, "key").select(F.col("leader.doc_id").alias("leader"), "doc_id", like.alias("like")).distinct())
+    texts = named.select("doc_id", F.xxhash64("text").alias("pick"), "text").join(led.select("doc_id").distinct(), "doc_id", "left_semi")
+    lists = cut(element_lists(texts.groupBy("doc_id").agg(F.min_by("text", "pick").alias("text"))))
+    pairs = led.where("like and doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = cut(verified(first, lists, similarity))
     components = connected_components(links)
@@ -168,15 +242,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     if not second.isEmpty():
         links = links.unionByName(second)
         components = connected_components(links)
-    # bands with several components: pairs across them that aren't verified yet
-    labelled = members.join(components, members["doc_id"] == components["id"], "left").select("key", "doc_id", "leader", F.coalesce("component", "doc_id").alias("component"))
-    mixed = cut(labelled.join(labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key"), "key"))
-    one, two = (mixed.select("key", F.col("doc_id").alias(d), F.col("component").alias(c), F.col("leader").alias(l)) for d, c, l in (("a", "ca", "la"), ("b", "cb", "lb")))
-    across = one.join(two, "key").where("ca <> cb and a < b and a <> la").select("a", "b").distinct()
-    more = cut(verified(across, lists, similarity))
-    if not more.isEmpty():
-        components = connected_components(links.unionByName(more))
-    return known.join(components, known["rep"] == components["id"], "left").select("doc_id", F.coalesce("component", "rep").alias("class_id")).join(docs.select(F.col("doc_id").cast("long")), "doc_id", "right").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce(F.col("class_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
+    members = led.join(components, led["doc_id"] == components["id"], "left").select("leader", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    third = cut(across(members, lists, similarity, together, cells))
+    if not third.isEmpty():
+        components = connected_components(links.unionByName(third))
+    classes = known.join(reps, ["w1", "w2"]).join(components, F.col("rep") == components["id"], "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
+    return docs.select(F.col("doc_id").cast("long")).join(classes, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce(F.col("class_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def op1_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,6 +73,62 @@ def test_near_duplicates(spark):
     assert all(r.kept == (r.doc_id == r.class_id) for r in found) and len(found) == len(rows)
 
 
+def test_members_of_one_leader_in_blocks(spark):
+    rng = random.Random(9)
+    base = [f"b{k}" for k in range(120)]
+    texts = []
+    for _ in range(150):  # from nearly the base's words to other texts with a part of them
+        other = list(base)
+        for _ in range(rng.randrange(9)):
+            other[rng.randrange(120)] = f"n{rng.random()}"
+        texts.append(" ".join(other))
+    rows = list(enumerate(texts))
+    for together, cells in ((1024, 1 << 20), (7, 1 << 20), (1024, 1000)):
+        found = minhash.near_duplicates(frame(spark, [(i, t, None, None) for i, t in rows]), together=together, cells=cells).collect()
+        assert {r.doc_id: r.class_id for r in found} == brute_classes(rows)
+
+
+def test_links_within_a_block():
+    rng = np.random.default_rng(4)
+    for density in (0.0, 0.02, 0.05, 0.3):
+        linked = rng.random((40, 30)) < density
+        label, column = minhash.reached(linked)
+        cells = [np.flatnonzero(x).astype(np.uint64) for x in linked]
+        owner = np.repeat(np.arange(40), [len(c) for c in cells])
+        flat = np.concatenate(cells)
+        assert (minhash.shared_cells((flat, owner), (flat, owner), 40, 40, 8) == linked.astype(int) @ linked.T.astype(int)).all()
+        for i in range(40):
+            seen, todo = set(), [i] if linked[i].any() else []
+            while todo:
+                k = todo.pop()
+                if k not in seen:
+                    seen.add(k)
+                    todo += np.flatnonzero(linked[:, linked[k]].any(axis=1)).tolist()
+            assert label[i] == min(seen, default=40)
+        assert (column == np.where(linked, label[:, None], 40).min(axis=0)).all()
+
+
+def test_darts_in_weighted_regions():
+    """The share of equal coordinates estimates the weighted Jaccard similarity, for fractional weights, too."""
+    rng = np.random.default_rng(2)
+    names = rng.integers(1, 2**63, 40).astype(np.uint64)
+    one, two = rng.random(40) * 3, rng.random(40) * 3
+    one[:5], two[5:9] = 0, 0
+    cell, row, fill = minhash.regions(np.tile(names, 2), np.repeat([0, 1], 40), np.concatenate((one, two)))
+    s = minhash.signatures(cell, row, fill, 2, 4000)
+    assert abs((s[0] == s[1]).mean() - np.minimum(one, two).sum() / np.maximum(one, two).sum()) < 0.03
+
+
+def test_near_duplicates_of_long_and_regular_words(spark):
+    def word(size, one, other):
+        return "".join(other if bin(i).count("1") % 2 else one for i in range(size))
+
+    a, b = word(1024, "a", "e"), word(1024, "e", "a")
+    rows = list(enumerate([a, b, f"{a} x y z u", f"{b} x y z u", " ".join(a), " ".join(b), "long " * 200_000, "long " * 200_001]))
+    found = minhash.near_duplicates(frame(spark, [(i, t, None, None) for i, t in rows])).collect()
+    assert {r.doc_id: r.class_id for r in found} == brute_classes(rows)
+
+
 def test_near_duplicates_of_a_table(spark, small):
     rows = [tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
     got = {r.doc_id: r.class_id for r in minhash.op1_minhash_near_duplicates(spark, small).collect()}
