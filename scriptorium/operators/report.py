@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
-from scriptorium.operators.sections import documents, neighbours
-from scriptorium.operators.sentences import KEYS, digest_groups, digest_sentences, outline_points, study_points
+from scriptorium.operators.sections import dealt, documents, neighbour
+from scriptorium.operators.sentences import KEYS, digest_array, group_array, outline_array, study_array, with_sentences
 from scriptorium.plans.rules import RulePack
+from scriptorium.sources.text import paragraph_array
 
 # Labels of the rendered versions.
 LABELS = {"clean": ("保真清洗", "保留课堂顺序"), "digest": ("精简整理", "保留展开脉络"), "study": ("学习整理", "默认阅读版"), "outline": ("结构提纲", "快速复盘"), "raw": ("原文", "转写稿")}
@@ -23,21 +22,35 @@ OUTLINE_TITLE = "全文结构提纲"
 FOOTER = ("上一段", "回到目录", "下一段")
 
 
-def stats(docs: DataFrame, pack: RulePack) -> DataFrame:
-    """doc_id, paragraphs, raw_chars, clean_chars, chunks, chunk_target_chars; nothing is shuffled."""
+def stats_columns(pack: RulePack) -> list[Column]:
+    """Of a row of documents(): counts of its paragraphs, characters and sections."""
     total = lambda c, size: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + size(x))
-    return documents(docs, pack).select(
-        "doc_id", F.size("raw").alias("paragraphs"), total(F.col("raw"), F.length).alias("raw_chars"), total(F.col("paras"), lambda p: F.length(p["text"])).alias("clean_chars"),
-        F.size("starts").alias("chunks"), F.lit(pack.max_chars).alias("chunk_target_chars"),
-    )
+    return [
+        F.size("raw").alias("paragraphs"), total(F.col("raw"), F.length).alias("raw_chars"), total(F.col("paras"), lambda p: F.length(p["text"])).alias("clean_chars"),
+        F.size("begins").alias("chunks"), F.lit(pack.max_chars).alias("chunk_target_chars"),
+    ]
 
 
-def review_flags(docs: DataFrame, pack: RulePack) -> DataFrame:
-    """doc_id, flag_no, flag: the pack's flags, and one more where a paragraph is marked as noise."""
+def raw_length() -> Column:
+    """Characters of a text's paragraphs."""
+    return F.aggregate(F.coalesce(paragraph_array(F.col("text")), F.array().cast("array<string>")), F.lit(0).cast("long"), lambda s, x: s + F.length(x))
+
+
+def stats(docs: DataFrame, pack: RulePack) -> DataFrame:
+    """doc_id, paragraphs, raw_chars, clean_chars, chunks, chunk_target_chars."""
+    return documents(docs, pack).select("doc_id", *stats_columns(pack))
+
+
+def flags(pack: RulePack) -> Column:
+    """Of a row of documents(): the pack's flags, and one more where a paragraph is marked as noise."""
     noisy = F.exists("paras", lambda p: p["text"].contains(pack.noise_text))
     fixed = F.array(*map(F.lit, pack.flags))
-    every = F.when(noisy, F.array_append(fixed, F.lit(pack.noise_flag))).otherwise(fixed)
-    return documents(docs, pack).select("doc_id", F.posexplode(every).alias("at", "flag")).select("doc_id", (F.col("at") + 1).alias("flag_no"), "flag")
+    return F.when(noisy, F.array_append(fixed, F.lit(pack.noise_flag))).otherwise(fixed)
+
+
+def review_flags(docs: DataFrame, pack: RulePack) -> DataFrame:
+    """doc_id, flag_no, flag: a row for each of a document's flags."""
+    return documents(docs, pack).select("doc_id", F.posexplode(flags(pack)).alias("at", "flag")).select("doc_id", (F.col("at") + 1).alias("flag_no"), "flag")
 
 
 def tag(name: str, *parts: Column, attrs: Column | str = "") -> Column:
@@ -45,77 +58,96 @@ def tag(name: str, *parts: Column, attrs: Column | str = "") -> Column:
     return F.concat(head, *parts, F.lit(f"</{name}>"))
 
 
-def _meta(template: str, *columns: str) -> Column:
+def _meta(template: str, *columns: str | Column) -> Column:
     return tag("p", F.format_string(template, *columns), attrs='class="chunk-meta"')
 
 
+# Class names of the rendered versions, here and in the functions that follow.
 def _footer() -> Column:
     button = lambda label, to: tag("button", F.lit(label), attrs=F.concat(F.lit('class="tiny-button" data-jump-chunk="'), to, F.lit('" '), F.when(to == "", "disabled").otherwise("")))
-    return tag("nav", button(FOOTER[0], F.col("prev_chunk")), tag("button", F.lit(FOOTER[1]), attrs='class="tiny-button" data-jump-toc'), button(FOOTER[2], F.col("next_chunk")), attrs='class="chunk-footer"')
+    return tag("nav", button(FOOTER[0], neighbour(-1)), tag("button", F.lit(FOOTER[1]), attrs='class="tiny-button" data-jump-toc'), button(FOOTER[2], neighbour(1)), attrs='class="chunk-footer"')
 
 
 def _section(*parts: Column) -> Column:
     return tag("section", tag("h2", T.html_escape(F.col("title"))), *parts, attrs=F.concat(F.lit('class="long-section" id="'), F.col("chunk_id"), F.lit('"')))
 
 
-def _listed(rows: DataFrame, order: str, item: str, value: str) -> DataFrame:
-    """One row a section: its rows in order, as HTML items, and how many they are."""
-    ordered = F.array_sort(F.collect_list(F.struct(order, T.html_escape(F.col(value)).alias("html"))))
-    return rows.groupBy(*KEYS).agg(ordered.alias("rows")).select(*KEYS, F.size("rows").alias("many"), F.array_join(F.transform("rows", lambda r: tag(item, r["html"])), "\n").alias("items"))
+def _items(texts: Column, name: str) -> Column:
+    return F.array_join(F.transform(texts, lambda t: tag(name, T.html_escape(t))), "\n")
 
 
-def render_sections(sections: DataFrame, pack: RulePack, version: str) -> DataFrame:
-    """doc_id, chunk_no, chunk_id, html of each section in a version (clean, digest, study, outline or raw)."""
-    base = sections.join(neighbours(sections), ["doc_id", "chunk_id"])
-    if version in ("clean", "raw"):
-        text = F.array_join(F.transform("paras", lambda p: tag("p", T.html_escape(p["text"]))), "\n")
-        html = _section(_meta(CLEAN_META, "chunk_id", "start_para", "end_para", "raw_chars"), text, _footer()) if version == "clean" else tag("section", tag("h2", T.html_escape(F.col("title"))), _meta(RAW_META, "start_para", "end_para", "raw_chars"), text, attrs='class="raw-chunk"')
-        return base.select(*KEYS, "chunk_id", html.alias("html"))
-    if version == "digest":
-        items = _listed(digest_groups(digest_sentences(sections, pack), pack), "group_no", "p", "text")
-    elif version == "study":
-        items = _listed(study_points(sections, pack, pack.study_limit), "rank", "li", "sentence")
-    else:
-        items = _listed(outline_points(sections, pack), "rank", "li", "sentence")
-    joined = base.join(items, list(KEYS), "left").withColumns({"items": F.coalesce("items", F.lit("")), "many": F.coalesce("many", F.lit(0))})
+VERSIONS = ("clean", "digest", "study", "outline")
+
+
+def with_html(sections: DataFrame, pack: RulePack, versions: tuple[str, ...] = (*VERSIONS, "raw")) -> DataFrame:
+    """Sections with a column html_<version> for each of the versions, all from one pass over their paragraphs."""
+    rows = sections
+    if {"digest", "study", "outline"} & set(versions):
+        rows = with_sentences(sections, pack)
+    arrays = {"digest": lambda: group_array(digest_array(pack), pack), "study": lambda: study_array(pack, pack.study_limit), "outline": lambda: outline_array(pack)}
+    rows = rows.withColumns({f"_{v}": arrays[v]() for v in versions if v in arrays})
+    texts = F.transform("paras", lambda p: p["text"])
     html = {
-        "digest": lambda: _section(_meta(DIGEST_META, "start_para", "end_para"), F.col("items"), _footer()),
-        "study": lambda: _section(_meta(STUDY_META, "start_para", "end_para", "many"), tag("ul", F.col("items")), _footer()),
+        "clean": lambda: _section(_meta(CLEAN_META, "chunk_id", "start_para", "end_para", "raw_chars"), _items(texts, "p"), _footer()),
+        "raw": lambda: tag("section", tag("h2", T.html_escape(F.col("title"))), _meta(RAW_META, "start_para", "end_para", "raw_chars"), _items(texts, "p"), attrs='class="raw-chunk"'),
+        "digest": lambda: _section(_meta(DIGEST_META, "start_para", "end_para"), _items(F.col("_digest"), "p"), _footer()),
+        "study": lambda: _section(_meta(STUDY_META, "start_para", "end_para", F.size("_study")), tag("ul", _items(F.col("_study"), "li")), _footer()),
         "outline": lambda: tag(
-            "li", tag("strong", T.html_escape(F.col("title"))), tag("span", F.format_string(OUTLINE_META, "chunk_id", "start_para", "end_para"), attrs='class="chunk-meta"'), tag("ul", F.col("items")),
+            "li", tag("strong", T.html_escape(F.col("title"))), tag("span", F.format_string(OUTLINE_META, "chunk_id", "start_para", "end_para"), attrs='class="chunk-meta"'), tag("ul", _items(F.col("_outline"), "li")),
             attrs=F.concat(F.lit('id="'), F.col("chunk_id"), F.lit('" class="outline-chunk"')),
         ),
-    }[version]()
-    return joined.select(*KEYS, "chunk_id", html.alias("html"))
+    }
+    return rows.select(*sections.columns, *(html[v]().alias(f"html_{v}") for v in versions))
 
 
-def render(sections: DataFrame, pack: RulePack, version: str) -> DataFrame:
-    """doc_id, html: all sections of a document, in order."""
-    rows = render_sections(sections, pack, version)
-    html = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "html"))), lambda r: r["html"]), "\n")
+def render_sections(sections: DataFrame, pack: RulePack, version: str) -> DataFrame:
+    """doc_id, chunk_no, chunk_id, html of each section in a version (clean, digest, study, outline or raw)."""
+    return with_html(sections, pack, (version,)).select(*KEYS, "chunk_id", F.col(f"html_{version}").alias("html"))
+
+
+def _whole(rows: Column, version: str) -> Column:
+    """A document's html, from its sections' structs in order."""
+    html = F.array_join(F.transform(rows, lambda r: r[f"html_{version}"]), "\n")
     if version == "outline":
         html = tag("section", tag("h2", F.lit(OUTLINE_TITLE)), tag("ol", html, attrs='class="outline-list"'), attrs='class="long-section"')
-    return rows.groupBy("doc_id").agg(html.alias("html"))
+    return html
+
+
+def whole_versions(sections: DataFrame, pack: RulePack, versions: tuple[str, ...], *extra: str) -> DataFrame:
+    """doc_id, rows (of the sections in order: chunk_no, the columns extra and each version's html): one shuffle by document."""
+    rows = with_html(sections, pack, versions).select("doc_id", F.struct("chunk_no", *extra, *(f"html_{v}" for v in versions)).alias("row"))
+    return rows.groupBy("doc_id").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+
+
+def render(sections: DataFrame, pack: RulePack, version: str) -> DataFrame:
+    """doc_id, html: all sections of a document, in order."""
+    return whole_versions(sections, pack, (version,)).select("doc_id", _whole(F.col("rows"), version).alias("html"))
 
 
 def version_stats(docs: DataFrame, sections: DataFrame, pack: RulePack) -> DataFrame:
     """doc_id, version, label, chars, tone: text lengths of the four versions and the raw text (1 where it is empty)."""
-    parts = [render(sections, pack, v).select("doc_id", F.lit(v).alias("version"), T.html_text_length(F.col("html")).cast("long").alias("chars")) for v in ("clean", "digest", "study", "outline")]
-    parts.append(stats(docs, pack).select("doc_id", F.lit("raw").alias("version"), F.greatest(F.col("raw_chars"), F.lit(1)).alias("chars")))
-    rows = reduce(DataFrame.unionByName, parts)
     label, tone = (F.create_map(*(F.lit(x) for k, v in LABELS.items() for x in (k, v[i]))) for i in (0, 1))
-    return rows.select("doc_id", "version", F.element_at(label, F.col("version")).alias("label"), "chars", F.element_at(tone, F.col("version")).alias("tone"))
-
-
-def samples(docs: DataFrame, sections: DataFrame, pack: RulePack) -> DataFrame:
-    """The nested result of each document: stats, sections, review items and versions."""
-    s = stats(docs, pack).select("doc_id", F.struct("paragraphs", "raw_chars", "clean_chars", "chunks", "chunk_target_chars").alias("stats"))
-    raw = render_sections(sections, pack, "raw").select("doc_id", "chunk_no", F.col("html").alias("raw_html"))
-    chunk = F.struct("chunk_no", F.col("chunk_id").alias("id"), "title", "start_para", "end_para", F.col("raw_chars").alias("chars"), "raw_html")
-    chunks = sections.join(raw, list(KEYS)).groupBy("doc_id").agg(F.array_sort(F.collect_list(chunk)).alias("chunks"))
-    flags = review_flags(docs, pack).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("flag_no", "flag"))), lambda x: x["flag"]).alias("review_items"))
-    out = s.join(chunks, "doc_id", "left").join(flags, "doc_id", "left")
-    for v in ("clean", "digest", "study", "outline"):
-        out = out.join(render(sections, pack, v).withColumnRenamed("html", v), "doc_id", "left")
-    versions = F.create_map(*(x for v in ("clean", "digest", "study", "outline") for x in (F.lit(v), F.col(v))))
-    return out.select("doc_id", "stats", "chunks", "review_items", versions.alias("versions"))
+    shown = F.array(*(F.struct(F.lit(v).alias("version"), T.html_text_length(_whole(F.col("rows"), v)).cast("long").alias("chars")) for v in VERSIONS))
+    parts = whole_versions(sections, pack, VERSIONS).select("doc_id", F.inline(shown))
+    raw = dealt(docs).select("doc_id", F.lit("raw").alias("version"), F.greatest(raw_length(), F.lit(1)).alias("chars"))
+    return parts.unionByName(raw).select("doc_id", "version", F.element_at(label, F.col("version")).alias("label"), "chars", F.element_at(tone, F.col("version")).alias("tone"))
+
+
+def samples(docs: DataFrame, sections: DataFrame, pack: RulePack, about: DataFrame | None = None) -> DataFrame:
+    """The nested result of each document: title, subtitle, source_file, stats, chunks, review_items and versions.
+
+    about: doc_id, title, subtitle, source; the file's name is the last part of its source. Sections are made and rendered
+    in one pass; statistics and flags come from another one over the documents. Documents without sections have empty
+    chunks and versions. Timing isn't part of a result: it belongs to the run.
+    """
+    s = documents(docs, pack).select("doc_id", F.struct(*stats_columns(pack)).alias("stats"), flags(pack).alias("review_items"))
+    chunk = lambda r: F.struct(r["chunk_id"].alias("id"), *(r[c].alias(c) for c in ("title", "start_para", "end_para")), r["raw_chars"].alias("chars"), r["html_raw"].alias("raw_html"))
+    versions = F.create_map(*(x for v in VERSIONS for x in (F.lit(v), _whole(F.col("rows"), v))))
+    made = whole_versions(sections, pack, (*VERSIONS, "raw"), "chunk_id", "title", "start_para", "end_para", "raw_chars")
+    out = s.join(made.select("doc_id", F.transform("rows", chunk).alias("chunks"), versions.alias("versions")), "doc_id", "left")
+    none = F.array().cast(out.schema["chunks"].dataType)
+    out = out.withColumns({"chunks": F.coalesce("chunks", none), "versions": F.coalesce("versions", F.create_map(*(F.lit(x) for v in VERSIONS for x in (v, ""))))})
+    if about is not None:
+        out = out.join(about.select("doc_id", "title", "subtitle", T.basename(F.col("source")).alias("source_file")), "doc_id", "left")
+        return out.select("doc_id", "title", "subtitle", "source_file", "stats", "chunks", "review_items", "versions")
+    return out.select("doc_id", "stats", "chunks", "review_items", "versions")

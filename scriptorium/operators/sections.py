@@ -20,49 +20,55 @@ def cleaned_array(raw: Column, pack: RulePack) -> Column:
     return F.transform(full, lambda p: F.struct(p["para_no"].alias("para_no"), T.mark_noise(p["text"], pack).alias("text")))
 
 
-def section_starts(paras: Column, max_chars: Column | int) -> Column:
-    """para_no of the first paragraph of each section: a fold that begins a new section where the next paragraph would not fit.
+def section_begins(paras: Column, max_chars: Column | int) -> Column:
+    """Places (from 1) of the first paragraph of each section: a fold that begins a new section where the next paragraph would not fit.
 
     A paragraph longer than max_chars is a section by itself; exactly max_chars fits.
     """
     most = F.lit(max_chars) if isinstance(max_chars, int) else max_chars
-    empty = F.struct(F.lit(0).alias("used"), F.array().cast("array<int>").alias("starts"))
+    empty = F.struct(F.lit(0).alias("at"), F.lit(0).alias("used"), F.array().cast("array<int>").alias("begins"))
 
     def step(state: Column, p: Column) -> Column:
-        size = F.length(p["text"])
-        full = (F.size(state["starts"]) == 0) | (state["used"] + size > most)
-        return F.struct(F.when(full, size).otherwise(state["used"] + size).alias("used"), F.when(full, F.array_append(state["starts"], p["para_no"])).otherwise(state["starts"]).alias("starts"))
+        size, at = F.length(p["text"]), state["at"] + 1
+        full = (state["at"] == 0) | (state["used"] + size > most)
+        return F.struct(at.alias("at"), F.when(full, size).otherwise(state["used"] + size).alias("used"), F.when(full, F.array_append(state["begins"], at)).otherwise(state["begins"]).alias("begins"))
 
-    return F.aggregate(paras, empty, step)["starts"]
+    return F.aggregate(paras, empty, step)["begins"]
+
+
+def dealt(docs: DataFrame, tasks_per_core: int = 4) -> DataFrame:
+    """docs over all cores, where the scan has few partitions: cleaning takes far longer than moving texts."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    few = not docs.isStreaming and docs.rdd.getNumPartitions() < tasks_per_core * cores
+    return docs.repartition(cores) if few else docs
 
 
 def documents(docs: DataFrame, pack: RulePack, max_chars: Column | int | None = None) -> DataFrame:
-    """doc_id, raw (paragraphs), paras (kept ones), starts (of sections)."""
-    out = docs.select("doc_id", F.coalesce(paragraph_array(F.col("text")), F.array().cast("array<string>")).alias("raw"))
+    """doc_id, raw (paragraphs), paras (kept ones), begins (places of the sections' first paragraphs among these)."""
+    out = dealt(docs).select("doc_id", F.coalesce(paragraph_array(F.col("text")), F.array().cast("array<string>")).alias("raw"))
     out = out.withColumn("paras", cleaned_array(F.col("raw"), pack))
-    return out.withColumn("starts", section_starts(F.col("paras"), pack.max_chars if max_chars is None else max_chars))
+    return out.withColumn("begins", section_begins(F.col("paras"), pack.max_chars if max_chars is None else max_chars))
 
 
 def sections(docs: DataFrame, pack: RulePack, max_chars: Column | int | None = None) -> DataFrame:
     """doc_id, chunk_no, chunk_id, title, start_para, end_para, raw_chars, paras, body, chunks (in the document).
 
     Ranges of raw paragraphs are contiguous from 1 to the last: what was dropped belongs to the section before. raw_chars
-    counts cleaned text without separators. A document without kept paragraphs has no section.
+    counts cleaned text without separators. A document without kept paragraphs has no section. Each section's row carries
+    its own slice of the paragraphs.
     """
     d = documents(docs, pack, max_chars)
-    n = F.size("starts")
-    d = d.select("doc_id", "paras", "starts", F.size("raw").alias("raw_n"), n.alias("chunks"), F.explode(F.when(n > 0, F.sequence(F.lit(1), n))).alias("chunk_no"))
-    nth = F.element_at("starts", F.col("chunk_no"))
-    after = F.when(F.col("chunk_no") < F.col("chunks"), F.try_element_at("starts", F.col("chunk_no") + 1))
-    d = d.withColumns({"from": nth, "to": F.coalesce(after - 1, F.col("raw_n"))})
-    d = d.withColumn("own", F.filter("paras", lambda p: p["para_no"].between(F.col("from"), F.col("to"))))
+    last = lambda i: F.coalesce(F.try_element_at("begins", i + 2) - 1, F.size("paras"))
+    after = lambda i: F.try_element_at("paras", F.try_element_at("begins", i + 2))["para_no"] - 1
+    pieces = F.transform("begins", lambda b, i: F.struct(F.slice("paras", b, last(i) - b + 1).alias("own"), F.coalesce(after(i), F.size("raw")).alias("to")))
+    d = d.select("doc_id", F.size("begins").alias("chunks"), F.posexplode(pieces).alias("at", "piece")).select("doc_id", "chunks", (F.col("at") + 1).alias("chunk_no"), "piece.own", "piece.to")
     d = d.withColumn("body", F.array_join(F.transform("own", lambda p: p["text"]), "\n"))
     return d.select(
         "doc_id",
         "chunk_no",
         F.format_string("c%02d", "chunk_no").alias("chunk_id"),
         T.title(F.col("body"), F.col("chunk_no"), pack).alias("title"),
-        F.when(F.col("chunk_no") == 1, 1).otherwise(F.col("from")).alias("start_para"),
+        F.when(F.col("chunk_no") == 1, 1).otherwise(F.element_at("own", 1)["para_no"]).alias("start_para"),
         F.col("to").alias("end_para"),
         F.aggregate("own", F.lit(0), lambda s, p: s + F.length(p["text"])).alias("raw_chars"),
         F.col("own").alias("paras"),
@@ -76,18 +82,29 @@ def section_paragraphs(sections_: DataFrame) -> DataFrame:
     return sections_.select("doc_id", "chunk_no", "raw_chars", F.posexplode("paras").alias("at", "p")).select("doc_id", "chunk_no", "raw_chars", (F.col("at") + 1).alias("pos"), F.col("p.para_no").alias("para_no"), F.col("p.text").alias("text"))
 
 
+def neighbour(step: int) -> Column:
+    """The id of the section before (-1) or after (1), empty at the ends; ids are numbers in order, so no window is needed."""
+    inside = F.col("chunk_no") > 1 if step < 0 else F.col("chunk_no") < F.col("chunks")
+    return F.when(inside, F.format_string("c%02d", F.col("chunk_no") + step)).otherwise("")
+
+
 def neighbours(sections_: DataFrame) -> DataFrame:
-    """The ids of the sections before and after each one, empty at the ends; ids are numbers in order, so no window is needed."""
-    other = lambda step: F.format_string("c%02d", F.col("chunk_no") + step)
-    return sections_.select(
-        "doc_id", "chunk_id",
-        F.when(F.col("chunk_no") > 1, other(-1)).otherwise("").alias("prev_chunk"),
-        F.when(F.col("chunk_no") < F.col("chunks"), other(1)).otherwise("").alias("next_chunk"),
-    )
+    """The ids of the sections before and after each one."""
+    return sections_.select("doc_id", "chunk_id", neighbour(-1).alias("prev_chunk"), neighbour(1).alias("next_chunk"))
 
 
-def circular_siblings(items: DataFrame, key: str, order: str) -> DataFrame:
-    """The ids before and after each item in a list that goes around. For a short list: one window over all of it."""
+def circular_siblings(items: DataFrame, key: str, order: str, most: int = 1_000_000) -> DataFrame:
+    """The ids before and after each item in a list that goes around: one window over all of it, so at most `most` items."""
+    if items.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} items in one circular list")
     w = Window.orderBy(order)
     everything = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return items.select(key, F.coalesce(F.lag(key).over(w), F.last(key).over(everything)).alias("prev_id"), F.coalesce(F.lead(key).over(w), F.first(key).over(everything)).alias("next_id"))
+
+
+def sibling(items: DataFrame, asked: DataFrame, key: str, order: str) -> DataFrame:
+    """The siblings of the ids in asked; an id that isn't in the list has those of its first item."""
+    around = circular_siblings(items, key, order)
+    first = items.agg(F.min_by(key, order).alias("_first"))
+    known = asked.select(key).join(items.select(F.col(key).alias("_key")), F.col(key) == F.col("_key"), "left").crossJoin(F.broadcast(first)).select(key, F.coalesce("_key", "_first").alias("_key"))
+    return known.join(around.withColumnRenamed(key, "_key"), "_key").select(key, "prev_id", "next_id")

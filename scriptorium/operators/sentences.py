@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
@@ -16,56 +16,91 @@ def sentence_array(c: Column, pack: RulePack) -> Column:
     return F.filter(F.transform(F.split(c, f"(?<={T.quoted(pack.terminators)})", -1), T.strip), lambda s: F.length(s) >= pack.sentence)
 
 
+def numbered(pack: RulePack) -> Column:
+    """Of a section's row: array of (ord, in the section; position, in the paragraph after short ones are gone; sentence)."""
+    of = lambda p: F.transform(sentence_array(p["text"], pack), lambda s, i: F.struct((i + 1).alias("position"), s.alias("sentence")))
+    return F.transform(F.flatten(F.transform("paras", of)), lambda s, i: F.struct((i + 1).alias("ord"), s["position"].alias("position"), s["sentence"].alias("sentence")))
+
+
 def sentences(sections: DataFrame, pack: RulePack) -> DataFrame:
-    """doc_id, chunk_no, raw_chars, ord (in the section), position (in the paragraph, after short ones are gone), sentence."""
-    places = F.flatten(F.transform("paras", lambda p: F.transform(sentence_array(p["text"], pack), lambda s, i: F.struct((i + 1).alias("position"), s.alias("sentence")))))
-    return sections.select(*KEYS, "raw_chars", F.posexplode(places).alias("at", "s")).select(*KEYS, "raw_chars", (F.col("at") + 1).alias("ord"), F.col("s.position").alias("position"), F.col("s.sentence").alias("sentence"))
+    """doc_id, chunk_no, raw_chars, ord, position, sentence: a row for each sentence."""
+    return sections.select(*KEYS, "raw_chars", F.inline(numbered(pack)))
 
 
-def study_points(sections: DataFrame, pack: RulePack, limit: int) -> DataFrame:
-    """doc_id, chunk_no, rank, sentence: the best sentences of a section, in the order of their scores (ties: text order).
+def with_sentences(sections: DataFrame, pack: RulePack) -> DataFrame:
+    """Sections with their sentences, and with what isn't noise among their paragraphs."""
+    plain = F.transform(F.filter("paras", lambda p: ~T.marked(p["text"], pack)), lambda p: p["text"])
+    return sections.withColumns({"sentences": numbered(pack), "plain": plain})
+
+
+def _by_score(score) -> Column:
+    """Sentences with a score, the best first (ties: text order), as array of (less, ord, sentence)."""
+    scored = F.transform("sentences", lambda s: F.struct((-score(s)).alias("less"), s["ord"].alias("ord"), s["sentence"].alias("sentence")))
+    return F.array_sort(F.filter(scored, lambda s: s["less"] < 0))
+
+
+def study_array(pack: RulePack, limit: int) -> Column:
+    """Of a row of with_sentences(): the best sentences, in the order of their scores.
 
     Of sentences with the same beginning, the first in that order stays. Where fewer than three are left, the beginnings
-    of the section's paragraphs follow, but for noise. Only sentences with a score reach the windows' shuffle.
+    of the section's paragraphs follow, but for noise.
     """
-    scored = sentences(sections, pack).withColumn("score", T.study_score(F.col("sentence"), pack)).where("score > 0")
-    best = Window.partitionBy(*KEYS).orderBy(F.desc("score"), "ord")
-    alike = Window.partitionBy(*KEYS, F.substring("sentence", 1, pack.prefix)).orderBy(F.desc("score"), "ord")
-    first = scored.withColumn("n", F.row_number().over(alike)).where("n = 1").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
-    chosen = first.select(*KEYS, "rank", "sentence")
+    best = _by_score(lambda s: T.study_score(s["sentence"], pack))
+    head = lambda c: F.substring(c, 1, pack.prefix)
+    fresh = lambda chosen, s: (F.size(chosen) < limit) & ~F.exists(chosen, lambda x: head(x) == head(s["sentence"]))
+    chosen = F.aggregate(best, F.array().cast("array<string>"), lambda chosen, s: F.when(fresh(chosen, s), F.array_append(chosen, s["sentence"])).otherwise(chosen))
     least, cut = pack.fallback
-    many = sections.select(*KEYS, "paras").join(chosen.groupBy(*KEYS).agg(F.count("*").cast("int").alias("many")), list(KEYS), "left").withColumn("many", F.coalesce("many", F.lit(0))).where(F.col("many") < least)
-    plain = F.filter("paras", lambda p: ~T.marked(p["text"], pack))
-    more = many.select(*KEYS, "many", F.posexplode(F.transform(plain, lambda p: F.substring(p["text"], 1, cut))).alias("at", "sentence"))
-    more = more.withColumn("rank", F.col("many") + F.col("at") + 1).where(F.col("rank") <= limit).select(*KEYS, "rank", "sentence")
-    return chosen.unionByName(more)
+    more = F.transform("plain", lambda p: F.substring(p, 1, cut))
+    return F.transform(F.array(chosen), lambda c: F.when(F.size(c) < least, F.slice(F.concat(c, more), 1, limit)).otherwise(c))[0]
 
 
-def outline_points(sections: DataFrame, pack: RulePack) -> DataFrame:
+def outline_array(pack: RulePack) -> Column:
     """The first few study points, cut short."""
-    return study_points(sections, pack, pack.outline_limit).withColumn("sentence", F.substring("sentence", 1, pack.outline_cut))
+    return F.transform(study_array(pack, pack.outline_limit), lambda s: F.substring(s, 1, pack.outline_cut))
 
 
-def digest_sentences(sections: DataFrame, pack: RulePack) -> DataFrame:
-    """doc_id, chunk_no, ord, sentence: sentences by score until a third of the section (and some least length) is reached.
+def digest_array(pack: RulePack) -> Column:
+    """Of a row of with_sentences(): (ord, sentence) by score until a third of the section (and some least length) is reached.
 
     A sentence is taken while the total before it is below the target. A section without scored sentences gives whole
     paragraphs, but for noise, to the same rule; their ord counts paragraphs.
     """
     floor, percent = pack.budget
     target = F.greatest(F.lit(floor), F.floor(F.col("raw_chars") * percent / 100).cast("int"))
-    before = lambda *order: F.coalesce(F.sum(F.length("sentence")).over(Window.partitionBy(*KEYS).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    scored = sentences(sections, pack).withColumn("score", T.digest_score(F.col("sentence"), F.col("position"), pack)).where("score > 0")
-    chosen = scored.withColumn("before", before(F.desc("score"), F.col("ord"))).where(F.col("before") < target).select(*KEYS, "ord", "sentence")
-    without = sections.join(scored.select(*KEYS).distinct(), list(KEYS), "left_anti")
-    plain = F.filter("paras", lambda p: ~T.marked(p["text"], pack))
-    whole = without.select(*KEYS, "raw_chars", F.posexplode(F.transform(plain, lambda p: p["text"])).alias("at", "sentence")).withColumn("ord", F.col("at") + 1)
-    whole = whole.withColumn("before", before("ord")).where(F.col("before") < target).select(*KEYS, "ord", "sentence")
-    return chosen.unionByName(whole)
-
-
-def digest_groups(digest: DataFrame, pack: RulePack) -> DataFrame:
-    """doc_id, chunk_no, group_no, text: the digest in text order, some sentences to a paragraph, without separators."""
-    n = digest.withColumn("group_no", F.floor((F.row_number().over(Window.partitionBy(*KEYS).orderBy("ord")) - 1) / pack.group).cast("int") + 1)
-    parts = F.array_sort(F.collect_list(F.struct("ord", "sentence")))
-    return n.groupBy(*KEYS, "group_no").agg(F.array_join(F.transform(parts, lambda x: x["sentence"]), "").alias("text"))
+    best = F.transform(_by_score(lambda s: T.digest_score(s["sentence"], s["position"], pack)), lambda s: F.struct(s["ord"].alias("ord"), s["sentence"].alias("sentence")))
+    whole = F.transform("plain", lambda p, i: F.struct((i + 1).alias("ord"), p.alias("sentence")))
+    none = F.struct(F.lit(0).alias("total"), F.array().cast("array<struct<ord:int,sentence:string>>").alias("taken"))
+    take = lambda state, s: F.struct((state["total"] + F.length(s["sentence"])).alias("total"), F.array_append(state["taken"], s).alias("taken"))
+    pick = lambda rows: F.aggregate(rows, none, lambda state, s: F.when(state["total"] < target, take(state, s)).otherwise(state))["taken"]
+    return F.transform(F.array(best), lambda b: pick(F.when(F.size(b) > 0, b).otherwise(whole)))[0]
+
+
+def group_array(digest: Column, pack: RulePack) -> Column:
+    """A digest's sentences in text order, some to a paragraph, without separators."""
+    ordered = F.transform(F.array_sort(digest), lambda s: s["sentence"])
+    group = lambda c: F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.size(c) - 1, F.lit(0))), lambda i: (i % pack.group == 0) & (i < F.size(c))), lambda i: F.array_join(F.slice(c, i + 1, pack.group), ""))
+    return F.transform(F.array(ordered), group)[0]
+
+
+def _ranked(rows: DataFrame, points: Column) -> DataFrame:
+    return rows.select(*KEYS, F.posexplode(points).alias("at", "sentence")).select(*KEYS, (F.col("at") + 1).alias("rank"), "sentence")
+
+
+def study_points(sections: DataFrame, pack: RulePack, limit: int) -> DataFrame:
+    """doc_id, chunk_no, rank, sentence: a row for each study point (see study_array). Nothing is shuffled."""
+    return _ranked(with_sentences(sections, pack), study_array(pack, limit))
+
+
+def outline_points(sections: DataFrame, pack: RulePack) -> DataFrame:
+    return _ranked(with_sentences(sections, pack), outline_array(pack))
+
+
+def digest_sentences(sections: DataFrame, pack: RulePack) -> DataFrame:
+    """doc_id, chunk_no, ord, sentence: a row for each sentence of the digest (see digest_array). Nothing is shuffled."""
+    return with_sentences(sections, pack).select(*KEYS, F.inline(digest_array(pack)))
+
+
+def digest_groups(sections: DataFrame, pack: RulePack) -> DataFrame:
+    """doc_id, chunk_no, group_no, text: a row for each paragraph of the digest."""
+    rows = with_sentences(sections, pack).withColumn("digest", digest_array(pack))
+    return rows.select(*KEYS, F.posexplode(group_array(F.col("digest"), pack)).alias("at", "text")).select(*KEYS, (F.col("at") + 1).alias("group_no"), "text")

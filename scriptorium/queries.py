@@ -183,7 +183,7 @@ def budget_fallback(spark, d):
 
 @query
 def gen_digest_group(spark, d):
-    return longs(N.digest_groups(N.digest_sentences(sections_of(spark, d), P), P), "chunk_no", "group_no")
+    return longs(N.digest_groups(sections_of(spark, d), P), "chunk_no", "group_no")
 
 
 @query
@@ -223,7 +223,7 @@ def out_raw(spark, d):
 @query
 def out_digest(spark, d):
     s = sections_of(spark, d)
-    return longs(N.digest_groups(N.digest_sentences(s, P), P).withColumn("chunk_id", F.format_string("c%02d", "chunk_no")).withColumn("html", T.html_escape(F.col("text"))).select("doc_id", "chunk_id", "group_no", "html"), "group_no")
+    return longs(N.digest_groups(s, P).withColumn("chunk_id", F.format_string("c%02d", "chunk_no")).withColumn("html", T.html_escape(F.col("text"))).select("doc_id", "chunk_id", "group_no", "html"), "group_no")
 
 
 def _sections_out(version):
