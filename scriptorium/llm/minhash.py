@@ -129,10 +129,13 @@ def element_lists(docs: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, lists: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose weighted Jaccard similarity is at least that: shared cells against cells of both."""
-    left, right = lists.select(F.col("doc_id").alias("a"), F.col("elements").alias("x")), lists.select(F.col("doc_id").alias("b"), F.col("elements").alias("y"))
-    shared = F.size(F.array_intersect("x", "y"))
-    return pairs.join(left, "a").join(right, "b").where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    """The pairs (a, b) whose weighted Jaccard similarity is at least that: shared cells against cells of both.
+
+    Neither side has a bound, so the joins are merge joins at every size.
+    """
+    left, right = (lists.select(F.col("doc_id").alias(i), F.col("elements").alias(e)).hint("merge") for i, e in (("a", "x"), ("b", "y")))
+    # shared / (x + y - shared) >= similarity, written so that the cells are compared once
+    return pairs.join(left, "a").join(right, "b").where(F.size(F.array_intersect("x", "y")) * F.lit(1 + similarity) >= F.lit(similarity) * (F.size("x") + F.size("y")) - F.lit(1e-9)).select("a", "b")
 
 
 def shared_cells(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], rows: int, columns: int, width: int = 4096) -> np.ndarray:
@@ -180,32 +183,35 @@ def across(members: DataFrame, lists: DataFrame, similarity: float, together: in
     )
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
-    placed = held.join(sizes, "leader")
-    asked = placed.where("asks").withColumn("i", own("asking")).withColumn("j", every("parts"))
-    spread = asked.unionByName(placed.withColumn("asks", F.lit(False)).withColumn("j", own("parts")).withColumn("i", every("asking")))
+    placed = held.join(sizes, "leader").withColumns({"own_i": own("asking"), "own_j": own("parts")})
+    # a document that asks goes to all parts, one that is asked to all that ask; where both are one block, it goes there once
+    answers = placed.withColumn("j", F.col("own_j")).withColumn("i", every("asking")).withColumns({"asks": F.col("asks") & (F.col("i") == F.col("own_i")), "held": F.lit(True)})
+    asked = placed.where("asks").withColumn("i", F.col("own_i")).withColumn("j", every("parts")).where("j <> own_j").withColumn("held", F.lit(False))
+    spread = answers.unionByName(asked)
 
     def compare(key, group):
-        doc, component, asks = (group.column(c).to_numpy() for c in ("doc_id", "component", "asks"))
+        doc, component, asks, held = (group.column(c).to_numpy() for c in ("doc_id", "component", "asks", "held"))
         listed = group.column("elements").combine_chunks()
         cell = listed.flatten().to_numpy()
         size = np.diff(listed.offsets.to_numpy())
         owner = np.repeat(np.arange(len(doc)), size)
-        asks = asks.astype(bool)
-        number = np.where(asks, np.cumsum(asks) - 1, np.cumsum(~asks) - 1)
-        side = asks[owner]
-        n, m = int(asks.sum()), int((~asks).sum())
-        shared = shared_cells((cell[side], number[owner[side]]), (cell[~side], number[owner[~side]]), n, m)
-        linked = shared >= similarity * (size[asks][:, None] + size[~asks][None, :] - shared)
-        linked &= component[asks][:, None] != component[~asks][None, :]
+        sides = []
+        for mask in (asks.astype(bool), held.astype(bool)):
+            number = np.cumsum(mask) - 1
+            sides.append((np.flatnonzero(mask), (cell[mask[owner]], number[owner[mask[owner]]])))
+        (ask, own_cells), (other, other_cells) = sides
+        shared = shared_cells(own_cells, other_cells, len(ask), len(other))
+        linked = shared >= similarity * (size[ask][:, None] + size[other][None, :] - shared) - 1e-9
+        linked &= component[ask][:, None] != component[other][None, :]
         if not linked.any():
             return pa.table({"a": doc[:0], "b": doc[:0]})
         row, column = reached(linked)
-        ask = doc[asks]
-        a = np.concatenate((ask[row[row < n]], ask[column[column < n]]))
-        b = np.concatenate((ask[row < n], doc[~asks][column < n]))
+        n = len(ask)
+        a = np.concatenate((doc[ask][row[row < n]], doc[ask][column[column < n]]))
+        b = np.concatenate((doc[ask][row < n], doc[other][column < n]))
         return pa.table({"a": a[a != b], "b": b[a != b]})
 
-    return spread.join(lists, "doc_id").select("leader", "i", "j", "doc_id", "component", "asks", "elements").groupBy("leader", "i", "j").applyInArrow(compare, "a long, b long")
+    return spread.join(lists, "doc_id").select("leader", "i", "j", "doc_id", "component", "asks", "held", "elements").groupBy("leader", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, together: int = TOGETHER, cells: int = CELLS) -> DataFrame:
@@ -214,9 +220,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, together: i
     A class is a connected component of links; a link joins equal word sequences, and texts with a weighted Jaccard
     similarity of their five-word shingles of at least `similarity` that share a band of their signatures (at 0.8, all but
     7 in a million do). Equal texts are one representative from then on. The leader of a band is its smallest doc_id.
-    Members are verified against their smallest leader, then against their other leaders, if these are in other
-    components. Members of one leader that still are in several components are compared across these, in blocks (see
-    across()), so that every candidate pair is linked, or in one class anyway, or found not to be alike.
+    Members are verified against their leaders. Members of one leader that still are in several components are compared
+    across these, in blocks (see across()), so that every candidate pair is linked, or in one class anyway, or found not
+    to be alike.
 
     Texts without words (null, empty, white space) and rows without doc_id are classes of their own. A repeated doc_id
     gives a row each; of several texts with one doc_id, one (by a hash) stands for all. Other columns are ignored; an
@@ -224,29 +230,24 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, together: i
     """
     named = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
     sketches = cut(sketch(named).where("w1 is not null"))
-    known = cut(sketches.groupBy("doc_id").agg(F.min_by(F.struct("w1", "w2"), "pick").alias("own")).select("doc_id", "own.*"))
+    known = cut(sketches.groupBy("doc_id").agg(F.min_by(F.struct("w1", "w2", "size"), "pick").alias("own")).select("doc_id", "own.*"))
     reps = known.groupBy("w1", "w2").agg(F.min("doc_id").alias("rep"))
-    bands = sketches.join(reps.withColumnRenamed("rep", "doc_id"), ["doc_id", "w1", "w2"], "left_semi").select("doc_id", "size", F.explode("keys").alias("key"))
-    shared = bands.groupBy("key").agg(F.min(F.struct("doc_id", "size")).alias("leader"), F.max("doc_id").alias("last")).where("last > leader.doc_id").drop("last")
-    like = F.least("size", "leader.size") >= F.lit(similarity) * F.greatest("size", "leader.size")
-    led = cut(bands.join(shared, "key").select(F.col("leader.doc_id").alias("leader"), "doc_id", like.alias("like")).distinct())
-    texts = named.select("doc_id", F.xxhash64("text").alias("pick"), "text").join(led.select("doc_id").distinct(), "doc_id", "left_semi")
+    bands = sketches.join(reps.withColumnRenamed("rep", "doc_id"), ["doc_id", "w1", "w2"], "left_semi").select("doc_id", F.explode("keys").alias("key"))
+    shared = bands.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("last > leader").drop("last")
+    led = cut(bands.join(shared, "key").select("leader", "doc_id").distinct())
+    texts = named.select("doc_id", F.xxhash64("text").alias("pick"), "text").join(led.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
     lists = cut(element_lists(texts.groupBy("doc_id").agg(F.min_by("text", "pick").alias("text"))))
-    pairs = led.where("like and doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))
-    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = cut(verified(first, lists, similarity))
+    # size rules out most pairs that only have a few shingles in common
+    size_a, size_b = (known.select(F.col("doc_id").alias(c), F.col("size").alias(f"size_{c}")) for c in "ab")
+    pairs = led.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).join(size_a, "a").join(size_b, "b")
+    alike = F.least("size_a", "size_b") >= F.lit(similarity) * F.greatest("size_a", "size_b") - F.lit(1e-9)
+    links = cut(verified(pairs.where(alike).select("a", "b"), lists, similarity))
     components = connected_components(links)
-    known_a, known_b = (components.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
-    rest = pairs.join(first, ["a", "b"], "left_anti").join(known_a, "a", "left").join(known_b, "b", "left")
-    second = cut(verified(rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), lists, similarity))
-    if not second.isEmpty():
-        links = links.unionByName(second)
-        components = connected_components(links)
     members = led.join(components, led["doc_id"] == components["id"], "left").select("leader", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    third = cut(across(members, lists, similarity, together, cells))
-    if not third.isEmpty():
-        components = connected_components(links.unionByName(third))
-    classes = known.join(reps, ["w1", "w2"]).join(components, F.col("rep") == components["id"], "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
+    more = cut(across(members, lists, similarity, together, cells))
+    if not more.isEmpty():
+        components = connected_components(links.unionByName(more))
+    classes = known.drop("size").join(reps, ["w1", "w2"]).join(components, F.col("rep") == components["id"], "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
     return docs.select(F.col("doc_id").cast("long")).join(classes, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce(F.col("class_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 

@@ -102,65 +102,80 @@ def contexts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", "found", "often").mapInArrow(work, "h long, n long, doc_id long, start int, many int, bytes binary")
 
 
-def radix(group: np.ndarray, digits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Refines groups by one digit after the other, from the most significant one; singles leave at once.
+def radix(group: np.ndarray, at: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Refines groups of suffixes (which begin at these bytes of data) by one digit of 8 bytes after the other.
 
-    group: of each suffix; digits: suffixes x digits. Returns the suffixes that are left, ordered by group, and the groups'
-    first places: suffixes of a group are equal through all digits.
+    The most significant digit comes first; singles leave at once, and only digits of those still there are read.
+    Returns the suffixes that are left, ordered by group, and their groups: suffixes of one are equal through DEPTH bytes.
     """
+    value = np.zeros(len(data), np.uint64)
+    for k in range(8):
+        value[: len(data) - k] |= data[k:].astype(np.uint64) << np.uint64(8 * k)
     alive = np.argsort(group, kind="stable")
-    label = group[alive]
-    for k in range(-1, digits.shape[1]):
-        if k >= 0:
-            digit = digits[alive, k]
+    label, digit = group[alive], None
+    for offset in (None, *range(0, DEPTH - 7, 8), *([DEPTH - 8] if DEPTH % 8 else [])):
+        if offset is not None:
+            digit = value[at[alive] + offset]
             order = np.lexsort((digit, label))
             alive, label, digit = alive[order], label[order], digit[order]
-            new = (np.diff(label, prepend=-1) != 0) | np.append(True, digit[1:] != digit[:-1])[: len(label)]
-        else:
-            new = np.append(True, label[1:] != label[:-1])[: len(label)]
+        new = np.ones(len(alive), bool)
+        new[1:] = label[1:] != label[:-1]
+        if digit is not None:
+            new[1:] |= digit[1:] != digit[:-1]
         name = np.cumsum(new) - 1
-        many = np.bincount(name, minlength=0)[name] > 1
+        many = np.bincount(name)[name] > 1 if len(name) else name.astype(bool)
         alive, label = alive[many], name[many]
-    return alive, np.flatnonzero(np.diff(label, prepend=-1) != 0)
+    return alive, label
+
+
+def first_of(name: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by name and occurrence, the first of the same name for each place in it, and what is a later occurrence."""
+    order = np.lexsort((start, doc, name))
+    name, doc, start = name[order], doc[order], start[order]
+    new = np.ones(len(order), bool)
+    new[1:] = name[1:] != name[:-1]
+    first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    return order, new, (doc != doc[first]) | (start != start[first])  # a repeated row is not later
 
 
 def judge(key, group):
-    """Sorts the suffixes of a group's contexts: spans of bytes with an earlier equal string, and what stays of split groups."""
+    """Sorts the suffixes of a group's contexts: spans of bytes with an earlier equal string, and what stays of split groups.
+
+    Of equal contexts, all but the first go at once; suffixes of the different contexts of one leading digit are sorted.
+    """
     h, parted, doc, start, many = (group.column(c).to_numpy() for c in ("h", "parted", "doc_id", "start", "many"))
     raw = group.column("bytes").combine_chunks()
-    data = np.frombuffer(b"".join(raw.to_pylist()), np.uint8)
-    base = np.concatenate(([0], np.cumsum(many + DEPTH - 1)))[:-1]
-    row, step = np.repeat(np.arange(len(h)), many), common.ragged(many)
-    _, label = np.unique(h, return_inverse=True)
-    # strings of one leading digit stand at different distances from it, which is a digit, too
-    text = data[(base[row] + step)[:, None] + np.arange(DEPTH)]
-    digits = np.zeros((len(row), DEPTH // 8 * 8 + 8), np.uint8)
-    digits[:, :DEPTH] = text
-    alive, first = radix(label[row], np.ascontiguousarray(digits).view(np.uint64))
-    name = np.zeros(len(alive), np.int64)
-    name[first] = 1
-    name = np.cumsum(name)
-    at = start[row[alive]] + step[alive]
-    order = np.lexsort((at, doc[row[alive]], name))
-    alive, name, at = alive[order], name[order], at[order]
-    leads = np.append(True, name[1:] != name[:-1])[: len(name)]
-    leader = np.maximum.accumulate(np.where(leads, np.arange(len(name)), 0))
-    same = (doc[row[alive]] == doc[row[alive[leader]]]) & (at == at[leader])  # a repeated row is not earlier
-    gone = np.zeros(len(row), bool)
-    gone[alive[~same]] = True
-
-    def spans(mask, base_kind):
-        edge = np.flatnonzero(mask)
-        fresh = np.append(True, (np.diff(edge) != 1) | (np.diff(row[edge]) != 0))[: len(edge)]
-        head, tail = edge[fresh], edge[np.append(fresh[1:], True)[: len(edge)]]
-        r = row[head]
-        return {
-            "kind": np.full(len(head), base_kind, np.int32), "h": h[r], "parted": np.zeros(len(r), bool), "doc_id": doc[r], "start": (start[r] + step[head]).astype(np.int32), "many": (tail - head + 1).astype(np.int32),
-            "bytes": [data[base[x] + step[y] : base[x] + step[z] + DEPTH].tobytes() if base_kind else b"" for x, y, z in zip(r.tolist(), head.tolist(), tail.tolist())],
-        }
-
-    parts = [spans(gone, 0), spans(~gone & parted[row], 1)]
-    return pa.concat_tables([pa.table({k: pa.array(v, pa.binary()) if k == "bytes" else pa.array(v) for k, v in p.items()}) for p in parts])
+    order, new, later = first_of(raw.dictionary_encode().indices.to_numpy(), doc, start)
+    gone, lead = order[later], order[new]
+    _, digit = np.unique(h[lead], return_inverse=True)
+    alone = np.bincount(digit)[digit] == 1
+    only, digit, lead = lead[alone], digit[~alone], lead[~alone]
+    spans = [{"kind": 0, "at": gone, "step": 0, "many": many[gone]}, {"kind": 1, "at": only[parted[only]], "step": 0, "many": many[only[parted[only]]]}]
+    if len(lead):
+        data = np.frombuffer(b"".join(raw.take(pa.array(lead)).to_pylist()), np.uint8)
+        size = many[lead]
+        base = np.concatenate(([0], np.cumsum(size + DEPTH - 1)))[:-1]
+        row, step = np.repeat(np.arange(len(lead)), size), common.ragged(size)
+        # strings of one leading digit stand at different distances from it, which is a digit, too
+        alive, name = radix(digit[row], base[row] + step, data)
+        order, _, later = first_of(name, doc[lead[row[alive]]], start[lead[row[alive]]] + step[alive])
+        mark = np.zeros(len(row), bool)
+        mark[alive[order[later]]] = True
+        for kind, mask in ((0, mark), (1, ~mark & parted[lead][row])):
+            edge = np.flatnonzero(mask)
+            fresh = np.ones(len(edge), bool)
+            fresh[1:] = (np.diff(edge) != 1) | (np.diff(row[edge]) != 0)
+            head, tail = edge[fresh], edge[np.append(fresh[1:], True)[: len(edge)]]
+            spans.append({"kind": kind, "at": lead[row[head]], "step": step[head], "many": tail - head + 1})
+    tables = []
+    for s in spans:
+        at, step, size = s["at"], np.broadcast_to(s["step"], len(s["at"])), s["many"]
+        bytes_ = [raw[i].as_py()[x : x + n + DEPTH - 1] for i, x, n in zip(at.tolist(), step.tolist(), size.tolist())] if s["kind"] else [b""] * len(at)
+        tables.append(pa.table({
+            "kind": pa.array(np.full(len(at), s["kind"], np.int32)), "h": pa.array(h[at]), "parted": pa.array(np.zeros(len(at), bool)), "doc_id": pa.array(doc[at]),
+            "start": pa.array((start[at] + step).astype(np.int32)), "many": pa.array(size.astype(np.int32)), "bytes": pa.array(bytes_, pa.binary()),
+        }))
+    return pa.concat_tables(tables)
 
 
 def strings(contexts: DataFrame) -> DataFrame:
