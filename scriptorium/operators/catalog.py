@@ -4,12 +4,89 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scriptorium.functions.text import html_escape
+
 #: The sections that resources go to, in turn, by kind.
 PRESETS = {"cards": ("c01", "c02", "c03", "c06", "c09"), "materials": ("c02", "c04", "c09"), "review": ("c01", "c03", "c08", "c09")}
 
+COURSE = "id string, title string, subtitle string, teacher string, type string, status string, updated string, review_count long"
+#: The list of courses.
+COURSES = (
+    ("sample-classical", "五上寒假第三/四讲", "《偷钱》线索讲评 + 文言文《醉叟传》", "张老师", "阅读 + 文言文", "已完成", "样例试处理", 9),
+    ("sample-essay", "五上寒假第七讲", "现代文阅读 + 作文点评", "张老师", "阅读作文", "已完成", "样例试处理", 7),
+    ("lesson-8", "五上秋季第八讲", "古诗词讲评", "陈老师", "古诗词", "有待复核", "周一 19:44", 8),
+    ("lesson-9", "五上秋季第九讲", "现代文阅读 + 应试作文", "陈老师", "阅读作文", "处理中", "刚刚", 0),
+)
+#: Schemas of the other tables of a catalogue, which are read from files.
+TABLES = {
+    "cards": "lesson_id string, ord long, title string, type string, summary string, points array<string>",
+    "materials": "lesson_id string, ord long, title string, type string, summary string, examples array<string>",
+    "review": "lesson_id string, ord long, title string",
+    "classics": "key string, type string, title string, subtitle string, summary string, source string, quote string, translation string, appreciation string, terms array<struct<term:string,note:string>>",
+    "words": "ord long, title string, type string, summary string, points array<string>",
+}
+#: What a reference block says in each version, and in any other one.
+NOTES = {
+    "clean": "保真清洗保留课堂讲法，并用参考库把疑似错字低干扰标出。",
+    "digest": "精简整理保留文言文讲解脉络，译文和字词可按需展开。",
+    "study": "学习整理把原文、译文、字词和老师讲解分层，方便复习。",
+    "": "学习整理把古文参考资料放在正文旁边，方便复习。",
+}
+#: Keywords by language, and of any other one.
+KEYWORDS = {"fr": ("lecture", "plan", "vocabulaire"), "de": ("Aufbau", "Wortschatz"), "": ("reading", "structure", "vocabulary", "style")}
+
+
+def courses(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(COURSES), COURSE)
+
+
+def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table of a catalogue (see TABLES) from JSON, one object a line."""
+    return spark.read.schema(TABLES[name]).json(path)
+
+
+def listed(courses_: DataFrame, *keep: str) -> DataFrame:
+    """Courses as a list shows them: title and teacher, type, status, and how much is left to review."""
+    review = F.when(F.col("review_count") > 0, F.concat(F.col("review_count").cast("string"), F.lit(" 条"))).otherwise("无")
+    return courses_.select("id", *keep, F.concat("title", F.lit(" · "), "teacher").alias("shown"), "type", "status", review.alias("review"))
+
+
+def overview(key: Column, table: dict[str, tuple[str, ...]]) -> Column:
+    """The constants of a key, or else those of the key ''."""
+    found = F.create_map(*(x for k, v in table.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    return F.coalesce(F.try_element_at(found, F.coalesce(key, F.lit(""))), F.try_element_at(found, F.lit("")))
+
+
+def drawer(asked: DataFrame, own: DataFrame, every: DataFrame, words: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """asked: lesson_id, ord -> + level and columns: of the lesson's own list (level 0), else of all lists together (1), else of
+    the words (2), the record at that place. Places without any have no row."""
+    out, levels = asked, []
+    for level, (table, keys) in enumerate(((own, ["lesson_id", "ord"]), (every, ["ord"]), (words, ["ord"]))):
+        record = F.struct(*columns, F.lit(level).alias("level"))
+        out = out.join(table.select(*keys, record.alias(f"_{level}")), keys, "left")
+        levels.append(f"_{level}")
+    return out.withColumn("_found", F.coalesce(*levels)).where("_found is not null").select("lesson_id", "ord", "_found.*")
+
+
+def reference_block(version: Column) -> Column:
+    """HTML of a reference (columns quote, translation, terms): its first four terms, and the version's note."""
+    notes = F.create_map(*(F.lit(x) for kv in NOTES.items() for x in kv))
+    note = F.coalesce(F.try_element_at(notes, version), F.lit(NOTES[""]))
+    terms = F.array_join(F.transform(F.slice("terms", 1, 4), lambda t: F.concat(F.lit("<li>"), html_escape(t), F.lit("</li>"))), "")
+    parts = ('<aside class="classical-appreciation-block"><p class="classical-original">', html_escape(F.col("quote")), "</p><p>", html_escape(F.col("translation")), "</p><ul>", terms, '</ul><p class="teacher-note">', note, "</p></aside>")
+    return F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+
+
+def or_first(rows: DataFrame, key: str, table: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """rows with the columns of the table's row of their key; an unknown key has those of the table's first one."""
+    first = table.agg(F.min_by(F.struct(*columns), key).alias("_first"))
+    own = table.select(F.col(key).alias("_key"), F.struct(*columns).alias("_own"))
+    out = rows.join(own, rows[key] == own["_key"], "left").crossJoin(F.broadcast(first))
+    return out.select(*rows.columns, *(F.coalesce("_own", "_first")[c].alias(c) for c in columns), F.col("_key").isNotNull().alias("known"))
+
 
 def merge(base: DataFrame, full: DataFrame, key: str, override: Sequence[str]) -> DataFrame:
     """base with the columns `override` replaced where full has a row and a value; base's other columns as they are."""

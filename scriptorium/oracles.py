@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from functools import reduce
+from types import SimpleNamespace
 
 from scriptorium.functions.text import ESCAPES, quoted
 from scriptorium.operators import report
-from scriptorium.operators.catalog import PRESETS
-from scriptorium.plans.rules import LATIN, PACKS, WS
-
-P = LATIN
+from scriptorium.operators.catalog import COURSES, KEYWORDS, NOTES, PRESETS
+from scriptorium.plans.rules import LATIN, LECTURE_CLASSICAL, LECTURE_ESSAY, LECTURE_WORDS, PACKS, WS, RulePack
 
 
 def lit(s: str) -> str:
@@ -20,36 +19,6 @@ def strip(c: str) -> str:
     return f"regexp_replace({c}, {lit(f'^{WS}+|{WS}+$')}, '', 'g')"
 
 
-def clean(c: str) -> str:
-    c = f"regexp_replace({c}, {lit(chr(92) + 'A(?:' + P.timestamp + ')' + WS + '*')}, '')"
-    c = reduce(lambda x, r: f"regexp_replace({x}, {lit(r[0])}, {lit(r[1])}, 'g')", P.sql_clean, c)
-    c = reduce(lambda x, r: f"replace({x}, {lit(r[0])}, {lit(r[1])})", P.replacements, c)
-    c = reduce(lambda x, t: f"regexp_replace({x}, {lit(quoted(t) + '{2,}')}, {lit(t)}, 'g')", P.terminators, c)
-    return f"trim(regexp_replace({c}, {lit(f'[，,]{WS}*[，,]+')}, ',', 'g'), {lit(P.trim)})"
-
-
-def noise(c: str) -> str:
-    longer, ends, chars = P.noise
-    return f"length({c}) > {longer} AND len(regexp_extract_all({c}, {lit(quoted(P.noise_terminators))})) <= {ends} AND length({c}) - length(replace({c}, {lit(P.noise_char)}, '')) > {chars}"
-
-
-def marked(c: str) -> str:
-    return f"starts_with({c}, {lit(P.noise_marker[:5])})"
-
-
-def noisy_text(c: str) -> str:
-    return f"{lit(P.noise_marker)} || substr({c}, 1, {P.noise_cut}) || '...'"
-
-
-def title(c: str, number: str) -> str:
-    groups = lambda rule: " AND ".join("(" + " OR ".join(f"contains({c}, {lit(w)})" for w in g) + ")" for g in rule.groups)
-    return "CASE " + " ".join(f"WHEN {groups(r)} THEN {lit(r.title)}" for r in P.titles) + f" ELSE {lit(P.untitled)} || {number} END"
-
-
-def words(c: str, of: tuple[str, ...]) -> str:
-    return "2 * (" + " + ".join(f"contains({c}, {lit(w)})::BIGINT" for w in of) + ")"
-
-
 def escape(c: str) -> str:
     return reduce(lambda x, e: f"replace({x}, {lit(e[0])}, {lit(e[1])})", ESCAPES, c)
 
@@ -67,54 +36,6 @@ def compression(chars: str, raw: str) -> str:
     return f"CASE WHEN coalesce({raw}, 0) = 0 THEN '' ELSE '约 ' || round({chars}::DOUBLE / {raw} * 100)::BIGINT::VARCHAR || '%' END"
 
 
-STUDY = f"({words('sentence', P.study_words)} + (length(sentence) BETWEEN {P.study_band[0]} AND {P.study_band[1]})::BIGINT - {P.noise_penalty[0]} * {marked('sentence')}::BIGINT)"
-DIGEST = f"({words('sentence', P.digest_words)} + 2 * (length(sentence) BETWEEN {P.digest_band[0]} AND {P.digest_band[1]})::BIGINT + (position <= {P.early})::BIGINT - {P.noise_penalty[1]} * {marked('sentence')}::BIGINT)"
-
-LINES = f"""paras AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS para_no, raw FROM
-  (SELECT doc_id, i, {strip("l")} AS raw FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents))
-  WHERE length(raw) > 0)"""
-KEPT = f"""{LINES}, cleaned AS MATERIALIZED (SELECT doc_id, para_no, {clean("raw")} AS text FROM paras),
-kept AS MATERIALIZED (SELECT c.doc_id, c.para_no, row_number() OVER (PARTITION BY c.doc_id ORDER BY c.para_no) AS k, CASE WHEN {noise("c.text")} THEN {noisy_text("c.text")} ELSE c.text END AS text
-  FROM cleaned c JOIN paras p USING (doc_id, para_no) WHERE c.para_no > 1 AND NOT regexp_matches(p.raw, {lit(chr(92) + "A(?:" + P.timestamp + ")" + chr(92) + "z")}) AND length(c.text) > 0)"""
-FOLD = f"""{KEPT}, sized AS MATERIALIZED (SELECT doc_id, k, length(text) AS n FROM kept),
-fold AS (SELECT doc_id, k, 1::BIGINT AS chunk_no, n AS used FROM sized WHERE k = 1 UNION ALL
-  SELECT s.doc_id, s.k, CASE WHEN f.used + s.n > {P.max_chars} THEN f.chunk_no + 1 ELSE f.chunk_no END, CASE WHEN f.used + s.n > {P.max_chars} THEN s.n ELSE f.used + s.n END
-  FROM fold f JOIN sized s ON s.doc_id = f.doc_id AND s.k = f.k + 1),
-placed AS MATERIALIZED (SELECT k.doc_id, f.chunk_no, k.k, k.para_no, k.text, row_number() OVER (PARTITION BY k.doc_id, f.chunk_no ORDER BY k.k) AS pos FROM kept k JOIN fold f USING (doc_id, k)),
-grouped AS (SELECT doc_id, chunk_no, min(para_no) AS first_no, count(*) AS n_paras, sum(length(text))::BIGINT AS raw_chars, string_agg(text, chr(10) ORDER BY k) AS body FROM placed GROUP BY ALL),
-chunks AS MATERIALIZED (SELECT g.doc_id, chunk_no, printf('c%02d', chunk_no) AS chunk_id, {title("body", "chunk_no")} AS title, CASE WHEN chunk_no = 1 THEN 1 ELSE first_no END AS start_para,
-  coalesce(lead(first_no) OVER (PARTITION BY g.doc_id ORDER BY chunk_no) - 1, r.n) AS end_para, raw_chars, n_paras, body,
-  CASE WHEN chunk_no > 1 THEN printf('c%02d', chunk_no - 1) ELSE '' END AS prev_chunk, CASE WHEN chunk_no < count(*) OVER (PARTITION BY g.doc_id) THEN printf('c%02d', chunk_no + 1) ELSE '' END AS next_chunk
-  FROM grouped g JOIN (SELECT doc_id, count(*) AS n FROM paras GROUP BY doc_id) r ON r.doc_id = g.doc_id)"""
-_PARTS = f"string_split(regexp_replace(text, {lit('(' + quoted(P.terminators) + ')')}, '\\1' || chr(1), 'g'), chr(1))"
-SENTENCES = f"""{FOLD}, pieces AS (SELECT doc_id, chunk_no, k, unnest({_PARTS}) AS piece, generate_subscripts({_PARTS}, 1) AS i FROM placed),
-sentences AS MATERIALIZED (SELECT doc_id, chunk_no, row_number() OVER (PARTITION BY doc_id, chunk_no ORDER BY k, i) AS ord, row_number() OVER (PARTITION BY doc_id, chunk_no, k ORDER BY i) AS position, sentence
-  FROM (SELECT doc_id, chunk_no, k, i, {strip("piece")} AS sentence FROM pieces) WHERE length(sentence) >= {P.sentence})"""
-
-
-def points(name: str, limit: int, cut: int | None = None, score: str = STUDY) -> str:
-    least, fallback = P.fallback
-    sentence = f"substr(sentence, 1, {cut})" if cut else "sentence"
-    return f"""{name}_first AS MATERIALIZED (SELECT doc_id, chunk_no, rank, sentence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk_no ORDER BY score DESC, ord) AS rank FROM
-  (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk_no, substr(sentence, 1, {P.prefix}) ORDER BY score DESC, ord) AS n FROM (SELECT *, {score} AS score FROM sentences) WHERE score > 0) WHERE n = 1) WHERE rank <= {limit}),
-{name}_more AS (SELECT c.doc_id, c.chunk_no, coalesce(m.many, 0) + row_number() OVER (PARTITION BY c.doc_id, c.chunk_no ORDER BY p.k) AS rank, substr(p.text, 1, {fallback}) AS sentence
-  FROM chunks c LEFT JOIN (SELECT doc_id, chunk_no, count(*) AS many FROM {name}_first GROUP BY ALL) m ON m.doc_id = c.doc_id AND m.chunk_no = c.chunk_no
-  JOIN placed p ON p.doc_id = c.doc_id AND p.chunk_no = c.chunk_no WHERE coalesce(m.many, 0) < {least} AND NOT {marked("p.text")}),
-{name} AS MATERIALIZED (SELECT doc_id, chunk_no, rank, {sentence} AS sentence FROM (SELECT * FROM {name}_first UNION ALL SELECT * FROM {name}_more WHERE rank <= {limit}))"""
-
-
-def digest(score: str = DIGEST) -> str:
-    target = f"greatest({P.budget[0]}, raw_chars * {P.budget[1]} // 100)"
-    before = "coalesce(sum(length(sentence)) OVER (PARTITION BY doc_id, chunk_no ORDER BY {} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
-    return f"""scored AS MATERIALIZED (SELECT s.*, c.raw_chars, {score} AS score FROM sentences s JOIN chunks c USING (doc_id, chunk_no)),
-whole AS (SELECT p.doc_id, p.chunk_no, row_number() OVER (PARTITION BY p.doc_id, p.chunk_no ORDER BY p.k) AS ord, p.text AS sentence, c.raw_chars FROM placed p JOIN chunks c USING (doc_id, chunk_no)
-  WHERE NOT {marked("p.text")} AND NOT EXISTS (SELECT 1 FROM scored s WHERE s.score > 0 AND s.doc_id = p.doc_id AND s.chunk_no = p.chunk_no)),
-digest AS MATERIALIZED (SELECT doc_id, chunk_no, ord, sentence FROM (SELECT *, {before.format("score DESC, ord")} AS before FROM scored WHERE score > 0) WHERE before < {target}
-  UNION ALL SELECT doc_id, chunk_no, ord, sentence FROM (SELECT *, {before.format("ord")} AS before FROM whole) WHERE before < {target}),
-digest_groups AS MATERIALIZED (SELECT doc_id, chunk_no, group_no, string_agg(sentence, '' ORDER BY ord) AS text FROM
-  (SELECT *, (row_number() OVER (PARTITION BY doc_id, chunk_no ORDER BY ord) - 1) // {P.group} + 1 AS group_no FROM digest) GROUP BY doc_id, chunk_no, group_no)"""
-
-
 def meta(template: str, *args: str) -> str:
     parts = template.replace("%s", "%d").replace("%%", "\x02").split("%d")
     out = [lit(parts[0].replace("\x02", "%"))]
@@ -131,44 +52,121 @@ def button(label: str, to: str) -> str:
     return f"'<button class=\"tiny-button\" data-jump-chunk=\"' || {to} || '\" ' || CASE WHEN {to} = '' THEN 'disabled' ELSE '' END || '>{label}</button>'"
 
 
-FOOTER = f"'<nav class=\"chunk-footer\">' || {button(report.FOOTER[0], 'prev_chunk')} || '<button class=\"tiny-button\" data-jump-toc>{report.FOOTER[1]}</button>' || {button(report.FOOTER[2], 'next_chunk')} || '</nav>'"
-
-
-def section(*parts: str) -> str:
-    return f"'<section class=\"long-section\" id=\"' || chunk_id || '\"><h2>' || {escape('title')} || '</h2>' || " + " || ".join(parts) + " || '</section>'"
-
-
-def rendered(name: str, html: str, rows: str | None = None, order: str = "", item: str = "", value: str = "") -> str:
-    """A CTE of the sections' HTML; rows: the CTE with their items."""
-    if rows is None:
-        rows, order, item, value = "placed", "k", "p", "text"
-    items = f"SELECT doc_id, chunk_no, count(*) AS many, string_agg('<{item}>' || {escape(value)} || '</{item}>', chr(10) ORDER BY {order}) AS items FROM {rows} GROUP BY ALL"
-    return f"{name} AS MATERIALIZED (SELECT doc_id, chunk_no, chunk_id, {html} AS html FROM (SELECT c.*, coalesce(i.items, '') AS items, coalesce(i.many, 0) AS many FROM chunks c LEFT JOIN ({items}) i ON i.doc_id = c.doc_id AND i.chunk_no = c.chunk_no))"
-
-
-RAW = rendered("html_raw", f"'<section class=\"raw-chunk\"><h2>' || {escape('title')} || '</h2>' || {p_meta(report.RAW_META, 'start_para', 'end_para', 'raw_chars')} || items || '</section>'")
-CLEAN = rendered("html_clean", section(p_meta(report.CLEAN_META, "chunk_id", "start_para", "end_para", "raw_chars"), "items", FOOTER))
-HTML_DIGEST = rendered("html_digest", section(p_meta(report.DIGEST_META, "start_para", "end_para"), "items", FOOTER), "digest_groups", "group_no", "p", "text")
-HTML_STUDY = rendered("html_study", section(p_meta(report.STUDY_META, "start_para", "end_para", "many"), "'<ul>' || items || '</ul>'", FOOTER), "study", "rank", "li", "sentence")
-HTML_OUTLINE = rendered(
-    "html_outline",
-    f"'<li id=\"' || chunk_id || '\" class=\"outline-chunk\"><strong>' || {escape('title')} || '</strong><span class=\"chunk-meta\">' || {meta(report.OUTLINE_META, 'chunk_id', 'start_para', 'end_para')} || '</span><ul>' || items || '</ul></li>'",
-    "outline", "rank", "li", "sentence",
-)
-STUDY_POINTS, OUTLINE_POINTS = points("study", P.study_limit), points("outline", P.outline_limit, P.outline_cut)
-NO_POINTS, NO_DIGEST = points("study", P.study_limit, score="0"), digest("0")
-
-
-def whole(name: str) -> str:
-    joined = "string_agg(html, chr(10) ORDER BY chunk_no)"
-    if name == "html_outline":
-        joined = f"'<section class=\"long-section\"><h2>{report.OUTLINE_TITLE}</h2><ol class=\"outline-list\">' || {joined} || '</ol></section>'"
-    return f"SELECT doc_id, {joined} AS html FROM {name} GROUP BY doc_id"
-
-
-STATS = f"""{FOLD}, stats AS MATERIALIZED (SELECT d.doc_id, coalesce(r.n, 0) AS paragraphs, coalesce(r.chars, 0)::BIGINT AS raw_chars, coalesce(k.chars, 0)::BIGINT AS clean_chars, coalesce(c.n, 0) AS chunks, {P.max_chars}::BIGINT AS chunk_target_chars
-  FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n, sum(length(raw)) AS chars FROM paras GROUP BY doc_id) r USING (doc_id)
-  LEFT JOIN (SELECT doc_id, sum(length(text)) AS chars FROM kept GROUP BY doc_id) k USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM chunks GROUP BY doc_id) c USING (doc_id))"""
+def tables(P: RulePack, documents: str = "documents") -> SimpleNamespace:
+    """CTEs and expressions of a pack over (doc_id, text) in `documents`."""
+
+    def clean(c: str) -> str:
+        c = f"regexp_replace({c}, {lit(chr(92) + 'A(?:' + P.timestamp + ')' + WS + '*')}, '')"
+        c = reduce(lambda x, r: f"regexp_replace({x}, {lit(r[0])}, {lit(r[1])}, 'g')", P.sql_clean, c)
+        c = reduce(lambda x, r: f"replace({x}, {lit(r[0])}, {lit(r[1])})", P.replacements, c)
+        c = reduce(lambda x, t: f"regexp_replace({x}, {lit(quoted(t) + '{2,}')}, {lit(t)}, 'g')", P.terminators, c)
+        comma = "，" if "，" in P.trim else ","
+        return f"trim(regexp_replace({c}, {lit(f'[，,]{WS}*[，,]+')}, {lit(comma)}, 'g'), {lit(P.trim)})"
+
+    def noise(c: str) -> str:
+        longer, ends, chars = P.noise
+        return f"length({c}) > {longer} AND len(regexp_extract_all({c}, {lit(quoted(P.noise_terminators))})) <= {ends} AND length({c}) - length(replace({c}, {lit(P.noise_char)}, '')) > {chars}"
+
+    def marked(c: str) -> str:
+        return f"starts_with({c}, {lit(P.noise_marker[:5])})"
+
+    def noisy_text(c: str) -> str:
+        return f"{lit(P.noise_marker)} || substr({c}, 1, {P.noise_cut}) || '...'"
+
+    def title(c: str, number: str) -> str:
+        groups = lambda rule: " AND ".join("(" + " OR ".join(f"contains({c}, {lit(w)})" for w in g) + ")" for g in rule.groups)
+        return "CASE " + " ".join(f"WHEN {groups(r)} THEN {lit(r.title)}" for r in P.titles) + f" ELSE {lit(P.untitled)} || {number} END"
+
+    def words(c: str, of: tuple[str, ...]) -> str:
+        return "2 * (" + " + ".join(f"contains({c}, {lit(w)})::BIGINT" for w in of) + ")"
+
+
+    STUDY = f"({words('sentence', P.study_words)} + (length(sentence) BETWEEN {P.study_band[0]} AND {P.study_band[1]})::BIGINT - {P.noise_penalty[0]} * {marked('sentence')}::BIGINT)"
+    DIGEST = f"({words('sentence', P.digest_words)} + 2 * (length(sentence) BETWEEN {P.digest_band[0]} AND {P.digest_band[1]})::BIGINT + (position <= {P.early})::BIGINT - {P.noise_penalty[1]} * {marked('sentence')}::BIGINT)"
+
+    LINES = f"""paras AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS para_no, raw FROM
+      (SELECT doc_id, i, {strip("l")} AS raw FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM {documents}))
+      WHERE length(raw) > 0)"""
+    KEPT = f"""{LINES}, cleaned AS MATERIALIZED (SELECT doc_id, para_no, {clean("raw")} AS text FROM paras),
+    kept AS MATERIALIZED (SELECT c.doc_id, c.para_no, row_number() OVER (PARTITION BY c.doc_id ORDER BY c.para_no) AS k, CASE WHEN {noise("c.text")} THEN {noisy_text("c.text")} ELSE c.text END AS text
+      FROM cleaned c JOIN paras p USING (doc_id, para_no) WHERE c.para_no > 1 AND NOT regexp_matches(p.raw, {lit(chr(92) + "A(?:" + P.timestamp + ")" + chr(92) + "z")}) AND length(c.text) > 0)"""
+    FOLD = f"""{KEPT}, sized AS MATERIALIZED (SELECT doc_id, k, length(text) AS n FROM kept),
+    fold AS (SELECT doc_id, k, 1::BIGINT AS chunk_no, n AS used FROM sized WHERE k = 1 UNION ALL
+      SELECT s.doc_id, s.k, CASE WHEN f.used + s.n > {P.max_chars} THEN f.chunk_no + 1 ELSE f.chunk_no END, CASE WHEN f.used + s.n > {P.max_chars} THEN s.n ELSE f.used + s.n END
+      FROM fold f JOIN sized s ON s.doc_id = f.doc_id AND s.k = f.k + 1),
+    placed AS MATERIALIZED (SELECT k.doc_id, f.chunk_no, k.k, k.para_no, k.text, row_number() OVER (PARTITION BY k.doc_id, f.chunk_no ORDER BY k.k) AS pos FROM kept k JOIN fold f USING (doc_id, k)),
+    grouped AS (SELECT doc_id, chunk_no, min(para_no) AS first_no, count(*) AS n_paras, sum(length(text))::BIGINT AS raw_chars, string_agg(text, chr(10) ORDER BY k) AS body FROM placed GROUP BY ALL),
+    chunks AS MATERIALIZED (SELECT g.doc_id, chunk_no, printf('c%02d', chunk_no) AS chunk_id, {title("body", "chunk_no")} AS title, CASE WHEN chunk_no = 1 THEN 1 ELSE first_no END AS start_para,
+      coalesce(lead(first_no) OVER (PARTITION BY g.doc_id ORDER BY chunk_no) - 1, r.n) AS end_para, raw_chars, n_paras, body,
+      CASE WHEN chunk_no > 1 THEN printf('c%02d', chunk_no - 1) ELSE '' END AS prev_chunk, CASE WHEN chunk_no < count(*) OVER (PARTITION BY g.doc_id) THEN printf('c%02d', chunk_no + 1) ELSE '' END AS next_chunk
+      FROM grouped g JOIN (SELECT doc_id, count(*) AS n FROM paras GROUP BY doc_id) r ON r.doc_id = g.doc_id)"""
+    _PARTS = f"string_split(regexp_replace(text, {lit('(' + quoted(P.terminators) + ')')}, '\\1' || chr(1), 'g'), chr(1))"
+    SENTENCES = f"""{FOLD}, pieces AS (SELECT doc_id, chunk_no, k, unnest({_PARTS}) AS piece, generate_subscripts({_PARTS}, 1) AS i FROM placed),
+    sentences AS MATERIALIZED (SELECT doc_id, chunk_no, row_number() OVER (PARTITION BY doc_id, chunk_no ORDER BY k, i) AS ord, row_number() OVER (PARTITION BY doc_id, chunk_no, k ORDER BY i) AS position, sentence
+      FROM (SELECT doc_id, chunk_no, k, i, {strip("piece")} AS sentence FROM pieces) WHERE length(sentence) >= {P.sentence})"""
+
+    def points(name: str, limit: int, cut: int | None = None, score: str = STUDY) -> str:
+        least, fallback = P.fallback
+        sentence = f"substr(sentence, 1, {cut})" if cut else "sentence"
+        return f"""{name}_first AS MATERIALIZED (SELECT doc_id, chunk_no, rank, sentence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk_no ORDER BY score DESC, ord) AS rank FROM
+      (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk_no, substr(sentence, 1, {P.prefix}) ORDER BY score DESC, ord) AS n FROM (SELECT *, {score} AS score FROM sentences) WHERE score > 0) WHERE n = 1) WHERE rank <= {limit}),
+    {name}_more AS (SELECT c.doc_id, c.chunk_no, coalesce(m.many, 0) + row_number() OVER (PARTITION BY c.doc_id, c.chunk_no ORDER BY p.k) AS rank, substr(p.text, 1, {fallback}) AS sentence
+      FROM chunks c LEFT JOIN (SELECT doc_id, chunk_no, count(*) AS many FROM {name}_first GROUP BY ALL) m ON m.doc_id = c.doc_id AND m.chunk_no = c.chunk_no
+      JOIN placed p ON p.doc_id = c.doc_id AND p.chunk_no = c.chunk_no WHERE coalesce(m.many, 0) < {least} AND NOT {marked("p.text")}),
+    {name} AS MATERIALIZED (SELECT doc_id, chunk_no, rank, {sentence} AS sentence FROM (SELECT * FROM {name}_first UNION ALL SELECT * FROM {name}_more WHERE rank <= {limit}))"""
+
+    def digest(score: str = DIGEST) -> str:
+        target = f"greatest({P.budget[0]}, raw_chars * {P.budget[1]} // 100)"
+        before = "coalesce(sum(length(sentence)) OVER (PARTITION BY doc_id, chunk_no ORDER BY {} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+        return f"""scored AS MATERIALIZED (SELECT s.*, c.raw_chars, {score} AS score FROM sentences s JOIN chunks c USING (doc_id, chunk_no)),
+    whole AS (SELECT p.doc_id, p.chunk_no, row_number() OVER (PARTITION BY p.doc_id, p.chunk_no ORDER BY p.k) AS ord, p.text AS sentence, c.raw_chars FROM placed p JOIN chunks c USING (doc_id, chunk_no)
+      WHERE NOT {marked("p.text")} AND NOT EXISTS (SELECT 1 FROM scored s WHERE s.score > 0 AND s.doc_id = p.doc_id AND s.chunk_no = p.chunk_no)),
+    digest AS MATERIALIZED (SELECT doc_id, chunk_no, ord, sentence FROM (SELECT *, {before.format("score DESC, ord")} AS before FROM scored WHERE score > 0) WHERE before < {target}
+      UNION ALL SELECT doc_id, chunk_no, ord, sentence FROM (SELECT *, {before.format("ord")} AS before FROM whole) WHERE before < {target}),
+    digest_groups AS MATERIALIZED (SELECT doc_id, chunk_no, group_no, string_agg(sentence, '' ORDER BY ord) AS text FROM
+      (SELECT *, (row_number() OVER (PARTITION BY doc_id, chunk_no ORDER BY ord) - 1) // {P.group} + 1 AS group_no FROM digest) GROUP BY doc_id, chunk_no, group_no)"""
+
+
+    FOOTER = f"'<nav class=\"chunk-footer\">' || {button(report.FOOTER[0], 'prev_chunk')} || '<button class=\"tiny-button\" data-jump-toc>{report.FOOTER[1]}</button>' || {button(report.FOOTER[2], 'next_chunk')} || '</nav>'"
+
+    def section(*parts: str) -> str:
+        return f"'<section class=\"long-section\" id=\"' || chunk_id || '\"><h2>' || {escape('title')} || '</h2>' || " + " || ".join(parts) + " || '</section>'"
+
+    def rendered(name: str, html: str, rows: str | None = None, order: str = "", item: str = "", value: str = "") -> str:
+        """A CTE of the sections' HTML; rows: the CTE with their items."""
+        if rows is None:
+            rows, order, item, value = "placed", "k", "p", "text"
+        items = f"SELECT doc_id, chunk_no, count(*) AS many, string_agg('<{item}>' || {escape(value)} || '</{item}>', chr(10) ORDER BY {order}) AS items FROM {rows} GROUP BY ALL"
+        return f"{name} AS MATERIALIZED (SELECT doc_id, chunk_no, chunk_id, {html} AS html FROM (SELECT c.*, coalesce(i.items, '') AS items, coalesce(i.many, 0) AS many FROM chunks c LEFT JOIN ({items}) i ON i.doc_id = c.doc_id AND i.chunk_no = c.chunk_no))"
+
+
+    RAW = rendered("html_raw", f"'<section class=\"raw-chunk\"><h2>' || {escape('title')} || '</h2>' || {p_meta(report.RAW_META, 'start_para', 'end_para', 'raw_chars')} || items || '</section>'")
+    CLEAN = rendered("html_clean", section(p_meta(report.CLEAN_META, "chunk_id", "start_para", "end_para", "raw_chars"), "items", FOOTER))
+    HTML_DIGEST = rendered("html_digest", section(p_meta(report.DIGEST_META, "start_para", "end_para"), "items", FOOTER), "digest_groups", "group_no", "p", "text")
+    HTML_STUDY = rendered("html_study", section(p_meta(report.STUDY_META, "start_para", "end_para", "many"), "'<ul>' || items || '</ul>'", FOOTER), "study", "rank", "li", "sentence")
+    HTML_OUTLINE = rendered(
+        "html_outline",
+        f"'<li id=\"' || chunk_id || '\" class=\"outline-chunk\"><strong>' || {escape('title')} || '</strong><span class=\"chunk-meta\">' || {meta(report.OUTLINE_META, 'chunk_id', 'start_para', 'end_para')} || '</span><ul>' || items || '</ul></li>'",
+        "outline", "rank", "li", "sentence",
+    )
+    STUDY_POINTS, OUTLINE_POINTS = points("study", P.study_limit), points("outline", P.outline_limit, P.outline_cut)
+    NO_POINTS, NO_DIGEST = points("study", P.study_limit, score="0"), digest("0")
+
+    def whole(name: str) -> str:
+        joined = "string_agg(html, chr(10) ORDER BY chunk_no)"
+        if name == "html_outline":
+            joined = f"'<section class=\"long-section\"><h2>{report.OUTLINE_TITLE}</h2><ol class=\"outline-list\">' || {joined} || '</ol></section>'"
+        return f"SELECT doc_id, {joined} AS html FROM {name} GROUP BY doc_id"
+
+
+    STATS = f"""{FOLD}, stats AS MATERIALIZED (SELECT d.doc_id, coalesce(r.n, 0) AS paragraphs, coalesce(r.chars, 0)::BIGINT AS raw_chars, coalesce(k.chars, 0)::BIGINT AS clean_chars, coalesce(c.n, 0) AS chunks, {P.max_chars}::BIGINT AS chunk_target_chars
+      FROM {documents} d LEFT JOIN (SELECT doc_id, count(*) AS n, sum(length(raw)) AS chars FROM paras GROUP BY doc_id) r USING (doc_id)
+      LEFT JOIN (SELECT doc_id, sum(length(text)) AS chars FROM kept GROUP BY doc_id) k USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM chunks GROUP BY doc_id) c USING (doc_id))"""
+
+    return SimpleNamespace(**locals())
+
+
+L = tables(LATIN)
 
 
 def q(base: str, *more: str) -> str:
@@ -183,52 +181,52 @@ def resources() -> str:
 
 
 _STAMPS = "turns AS (SELECT conv_id, turn, printf('%s 00:%02d:%02d', role, turn // 60 % 60, turn % 60) AS stamp, text FROM conversations), lines AS (SELECT conv_id, turn, unnest([stamp, stamp || '  ' || text, text]) AS line FROM turns)"
-_FLAGS = "[" + ", ".join(map(lit, P.flags)) + "]"
+_FLAGS = "[" + ", ".join(map(lit, LATIN.flags)) + "]"
 
 ORACLES = {
-    "src_docx": q(LINES, "SELECT doc_id, para_no, raw FROM paras"),
+    "src_docx": q(L.LINES, "SELECT doc_id, para_no, raw FROM paras"),
     "src_registry": "SELECT * FROM (VALUES " + ", ".join(f"({lit(p.name)}, {lit(p.untitled)}, {lit(p.noise_text)}, {lit(f'/packs/{p.name}.docx')}, {p.max_chars}::BIGINT, {lit(f'{p.name}.docx')})" for p in PACKS.values()) + ") t(sample_id, title, subtitle, source, max_chars, file)",
-    "flt_header": q(LINES, "SELECT doc_id, count(*) AS kept, min(para_no) AS first_no FROM paras WHERE para_no > 1 GROUP BY doc_id"),
-    "flt_timestamp": q(_STAMPS, f"SELECT conv_id, turn, regexp_replace(line, {lit(chr(92) + 'A(?:' + P.timestamp + ')[' + chr(92) + 't-' + chr(92) + 'r ]*')}, '') AS line FROM lines WHERE NOT regexp_matches(line, {lit(chr(92) + 'A(?:' + P.timestamp + ')' + chr(92) + 'z')})"),
-    "cln_rules": q(LINES, f"SELECT doc_id, para_no, {clean('raw')} AS text FROM paras"),
-    "flt_empty_clean": q(KEPT, "SELECT doc_id, para_no, text FROM kept"),
-    "flt_noise_flag": q(KEPT, f"SELECT doc_id, para_no, {noisy_text('text')} AS text FROM cleaned WHERE {noise('text')}"),
-    "seg_fold": q(FOLD, "SELECT doc_id, chunk_no, start_para, end_para, n_paras, raw_chars AS chars FROM chunks"),
-    "gen_chunk": q(FOLD, "SELECT doc_id, chunk_no, pos, para_no FROM placed"),
-    "agg_chunk_body": q(FOLD, "SELECT doc_id, chunk_id, body FROM chunks"),
-    "fn_title_first_match": q(FOLD, "SELECT doc_id, chunk_id, title FROM chunks"),
-    "nav_chunk": q(FOLD, "SELECT doc_id, chunk_id, prev_chunk, next_chunk FROM chunks"),
-    "nav_current": q(FOLD, "SELECT doc_id, chunk_id, upper(chunk_id) AS label FROM chunks QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY chunk_id <> 'c02', chunk_no) = 1"),
-    "out_toc": q(FOLD, "SELECT doc_id, upper(chunk_id) AS label, title, start_para, end_para, raw_chars FROM chunks"),
-    "flt_compact": q(FOLD, f"SELECT doc_id, chunk_id, title, {meta(report.RAW_META, 'start_para', 'end_para', 'raw_chars')} AS meta FROM chunks"),
-    "gen_sentence": q(SENTENCES, "SELECT doc_id, chunk_no, ord, position, sentence FROM sentences"),
-    "rank_study_score": q(SENTENCES, f"SELECT doc_id, chunk_no, ord, {STUDY} AS score FROM sentences WHERE {STUDY} > 0"),
-    "rank_digest_score": q(SENTENCES, f"SELECT doc_id, chunk_no, ord, {DIGEST} AS score FROM sentences WHERE {DIGEST} > 0"),
-    "agg_keyword_score": q(SENTENCES, f"SELECT doc_id, chunk_no, ord, {words('sentence', P.study_words)} AS score FROM sentences"),
-    "topk_study": q(SENTENCES, STUDY_POINTS, "SELECT * FROM study"),
-    "topk_outline": q(SENTENCES, OUTLINE_POINTS, "SELECT * FROM outline"),
-    "topk_fallback": q(SENTENCES, NO_POINTS, "SELECT * FROM study"),
-    "budget_digest": q(SENTENCES, digest(), "SELECT * FROM digest"),
-    "budget_fallback": q(SENTENCES, NO_DIGEST, "SELECT * FROM digest"),
-    "gen_digest_group": q(SENTENCES, digest(), "SELECT * FROM digest_groups"),
-    "agg_point_count": q(SENTENCES, STUDY_POINTS, "SELECT doc_id, chunk_no, count(*) AS points FROM study GROUP BY ALL"),
-    "agg_stats": q(STATS, "SELECT * FROM stats"),
-    "fn_review_flags": q(KEPT, f"""SELECT doc_id, generate_subscripts(flags, 1) AS flag_no, unnest(flags) AS flag FROM (SELECT d.doc_id, CASE WHEN EXISTS (SELECT 1 FROM kept k WHERE k.doc_id = d.doc_id AND contains(k.text, {lit(P.noise_text)}))
-  THEN list_append({_FLAGS}, {lit(P.noise_flag)}) ELSE {_FLAGS} END AS flags FROM documents d)"""),
-    "agg_exists_noise": q(KEPT, f"SELECT doc_id, bool_or(contains(text, {lit(P.noise_text)})) AS noisy FROM kept GROUP BY doc_id"),
-    "out_clean": q(FOLD, "SELECT c.doc_id, chunk_id, title, start_para, end_para, raw_chars, p.para_no, p.text FROM chunks c JOIN placed p USING (doc_id, chunk_no)"),
-    "out_raw": q(FOLD, RAW, "SELECT doc_id, chunk_id, html FROM html_raw"),
-    "out_digest": q(SENTENCES, digest(), f"SELECT doc_id, printf('c%02d', chunk_no) AS chunk_id, group_no, {escape('text')} AS html FROM digest_groups"),
-    "snk_html_digest": q(SENTENCES, digest(), HTML_DIGEST, "SELECT doc_id, chunk_id, html FROM html_digest"),
-    "out_study": q(SENTENCES, STUDY_POINTS, HTML_STUDY, "SELECT doc_id, chunk_id, html FROM html_study"),
-    "out_outline": q(SENTENCES, OUTLINE_POINTS, HTML_OUTLINE, "SELECT doc_id, chunk_id, html FROM html_outline"),
+    "flt_header": q(L.LINES, "SELECT doc_id, count(*) AS kept, min(para_no) AS first_no FROM paras WHERE para_no > 1 GROUP BY doc_id"),
+    "flt_timestamp": q(_STAMPS, f"SELECT conv_id, turn, regexp_replace(line, {lit(chr(92) + 'A(?:' + LATIN.timestamp + ')[' + chr(92) + 't-' + chr(92) + 'r ]*')}, '') AS line FROM lines WHERE NOT regexp_matches(line, {lit(chr(92) + 'A(?:' + LATIN.timestamp + ')' + chr(92) + 'z')})"),
+    "cln_rules": q(L.LINES, f"SELECT doc_id, para_no, {L.clean('raw')} AS text FROM paras"),
+    "flt_empty_clean": q(L.KEPT, "SELECT doc_id, para_no, text FROM kept"),
+    "flt_noise_flag": q(L.KEPT, f"SELECT doc_id, para_no, {L.noisy_text('text')} AS text FROM cleaned WHERE {L.noise('text')}"),
+    "seg_fold": q(L.FOLD, "SELECT doc_id, chunk_no, start_para, end_para, n_paras, raw_chars AS chars FROM chunks"),
+    "gen_chunk": q(L.FOLD, "SELECT doc_id, chunk_no, pos, para_no FROM placed"),
+    "agg_chunk_body": q(L.FOLD, "SELECT doc_id, chunk_id, body FROM chunks"),
+    "fn_title_first_match": q(L.FOLD, "SELECT doc_id, chunk_id, title FROM chunks"),
+    "nav_chunk": q(L.FOLD, "SELECT doc_id, chunk_id, prev_chunk, next_chunk FROM chunks"),
+    "nav_current": q(L.FOLD, "SELECT doc_id, chunk_id, upper(chunk_id) AS label FROM chunks QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY chunk_id <> 'c02', chunk_no) = 1"),
+    "out_toc": q(L.FOLD, "SELECT doc_id, upper(chunk_id) AS label, title, start_para, end_para, raw_chars FROM chunks"),
+    "flt_compact": q(L.FOLD, f"SELECT doc_id, chunk_id, title, {meta(report.RAW_META, 'start_para', 'end_para', 'raw_chars')} AS meta FROM chunks"),
+    "gen_sentence": q(L.SENTENCES, "SELECT doc_id, chunk_no, ord, position, sentence FROM sentences"),
+    "rank_study_score": q(L.SENTENCES, f"SELECT doc_id, chunk_no, ord, {L.STUDY} AS score FROM sentences WHERE {L.STUDY} > 0"),
+    "rank_digest_score": q(L.SENTENCES, f"SELECT doc_id, chunk_no, ord, {L.DIGEST} AS score FROM sentences WHERE {L.DIGEST} > 0"),
+    "agg_keyword_score": q(L.SENTENCES, f"SELECT doc_id, chunk_no, ord, {L.words('sentence', LATIN.study_words)} AS score FROM sentences"),
+    "topk_study": q(L.SENTENCES, L.STUDY_POINTS, "SELECT * FROM study"),
+    "topk_outline": q(L.SENTENCES, L.OUTLINE_POINTS, "SELECT * FROM outline"),
+    "topk_fallback": q(L.SENTENCES, L.NO_POINTS, "SELECT * FROM study"),
+    "budget_digest": q(L.SENTENCES, L.digest(), "SELECT * FROM digest"),
+    "budget_fallback": q(L.SENTENCES, L.NO_DIGEST, "SELECT * FROM digest"),
+    "gen_digest_group": q(L.SENTENCES, L.digest(), "SELECT * FROM digest_groups"),
+    "agg_point_count": q(L.SENTENCES, L.STUDY_POINTS, "SELECT doc_id, chunk_no, count(*) AS points FROM study GROUP BY ALL"),
+    "agg_stats": q(L.STATS, "SELECT * FROM stats"),
+    "fn_review_flags": q(L.KEPT, f"""SELECT doc_id, generate_subscripts(flags, 1) AS flag_no, unnest(flags) AS flag FROM (SELECT d.doc_id, CASE WHEN EXISTS (SELECT 1 FROM kept k WHERE k.doc_id = d.doc_id AND contains(k.text, {lit(LATIN.noise_text)}))
+  THEN list_append({_FLAGS}, {lit(LATIN.noise_flag)}) ELSE {_FLAGS} END AS flags FROM documents d)"""),
+    "agg_exists_noise": q(L.KEPT, f"SELECT doc_id, bool_or(contains(text, {lit(LATIN.noise_text)})) AS noisy FROM kept GROUP BY doc_id"),
+    "out_clean": q(L.FOLD, "SELECT c.doc_id, chunk_id, title, start_para, end_para, raw_chars, p.para_no, p.text FROM chunks c JOIN placed p USING (doc_id, chunk_no)"),
+    "out_raw": q(L.FOLD, L.RAW, "SELECT doc_id, chunk_id, html FROM html_raw"),
+    "out_digest": q(L.SENTENCES, L.digest(), f"SELECT doc_id, printf('c%02d', chunk_no) AS chunk_id, group_no, {escape('text')} AS html FROM digest_groups"),
+    "snk_html_digest": q(L.SENTENCES, L.digest(), L.HTML_DIGEST, "SELECT doc_id, chunk_id, html FROM html_digest"),
+    "out_study": q(L.SENTENCES, L.STUDY_POINTS, L.HTML_STUDY, "SELECT doc_id, chunk_id, html FROM html_study"),
+    "out_outline": q(L.SENTENCES, L.OUTLINE_POINTS, L.HTML_OUTLINE, "SELECT doc_id, chunk_id, html FROM html_outline"),
     "agg_version_stats": q(
-        STATS, SENTENCES[len(FOLD) + 2 :], digest(), STUDY_POINTS, OUTLINE_POINTS, CLEAN, HTML_DIGEST, HTML_STUDY, HTML_OUTLINE,
-        "every AS (" + " UNION ALL ".join(f"SELECT doc_id, '{v}' AS version, {text_length('html')} AS chars FROM ({whole(f'html_{v}')})" for v in ("clean", "digest", "study", "outline")) + " UNION ALL SELECT doc_id, 'raw', greatest(raw_chars, 1) FROM stats)",
+        L.STATS, L.SENTENCES[len(L.FOLD) + 2 :], L.digest(), L.STUDY_POINTS, L.OUTLINE_POINTS, L.CLEAN, L.HTML_DIGEST, L.HTML_STUDY, L.HTML_OUTLINE,
+        "every AS (" + " UNION ALL ".join(f"SELECT doc_id, '{v}' AS version, {text_length('html')} AS chars FROM ({L.whole(f'html_{v}')})" for v in ("clean", "digest", "study", "outline")) + " UNION ALL SELECT doc_id, 'raw', greatest(raw_chars, 1) FROM stats)",
         "SELECT doc_id, version, CASE version " + " ".join(f"WHEN {lit(k)} THEN {lit(v[0])}" for k, v in report.LABELS.items()) + " END AS label, chars, CASE version " + " ".join(f"WHEN {lit(k)} THEN {lit(v[1])}" for k, v in report.LABELS.items()) + " END AS tone FROM every",
     ),
-    "out_overview": q(STATS, f"SELECT s.doc_id, chunks, {format_chars('raw_chars')} AS raw_size, {format_chars('clean_chars')} AS clean_size, {compression('clean_chars', 'raw_chars')} AS share, coalesce(l.quality, -1)::BIGINT AS quality FROM stats s LEFT JOIN labels l ON l.doc_id = s.doc_id"),
-    "out_sample": q(STATS, SENTENCES[len(FOLD) + 2 :], STUDY_POINTS, HTML_STUDY, f"SELECT s.doc_id, paragraphs, clean_chars, chunks, {lit(P.flags[0])} AS first_flag, coalesce(length(w.html), 0) AS study_length FROM stats s LEFT JOIN ({whole('html_study')}) w ON w.doc_id = s.doc_id"),
+    "out_overview": q(L.STATS, f"SELECT s.doc_id, chunks, {format_chars('raw_chars')} AS raw_size, {format_chars('clean_chars')} AS clean_size, {compression('clean_chars', 'raw_chars')} AS share, coalesce(l.quality, -1)::BIGINT AS quality FROM stats s LEFT JOIN labels l ON l.doc_id = s.doc_id"),
+    "out_sample": q(L.STATS, L.SENTENCES[len(L.FOLD) + 2 :], L.STUDY_POINTS, L.HTML_STUDY, f"SELECT s.doc_id, paragraphs, clean_chars, chunks, {lit(LATIN.flags[0])} AS first_flag, coalesce(length(w.html), 0) AS study_length FROM stats s LEFT JOIN ({L.whole('html_study')}) w ON w.doc_id = s.doc_id"),
     "fn_html_strip": f"SELECT page_id, {text_length('html')} AS chars FROM pages",
     "fn_html_escape": f"SELECT page_id, {escape('html')} AS html FROM pages",
     "fn_basename": "SELECT page_id, string_split(url, '/')[-1] AS name FROM pages",
@@ -244,17 +242,70 @@ ORACLES = {
     "flt_chunk_scope": q(resources(), "scoped AS (SELECT *, count(*) FILTER (chunk_id = 'c02') OVER w AS here, row_number() OVER (w ORDER BY ord) AS n FROM resources WINDOW w AS (PARTITION BY lesson_id, kind))", "SELECT lesson_id, kind, ord, chunk_id FROM scoped WHERE CASE WHEN here > 0 THEN chunk_id = 'c02' ELSE n <= 3 END"),
     "set_union_resources": q(resources(), "SELECT lesson_id, kind, ord, chunk_id, 0::BIGINT AS part FROM resources UNION ALL SELECT item_id, 'cards', 0, 'c08', 1 FROM benchmark"),
     "set_union_cards": "SELECT conv_id, turn, 0::BIGINT AS part FROM conversations WHERE role = 'user' UNION ALL SELECT conv_id, turn, 1 FROM conversations WHERE role <> 'user' UNION ALL (SELECT conv_id, turn, 2 FROM conversations ORDER BY conv_id, turn LIMIT 2)",
-    "set_dedupe_prefix": q(LINES, f"SELECT doc_id, min(para_no) AS para_no, substr(raw, 1, {P.prefix}) AS prefix FROM paras GROUP BY doc_id, prefix"),
-    "join_compare": q(FOLD, RAW, "SELECT doc_id, chunk_id, length(html) AS raw_length, chunk_no % 2 = 0 AS whole FROM html_raw"),
+    "set_dedupe_prefix": q(L.LINES, f"SELECT doc_id, min(para_no) AS para_no, substr(raw, 1, {LATIN.prefix}) AS prefix FROM paras GROUP BY doc_id, prefix"),
+    "join_compare": q(L.FOLD, L.RAW, "SELECT doc_id, chunk_id, length(html) AS raw_length, chunk_no % 2 = 0 AS whole FROM html_raw"),
     "nav_sibling": "SELECT n_nationkey, coalesce(lag(n_nationkey) OVER (ORDER BY n_nationkey), max(n_nationkey) OVER ()) AS prev_id, coalesce(lead(n_nationkey) OVER (ORDER BY n_nationkey), min(n_nationkey) OVER ()) AS next_id FROM nation",
     "limit_head": "SELECT doc_id, lang, source FROM documents ORDER BY doc_id LIMIT 3",
     "flt_course_ui": "SELECT p_partkey, p_name AS title FROM part WHERE (contains(lower(p_name), 'a') OR contains(lower(p_brand), 'a') OR contains(lower(p_type), 'a')) AND p_type = (SELECT min(p_type) FROM part)",
     "out_assets": """WITH lists AS (SELECT conv_id, list(text ORDER BY turn) FILTER (role = 'user') AS points, list(text ORDER BY turn) FILTER (role = 'system') AS examples, [min(text)] AS summary FROM conversations GROUP BY conv_id),
 details AS (SELECT conv_id, CASE WHEN len(points) > 0 THEN points WHEN len(examples) > 0 THEN examples ELSE summary END AS d FROM lists)
 SELECT conv_id, len(d) AS items, d[1] AS first_item FROM details""",
-    "fn_section_by_id": q(FOLD, CLEAN, f"SELECT w.doc_id, md5(coalesce(s.html, w.html)) AS section FROM ({whole('html_clean')}) w LEFT JOIN html_clean s ON s.doc_id = w.doc_id AND s.chunk_id = 'c02'"),
+    "fn_section_by_id": q(L.FOLD, L.CLEAN, f"SELECT w.doc_id, md5(coalesce(s.html, w.html)) AS section FROM ({L.whole('html_clean')}) w LEFT JOIN html_clean s ON s.doc_id = w.doc_id AND s.chunk_id = 'c02'"),
     "fn_inject_block": q(
-        FOLD, CLEAN, f"places AS (SELECT doc_id, html, CASE WHEN contains(html, ' id=\"c02\">') THEN strpos(html, ' id=\"c02\">') ELSE strpos(html, ' id=\"c01\">') END AS s FROM ({whole('html_clean')}))",
+        L.FOLD, L.CLEAN, f"places AS (SELECT doc_id, html, CASE WHEN contains(html, ' id=\"c02\">') THEN strpos(html, ' id=\"c02\">') ELSE strpos(html, ' id=\"c01\">') END AS s FROM ({L.whole('html_clean')}))",
         "SELECT doc_id, s + strpos(substr(html, s), '</p>') + 3 AS at FROM places",
     ),
 }
+
+#: documents with words of lectures in place of some of their own
+LECTURES = "(SELECT doc_id, " + reduce(lambda x, r: f"replace({x}, {lit(r[0]).replace(chr(10), "' || chr(10) || '")}, {lit(r[1]).replace(chr(10), "' || chr(10) || '")})", LECTURE_WORDS, "text") + " AS text FROM documents)"
+_CLASSICAL, _ESSAY = tables(LECTURE_CLASSICAL, LECTURES), tables(LECTURE_ESSAY, LECTURES)
+_CLEANING = ("cln_filler_latin", "cln_filler_cjk", "cln_laugh", "cln_tag_isnt", "cln_tag_right", "cln_tag_understand", "cln_tag_gotit", "cln_ok_lookahead", "cln_stutter")
+ORACLES |= {name: q(_CLASSICAL.LINES, f"SELECT doc_id, para_no, regexp_replace(raw, {lit(rule[0])}, {lit(rule[1])}, 'g') AS text FROM paras") for name, rule in zip(_CLEANING, LECTURE_CLASSICAL.sql_clean)}
+ORACLES |= {
+    "lecture_cleaned": q(_CLASSICAL.KEPT, "SELECT doc_id, para_no, text FROM kept"),
+    "lecture_sections": q(_CLASSICAL.FOLD, "SELECT doc_id, chunk_no, title, start_para, end_para, raw_chars AS chars FROM chunks"),
+    "lecture_essay_titles": q(_ESSAY.FOLD, "SELECT doc_id, chunk_id, title FROM chunks"),
+    "lecture_study": q(_CLASSICAL.SENTENCES, _CLASSICAL.STUDY_POINTS, "SELECT * FROM study"),
+    "lecture_digest": q(_ESSAY.SENTENCES, _ESSAY.digest(), "SELECT * FROM digest_groups"),
+    "lecture_flags": q(_CLASSICAL.KEPT, f"""SELECT doc_id, generate_subscripts(flags, 1) AS flag_no, unnest(flags) AS flag FROM (SELECT d.doc_id, CASE WHEN EXISTS (SELECT 1 FROM kept k WHERE k.doc_id = d.doc_id AND contains(k.text, {lit(LECTURE_CLASSICAL.noise_text)}))
+  THEN list_append(f, {lit(LECTURE_CLASSICAL.noise_flag)}) ELSE f END AS flags FROM (SELECT doc_id, [{", ".join(map(lit, LECTURE_CLASSICAL.flags))}] AS f FROM documents) d)"""),
+}
+
+_SHOWN = "title || ' · ' || teacher AS shown, type, status, CASE WHEN review_count > 0 THEN review_count::VARCHAR || ' 条' ELSE '无' END AS review"
+_COURSES = "courses AS (SELECT p_partkey AS id, p_name AS title, p_brand AS teacher, p_type AS type, CASE WHEN p_size % 2 = 0 THEN '已完成' ELSE '处理中' END AS status, (p_size % 3)::BIGINT AS review_count FROM part)"
+_DRAWER = """own AS (SELECT conv_id AS lesson_id, turn // 2 AS ord, role AS type, text AS title FROM conversations WHERE turn % 2 = 0),
+every AS (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS ord, role AS type, text AS title FROM conversations WHERE conv_id < 5),
+words AS (SELECT item_id AS ord, 'word' AS type, text AS title FROM (SELECT row_number() OVER (ORDER BY item_id) - 1 AS item_id, text FROM benchmark)),
+asked AS (SELECT DISTINCT conv_id AS lesson_id, turn * 3 AS ord FROM conversations),
+found AS (SELECT a.lesson_id, a.ord, coalesce(o.title, e.title, w.title) AS title, CASE WHEN o.title IS NOT NULL THEN o.type WHEN e.title IS NOT NULL THEN e.type ELSE w.type END AS type, CASE WHEN o.title IS NOT NULL THEN 0 WHEN e.title IS NOT NULL THEN 1 ELSE 2 END::BIGINT AS level
+  FROM asked a LEFT JOIN own o ON o.lesson_id = a.lesson_id AND o.ord = a.ord LEFT JOIN every e ON e.ord = a.ord LEFT JOIN words w ON w.ord = a.ord WHERE coalesce(o.title, e.title, w.title) IS NOT NULL)"""
+_STATS_TEXT = "paragraphs::VARCHAR || ' 段 / 原文约 ' || printf('%.2f', round(raw_chars / 10000.0, 2)) || ' 万字 / ' || chunks::VARCHAR || ' 个处理块'"
+ORACLES |= {
+    "src_literals": "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join([*map(lit, c[:-1]), f"{c[-1]}::BIGINT"]) + ")" for c in COURSES) + ") t(id, title, subtitle, teacher, type, status, updated, review_count)",
+    "src_generated": q(L.STATS, "SELECT doc_id, paragraphs, raw_chars, chunks FROM stats"),
+    "snk_json": q(L.STATS, """SELECT doc_id, '{"doc_id":' || doc_id || ',"paragraphs":' || paragraphs || ',"raw_chars":' || raw_chars || ',"clean_chars":' || clean_chars || ',"chunks":' || chunks || ',"chunk_target_chars":' || chunk_target_chars || '}' AS json FROM stats"""),
+    "out_courses": f"WITH {_COURSES} SELECT id, {_SHOWN} FROM courses",
+    "out_recent": f"WITH {_COURSES} SELECT id, {_SHOWN} FROM courses ORDER BY id LIMIT 3",
+    "out_detail": q(
+        L.STATS, L.SENTENCES[len(L.FOLD) + 2 :], L.STUDY_POINTS, L.HTML_STUDY,
+        f"SELECT s.doc_id, d.lang || '｜' || coalesce(d.source, '') AS header, {_STATS_TEXT} AS stats_text, coalesce(l.n, 0) AS review_count, md5(coalesce(w.html, '')) AS body FROM stats s JOIN documents d USING (doc_id) LEFT JOIN ({L.whole('html_study')}) w ON w.doc_id = s.doc_id LEFT JOIN (SELECT conv_id, count(*) AS n FROM conversations WHERE role = 'system' GROUP BY conv_id) l ON l.conv_id = s.doc_id",
+    ),
+    "fn_overview": "SELECT doc_id, CASE lang " + " ".join(f"WHEN {lit(k)} THEN {lit(v[0])}" for k, v in KEYWORDS.items() if k) + f" ELSE {lit(KEYWORDS[''][0])} END AS first_keyword, CASE lang " + " ".join(f"WHEN {lit(k)} THEN {len(v)}::BIGINT" for k, v in KEYWORDS.items() if k) + f" ELSE {len(KEYWORDS[''])}::BIGINT END AS keywords FROM documents",
+    "join_drawer": f"WITH {_DRAWER} SELECT lesson_id, ord, level, title FROM found",
+    "out_drawer": f"WITH {_DRAWER} SELECT lesson_id, ord, '<p class=\"page-kicker\">' || {escape('type')} || '</p><h2>' || {escape('title')} || '</h2>' AS html FROM found",
+    "out_classics_block": "WITH refs AS (SELECT n_nationkey AS key, n_name AS quote, 'of ' || r_name AS translation, list_slice([n_name, r_name, 'a & b', '<i>', 'fifth'], 1, 4) AS terms FROM nation JOIN region ON r_regionkey = n_regionkey), versions AS (SELECT unnest(['clean', 'digest', 'study', 'outline']) AS version)\n"
+    + f"SELECT key, version, '<aside class=\"classical-appreciation-block\"><p class=\"classical-original\">' || {escape('quote')} || '</p><p>' || {escape('translation')} || '</p><ul>' || (SELECT string_agg('<li>' || {escape('t')} || '</li>', '' ORDER BY i) FROM (SELECT unnest(terms) AS t, generate_subscripts(terms, 1) AS i)) || '</ul><p class=\"teacher-note\">' || CASE version "
+    + " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in NOTES.items() if k) + f" ELSE {lit(NOTES[''])} END || '</p></aside>' AS html FROM refs, versions",
+    "set_union_materials": "SELECT conv_id, turn, 0::BIGINT AS part FROM conversations WHERE role = 'assistant' UNION ALL SELECT conv_id, turn, 1 FROM conversations WHERE role = 'user' UNION ALL (SELECT conv_id, turn, 2 FROM conversations ORDER BY conv_id, turn LIMIT 1)",
+    "set_union_review": f"SELECT doc_id, generate_subscripts(items, 1) AS ord, unnest(items) AS item FROM (SELECT d.doc_id, list_concat([{', '.join(map(lit, LATIN.flags))}], coalesce(r.items, [])) AS items FROM documents d LEFT JOIN (SELECT conv_id, list(text ORDER BY turn) AS items FROM conversations WHERE role = 'user' GROUP BY conv_id) r ON r.conv_id = d.doc_id)",
+    "out_side": q(resources(), "scoped AS (SELECT *, count(*) FILTER (chunk_id = 'c02') OVER w AS here, row_number() OVER (w ORDER BY ord) AS n FROM resources WINDOW w AS (PARTITION BY lesson_id, kind))", "SELECT lesson_id, kind, row_number() OVER (PARTITION BY lesson_id, kind ORDER BY ord) AS place, upper(chunk_id) AS label, title FROM scoped WHERE CASE WHEN here > 0 THEN chunk_id = 'c02' ELSE n <= 3 END"),
+    "nav_sibling_unknown": "SELECT a.c_nationkey AS n_nationkey, s.prev_id, s.next_id FROM (SELECT DISTINCT c_nationkey + 10 AS c_nationkey FROM customer) a JOIN (SELECT n_nationkey, coalesce(lag(n_nationkey) OVER (ORDER BY n_nationkey), max(n_nationkey) OVER ()) AS prev_id, coalesce(lead(n_nationkey) OVER (ORDER BY n_nationkey), min(n_nationkey) OVER ()) AS next_id FROM nation) s ON s.n_nationkey = CASE WHEN a.c_nationkey IN (SELECT n_nationkey FROM nation) THEN a.c_nationkey ELSE (SELECT min(n_nationkey) FROM nation) END",
+    "join_lesson_fallback": "WITH first AS (SELECT * FROM labels WHERE doc_id = (SELECT min(doc_id) FROM labels)) SELECT d.doc_id, coalesce(l.quality, f.quality)::BIGINT AS quality, coalesce(l.toxic, f.toxic)::BIGINT AS toxic, l.doc_id IS NOT NULL AS known FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id CROSS JOIN first f",
+    "out_sample_html": q(
+        L.STATS, L.SENTENCES[len(L.FOLD) + 2 :], L.digest(), L.STUDY_POINTS, L.OUTLINE_POINTS, L.RAW, L.CLEAN, L.HTML_DIGEST, L.HTML_STUDY, L.HTML_OUTLINE,
+        "SELECT s.doc_id, md5(coalesce(r.raw, '')) AS chunks, " + ", ".join(f"md5(coalesce({v}.html, '')) AS {v}" for v in report.VERSIONS) + " FROM stats s LEFT JOIN (SELECT h.doc_id, string_agg(h.chunk_id || '|' || c.title || '|' || c.start_para || '|' || c.end_para || '|' || c.raw_chars || '|' || h.html, chr(10) ORDER BY h.chunk_no) AS raw FROM html_raw h JOIN chunks c ON c.doc_id = h.doc_id AND c.chunk_no = h.chunk_no GROUP BY h.doc_id) r ON r.doc_id = s.doc_id "
+        + " ".join(f"LEFT JOIN ({L.whole(f'html_{v}')}) {v} ON {v}.doc_id = s.doc_id" for v in report.VERSIONS),
+    ),
+}
+ORACLES["join_compare"] = q(L.FOLD, L.RAW, L.CLEAN, "SELECT r.doc_id, r.chunk_id, length(r.html) AS raw_length, md5(c.html) AS version FROM html_raw r JOIN html_clean c ON c.doc_id = r.doc_id AND c.chunk_id = r.chunk_id")

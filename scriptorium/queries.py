@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
 from scriptorium.operators import catalog, report
 from scriptorium.operators import sections as S
 from scriptorium.operators import sentences as N
-from scriptorium.plans.rules import LATIN, PACKS
-from scriptorium.sources.text import paragraphs, registry
+from scriptorium.plans.rules import LATIN, LECTURE_CLASSICAL, LECTURE_ESSAY, LECTURE_WORDS, PACKS
+from scriptorium.sources.text import from_json, paragraphs, registry, to_json
 
 P = LATIN
 #: Nothing scores: every section falls back on its paragraphs.
@@ -357,10 +358,10 @@ def set_dedupe_prefix(spark, d):
 
 @query
 def join_compare(spark, d):
+    """Raw sections beside the clean version of each; tests show a version without such sections."""
     s = sections_of(spark, d)
-    version = report.render_sections(s.where("chunk_no % 2 = 1"), P, "clean")
-    out = catalog.compare(report.render_sections(s, P, "raw"), version, report.render(s, P, "outline"))
-    return out.select("doc_id", "chunk_id", F.length("raw_html").cast("long").alias("raw_length"), F.contains("version_html", F.lit('class="outline-list"')).alias("whole"))
+    out = catalog.compare(report.render_sections(s, P, "raw"), report.render_sections(s, P, "clean"), report.render(s, P, "outline"))
+    return out.select("doc_id", "chunk_id", F.length("raw_html").cast("long").alias("raw_length"), F.md5(F.col("version_html").cast("binary")).alias("version"))
 
 
 @query
@@ -399,3 +400,180 @@ def fn_inject_block(spark, d):
     whole = report.render(sections_of(spark, d), P, "clean")
     return whole.select("doc_id", F.instr(T.inject_after_meta(F.col("html"), F.lit('<aside class="extra">note</aside>'), ("c02", "c01"), 'class="extra"'), '<aside class="extra">').cast("long").alias("at"))
 
+
+# ---- lectures: the packs in Chinese over documents with some of their words -----------------------------------------------
+
+
+def lectures(spark, d):
+    return docs_of(spark, d).withColumn("text", reduce(lambda c, r: F.replace(c, F.lit(r[0]), F.lit(r[1])), LECTURE_WORDS, F.col("text")))
+
+
+def _cleaning(rule):
+    def run(spark, d):
+        return longs(paragraphs(lectures(spark, d)).select("doc_id", "para_no", F.regexp_replace("raw", *rule).alias("text")), "para_no")
+
+    return run
+
+
+_RULES = ("cln_filler_latin", "cln_filler_cjk", "cln_laugh", "cln_tag_isnt", "cln_tag_right", "cln_tag_understand", "cln_tag_gotit", "cln_ok_lookahead", "cln_stutter")
+QUERIES |= {name: _cleaning(rule) for name, rule in zip(_RULES, LECTURE_CLASSICAL.clean)}
+
+
+@query
+def lecture_cleaned(spark, d):
+    return S.documents(lectures(spark, d), LECTURE_CLASSICAL).select("doc_id", F.explode("paras").alias("p")).select("doc_id", F.col("p.para_no").cast("long").alias("para_no"), F.col("p.text").alias("text"))
+
+
+@query
+def lecture_sections(spark, d):
+    return longs(S.sections(lectures(spark, d), LECTURE_CLASSICAL).select("doc_id", "chunk_no", "title", "start_para", "end_para", F.col("raw_chars").alias("chars")), "chunk_no", "start_para", "end_para", "chars")
+
+
+@query
+def lecture_essay_titles(spark, d):
+    return S.sections(lectures(spark, d), LECTURE_ESSAY).select("doc_id", "chunk_id", "title")
+
+
+@query
+def lecture_study(spark, d):
+    return longs(N.study_points(S.sections(lectures(spark, d), LECTURE_CLASSICAL), LECTURE_CLASSICAL, LECTURE_CLASSICAL.study_limit), "chunk_no", "rank")
+
+
+@query
+def lecture_digest(spark, d):
+    return longs(N.digest_groups(S.sections(lectures(spark, d), LECTURE_ESSAY), LECTURE_ESSAY), "chunk_no", "group_no")
+
+
+@query
+def lecture_flags(spark, d):
+    return longs(report.review_flags(lectures(spark, d), LECTURE_CLASSICAL), "flag_no")
+
+
+# ---- result tables --------------------------------------------------------------------------------------------------------
+
+
+@query
+def src_literals(spark, d):
+    return catalog.courses(spark)
+
+
+RESULT = "doc_id long, paragraphs long, raw_chars long, clean_chars long, chunks long, chunk_target_chars long"
+
+
+@query
+def snk_json(spark, d):
+    return to_json(longs(report.stats(docs_of(spark, d), P), "paragraphs", "chunks", "chunk_target_chars"))
+
+
+@query
+def src_generated(spark, d):
+    """Results written as JSON, read again."""
+    return from_json(snk_json(spark, d), RESULT).select("doc_id", "paragraphs", "raw_chars", "chunks")
+
+
+@query
+def out_sample_html(spark, d):
+    """All of a result's sections and versions, as digests."""
+    s = report.samples(docs_of(spark, d), sections_of(spark, d), P)
+    md5 = lambda c: F.md5(c.cast("binary"))
+    chunk = lambda c: F.concat_ws("|", *(c[k].cast("string") for k in ("id", "title", "start_para", "end_para", "chars", "raw_html")))
+    return s.select("doc_id", md5(F.array_join(F.transform("chunks", chunk), "\n")).alias("chunks"), *(md5(F.element_at("versions", v)).alias(v) for v in report.VERSIONS))
+
+
+def courses_of(spark, d):
+    done = F.when(F.col("p_size") % 2 == 0, "已完成").otherwise("处理中")
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("teacher"), F.col("p_type").alias("type"), done.alias("status"), (F.col("p_size") % 3).cast("long").alias("review_count"))
+
+
+@query
+def out_courses(spark, d):
+    return catalog.listed(courses_of(spark, d))
+
+
+@query
+def out_recent(spark, d):
+    return catalog.listed(catalog.head(courses_of(spark, d), 3, "id"))
+
+
+@query
+def out_detail(spark, d):
+    """A document's header, statistics as shown, what is left to review, and its study version."""
+    s = report.stats(docs_of(spark, d), P)
+    shown = F.format_string("%d 段 / 原文约 %.2f 万字 / %d 个处理块", "paragraphs", F.round(F.col("raw_chars") / 10000, 2), "chunks")
+    header = table(spark, d, "documents").select("doc_id", F.concat("lang", F.lit("｜"), F.coalesce("source", F.lit(""))).alias("header"))
+    review = table(spark, d, "conversations").where("role = 'system'").groupBy(F.col("conv_id").alias("doc_id")).agg(F.count("*").alias("review_count"))
+    body = report.render(sections_of(spark, d), P, "study")
+    out = s.select("doc_id", shown.alias("stats_text")).join(header, "doc_id").join(review, "doc_id", "left").join(body, "doc_id", "left")
+    return out.select("doc_id", "header", "stats_text", F.coalesce("review_count", F.lit(0).cast("long")).alias("review_count"), F.md5(F.coalesce("html", F.lit("")).cast("binary")).alias("body"))
+
+
+@query
+def fn_overview(spark, d):
+    words = catalog.overview(F.col("lang"), catalog.KEYWORDS)
+    return table(spark, d, "documents").select("doc_id", words[0].alias("first_keyword"), F.size(words).cast("long").alias("keywords"))
+
+
+def drawers(spark, d):
+    turns = table(spark, d, "conversations").select(F.col("conv_id").alias("lesson_id"), F.col("turn").cast("long").alias("turn"), F.col("role").alias("type"), F.col("text").alias("title"))
+    place = lambda *order: (F.row_number().over(Window.orderBy(*order)) - 1).cast("long")
+    own = turns.where("turn % 2 = 0").withColumn("ord", F.floor(F.col("turn") / 2))
+    every = turns.where("lesson_id < 5").withColumn("ord", place("lesson_id", "turn"))
+    words = table(spark, d, "benchmark").select(place("item_id").alias("ord"), F.lit("word").alias("type"), F.col("text").alias("title"))
+    return catalog.drawer(turns.select("lesson_id", (F.col("turn") * 3).alias("ord")).distinct(), own, every, words, ["type", "title"])
+
+
+@query
+def join_drawer(spark, d):
+    return longs(drawers(spark, d).select("lesson_id", "ord", "level", "title"), "level")
+
+
+@query
+def out_drawer(spark, d):
+    html = F.concat(report.tag("p", T.html_escape(F.col("type")), attrs='class="page-kicker"'), report.tag("h2", T.html_escape(F.col("title"))))
+    return drawers(spark, d).select("lesson_id", "ord", html.alias("html"))
+
+
+@query
+def out_classics_block(spark, d):
+    """A reference block for each version; nations stand for the references."""
+    regions = table(spark, d, "region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
+    terms = F.array("n_name", "r_name", F.lit("a & b"), F.lit("<i>"), F.lit("fifth"))
+    refs = table(spark, d, "nation").join(regions, "n_regionkey").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("quote"), F.concat(F.lit("of "), "r_name").alias("translation"), terms.alias("terms"))
+    every = refs.withColumn("version", F.explode(F.array(*map(F.lit, report.VERSIONS))))
+    return every.select("key", "version", catalog.reference_block(F.col("version")).alias("html"))
+
+
+@query
+def set_union_materials(spark, d):
+    """Two lists whole and the first of a third one."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", "role")
+    return catalog.union(c.where("role = 'assistant'"), c.where("role = 'user'"), catalog.head(c, 1, "conv_id", "turn")).select("conv_id", "turn", F.col("part").cast("long").alias("part"))
+
+
+@query
+def set_union_review(spark, d):
+    """Flags that were made, then items that were there."""
+    there = table(spark, d, "conversations").where("role = 'user'").groupBy(F.col("conv_id").alias("doc_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("items"))
+    made = docs_of(spark, d).select("doc_id", F.array(*map(F.lit, P.flags)).alias("flags"))
+    every = F.concat("flags", F.coalesce("items", F.array().cast("array<string>")))
+    return made.join(there, "doc_id", "left").select("doc_id", F.posexplode(every).alias("at", "item")).select("doc_id", (F.col("at") + 1).cast("long").alias("ord"), "item")
+
+
+@query
+def out_side(spark, d):
+    rows = catalog.scoped(resources(spark, d), "c02")
+    place = F.row_number().over(Window.partitionBy("lesson_id", "kind").orderBy("ord"))
+    return longs(rows.select("lesson_id", "kind", place.alias("place"), F.upper("chunk_id").alias("label"), "title"), "place")
+
+
+@query
+def nav_sibling_unknown(spark, d):
+    """Ids that aren't in the list have the siblings of its first item."""
+    asked = table(spark, d, "customer").select((F.col("c_nationkey") + 10).alias("n_nationkey")).distinct()
+    return S.sibling(table(spark, d, "nation").select("n_nationkey"), asked, "n_nationkey", "n_nationkey")
+
+
+@query
+def join_lesson_fallback(spark, d):
+    """Unknown documents have what the first known one has."""
+    return longs(catalog.or_first(table(spark, d, "documents").select("doc_id"), "doc_id", table(spark, d, "labels"), ["quality", "toxic"]), "quality", "toxic")

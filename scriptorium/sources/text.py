@@ -55,3 +55,18 @@ def read_docx(spark: SparkSession, path: str) -> DataFrame:
 def write_json(df: DataFrame, path: str) -> None:
     """One JSON object a line, non-ASCII characters kept; readable again with spark.read.json."""
     df.write.mode("overwrite").json(path)
+
+
+def to_json(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, json: each row as one object, columns without a value too, non-ASCII characters kept."""
+    return df.select(key, F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def from_json(rows: DataFrame, schema: str) -> DataFrame:
+    """Columns of results that to_json() made."""
+    return rows.select(F.from_json("json", schema).alias("r")).select("r.*")
+
+
+def read_results(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Results that write_json() made, with their nested columns."""
+    return (spark.read.schema(schema) if schema else spark.read).json(path)
