@@ -115,6 +115,26 @@ def test_repeated_passages(spark, split):
     assert len(out) == len(texts)
 
 
+def test_nothing_is_found_without_the_index(spark, monkeypatch):
+    passage = " ".join(f"word{i}" for i in range(70))
+    docs = frame(spark, [passage + " end", "start " + passage, passage + " " + passage + " x"])
+    assert [r.n_removed for r in substrings.remove_repeats(docs).orderBy("doc_id").collect()] == [0, 70, 140]
+    index = substrings.index
+    monkeypatch.setattr(substrings, "index", lambda found: index(found.where("not block")))
+    assert [r.n_removed for r in substrings.remove_repeats(docs).collect()] == [0, 0, 0]
+
+
+def test_a_passage_many_times_in_one_text(spark):
+    """A document gives each of its passages once, wherever it stands."""
+    line = " ".join(f"w{i}" for i in range(55))
+    docs = frame(spark, [line + " a", " ".join([line] * 400), " ".join([line, "x"] * 30)])
+    words = substrings.windows(docs.select("doc_id", "text").join(substrings.probes(docs).groupBy("doc_id").agg(F.collect_list("h").alias("found"), F.collect_list(F.lit(-2).cast("long")).alias("often")), "doc_id"))
+    assert words.groupBy("w", "doc_id").count().where("count > 1").count() == 0
+    out = {r.doc_id: (r.n_words, r.n_removed) for r in substrings.remove_repeats(docs).collect()}
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert out == {i: v[:2] for i, v in brute_words(rows).items()}
+
+
 def test_repeated_passages_of_a_table(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     got = {r[0]: (r[1], r[2], r[3]) for r in substrings.op4_substring_dedup(spark, small).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()}
