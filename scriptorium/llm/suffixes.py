@@ -246,7 +246,8 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), group:
     known = cut(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
     total, most = known.agg(F.sum("n"), F.max("n")).first()
     buckets = max(16, (total or 0) // group)
-    hits = found.select("h", "doc_id").join(known, "h").groupBy("doc_id").agg(F.collect_list("h").alias("found"), F.collect_list("n").alias("often")).join(whole, "doc_id", "left_anti")
+    # rows move as they are: lists that are begun before the shuffle take more room
+    hits = found.select("h", "doc_id").join(known, "h").repartition("doc_id").groupBy("doc_id").agg(F.collect_list("h").alias("found"), F.collect_list("n").alias("often")).join(whole, "doc_id", "left_anti")
     bucket = F.pmod(F.xxhash64("h"), F.lit(buckets))
     near = contexts(named.join(hits, "doc_id")).withColumn("bucket", bucket).withColumn("parted", F.col("n") > split)
     near = near.withColumn("salt", F.when(F.col("parted"), F.pmod(F.xxhash64("doc_id", "start"), F.ceil(F.col("n") / group))).otherwise(0)).drop("n")
