@@ -37,7 +37,7 @@ def _letters() -> np.ndarray:
 
 
 class Text:
-    """Words (runs of letters) of a run of texts, their n-gram buckets and scripts."""
+    """Words (runs of letters) of a run of texts, n-gram buckets of the different ones, and scripts."""
 
     letters: np.ndarray | None = None
     names = sorted({name for _, name in SCRIPTS})
@@ -54,29 +54,37 @@ class Text:
         step = np.diff(full.view(np.int8))
         self.start, self.end = np.flatnonzero(step == 1) + 1, np.flatnonzero(step == -1) + 1
         self.first = np.searchsorted(self.start, base)
-        self.code = np.where(full, code, 0x20)  # words end in blanks, whatever stands there
-        self.inside = full
+        self.code = code
+        # each different word once, with blanks around it: what it scores depends on its own letters alone
+        size = self.end - self.start
+        name = common.span(common.prefix(common.mix(code.astype(np.uint64) + np.uint64(1))), self.start, self.end)
+        long = np.flatnonzero(size > common.SURE)  # not looked for among others
+        name[long] = common.mix(np.arange(len(long), dtype=np.uint64))
+        _, one, self.word, self.times = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
+        self.size = size[one]
+        most = max(SIZES)
+        step = common.ragged(self.size)
+        self.place = np.repeat(np.cumsum(self.size + most) - self.size - most + 1, self.size) + step
+        self.padded = np.full(int((self.size + most).sum()) + most, 0x20, np.uint64)
+        self.padded[self.place] = code[np.repeat(self.start[one], self.size) + step]
 
     def script(self) -> np.ndarray:
         return Text.kinds[np.searchsorted(Text.starts, self.code[self.start], "right") - 1]
 
     def grams(self, size: int) -> np.ndarray:
-        """The bucket of the n-gram at each character; but for single letters, it begins one before (a blank before a word)."""
-        value = np.zeros(len(self.code), np.uint64)
-        padded = np.concatenate((np.full(int(size > 1), 0x20), self.code, np.full(size, 0x20))).astype(np.uint64)
+        """The bucket of the n-gram at each letter of the different words; but for single letters, it begins one before."""
+        value = np.zeros(len(self.place), np.uint64)
         for k in range(size):
-            value = value * np.uint64(0x110003) + padded[k : k + len(self.code)]
+            value = value * np.uint64(0x110003) + self.padded[self.place + (k - (size > 1))]
         return (common.mix(value + np.uint64(size)) >> np.uint64(50)).astype(np.int64)
 
     def sums(self, weights: np.ndarray) -> np.ndarray:
         """Weights (buckets x languages, for each size) added up over each word."""
-        out = np.zeros((len(self.start), weights.shape[2]))
-        begin, end = self.start, self.end
+        out = np.zeros((len(self.size), weights.shape[2]))
         for s, size in enumerate(SIZES):
-            total = np.zeros((len(self.code) + 1, weights.shape[2]))
-            np.cumsum(weights[s][self.grams(size)] * self.inside[:, None], axis=0, out=total[1:])
-            out += total[end] - total[begin]
-        return out
+            if len(out):
+                out += np.add.reduceat(weights[s][self.grams(size)], np.cumsum(self.size) - self.size, axis=0)
+        return out[self.word]
 
 
 def learn(docs: DataFrame, most: int = LEARNED) -> dict:
@@ -98,7 +106,7 @@ def learn(docs: DataFrame, most: int = LEARNED) -> dict:
                 for a, b in common.runs(own, 1 << 19):
                     t = Text(own[a:b])
                     for s, size in enumerate(SIZES):
-                        grams[s] += np.bincount(t.grams(size)[t.inside], minlength=BUCKETS)
+                        grams[s] += np.bincount(t.grams(size), np.repeat(t.times, t.size), BUCKETS).astype(np.int64)
                     script += np.bincount(t.script(), t.end - t.start, len(Text.names)).astype(np.int64)
                 place = np.flatnonzero(grams)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * (len(place) + len(script))), pa.array(np.concatenate((place, -1 - np.arange(len(script))))), pa.array(np.concatenate((grams.ravel()[place], script)))], ["lang", "place", "n"])
@@ -168,7 +176,8 @@ def identify(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",))
     A word's script leaves the languages that use it; the log probabilities of its n-grams add up to its scores; Viterbi
     with a price for switching labels the words. lang_pred has the most letters (ties: the first name), score is its share
     of all letters. Null texts and texts without letters: `und`, 0 and no spans. Rows are independent: no shuffle, repeated
-    rows each give a row, and other columns (lang, source) are never read.
+    rows each give a row, and other columns (lang, source) are never read. An empty table gives no rows; a text of any length
+    is one row's work.
     """
     rows = docs.select(*keep, F.col("text"))
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
@@ -208,4 +217,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     model = learn(docs.where(fold != 0))
-    return identify(docs, model).select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return identify(docs, model).select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "spans")

@@ -1,5 +1,6 @@
 """Operators 1, 2, 8 and 10: brute force, invariants and held-out accuracy."""
 
+import itertools
 import random
 import re
 import zlib
@@ -249,6 +250,28 @@ def test_language_of_held_out_documents(spark):
     assert right / total >= 0.9
 
 
+def test_viterbi_finds_the_best_of_all_paths():
+    rng = np.random.default_rng(6)
+    sizes = [0, 1, 5, 3, 0, 6, 2]
+    first = np.concatenate(([0], np.cumsum(sizes)))
+    for switch in (0.5, 2.0, 6.0):
+        score = rng.normal(size=(first[-1], 3)) * 3
+        path = language_id.viterbi(score, first, switch)
+        worth = lambda p, s: sum(s[i, k] for i, k in enumerate(p)) - switch * sum(x != y for x, y in zip(p, p[1:]))
+        for a, b in zip(first, first[1:]):
+            best = max(worth(p, score[a:b]) for p in itertools.product(range(3), repeat=b - a))
+            assert abs(worth(path[a:b], score[a:b]) - best) < 1e-9
+
+
+def test_words_score_by_their_own_letters():
+    weights = np.random.default_rng(1).normal(size=(len(language_id.SIZES), language_id.BUCKETS, 2))
+    texts = ["one two, three one", "", "two" * 40 + " one", "ß über x"]
+    t = language_id.Text(texts)
+    alone = {w: language_id.Text([w]).sums(weights)[0] for w in re.findall(r"[^\W\d_]+", " ".join(texts))}
+    words = [w for x in texts for w in re.findall(r"[^\W\d_]+", x)]
+    assert np.allclose(t.sums(weights), [alone[w] for w in words])
+
+
 def test_language_spans_and_odd_texts(spark):
     words = {"xx": "alpha beta gamma delta epsilon", "yy": "zorro zwick zwack zwock", "ru": "привет мир как дела сегодня"}
     rng = random.Random(1)
