@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -13,8 +14,10 @@ from .common import cut, table
 from .components import connected_components
 
 COSINE = 0.9
-#: Vectors in a bucket on average; the chance to miss a pair right at the threshold; vectors compared in one block.
-BUCKET, MISS, BLOCK = 256, 0.005, 1024
+#: Vectors of a cell, and of a bucket in it, on average; vectors of a cell above which it is split.
+CELL, BUCKET, SPLIT = 32_768, 256, 65_536
+#: The chance to miss a pair right at the threshold, half of it by cells and half by buckets; vectors compared in one block.
+MISS, BLOCK = 0.005, 1024
 
 
 def usable(column: str) -> F.Column:
@@ -24,11 +27,11 @@ def usable(column: str) -> F.Column:
     return c.isNotNull() & F.coalesce(~bad, F.lit(False)) & F.exists(c, lambda x: x != 0)
 
 
-def plan_tables(n: int, cosine: float = COSINE, bucket: int = BUCKET, miss: float = MISS) -> tuple[int, int]:
-    """Bits of a key, so that buckets of unrelated vectors stay small, and tables, so that pairs at the threshold are met."""
-    bits = max(4, math.ceil(math.log2(max(1, n) / bucket)))
+def plan_tables(n: int, average: int, cosine: float = COSINE, miss: float = MISS / 2) -> tuple[int, int]:
+    """Bits of a key, so that groups of unrelated vectors have `average` members, and tables, so that pairs at the threshold are met."""
+    bits = max(0, math.ceil(math.log2(max(1, n) / average)))
     same = (1 - math.acos(cosine) / math.pi) ** bits
-    return bits, max(1, math.ceil(math.log(miss) / math.log(1 - same)))
+    return bits, 1 if bits == 0 else max(1, math.ceil(math.log(miss) / math.log(1 - same)))
 
 
 def vectors(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -37,83 +40,147 @@ def vectors(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def local_components(linked: np.ndarray) -> np.ndarray:
-    """The smallest row of each row's component in a symmetric matrix of links."""
-    label = np.arange(len(linked))
+def sign_keys(x: np.ndarray, bits: int, tables: int, seed: tuple[int, ...]) -> np.ndarray:
+    """For each vector and table, the signs of its products with `bits` random hyperplanes, as a number."""
+    planes = np.random.default_rng([*seed, x.shape[1]]).standard_normal((x.shape[1], tables * bits)).astype(np.float32)
+    signs = (x.astype(np.float32) @ planes > 0).reshape(len(x), tables, bits)
+    return (signs << np.arange(bits)).sum(axis=2) if bits else np.zeros((len(x), tables), np.int64)
+
+
+def compare_cell(x: np.ndarray, copies: np.ndarray, part: np.ndarray, earlier: np.ndarray, cosine: float, seed: int, bucket: int = BUCKET) -> tuple[np.ndarray, np.ndarray]:
+    """For each vector of a cell, the copies of others that it is linked with, and the first place of its local component.
+
+    The cell's own tables deal it to buckets, which are compared in blocks. A pair is counted in the first bucket it shares,
+    and not at all if it shares an earlier cell (`earlier`: keys of these) or if both are in one of the cell's two parts
+    and that part has a group of its own (part: 0 and 1; all -1 for a whole cell).
+    """
+    n = len(x)
+    bits, tables = plan_tables(n, bucket, cosine)
+    fine = sign_keys(x, bits, tables, (seed, 1))
+    norm = np.sqrt((x * x).sum(axis=1))
+    links, edges = np.zeros(n, np.int64), []
+    for t in range(tables):
+        order = np.argsort(fine[:, t], kind="stable")
+        edge = np.flatnonzero(np.append(True, np.diff(fine[order, t]) != 0)) if n else np.zeros(0, np.int64)
+        for lo, hi in zip(edge, np.append(edge[1:], n)):
+            for p in range(lo, hi, BLOCK):
+                a = order[p : min(p + BLOCK, hi)]
+                for q in range(p, hi, BLOCK):
+                    b = order[q : min(q + BLOCK, hi)]
+                    linked = (x[a] @ x[b].T) / (norm[a][:, None] * norm[b][None, :]) >= cosine
+                    i, j = np.nonzero(linked)
+                    i, j = a[i], b[j]
+                    fresh = (i < j) if p == q else np.ones(len(i), bool)
+                    i, j = i[fresh], j[fresh]
+                    if not len(i):
+                        continue
+                    edges.append(np.stack(first_links(i, j)))
+                    fresh = (part[i] < 0) | (part[i] != part[j])
+                    for keys in (earlier, fine[:, :t]):
+                        for s in range(keys.shape[1]):
+                            fresh &= keys[i, s] != keys[j, s]
+                    i, j = i[fresh], j[fresh]
+                    links += np.bincount(i, copies[j], n).astype(np.int64) + np.bincount(j, copies[i], n).astype(np.int64)
+    label = np.arange(n)
+    if edges:
+        i, j = np.concatenate(edges, axis=1)
+        while True:
+            low = np.minimum(label[i], label[j])
+            new = label.copy()
+            np.minimum.at(new, i, low)
+            np.minimum.at(new, j, low)
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+    return links, label
+
+
+def first_links(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (place, smallest place of its component) of the graph with the links i, j: as many as there are places."""
+    places, back = np.unique(np.concatenate((i, j)), return_inverse=True)
+    a, b = back[: len(i)], back[len(i) :]
+    label = np.arange(len(places))
     while True:
-        new = np.minimum(label, np.where(linked, label[None, :], len(linked)).min(axis=1))
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
         new = new[new]
         if (new == label).all():
-            return label
+            return places, places[label]
         label = new
 
 
-def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE, seed: int = 7) -> DataFrame:
+def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE, seed: int = 7, cell: int = CELL, split: int = SPLIT, bucket: int = BUCKET) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row.
 
-    Equal vectors are one representative with a count. Each representative gets a key of hyperplane signs in each of
-    several tables; a bucket's members are compared with each other, in double precision, in blocks of BLOCK: a bucket of
-    many blocks becomes many groups (pairs of blocks), so that no group grows. A pair that meets in several tables counts
-    in the first of them. Only counts by vector, and one link from each vector to the smallest of its local component,
-    leave a group, never pairs. Vectors that are null, zero, or hold null or non-finite components link with nothing (and
-    are their own component); vectors of different lengths are never compared. A repeated vec_id gives a row each, linked
-    if the vectors are alike. Ties don't matter; an empty table gives no rows. Other columns are ignored.
+    Equal vectors (by a digest of 128 bits) are one representative with a count. Hyperplane signs deal representatives to
+    cells of about `cell` vectors, in several tables; within a cell, more hyperplanes deal them to buckets in tables of the
+    cell's own, whose members are compared in double precision. So a vector moves once for each table of cells, which are
+    few as cells are large, and not for each bucket. What decides where vectors go are ids and keys; vectors join them last.
+    A cell of more than `split` vectors becomes groups of two blocks of it each: every link is counted, which takes a
+    square of blocks where so many vectors are alike in all these signs. A pair that meets more than once counts the first
+    time. Only counts by vector, and one link from each vector to the smallest of its local component, leave a group.
+
+    Vectors that are null, zero, or hold null or non-finite components link with nothing (and are their own component);
+    vectors of different lengths are never compared. A repeated vec_id gives a row each, linked if the vectors are alike;
+    of different vectors with one vec_id, links and components count for the id. Ties don't matter; an empty table gives no
+    rows. Other columns are ignored.
     """
-    base = rows.select(F.col(vec_id).alias("vec_id"), F.col(embedding).cast("array<float>").alias("v")).withColumn("ok", usable("v"))
-    groups = cut(base.where("ok and vec_id is not null").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
-    n = groups.count()
-    bits, tables = plan_tables(n, cosine)
-
-    def keys(batches):
-        planes: dict[int, np.ndarray] = {}
-        for batch in batches:
-            size = batch.column("size").to_numpy()
-            out = np.zeros((len(size), tables), np.int64)
-            for d in np.unique(size):
-                at = np.flatnonzero(size == d)
-                if d not in planes:
-                    planes[d] = np.random.default_rng([seed, int(d)]).standard_normal((int(d), tables * bits)).astype(np.float32)
-                x = vectors(batch.column("v").take(pa.array(at)))
-                signs = (x @ planes[d] > 0).reshape(len(at), tables, bits)
-                out[at] = (signs << np.arange(bits)).sum(axis=2)
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("copies"), batch.column("v"), batch.column("size"), pa.array(list(out), pa.list_(pa.int64()))], ["rep", "copies", "v", "size", "keys"])
-
-    keyed = cut(groups.withColumn("size", F.size("v")).mapInArrow(keys, "rep long, copies long, v array<float>, size int, keys array<long>"))
-    members = keyed.select("*", F.posexplode("keys").alias("t", "key"))
+    base = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<float>").alias("v")).withColumn("ok", F.col("vec_id").isNotNull() & usable("v"))
+    good = base.where("ok").select("vec_id", "v")
+    bits, tables = plan_tables(good.count(), cell, cosine)
+
+    def hashed(with_vectors: bool):
+        def work(batches):
+            for batch in batches:
+                v, n = batch.column("v"), len(batch)
+                size = np.diff(v.offsets.to_numpy())
+                keys, names = np.zeros((n, tables), np.int64), bytearray()
+                for d in np.unique(size):
+                    at = np.flatnonzero(size == d)
+                    keys[at] = sign_keys(vectors(v.take(pa.array(at))), bits, tables, (seed,))
+                flat, begin = v.values.to_numpy() + np.float32(0), v.offsets.to_numpy()
+                for i in range(n):
+                    names += hashlib.blake2b(flat[begin[i] : begin[i + 1]], digest_size=16).digest()
+                halves = np.frombuffer(bytes(names), np.int64).reshape(-1, 2)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * tables), pa.array(keys.ravel().astype(np.int32)))
+                columns = {"vec_id": batch.column("vec_id"), "d1": pa.array(halves[:, 0]), "d2": pa.array(halves[:, 1]), "size": pa.array(size.astype(np.int32))}
+                columns |= {"v": v} if with_vectors else {"keys": lists}
+                yield pa.RecordBatch.from_pydict(columns)
+
+        return good.mapInArrow(work, "vec_id long, d1 long, d2 long, size int, " + ("v array<float>" if with_vectors else "keys array<int>"))
+
+    names = cut(hashed(False))
+    groups = cut(names.groupBy("d1", "d2", "size").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.any_value("keys").alias("keys")))
+    members = groups.select("*", F.posexplode("keys").alias("t", "key"))
     counts = members.groupBy("size", "t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = members.join(counts, ["size", "t", "key"]).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    blocks = F.when(F.col("n") > split, F.ceil(F.col("n") * 2 / F.lit(split))).otherwise(1).cast("int")
+    placed = members.join(counts, ["size", "t", "key"]).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("d1"), F.col("blocks")).cast("int"))
     # a member goes to the group of its block with each other block
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    full = hashed(True).join(spread.withColumnRenamed("rep", "vec_id"), ["vec_id", "d1", "d2", "size"])
 
     def compare(key, group):
         _, t, _, low, high = (x.as_py() for x in key)
-        rep, copies, block = (group.column(c).to_numpy() for c in ("rep", "copies", "block"))
-        order = np.argsort(rep)
-        rep, copies, block = rep[order], copies[order], block[order]
-        x, own = vectors(group.column("v")).astype(float)[order], vectors(group.column("keys"))[order]
-        norm = np.sqrt((x * x).sum(axis=1))
-        linked = (x @ x.T) / (norm[:, None] * norm[None, :]) >= cosine
-        np.fill_diagonal(linked, False)
-        counted = linked.copy()
-        if low != high:  # pairs within a block are counted in the block's own group
-            counted &= block[:, None] != block[None, :]
-        for s in range(t):  # pairs that met before
-            counted &= own[:, s][:, None] != own[:, s][None, :]
-        links = (counted * copies[None, :]).sum(axis=1)
-        return pa.table({"rep": rep, "links": links, "near": rep[local_components(linked)]})
-
-    met = cut(spread.groupBy("size", "t", "key", "low", "high").applyInArrow(compare, "rep long, links long, near long").where("links > 0 or near <> rep"))
+        rep, d1 = group.column("vec_id").to_numpy(), group.column("d1").to_numpy()
+        order = np.lexsort((d1, rep))
+        new = np.append(True, (np.diff(rep[order]) != 0) | (np.diff(d1[order]) != 0))[: len(order)]
+        pick = pa.array(order[new])  # a repeated row is there once
+        rep, copies, block = (group.column(c).combine_chunks().take(pick).to_numpy() for c in ("vec_id", "copies", "block"))
+        x, keys = (vectors(group.column(c).combine_chunks().take(pick)) for c in ("v", "keys"))
+        part = np.where(block == low, 0, 1) if low != high else np.full(len(rep), -1)
+        links, first = compare_cell(x.astype(float), copies, part, keys[:, :t], cosine, seed, bucket)
+        return pa.table({"rep": rep, "links": links, "near": rep[first]})
+
+    met = full.select("vec_id", "d1", "size", "copies", "v", "keys", "t", "key", "low", "high", "block").groupBy("size", "t", "key", "low", "high").applyInArrow(compare, "rep long, links long, near long")
+    met = cut(met.where("links > 0 or near <> rep"))
     components = connected_components(met.where("near <> rep").select(F.col("rep").alias("a"), F.col("near").alias("b")))
     links = met.groupBy("rep").agg(F.sum("links").alias("links"))
-    classes = groups.join(links, "rep", "left").join(components, groups["rep"] == components["id"], "left").select("v", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("component"))
-    own = base.withColumn("v", F.when(F.col("ok") & F.col("vec_id").isNotNull(), F.col("v")))
-    return own.join(classes, "v", "left").select(
-        "vec_id",
-        F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component", "vec_id").alias("component_id"),
-        F.coalesce(F.col("component") == F.col("vec_id"), F.lit(True)).alias("kept"),
-    )
+    classes = groups.drop("keys").join(links, "rep", "left").join(components, groups["rep"] == components["id"], "left").select("d1", "d2", "size", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("component"))
+    found = names.drop("keys").join(classes, ["d1", "d2", "size"]).select("vec_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("component").alias("component_id"), (F.col("component") == F.col("vec_id")).alias("kept"))
+    return found.unionByName(base.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")))
 
 
 def op9_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,7 +54,42 @@ def test_near_duplicate_vectors(spark, monkeypatch):
     rows = fixture()
     assert check_links(rows, embeddings.near_duplicates(frame(spark, rows)).collect(), 0.98) > 0.95
     monkeypatch.setattr(embeddings, "BLOCK", 16)
-    assert check_links(rows, embeddings.near_duplicates(frame(spark, rows)).collect(), 0.98) > 0.95
+    for cell, split, bucket in ((1 << 15, 1 << 16, 16), (120, 1 << 16, 16), (120, 50, 32)):
+        found = embeddings.near_duplicates(frame(spark, rows), cell=cell, split=split, bucket=bucket).collect()
+        assert check_links(rows, found, 0.98) > 0.95
+
+
+def test_planted_links_of_a_table(spark):
+    """The table's vectors with copies at cosines from 0.85 to 0.99, and a chain: exact counts for all links above 0.92."""
+    rng = np.random.default_rng(8)
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()]
+    x = np.array([v for _, v in rows], float)
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    more = []
+    for k in range(400):
+        v = x[k % 150]
+        noise = rng.standard_normal(x.shape[1])
+        noise -= (noise @ v) * v
+        c = rng.uniform(0.85, 0.99)
+        more.append(c * v + np.sqrt(1 - c * c) * noise / np.sqrt(noise @ noise))
+    chain = x[200]
+    for _ in range(20):
+        noise = rng.standard_normal(x.shape[1])
+        noise -= (noise @ chain) * chain
+        chain = 0.95 * chain + np.sqrt(1 - 0.95**2) * noise / np.sqrt(noise @ noise)
+        more.append(chain)
+    rows = [(i, [float(c) for c in np.array(v, np.float32)]) for i, v in enumerate([*x, *more])]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for cell in (embeddings.CELL, 500):
+        found = {r.vec_id: r for r in embeddings.near_duplicates(docs, cell=cell).collect()}
+        y = np.array([v for _, v in rows], np.float32).astype(float)
+        norm = np.sqrt((y * y).sum(axis=1))
+        c = y @ y.T / np.outer(norm, norm)
+        np.fill_diagonal(c, 0)
+        sure, all_links = (c >= 0.92).sum(axis=1), (c >= 0.9).sum(axis=1)
+        got = np.array([found[i].n_links for i in range(len(rows))])
+        assert all_links.sum() > 500 and (got <= all_links).all() and (got >= sure).mean() > 0.998 and got.sum() >= 0.995 * all_links.sum()
+        assert {found[i].component_id for i in range(len(rows) - 20, len(rows))} == {found[200].component_id}
 
 
 def test_near_duplicate_vectors_of_a_table(spark, small):
