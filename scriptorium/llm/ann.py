@@ -31,7 +31,11 @@ class Graph:
         return cls(x, [(nodes, links(x, nodes, 2 if level == 0 else 1)) for level in range(top.max(initial=0) + 1) if len(nodes := np.flatnonzero(top >= level))])
 
     def search(self, q: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-        """Nodes and similarities for each query, nearest first; -1 where a shard has fewer nodes."""
+        """Nodes and similarities for each query, nearest first; a shard that fits into a beam is compared as a whole."""
+        if len(self.x) <= beam:
+            sims = q @ self.x.T
+            order = np.argsort(-sims, axis=1, kind="stable")
+            return order, np.take_along_axis(sims, order, 1)
         entry = np.repeat(self.levels[-1][0][:1][None, :], len(q), axis=0)
         for level in range(len(self.levels) - 1, -1, -1):
             nodes, near = self.levels[level]
@@ -152,7 +156,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_
     queries go to every shard, in groups of QUERIES at most on average, and the shards' k best are merged. Scores are
     double cosines of the original vectors; ties go to the smaller id. Vectors that are null, zero, hold null or
     non-finite components, or have another length than the query take no part; rows without id neither. Fewer candidates
-    than k: all of them that a walk reaches. Repeated ids count once each. Empty tables give no rows. Recall depends on
+    than k: all of them. Repeated ids count once each. Empty tables give no rows. Recall depends on
     `beam`; the search is approximate, scores are not.
     """
     ok = lambda df: df.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<float>").alias("v")).where(F.col("id").isNotNull() & usable("v"))

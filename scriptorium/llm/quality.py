@@ -134,11 +134,13 @@ def train(docs: DataFrame, labels: DataFrame) -> CoTrained:
     """
     h = F.xxhash64("doc_id", F.lit("co-training"))
     marked = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).select("doc_id", (F.col("quality") > 0).cast("int").alias("y"))
-    ids = docs.select("doc_id").where("doc_id is not null")
+    ids = docs.select("doc_id").where("doc_id is not null").distinct()
     seeds = marked.join(ids, "doc_id", "left_semi").withColumn("h", h).orderBy("h", "doc_id").limit(LABELLED)
-    pool = ids.join(marked, "doc_id", "left_anti").withColumn("h", h).orderBy("h", "doc_id").limit(POOL).distinct().withColumn("y", F.lit(-1))
+    pool = ids.join(marked, "doc_id", "left_anti").withColumn("h", h).orderBy("h", "doc_id").limit(POOL).withColumn("y", F.lit(-1))
     chosen = seeds.unionByName(pool)
-    rows = docs.select("doc_id", *COLUMNS).join(F.broadcast(chosen), "doc_id")
+    # of several rows with one doc_id, one (by a hash) stands for all, so that the bounds hold
+    own = F.min_by(F.struct("h", "y", *COLUMNS), F.xxhash64(*COLUMNS)).alias("own")
+    rows = docs.select("doc_id", *COLUMNS).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(own).select("own.*")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

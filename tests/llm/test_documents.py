@@ -230,6 +230,24 @@ def test_mixing_of_a_table(spark, small):
     check_mix(rows, mixing.op8_mix_sources(spark, small).collect())
 
 
+def test_views_that_exchange_labels_beat_either_alone(monkeypatch):
+    """Few labels, two views that carry as much each: the exchange helps each view, and both together are best."""
+    rng = np.random.default_rng(12)
+    gains = []
+    for _ in range(3):
+        truth = rng.random(3000) < 0.5
+        text, meta = (np.where(truth, 1.0, -1.0)[:, None] * np.array([1.1] + [0.0] * 14) + rng.normal(size=(3000, 15)) for _ in range(2))
+        y = np.where(np.arange(3000) < 40, truth, -1).astype(int)
+        right = {}
+        for rounds in (0, 8):
+            monkeypatch.setattr(quality, "ROUNDS", rounds)
+            model = quality.CoTrained(text, meta, y, np.arange(3000) % 4 == 0)
+            right[rounds] = [float(((p >= 0.5) == truth)[40:].mean()) for p in model.probabilities(text, meta)]
+        gains.append([b - a for a, b in zip(right[0], right[8])])
+        assert right[8][2] > max(right[8][:2])
+    assert (np.mean(gains, axis=0) > 0.01).all()
+
+
 # ---- languages ----------------------------------------------------------------------------------------------------------
 
 
