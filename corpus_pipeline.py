@@ -12,19 +12,28 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier doesn't reject. Null texts are judged as empty."""
+    """Documents that the co-trained classifier doesn't reject. Null texts are judged as empty.
+
+    Rows without doc_id are judged, too; repeated rows are judged alike; an empty table gives no rows; other columns go.
+    """
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.classify(docs, model, COLUMNS).where("kept").select(*COLUMNS)
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each class of near-duplicates."""
+    """The document with the smallest doc_id of each class of near-duplicates.
+
+    Rows without doc_id or without words stay, as do all rows of a doc_id that stays; an empty table gives no rows.
+    """
     gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages that a smaller doc_id has; texts that lose nothing stay as they are, those that lose all go."""
+    """Texts without passages that a smaller doc_id has; texts that lose nothing stay as they are, those that lose all go.
+
+    Null texts and rows without doc_id stay as they are; repeated rows lose the same; an empty table gives no rows.
+    """
     out = substrings.remove_repeats(docs, COLUMNS).where("n_removed = 0 or n_removed < n_words")
     cut_text = F.col("n_removed") > 0
     return out.withColumn("n_chars", F.when(cut_text, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))).withColumn("text", F.when(cut_text, F.col("kept_text")).otherwise(F.col("text"))).select(*COLUMNS)
@@ -46,7 +55,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 1024 tokens."""
+    """Pieces of documents in sequences of 1024 tokens; null and empty texts are one piece with the final id."""
     return packing.pack(docs)
 
 
@@ -57,7 +66,7 @@ STAGES = [
     ("mixing", mixed),
     ("packing", packed),
 ]
-#: Classifier, near-duplicates and packing have no SQL; tests hold the stages against brute force.
+#: Classifier, near-duplicates and packing have no SQL; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
