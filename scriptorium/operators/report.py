@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
-from scriptorium.operators.sections import dealt, documents, neighbour
+from scriptorium.operators.sections import documents, neighbour
 from scriptorium.operators.sentences import KEYS, digest_array, group_array, outline_array, study_array, with_sentences
 from scriptorium.plans.rules import RulePack
-from scriptorium.sources.text import paragraph_array
+from scriptorium.sources.text import dealt, paragraph_array
 
 # Labels of the rendered versions.
 LABELS = {"clean": ("保真清洗", "保留课堂顺序"), "digest": ("精简整理", "保留展开脉络"), "study": ("学习整理", "默认阅读版"), "outline": ("结构提纲", "快速复盘"), "raw": ("原文", "转写稿")}

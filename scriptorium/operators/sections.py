@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
 from scriptorium.plans.rules import RulePack
-from scriptorium.sources.text import paragraph_array
+from scriptorium.sources.text import dealt, paragraph_array
 
 
 def cleaned_array(raw: Column, pack: RulePack) -> Column:
@@ -36,13 +36,6 @@ def section_begins(paras: Column, max_chars: Column | int) -> Column:
     return F.aggregate(paras, empty, step)["begins"]
 
 
-def dealt(docs: DataFrame, tasks_per_core: int = 4) -> DataFrame:
-    """docs over all cores, where the scan has few partitions: cleaning takes far longer than moving texts."""
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    few = not docs.isStreaming and docs.rdd.getNumPartitions() < tasks_per_core * cores
-    return docs.repartition(cores) if few else docs
-
-
 def documents(docs: DataFrame, pack: RulePack, max_chars: Column | int | None = None) -> DataFrame:
     """doc_id, raw (paragraphs), paras (kept ones), begins (places of the sections' first paragraphs among these)."""
     out = dealt(docs).select("doc_id", F.coalesce(paragraph_array(F.col("text")), F.array().cast("array<string>")).alias("raw"))

@@ -21,9 +21,16 @@ def paragraph_array(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n", -1), strip), lambda p: F.length(p) > 0)
 
 
+def dealt(docs: DataFrame, tasks_per_core: int = 4) -> DataFrame:
+    """docs over all cores, where the scan has few partitions: cleaning takes far longer than moving texts."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    few = not docs.isStreaming and docs.rdd.getNumPartitions() < tasks_per_core * cores
+    return docs.repartition(cores) if few else docs
+
+
 def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, para_no (from 1, after dropping blank lines), raw. A narrow map."""
-    return docs.select("doc_id", F.posexplode(paragraph_array(F.col(text))).alias("pos", "raw")).select("doc_id", (F.col("pos") + 1).alias("para_no"), "raw")
+    """doc_id, para_no (from 1, after dropping blank lines), raw."""
+    return dealt(docs).select("doc_id", F.posexplode(paragraph_array(F.col(text))).alias("pos", "raw")).select("doc_id", (F.col("pos") + 1).alias("para_no"), "raw")
 
 
 def registry(spark: SparkSession, rows: list[tuple]) -> DataFrame:
