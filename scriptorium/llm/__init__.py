@@ -14,4 +14,4 @@ QUERIES = {
     "op9_embedding_near_duplicates": embeddings.op9_embedding_near_duplicates,
     "op10_language_id": language_id.op10_language_id,
 }
-ORACLES = {"op4_substring_dedup": substrings.OP4_SQL, "op8_mix_sources": mixing.OP8_SQL}
+ORACLES = {"op4_substring_dedup": substrings.OP4_SQL, "op8_mix_sources": mixing.OP8_SQL, "op9_embedding_near_duplicates": embeddings.OP9_SQL}

@@ -185,3 +185,15 @@ def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "e
 
 def op9_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+#: SQL compares all pairs, so it also has what hashing may miss.
+OP9_SQL = """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9),
+reached(id, other) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.other FROM reached r JOIN links l ON l.a = r.id)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, component_id = e.vec_id AS kept
+FROM embeddings e LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) l ON l.a = e.vec_id JOIN (SELECT id, min(other) AS component_id FROM reached GROUP BY id) c ON c.id = e.vec_id
+"""

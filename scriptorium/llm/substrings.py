@@ -215,11 +215,12 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: SQL takes every passage of every text.
 OP4_SQL = r"""
 WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
-passages AS (SELECT doc_id, i, md5(array_to_string(words[i : i + 49], ' ')) AS w FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM texts WHERE len(words) >= 50)),
+words AS (SELECT doc_id, len(words) AS n, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM texts),
+passages AS (SELECT doc_id, p, md5(w) AS w FROM
+  (SELECT doc_id, n, p, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING) AS w FROM words WHERE n >= 50) WHERE p <= n - 49),
 firsts AS (SELECT w, min(doc_id) AS first FROM passages GROUP BY w),
-gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM passages JOIN firsts USING (w) WHERE first < doc_id),
-kept AS (SELECT t.doc_id, string_agg(word, ' ' ORDER BY t.p) AS text, count(*) AS n
-  FROM (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM texts) t LEFT JOIN gone g ON g.doc_id = t.doc_id AND g.p = t.p WHERE g.p IS NULL GROUP BY t.doc_id)
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS p FROM passages JOIN firsts USING (w) WHERE first < doc_id),
+kept AS (SELECT t.doc_id, string_agg(word, ' ' ORDER BY t.p) AS text, count(*) AS n FROM words t LEFT JOIN gone g ON g.doc_id = t.doc_id AND g.p = t.p WHERE g.p IS NULL GROUP BY t.doc_id)
 SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
 FROM texts LEFT JOIN kept k USING (doc_id)
 """
