@@ -15,7 +15,7 @@ SHARD, TOGETHER, QUERIES = 8192, 256, 8192
 #: Links chosen for a node and links that it can have on a level (twice as many on the lowest), candidates for them.
 CHOSEN, LINKS, CANDIDATES = 16, 24, 64
 #: Beam on the lowest level and above it; nodes expanded in a step.
-BEAM, UPPER_BEAM, WIDTH = 160, 16, 4
+BEAM, UPPER_BEAM, WIDTH = 112, 16, 4
 
 
 class Graph:
