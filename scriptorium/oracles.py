@@ -184,6 +184,7 @@ _STAMPS = "turns AS (SELECT conv_id, turn, printf('%s 00:%02d:%02d', role, turn
 _FLAGS = "[" + ", ".join(map(lit, LATIN.flags)) + "]"
 
 ORACLES = {
+    "gen_paragraph": q(L.LINES, "SELECT doc_id, para_no, raw FROM paras"),
     "src_docx": q(L.LINES, "SELECT doc_id, para_no, raw FROM paras"),
     "src_registry": "SELECT * FROM (VALUES " + ", ".join(f"({lit(p.name)}, {lit(p.untitled)}, {lit(p.noise_text)}, {lit(f'/packs/{p.name}.docx')}, {p.max_chars}::BIGINT, {lit(f'{p.name}.docx')})" for p in PACKS.values()) + ") t(sample_id, title, subtitle, source, max_chars, file)",
     "flt_header": q(L.LINES, "SELECT doc_id, count(*) AS kept, min(para_no) AS first_no FROM paras WHERE para_no > 1 GROUP BY doc_id"),

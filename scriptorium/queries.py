@@ -14,7 +14,7 @@ from scriptorium.operators import catalog, report
 from scriptorium.operators import sections as S
 from scriptorium.operators import sentences as N
 from scriptorium.plans.rules import LATIN, LECTURE_CLASSICAL, LECTURE_ESSAY, LECTURE_WORDS, PACKS
-from scriptorium.sources.text import from_json, paragraphs, registry, to_json
+from scriptorium.sources.text import docx_texts, from_json, paragraphs, registry, to_docx, to_json
 
 P = LATIN
 #: Nothing scores: every section falls back on its paragraphs.
@@ -48,10 +48,16 @@ def longs(df: DataFrame, *columns: str) -> DataFrame:
 
 
 @query
-def src_docx(spark, d):
+def gen_paragraph(spark, d):
     return longs(paragraphs(docs_of(spark, d)), "para_no")
 
 
+@query
+def src_docx(spark, d):
+    """Documents as Word files, read again."""
+    return longs(paragraphs(docx_texts(to_docx(docs_of(spark, d)), "doc_id")), "para_no")
+
+
 @query
 def src_registry(spark, d):
     return longs(registry(spark, [(p.name, p.untitled, p.noise_text, f"/packs/{p.name}.docx", p.max_chars) for p in PACKS.values()]).withColumn("file", T.basename(F.col("source"))), "max_chars")

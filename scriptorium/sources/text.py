@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +40,7 @@ def registry(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, SAMPLE)
 
 
+_NOT_XML = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -47,16 +50,41 @@ def _body(data: bytes) -> list[str]:
     return ["".join(x.text or "" if x.tag == f"{_W}t" else marks.get(x.tag, "") for x in p.iter()) for p in body.findall(f"{_W}p")]
 
 
-def read_docx(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id (the file's path) and text (body paragraphs as lines) of Word files; a file is read in one task."""
+def docx_texts(files: DataFrame, key: str, content: str = "content") -> DataFrame:
+    """key and text (body paragraphs as lines) of Word files that are in a binary column; a file is read in one task."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = ["\n".join(" ".join(p.split("\n")) for p in _body(data.as_py())) for data in batch.column("content")]
-            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(texts)], ["doc_id", "text"])
+            texts = ["\n".join(" ".join(p.split("\n")) for p in _body(data.as_py())) for data in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [key, "text"])
+
+    return files.select(key, content).mapInArrow(work, f"`{key}` {files.schema[key].dataType.simpleString()}, text string")
+
 
+def read_docx(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id (the file's path) and text of Word files."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInArrow(work, "doc_id string, text string")
+    return docx_texts(files.withColumnRenamed("path", "doc_id"), "doc_id")
+
+
+def docx_content(text: str | None) -> bytes:
+    """A Word file with a paragraph for each line of a text. Characters that XML doesn't allow become blanks."""
+    lines = _NOT_XML.sub(" ", text or "").split("\n")
+    body = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(line, {chr(13): "&#13;"})}</w:t></w:r></w:p>' for line in lines)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="{_W[1:-1]}"><w:body>{body}</w:body></w:document>')
+    return out.getvalue()
+
+
+def to_docx(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key and content: each document as a Word file."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([docx_content(t) for t in batch.column(1).to_pylist()], pa.binary())], [key, "content"])
+
+    return docs.select(key, text).mapInArrow(work, f"`{key}` {docs.schema[key].dataType.simpleString()}, content binary")
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from scriptorium.operators import catalog, report
 from scriptorium.operators import sections as S
 from scriptorium.plans.rules import LATIN
-from scriptorium.sources.text import from_json, read_results, registry, to_json, write_json
+from scriptorium.sources.text import from_json, read_docx, read_results, registry, to_docx, to_json, write_json
 
 
 @pytest.fixture(scope="module")
@@ -56,3 +56,12 @@ def test_tables_of_a_catalogue(spark, tmp_path):
     assert (row.title, row.points, row.summary) == ("凝练", ["a", "b"], None)
     assert catalog.courses(spark).count() == 4
     assert catalog.listed(catalog.courses(spark)).where(F.col("review") == "无").count() == 1
+
+
+def test_word_files_are_read_as_they_were_written(spark, docs, tmp_path):
+    odd = docs.unionByName(spark.createDataFrame([("d", "a\tb\r\n\n <x> & \x07 “y”\r z")], "doc_id string, text string"))
+    for r in to_docx(odd).collect():
+        (tmp_path / f"{r.doc_id}.docx").write_bytes(r.content)
+    found = {r.doc_id.rsplit("/", 1)[-1][0]: r.text for r in read_docx(spark, str(tmp_path)).collect()}
+    want = {r.doc_id: (r.text or "").replace("\x07", " ") for r in odd.collect()}
+    assert found == want
