@@ -152,7 +152,7 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def runs(texts: list[bytes], most: int = 1 << 21):
+def runs(texts: list[bytes], most: int = 1 << 20):
     """Ranges of texts of about `most` bytes together, so that working arrays stay small."""
     begin = size = 0
     for i, t in enumerate(texts):

@@ -214,8 +214,8 @@ def removed(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
                     continue
                 gone = np.zeros(len(t) + 1, np.int64)
                 begin = starts[i].values.to_numpy()
-                np.add.at(gone, begin, 1)
-                np.add.at(gone, begin + many[i].values.to_numpy() + DEPTH - 1, -1)
+                np.add.at(gone, np.minimum(begin, len(t)), 1)
+                np.add.at(gone, np.minimum(begin + many[i].values.to_numpy() + DEPTH - 1, len(t)), -1)
                 gone = np.cumsum(gone)[:-1] > 0
                 out.append((len(t), int(gone.sum()), int((np.diff(gone.view(np.int8), prepend=np.int8(0)) == 1).sum()), np.frombuffer(t, np.uint8)[~gone].tobytes()))
             columns = list(zip(*out)) or [(), (), (), ()]
@@ -234,8 +234,11 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), group:
     leading digits that occur twice get past the first pass, and travel with the bytes of their strings (about 170 for 70
     suffixes). A digit that occurs more than `split` times is dealt to several groups; the first of each group's equal
     strings meet in another pass, by digit, or, where more than `split` contexts of a digit are left, by the 128-bit hash
-    of their own 100 bytes: strings that differ don't share a group, and of copies each group left one. Null texts are empty; rows without doc_id stay whole; several rows of one doc_id and
-    text are treated alike in each. An empty table gives no rows. Columns other than doc_id, text and `keep` are not read.
+    of their own 100 bytes: strings that differ don't share a group, and of copies each group left one.
+
+    Null texts are empty; rows without doc_id stay whole; several rows of one doc_id and text are treated alike in each, of
+    several texts with one doc_id each loses what any of them would lose at its places (ids should be unique). An empty
+    table gives no rows. Columns other than doc_id, text and `keep` are not read. Long texts are read in pieces.
     """
     base = docs.withColumn("doc_id", F.col("doc_id").cast("long")).select(*dict.fromkeys(("doc_id", "text", *keep)))
     named = base.where("doc_id is not null")

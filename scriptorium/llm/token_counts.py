@@ -197,7 +197,7 @@ def count_tokens(docs: DataFrame, text: str = "text", path: str | None = None, k
     """The columns `keep`, n_bytes (UTF-8) and n_tokens of every row's whole text.
 
     Counts equal those of the library without added special tokens. Null and empty texts: 0 and 0. A narrow map: no
-    shuffle; rows are counted in runs of about 2 MB of text, a longer text by itself. Repeated rows each give a row, an
+    shuffle; rows are counted in runs of about 1 MB of text, a longer text by itself. Repeated rows each give a row, an
     empty table none. Columns of docs other than `text` and `keep` are not read.
     """
     path = path or public_tokenizers.path(VOCABULARY)

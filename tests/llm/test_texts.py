@@ -244,6 +244,9 @@ def test_repeated_rows_and_missing_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.n_removed) for r in substrings.remove_repeats(docs).collect()) == [(0, 0), (0, 0), (1, 0), (1, 0), (2, 70)]
     assert sorted((r.doc_id or 0, r.n_removed) for r in suffixes.remove_repeats(docs).collect()) == [(0, 0), (0, 0), (1, 0), (1, 0), (2, len(passage))]
+    several = docs.unionByName(spark.createDataFrame([(2, "short"), (2, passage[:-100] + " and more")], docs.schema))
+    for f in (substrings.remove_repeats, suffixes.remove_repeats):
+        assert f(several).count() == 7
     assert token_counts.count_tokens(docs).count() == 5
     assert packing.pack(docs).count() == 5
 
