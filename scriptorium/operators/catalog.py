@@ -71,6 +71,7 @@ def drawer(asked: DataFrame, own: DataFrame, every: DataFrame, words: DataFrame,
     return out.withColumn("_found", F.coalesce(*levels)).where("_found is not null").select("lesson_id", "ord", "_found.*")
 
 
+# Class names of the block.
 def reference_block(version: Column) -> Column:
     """HTML of a reference (columns quote, translation, terms): its first four terms, and the version's note."""
     notes = F.create_map(*(F.lit(x) for kv in NOTES.items() for x in kv))
