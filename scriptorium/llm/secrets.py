@@ -18,8 +18,9 @@ from .common import table
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Kinds of spans, in their order.
 KINDS = ("assign", "access", "hex", "random")
-#: A random string has so many characters, fewer than RATIO for a token, and so many in parts that mix letters with digits.
-SHORTEST, RATIO, MIXED = 20, 2.0, 16
+#: A random string has so many characters, fewer than RATIO for a token, so many in parts that mix letters with digits, and so
+#: many different ones.
+SHORTEST, RATIO, MIXED, DIFFERENT = 20, 2.0, 16, 8
 #: Tokens are counted by pieces of so many characters.
 PIECE = 1024
 
@@ -51,8 +52,8 @@ def patterns(text: str) -> list[tuple[int, int, int]]:
 
 
 def identifies(s: str) -> bool:
-    """A digest, a UUID, or a name: words and numbers joined, without enough of what mixes letters and digits."""
-    if _DIGEST.match(s):
+    """A digest, a UUID, filling, or a name: words and numbers joined, without enough of what mixes letters and digits."""
+    if _DIGEST.match(s) or len(set(s)) < DIFFERENT:
         return True
     rest = _UUID.sub("", s)
     return sum(len(p) for p in _PART.findall(rest) if len(p) > 5 and _LETTER.search(p) and _DIGIT.search(p)) < MIXED
