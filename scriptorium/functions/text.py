@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scriptorium.functions.html import html_text
 from scriptorium.plans.rules import WS, RulePack
 
 
@@ -87,25 +88,11 @@ def html_escape(c: Column) -> Column:
     return reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ESCAPES, c)
 
 
-def html_unescape(c: Column) -> Column:
-    return reduce(lambda x, e: F.replace(x, F.lit(e[1]), F.lit(e[0])), ESCAPES[::-1], c)
-
-
-def html_text(c: Column) -> Column:
-    """Text of HTML: without tags, entities decoded."""
-    return html_unescape(F.regexp_replace(c, "<[^>]+>", ""))
-
-
 def html_text_length(c: Column) -> Column:
     """Characters of HTML's text that aren't white space."""
     return F.length(F.regexp_replace(html_text(c), WS + "+", ""))
 
 
-def section_by_id(html: Column, chunk_id: Column) -> Column:
-    """The <section> with that id, or the whole text where there is none. Sections don't nest."""
-    return F.coalesce(F.regexp_substr(html, F.concat(F.lit('(?s)<section [^>]*id="'), chunk_id, F.lit('">.*?</section>'))), html)
-
-
 def inject_after_meta(html: Column, block: Column, chunk_ids: tuple[str, ...], mark: str) -> Column:
     """Puts a block after the first line of the first of these sections that exists, else before everything; once only."""
     out = F.concat(block, html)

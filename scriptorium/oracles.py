@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from functools import reduce
+from html.entities import html5
 from types import SimpleNamespace
 
+from scriptorium.functions.html import ESCAPABLE, RAW
 from scriptorium.functions.text import ESCAPES, quoted
 from scriptorium.operators import report
 from scriptorium.operators.catalog import COURSES, KEYWORDS, NOTES, PRESETS
@@ -28,6 +30,28 @@ def text_length(c: str) -> str:
     return f"length(regexp_replace({c}, {lit(WS + '+')}, '', 'g'))"
 
 
+# HTML's tokens as in functions.html, without the parts of patterns that RE2 lacks.
+_S = r"\t\n\f\r "
+_REST = rf"""(?:[{_S}/]*[^{_S}/>][^{_S}/>=]*(?:[{_S}]*=[{_S}]*(?:"[^"]*"|'[^']*'|[^{_S}>"'][^{_S}>]*)?)?)*[{_S}/]*>"""
+_TAG = rf"</?[A-Za-z][^{_S}/>]*{_REST}"
+_LONG = "|".join(rf"<{name}(?:[{_S}/]{_REST}|>).*?</{name}(?:[{_S}/][^>]*)?>" for name in RAW + ESCAPABLE)
+_TOKENS = rf"(?si)<!---?>|<!--.*?--!?>|{_LONG}|{_TAG}|<[!?][^>]*>|</[^>]*>|[^<]+|<"
+_REFERENCE = "&(?:#[xX][0-9a-fA-F]+;?|#[0-9]+;?|[A-Za-z][A-Za-z0-9]*;?)|[^&]+|&"
+
+
+def page_texts() -> str:
+    """The text of each page, in pieces: its tokens' texts, and these cut at character references, which a table decodes."""
+    inner = rf"regexp_replace(regexp_replace(token, {lit(f'(?si)^{_TAG}')}, ''), '(?si)</[a-z]+[^<>]*>$', '')"
+    kind = lambda names: f"regexp_matches(token, {lit(f'(?i)^<(?:{chr(124).join(names)})[{_S}/>]')})"
+    names = ", ".join(f"({lit(name)}, {lit(text)})" for name, text in html5.items() if name.endswith(";"))
+    code = "CASE WHEN lower(piece[3]) = 'x' THEN ('0x' || regexp_extract(piece, '[0-9a-fA-F]+', 0))::INTEGER ELSE regexp_extract(piece, '[0-9]+', 0)::INTEGER END"
+    return f"""names(name, meaning) AS (VALUES {names}),
+    tokens AS (SELECT page_id, unnest(t) AS token, generate_subscripts(t, 1) AS i FROM (SELECT page_id, regexp_extract_all(html, {lit(_TOKENS)}) AS t FROM pages)),
+    parts AS (SELECT page_id, i, CASE WHEN NOT starts_with(token, '<') OR token = '<' THEN token WHEN {kind(RAW + ESCAPABLE)} THEN {inner} ELSE '' END AS part, NOT ({kind(RAW)}) AS refers FROM tokens),
+    pieces AS (SELECT page_id, i, refers, unnest(p) AS piece, generate_subscripts(p, 1) AS j FROM (SELECT *, CASE WHEN refers THEN regexp_extract_all(part, {lit(_REFERENCE)}) ELSE [part] END AS p FROM parts)),
+    texts AS (SELECT page_id, i, j, CASE WHEN NOT refers THEN piece WHEN starts_with(piece, '&#') THEN chr({code}) ELSE coalesce(n.meaning, piece) END AS text FROM pieces LEFT JOIN names n ON starts_with(piece, '&') AND n.name = substr(piece, 2))"""
+
+
 def format_chars(c: str) -> str:
     return f"CASE WHEN {c} >= 10000 THEN printf('%.2f', (({c} + 50) // 100) / 100.0) || ' 万字' ELSE greatest(1, ({c} + 50) // 100 * 100)::VARCHAR || ' 字' END"
 
@@ -183,6 +207,9 @@ def resources() -> str:
 _STAMPS = "turns AS (SELECT conv_id, turn, printf('%s 00:%02d:%02d', role, turn // 60 % 60, turn % 60) AS stamp, text FROM conversations), lines AS (SELECT conv_id, turn, unnest([stamp, stamp || '  ' || text, text]) AS line FROM turns)"
 _FLAGS = "[" + ", ".join(map(lit, LATIN.flags)) + "]"
 
+_SIBLINGS = "SELECT doc_id, coalesce(lag(doc_id) OVER (ORDER BY doc_id), max(doc_id) OVER ()) AS prev_id, coalesce(lead(doc_id) OVER (ORDER BY doc_id), min(doc_id) OVER ()) AS next_id FROM documents"
+_INNER = "SELECT doc_id, part, '<section id=\"p' || part || '\">' || string_agg(html, '' ORDER BY chunk_no) || '</section>' AS html FROM (SELECT *, (chunk_no - 1) // 3 AS part FROM html_clean) GROUP BY doc_id, part"
+
 ORACLES = {
     "gen_paragraph": q(L.LINES, "SELECT doc_id, para_no, raw FROM paras"),
     "src_docx": q(L.LINES, "SELECT doc_id, para_no, raw FROM paras"),
@@ -193,6 +220,7 @@ ORACLES = {
     "flt_empty_clean": q(L.KEPT, "SELECT doc_id, para_no, text FROM kept"),
     "flt_noise_flag": q(L.KEPT, f"SELECT doc_id, para_no, {L.noisy_text('text')} AS text FROM cleaned WHERE {L.noise('text')}"),
     "seg_fold": q(L.FOLD, "SELECT doc_id, chunk_no, start_para, end_para, n_paras, raw_chars AS chars FROM chunks"),
+    "seg_fold_long": q(L.FOLD, "SELECT doc_id, chunk_no, start_para, end_para, n_paras, raw_chars AS chars FROM chunks"),
     "gen_chunk": q(L.FOLD, "SELECT doc_id, chunk_no, pos, para_no FROM placed"),
     "agg_chunk_body": q(L.FOLD, "SELECT doc_id, chunk_id, body FROM chunks"),
     "fn_title_first_match": q(L.FOLD, "SELECT doc_id, chunk_id, title FROM chunks"),
@@ -228,7 +256,8 @@ ORACLES = {
     ),
     "out_overview": q(L.STATS, f"SELECT s.doc_id, chunks, {format_chars('raw_chars')} AS raw_size, {format_chars('clean_chars')} AS clean_size, {compression('clean_chars', 'raw_chars')} AS share, coalesce(l.quality, -1)::BIGINT AS quality FROM stats s LEFT JOIN labels l ON l.doc_id = s.doc_id"),
     "out_sample": q(L.STATS, L.SENTENCES[len(L.FOLD) + 2 :], L.STUDY_POINTS, L.HTML_STUDY, f"SELECT s.doc_id, paragraphs, clean_chars, chunks, {lit(LATIN.flags[0])} AS first_flag, coalesce(length(w.html), 0) AS study_length FROM stats s LEFT JOIN ({L.whole('html_study')}) w ON w.doc_id = s.doc_id"),
-    "fn_html_strip": f"SELECT page_id, {text_length('html')} AS chars FROM pages",
+    "fn_html_strip": f"WITH {page_texts()} SELECT page_id, sum(length(regexp_replace(text, {lit(WS + '+')}, '', 'g')))::BIGINT AS chars FROM texts GROUP BY page_id",
+    "fn_html_text": f"WITH {page_texts()} SELECT page_id, md5(string_agg(text, '' ORDER BY i, j)) AS text FROM texts GROUP BY page_id",
     "fn_html_escape": f"SELECT page_id, {escape('html')} AS html FROM pages",
     "fn_basename": "SELECT page_id, string_split(url, '/')[-1] AS name FROM pages",
     "fn_hash_route": "SELECT doc_id, CASE WHEN toxic > 0 THEN '' ELSE doc_id::VARCHAR END AS course_id FROM labels",
@@ -245,13 +274,15 @@ ORACLES = {
     "set_union_cards": "SELECT conv_id, turn, 0::BIGINT AS part FROM conversations WHERE role = 'user' UNION ALL SELECT conv_id, turn, 1 FROM conversations WHERE role <> 'user' UNION ALL (SELECT conv_id, turn, 2 FROM conversations ORDER BY conv_id, turn LIMIT 2)",
     "set_dedupe_prefix": q(L.LINES, f"SELECT doc_id, min(para_no) AS para_no, substr(raw, 1, {LATIN.prefix}) AS prefix FROM paras GROUP BY doc_id, prefix"),
     "join_compare": q(L.FOLD, L.RAW, "SELECT doc_id, chunk_id, length(html) AS raw_length, chunk_no % 2 = 0 AS whole FROM html_raw"),
-    "nav_sibling": "SELECT n_nationkey, coalesce(lag(n_nationkey) OVER (ORDER BY n_nationkey), max(n_nationkey) OVER ()) AS prev_id, coalesce(lead(n_nationkey) OVER (ORDER BY n_nationkey), min(n_nationkey) OVER ()) AS next_id FROM nation",
+    "nav_sibling": _SIBLINGS,
     "limit_head": "SELECT doc_id, lang, source FROM documents ORDER BY doc_id LIMIT 3",
     "flt_course_ui": "SELECT p_partkey, p_name AS title FROM part WHERE (contains(lower(p_name), 'a') OR contains(lower(p_brand), 'a') OR contains(lower(p_type), 'a')) AND p_type = (SELECT min(p_type) FROM part)",
     "out_assets": """WITH lists AS (SELECT conv_id, list(text ORDER BY turn) FILTER (role = 'user') AS points, list(text ORDER BY turn) FILTER (role = 'system') AS examples, [min(text)] AS summary FROM conversations GROUP BY conv_id),
 details AS (SELECT conv_id, CASE WHEN len(points) > 0 THEN points WHEN len(examples) > 0 THEN examples ELSE summary END AS d FROM lists)
 SELECT conv_id, len(d) AS items, d[1] AS first_item FROM details""",
     "fn_section_by_id": q(L.FOLD, L.CLEAN, f"SELECT w.doc_id, md5(coalesce(s.html, w.html)) AS section FROM ({L.whole('html_clean')}) w LEFT JOIN html_clean s ON s.doc_id = w.doc_id AND s.chunk_id = 'c02'"),
+    "fn_element_index": f"SELECT page_id, lower(regexp_extract(token, '^<([A-Za-z0-9]+)', 1)) AS name, count(*) AS elements FROM (SELECT page_id, unnest(regexp_extract_all(html, {lit(_TOKENS)})) AS token FROM pages) WHERE regexp_matches(token, '^<[A-Za-z]') GROUP BY ALL",
+    "fn_section_nested": q(L.FOLD, L.CLEAN, f"inner_parts AS ({_INNER})", "whole_pages AS (SELECT doc_id, string_agg(html, '' ORDER BY part) AS html FROM inner_parts GROUP BY doc_id)", "SELECT w.doc_id, a.id, md5(coalesce(p.html, c.html, w.html)) AS section FROM whole_pages w CROSS JOIN (VALUES ('p0'), ('p1'), ('c05')) a(id) LEFT JOIN inner_parts p ON p.doc_id = w.doc_id AND 'p' || p.part = a.id LEFT JOIN html_clean c ON c.doc_id = w.doc_id AND c.chunk_id = a.id"),
     "fn_inject_block": q(
         L.FOLD, L.CLEAN, f"places AS (SELECT doc_id, html, CASE WHEN contains(html, ' id=\"c02\">') THEN strpos(html, ' id=\"c02\">') ELSE strpos(html, ' id=\"c01\">') END AS s FROM ({L.whole('html_clean')}))",
         "SELECT doc_id, s + strpos(substr(html, s), '</p>') + 3 AS at FROM places",
@@ -276,9 +307,9 @@ ORACLES |= {
 _SHOWN = "title || ' · ' || teacher AS shown, type, status, CASE WHEN review_count > 0 THEN review_count::VARCHAR || ' 条' ELSE '无' END AS review"
 _COURSES = "courses AS (SELECT p_partkey AS id, p_name AS title, p_brand AS teacher, p_type AS type, CASE WHEN p_size % 2 = 0 THEN '已完成' ELSE '处理中' END AS status, (p_size % 3)::BIGINT AS review_count FROM part)"
 _DRAWER = """own AS (SELECT conv_id AS lesson_id, turn // 2 AS ord, role AS type, text AS title FROM conversations WHERE turn % 2 = 0),
-every AS (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS ord, role AS type, text AS title FROM conversations WHERE conv_id < 5),
+every AS (SELECT row_number() OVER (ORDER BY conv_id, turn, text) - 1 AS ord, role AS type, text AS title FROM conversations),
 words AS (SELECT item_id AS ord, 'word' AS type, text AS title FROM (SELECT row_number() OVER (ORDER BY item_id) - 1 AS item_id, text FROM benchmark)),
-asked AS (SELECT DISTINCT conv_id AS lesson_id, turn * 3 AS ord FROM conversations),
+asked AS (SELECT DISTINCT conv_id AS lesson_id, unnest([turn * 3, conv_id * 2 + turn]) AS ord FROM conversations),
 found AS (SELECT a.lesson_id, a.ord, coalesce(o.title, e.title, w.title) AS title, CASE WHEN o.title IS NOT NULL THEN o.type WHEN e.title IS NOT NULL THEN e.type ELSE w.type END AS type, CASE WHEN o.title IS NOT NULL THEN 0 WHEN e.title IS NOT NULL THEN 1 ELSE 2 END::BIGINT AS level
   FROM asked a LEFT JOIN own o ON o.lesson_id = a.lesson_id AND o.ord = a.ord LEFT JOIN every e ON e.ord = a.ord LEFT JOIN words w ON w.ord = a.ord WHERE coalesce(o.title, e.title, w.title) IS NOT NULL)"""
 _STATS_TEXT = "paragraphs::VARCHAR || ' 段 / 原文约 ' || printf('%.2f', round(raw_chars / 10000.0, 2)) || ' 万字 / ' || chunks::VARCHAR || ' 个处理块'"
@@ -301,7 +332,7 @@ ORACLES |= {
     "set_union_materials": "SELECT conv_id, turn, 0::BIGINT AS part FROM conversations WHERE role = 'assistant' UNION ALL SELECT conv_id, turn, 1 FROM conversations WHERE role = 'user' UNION ALL (SELECT conv_id, turn, 2 FROM conversations ORDER BY conv_id, turn LIMIT 1)",
     "set_union_review": f"SELECT doc_id, generate_subscripts(items, 1) AS ord, unnest(items) AS item FROM (SELECT d.doc_id, list_concat([{', '.join(map(lit, LATIN.flags))}], coalesce(r.items, [])) AS items FROM documents d LEFT JOIN (SELECT conv_id, list(text ORDER BY turn) AS items FROM conversations WHERE role = 'user' GROUP BY conv_id) r ON r.conv_id = d.doc_id)",
     "out_side": q(resources(), "scoped AS (SELECT *, count(*) FILTER (chunk_id = 'c02') OVER w AS here, row_number() OVER (w ORDER BY ord) AS n FROM resources WINDOW w AS (PARTITION BY lesson_id, kind))", "SELECT lesson_id, kind, row_number() OVER (PARTITION BY lesson_id, kind ORDER BY ord) AS place, upper(chunk_id) AS label, title FROM scoped WHERE CASE WHEN here > 0 THEN chunk_id = 'c02' ELSE n <= 3 END"),
-    "nav_sibling_unknown": "SELECT a.c_nationkey AS n_nationkey, s.prev_id, s.next_id FROM (SELECT DISTINCT c_nationkey + 10 AS c_nationkey FROM customer) a JOIN (SELECT n_nationkey, coalesce(lag(n_nationkey) OVER (ORDER BY n_nationkey), max(n_nationkey) OVER ()) AS prev_id, coalesce(lead(n_nationkey) OVER (ORDER BY n_nationkey), min(n_nationkey) OVER ()) AS next_id FROM nation) s ON s.n_nationkey = CASE WHEN a.c_nationkey IN (SELECT n_nationkey FROM nation) THEN a.c_nationkey ELSE (SELECT min(n_nationkey) FROM nation) END",
+    "nav_sibling_unknown": f"SELECT a.doc_id, s.prev_id, s.next_id FROM (SELECT c_custkey * 3 AS doc_id FROM customer) a JOIN ({_SIBLINGS}) s ON s.doc_id = CASE WHEN a.doc_id IN (SELECT doc_id FROM documents) THEN a.doc_id ELSE (SELECT min(doc_id) FROM documents) END",
     "join_lesson_fallback": "WITH first AS (SELECT * FROM labels WHERE doc_id = (SELECT min(doc_id) FROM labels)) SELECT d.doc_id, coalesce(l.quality, f.quality)::BIGINT AS quality, coalesce(l.toxic, f.toxic)::BIGINT AS toxic, l.doc_id IS NOT NULL AS known FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id CROSS JOIN first f",
     "out_sample_html": q(
         L.STATS, L.SENTENCES[len(L.FOLD) + 2 :], L.digest(), L.STUDY_POINTS, L.OUTLINE_POINTS, L.RAW, L.CLEAN, L.HTML_DIGEST, L.HTML_STUDY, L.HTML_OUTLINE,

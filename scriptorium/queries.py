@@ -9,10 +9,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scriptorium.functions import html
 from scriptorium.functions import text as T
-from scriptorium.operators import catalog, report
+from scriptorium.operators import catalog, long_documents, report
 from scriptorium.operators import sections as S
 from scriptorium.operators import sentences as N
+from scriptorium.operators.positions import circular_siblings, positions, sibling
 from scriptorium.plans.rules import LATIN, LECTURE_CLASSICAL, LECTURE_ESSAY, LECTURE_WORDS, PACKS
 from scriptorium.sources.text import docx_texts, from_json, paragraphs, registry, to_docx, to_json
 
@@ -104,6 +106,12 @@ def seg_fold(spark, d):
     return longs(s, "chunk_no", "start_para", "end_para", "n_paras", "chars")
 
 
+@query
+def seg_fold_long(spark, d):
+    """The same sections from rows of paragraphs, in blocks of 8192 characters: a document is spread over tasks."""
+    return longs(long_documents.sections(paragraphs(docs_of(spark, d)), P, block=8192), "chunk_no", "start_para", "end_para", "n_paras", "chars")
+
+
 @query
 def gen_chunk(spark, d):
     return longs(S.section_paragraphs(sections_of(spark, d)).select("doc_id", "chunk_no", "pos", "para_no"), "chunk_no", "pos", "para_no")
@@ -267,6 +275,11 @@ def fn_html_strip(spark, d):
     return table(spark, d, "pages").select("page_id", T.html_text_length(F.col("html")).cast("long").alias("chars"))
 
 
+@query
+def fn_html_text(spark, d):
+    return table(spark, d, "pages").select("page_id", F.md5(html.html_text(F.col("html")).cast("binary")).alias("text"))
+
+
 @query
 def fn_html_escape(spark, d):
     return table(spark, d, "pages").select("page_id", T.html_escape(F.col("html")).alias("html"))
@@ -372,7 +385,7 @@ def join_compare(spark, d):
 
 @query
 def nav_sibling(spark, d):
-    return S.circular_siblings(table(spark, d, "nation").select("n_nationkey"), "n_nationkey", "n_nationkey")
+    return circular_siblings(table(spark, d, "documents").select("doc_id"), "doc_id", "doc_id")
 
 
 @query
@@ -398,7 +411,25 @@ def out_assets(spark, d):
 @query
 def fn_section_by_id(spark, d):
     whole = report.render(sections_of(spark, d), P, "clean")
-    return whole.select("doc_id", F.md5(T.section_by_id(F.col("html"), F.lit("c02")).cast("binary")).alias("section"))
+    found = html.element_by_id(whole, whole.select("doc_id", F.lit("c02").alias("id")), "doc_id", "html")
+    return found.select("doc_id", F.md5(F.col("element").cast("binary")).alias("section"))
+
+
+@query
+def fn_section_nested(spark, d):
+    """Sections within parts of three: a part by its id, with the sections that it holds."""
+    s = report.render_sections(sections_of(spark, d), P, "clean").withColumn("part", F.floor((F.col("chunk_no") - 1) / 3))
+    inner = s.groupBy("doc_id", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "html"))), lambda x: x["html"]), "").alias("html"))
+    parts = inner.withColumn("html", report.tag("section", F.col("html"), attrs=F.format_string('id="p%d"', "part")))
+    pages = parts.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "html"))), lambda x: x["html"]), "").alias("html"))
+    asked = pages.select("doc_id", F.explode(F.array(*map(F.lit, ("p0", "p1", "c05")))).alias("id"))
+    return html.element_by_id(pages, asked, "doc_id", "html").select("doc_id", "id", F.md5(F.col("element").cast("binary")).alias("section"))
+
+
+@query
+def fn_element_index(spark, d):
+    """How many elements of each name the index of a page has."""
+    return html.element_index(table(spark, d, "pages"), "page_id", "html", identified=False).groupBy("page_id", "name").agg(F.count("*").alias("elements"))
 
 
 @query
@@ -521,11 +552,11 @@ def fn_overview(spark, d):
 
 def drawers(spark, d):
     turns = table(spark, d, "conversations").select(F.col("conv_id").alias("lesson_id"), F.col("turn").cast("long").alias("turn"), F.col("role").alias("type"), F.col("text").alias("title"))
-    place = lambda *order: (F.row_number().over(Window.orderBy(*order)) - 1).cast("long")
     own = turns.where("turn % 2 = 0").withColumn("ord", F.floor(F.col("turn") / 2))
-    every = turns.where("lesson_id < 5").withColumn("ord", place("lesson_id", "turn"))
-    words = table(spark, d, "benchmark").select(place("item_id").alias("ord"), F.lit("word").alias("type"), F.col("text").alias("title"))
-    return catalog.drawer(turns.select("lesson_id", (F.col("turn") * 3).alias("ord")).distinct(), own, every, words, ["type", "title"])
+    every = positions(turns, "lesson_id", "turn", "title")
+    words = positions(table(spark, d, "benchmark").select("item_id", F.lit("word").alias("type"), F.col("text").alias("title")), "item_id")
+    asked = turns.select("lesson_id", F.explode(F.array(F.col("turn") * 3, F.col("lesson_id") * 2 + F.col("turn"))).alias("ord")).distinct()
+    return catalog.drawer(asked, own, every, words, ["type", "title"])
 
 
 @query
@@ -535,8 +566,8 @@ def join_drawer(spark, d):
 
 @query
 def out_drawer(spark, d):
-    html = F.concat(report.tag("p", T.html_escape(F.col("type")), attrs='class="page-kicker"'), report.tag("h2", T.html_escape(F.col("title"))))
-    return drawers(spark, d).select("lesson_id", "ord", html.alias("html"))
+    shown = F.concat(report.tag("p", T.html_escape(F.col("type")), attrs='class="page-kicker"'), report.tag("h2", T.html_escape(F.col("title"))))
+    return drawers(spark, d).select("lesson_id", "ord", shown.alias("html"))
 
 
 @query
@@ -575,8 +606,8 @@ def out_side(spark, d):
 @query
 def nav_sibling_unknown(spark, d):
     """Ids that aren't in the list have the siblings of its first item."""
-    asked = table(spark, d, "customer").select((F.col("c_nationkey") + 10).alias("n_nationkey")).distinct()
-    return S.sibling(table(spark, d, "nation").select("n_nationkey"), asked, "n_nationkey", "n_nationkey")
+    asked = table(spark, d, "customer").select((F.col("c_custkey") * 3).alias("doc_id"))
+    return sibling(table(spark, d, "documents").select("doc_id"), asked, "doc_id", "doc_id")
 
 
 @query

@@ -45,11 +45,6 @@ def test_a_version_without_such_sections_is_shown_whole(spark, docs):
         assert ('class="outline-list"' in r.version_html) == (r.chunk_id != "c01")
 
 
-def test_long_circular_lists_are_refused(spark):
-    with pytest.raises(ValueError):
-        S.circular_siblings(spark.range(5), "id", "id", most=4)
-
-
 def test_tables_of_a_catalogue(spark, tmp_path):
     (tmp_path / "words.json").write_text('{"ord": 0, "title": "凝练", "points": ["a", "b"]}\n', encoding="utf-8")
     (row,) = catalog.read_table(spark, str(tmp_path / "words.json"), "words").collect()
