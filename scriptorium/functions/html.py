@@ -165,13 +165,32 @@ def element_index(pages: DataFrame, key: str, html: str, identified: bool = True
     return pages.select(key, html).mapInArrow(work, f"`{key}` {kind}, id string, name string, begin long, end long, depth long")
 
 
-def element_by_id(pages: DataFrame, asked: DataFrame, key: str, html: str) -> DataFrame:
-    """asked (key, id) with element: the HTML of the first element with that id, the whole page where there is none.
+def elements_by_id(pages: DataFrame, key: str, html: str, ids: Column) -> DataFrame:
+    """key, id, element: for each page and each of `ids` (an array), the HTML of the first element with that id, the whole page
+    where there is none. One pass: a page is indexed once for all ids that are asked for. Null pages give nothing."""
+    kind = pages.schema[key].dataType.simpleString()
 
-    The index is made once for all ids that are asked for; keys need to be unique among the pages.
-    """
-    index = element_index(pages, key, html).join(asked.select(key, "id").distinct(), [key, "id"], "left_semi")
-    first = index.groupBy(key, "id").agg(F.min_by(F.struct("begin", "end"), F.struct("begin", -F.col("end"))).alias("_at"))
-    found = asked.join(first, [key, "id"], "left").join(pages.select(key, F.col(html).alias("_html")), key)
-    piece = F.substr("_html", (F.col("_at.begin") + 1).cast("int"), (F.col("_at.end") - F.col("_at.begin")).cast("int"))
-    return found.select(*asked.columns, F.when(F.col("_at").isNull(), F.col("_html")).otherwise(piece).alias("element"))
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, asked, out = [], [], []
+            for i, (text, wanted) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                if text is None or not wanted:
+                    continue
+                places: dict[str, tuple[int, int]] = {}
+                for _, own, begin, end, _ in sorted(_elements(text), key=lambda e: (e[2], -e[3])):
+                    if own is not None:
+                        places.setdefault(own, (begin, end))
+                for one in wanted:
+                    begin, end = places.get(one, (0, len(text)))
+                    at.append(i)
+                    asked.append(one)
+                    out.append(text[begin:end])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(asked, pa.string()), pa.array(out, pa.string())], [key, "id", "element"])
+
+    return pages.select(key, F.col(html).alias("_html"), ids.alias("_ids")).mapInArrow(work, f"`{key}` {kind}, id string, element string")
+
+
+def element_by_id(pages: DataFrame, asked: DataFrame, key: str, html: str) -> DataFrame:
+    """As elements_by_id, for a table of what is asked (key, id); rows asked twice are answered twice."""
+    wanted = asked.groupBy(key).agg(F.collect_list("id").alias("_wanted"))
+    return elements_by_id(pages.join(wanted, key), key, html, F.col("_wanted"))

@@ -24,10 +24,31 @@ def kept_paragraphs(paragraphs: DataFrame, pack: RulePack) -> DataFrame:
     return rows.where(F.length("text") > 0).withColumn("text", T.mark_noise(F.col("text"), pack))
 
 
-def _next(before: np.ndarray, size: np.ndarray, most: int) -> np.ndarray:
-    """For each paragraph, taken as a section's first, the place of the next section's first (len: not among these)."""
-    place = np.searchsorted(before + size, before + most, "right")
-    return np.maximum(place, np.arange(len(size)) + 1)
+class Blocks:
+    """Blocks of some documents, one after the other: `order` (of the table's rows), `no`, `before`, `size`, `block` in it; for each
+    row its block's end (`end`), and the end of the block's own rows (`own_end`), after which come those of the next block."""
+
+    def __init__(self, table: pa.Table, more: pa.Table | None = None):
+        ids = [table.column("doc_id"), *([more.column("doc_id")] if more is not None else [])]
+        codes = pa.chunked_array([c for x in ids for c in x.chunks], ids[0].type).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+        doc, self.other = codes[: len(table)], codes[len(table) :]
+        no, block, before, size, own = (table.column(c).to_numpy() for c in ("_no", "block", "_before", "n", "own"))
+        self.order = np.lexsort((no, block, doc))
+        self.doc, self.no, self.block, self.before, self.size, self.own = (x[self.order] for x in (doc, no, block, before, size, own))
+        new = np.append(True, (np.diff(self.doc) != 0) | (np.diff(self.block) != 0))[: len(no)]
+        self.first = np.flatnonzero(new)
+        self.part = np.cumsum(new) - 1
+        many = np.diff(np.append(self.first, len(no)))
+        self.end = (self.first + many)[self.part]
+        self.own_end = self.first[self.part] + np.bincount(self.part[self.own], minlength=len(self.first))[self.part]
+
+    def next(self, most: int) -> np.ndarray:
+        """For each paragraph, taken as a section's first, the next section's first one (its block's end: not among these)."""
+        if not len(self.no):
+            return self.no
+        inside = self.before - self.before[self.first][self.part]
+        apart = self.part * int((inside + self.size).max() + most + 1)  # blocks follow each other on one line
+        return np.maximum(np.searchsorted(apart + inside + self.size, apart + inside + most, "right"), np.arange(len(self.no)) + 1)
 
 
 def _blocks(rows: DataFrame, most: int, block: int) -> DataFrame:
@@ -54,31 +75,25 @@ def fold(paragraphs: DataFrame, most: int, block: int = BLOCK) -> DataFrame:
     kind = paragraphs.schema["doc_id"].dataType.simpleString()
     rows = written(_blocks(running(paragraphs.select("doc_id", "para_no", F.col("n").cast("long").alias("n")), ["doc_id"], ["para_no"], "n"), most, block))
 
-    def ordered(group: pa.Table) -> tuple[np.ndarray, ...]:
-        no, before, size, own = (group.column(c).to_numpy() for c in ("_no", "_before", "n", "own"))
-        order = np.argsort(no)
-        return order, no[order], before[order], size[order], int(own.sum())
-
-    def pointers(key, group):
-        number = key[1].as_py()
-        _, no, before, size, many = ordered(group)
-        after = np.append(_next(before, size, most), len(no))
-        out = after.copy()
-        while (out[:many] < many).any():
-            out = np.where(out < many, out[out], out)
-        entries = np.flatnonzero((before[:many] - number * block <= most) | (np.arange(many) == 0)) if many else np.zeros(0, np.int64)
-        last = np.where(after < many, after, np.arange(len(after)))  # the last beginning in the block that each one leads to
-        for _ in range(int(many).bit_length()):
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    tasks = F.pmod(F.xxhash64("doc_id", "block"), F.lit(max(1, total // (4 * BLOCK)))).alias("task")  # small blocks share a task
+
+    def pointers(_, group):
+        b = Blocks(group)
+        after, here = b.next(most), np.arange(len(b.no))
+        last, to = np.where(after < b.own_end, after, here), after
+        while len(last) and (last[last] != last).any():  # the last beginning in the block that each one leads to
             last = last[last]
-        to = out[entries]
-        known = to < len(no)
-        begin = last[entries]
-        beyond = ~known & (size[begin] > most) if len(entries) else known  # a long paragraph: its end is known, what follows isn't here
-        to_no = np.where(known, no[np.minimum(to, len(no) - 1)], np.where(beyond, no[begin] + 1, 0)) if len(entries) else entries
-        at = np.where(known, before[np.minimum(to, len(no) - 1)], before[begin] + size[begin]) if len(entries) else entries
-        return pa.table({"doc_id": pa.array([key[0].as_py()] * len(entries), group.schema.field("doc_id").type), "block": pa.array(np.full(len(entries), number)), "no": pa.array(no[entries]), "to_block": pa.array(at // block), "to_no": pa.array(to_no)})
-
-    jumps = written(rows.groupBy("doc_id", "block").applyInArrow(pointers, f"doc_id {kind}, block long, no long, to_block long, to_no long"))
+        to = after[last]
+        entry = np.flatnonzero(b.own & ((b.before - b.block * block <= most) | np.isin(here, b.first)))
+        begin, to = last[entry], to[entry]
+        known, at = to < b.end[entry], np.minimum(to, len(b.no) - 1)
+        beyond = ~known & (b.size[begin] > most)  # of a long paragraph the end is known, though what follows isn't here
+        to_no = np.where(known, b.no[at], np.where(beyond, b.no[begin] + 1, 0))
+        place = np.where(known, b.before[at], b.before[begin] + b.size[begin])
+        return pa.table({"doc_id": group.column("doc_id").take(pa.array(b.order[entry])), "block": pa.array(b.block[entry]), "no": pa.array(b.no[entry]), "to_block": pa.array(place // block), "to_no": pa.array(to_no)})
+
+    jumps = written(rows.groupBy(tasks).applyInArrow(pointers, f"doc_id {kind}, block long, no long, to_block long, to_no long"))
     marked = jumps.where("no = 1").select("doc_id", "block", "no")
     longest = jumps.agg(F.max("block")).first()[0] or 0
     for _ in range(math.ceil(math.log2(longest + 1))):
@@ -88,18 +103,27 @@ def fold(paragraphs: DataFrame, most: int, block: int = BLOCK) -> DataFrame:
         marked = written(marked.unionByName(m).distinct())
         jumps = written(a.join(b, same).select("a.doc_id", "a.block", "a.no", "b.to_block", "b.to_no"))
 
-    def begun(key, group, entry):
-        order, no, before, size, many = ordered(group)
-        after, begins = _next(before, size, most), np.zeros(len(no), np.int64)
-        at = int(np.searchsorted(no, min(entry.column("no").to_pylist(), default=no.max(initial=0) + 1)))  # one, or also a place after the last paragraph
-        while at < many:
-            begins[at] = 1
-            at = int(after[at])
-        pick = pa.array(order[:many])
-        return pa.table({"doc_id": group.column("doc_id").take(pick), "para_no": group.column("para_no").take(pick), "block": group.column("block").take(pick), "local": pa.array(np.cumsum(begins)[:many]), "begins": pa.array(np.full(many, begins.sum()))})
+    def begun(_, group, entries):
+        b = Blocks(group, entries)
+        after, own_end, begins = b.next(most).tolist(), b.own_end.tolist(), np.zeros(len(b.no), np.int64)
+        starts: dict[tuple[int, int], int] = {}
+        for doc, number, no in zip(b.other.tolist(), entries.column("block").to_pylist(), entries.column("no").to_pylist()):
+            starts[doc, number] = min(no, starts.get((doc, number), no))  # one, or also a place after the last paragraph
+        for f in b.first.tolist():
+            no = starts.get((int(b.doc[f]), int(b.block[f])))
+            at = f + int(np.searchsorted(b.no[f : b.own_end[f]], no)) if no is not None else own_end[f]
+            while at < own_end[f]:
+                begins[at] = 1
+                at = after[at]
+        upto = np.cumsum(begins)
+        lead = (upto - begins)[b.first][b.part]
+        all_of = np.bincount(b.part, begins, len(b.first)).astype(np.int64)[b.part]
+        pick = np.flatnonzero(b.own)
+        rows_of = pa.array(b.order[pick])
+        return pa.table({"doc_id": group.column("doc_id").take(rows_of), "para_no": group.column("para_no").take(rows_of), "block": pa.array(b.block[pick]), "local": pa.array((upto - lead)[pick]), "begins": pa.array(all_of[pick])})
 
     para = paragraphs.schema["para_no"].dataType.simpleString()
-    local = rows.groupBy("doc_id", "block").cogroup(marked.groupBy("doc_id", "block")).applyInArrow(begun, f"doc_id {kind}, para_no {para}, block long, local long, begins long")
+    local = rows.groupBy(tasks).cogroup(marked.groupBy(tasks)).applyInArrow(begun, f"doc_id {kind}, para_no {para}, block long, local long, begins long")
     local = written(local)
     earlier = Window.partitionBy("doc_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
     lead = local.groupBy("doc_id", "block").agg(F.first("begins").alias("_begins")).select("doc_id", "block", F.coalesce(F.sum("_begins").over(earlier), F.lit(0)).alias("_lead"))

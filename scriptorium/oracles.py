@@ -208,6 +208,7 @@ _STAMPS = "turns AS (SELECT conv_id, turn, printf('%s 00:%02d:%02d', role, turn
 _FLAGS = "[" + ", ".join(map(lit, LATIN.flags)) + "]"
 
 _SIBLINGS = "SELECT doc_id, coalesce(lag(doc_id) OVER (ORDER BY doc_id), max(doc_id) OVER ()) AS prev_id, coalesce(lead(doc_id) OVER (ORDER BY doc_id), min(doc_id) OVER ()) AS next_id FROM documents"
+_LEXICON = r"lexicon AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\p{L}{4,}')) AS word FROM benchmark)"
 _INNER = "SELECT doc_id, part, '<section id=\"p' || part || '\">' || string_agg(html, '' ORDER BY chunk_no) || '</section>' AS html FROM (SELECT *, (chunk_no - 1) // 3 AS part FROM html_clean) GROUP BY doc_id, part"
 
 ORACLES = {
@@ -232,6 +233,8 @@ ORACLES = {
     "rank_study_score": q(L.SENTENCES, f"SELECT doc_id, chunk_no, ord, {L.STUDY} AS score FROM sentences WHERE {L.STUDY} > 0"),
     "rank_digest_score": q(L.SENTENCES, f"SELECT doc_id, chunk_no, ord, {L.DIGEST} AS score FROM sentences WHERE {L.DIGEST} > 0"),
     "agg_keyword_score": q(L.SENTENCES, f"SELECT doc_id, chunk_no, ord, {L.words('sentence', LATIN.study_words)} AS score FROM sentences"),
+    "agg_lexicon_score": q(L.SENTENCES, _LEXICON, "SELECT doc_id, chunk_no, ord, 2 * count(*) AS score FROM sentences JOIN lexicon ON contains(sentence, word) GROUP BY ALL"),
+    "agg_lexicon_words": f"WITH {_LEXICON} SELECT word, count(*) AS documents FROM documents JOIN lexicon ON contains(text, word) GROUP BY word",
     "topk_study": q(L.SENTENCES, L.STUDY_POINTS, "SELECT * FROM study"),
     "topk_outline": q(L.SENTENCES, L.OUTLINE_POINTS, "SELECT * FROM outline"),
     "topk_fallback": q(L.SENTENCES, L.NO_POINTS, "SELECT * FROM study"),
@@ -341,3 +344,4 @@ ORACLES |= {
     ),
 }
 ORACLES["join_compare"] = q(L.FOLD, L.RAW, L.CLEAN, "SELECT r.doc_id, r.chunk_id, length(r.html) AS raw_length, md5(c.html) AS version FROM html_raw r JOIN html_clean c ON c.doc_id = r.doc_id AND c.chunk_id = r.chunk_id")
+ORACLES["snk_document"] = ORACLES["out_sample_html"]

@@ -8,6 +8,10 @@ from dataclasses import dataclass, field
 WS = r"[\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
+#: Runs of white space that aren't one blank already.
+RUNS = rf" {WS}+|{WS.replace(chr(92) + 'x1C-' + chr(92) + 'x20', chr(92) + 'x1C-' + chr(92) + 'x1F')}{WS}*"
+
+
 @dataclass(frozen=True)
 class TitleRule:
     """title applies if, for every group, the text contains one of the group's words."""
@@ -68,14 +72,15 @@ _ZH_CLEAN = (
     (r"懂了吗[？?，,。 ]*", ""),
     (r"好[，,。 ]*(?=第|接下来|我们|那么|来|翻|往下)", ""),
     (r"这个这个|那个那个|就就|把把|的的的", ""),
-    (WS + "+", " "),
+    (RUNS, " "),
 )
 # The same for RE2: no look-ahead, no switch for Unicode classes.
 _ZH_SQL = (
     (r"(?i)\bMm+\b|hmm|yes", ""),
     *_ZH_CLEAN[1:7],
     (r"好[，,。 ]*(第|接下来|我们|那么|来|翻|往下)", r"\1"),
-    *_ZH_CLEAN[8:],
+    _ZH_CLEAN[8],
+    (WS + "+", " "),
 )
 _ZH_REPLACE = (("罪首", "醉叟"), ("最手", "醉叟"), ("醉手", "醉叟"), ("古兽行销", "骨瘦形销"))
 _ZH_STUDY = (
@@ -137,7 +142,7 @@ LATIN = RulePack(
         (r"(?i)\byou know\b[?,. ]*", ""),
         (r"(?i)\bok[,. ]+(?=so|then|now|next)", ""),
         (r"(?i)\b(the the|and and|of of)\b", ""),
-        (WS + "+", " "),
+        (RUNS, " "),
     ),
     sql_clean=(
         (r"(?i)\b(u+h+m*|hmm+|e+h+)\b", ""),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
@@ -11,12 +12,15 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import html
 from scriptorium.functions import text as T
+from scriptorium.functions.automaton import with_words
 from scriptorium.operators import catalog, long_documents, report
 from scriptorium.operators import sections as S
 from scriptorium.operators import sentences as N
 from scriptorium.operators.positions import circular_siblings, positions, sibling
 from scriptorium.plans.rules import LATIN, LECTURE_CLASSICAL, LECTURE_ESSAY, LECTURE_WORDS, PACKS
-from scriptorium.sources.text import docx_texts, from_json, paragraphs, registry, to_docx, to_json
+from scriptorium.sources.document_file import read_document, write_document
+from scriptorium.sources.shared import shared_folder
+from scriptorium.sources.text import dealt, docx_texts, from_json, paragraphs, registry, to_docx, to_json
 
 P = LATIN
 #: Nothing scores: every section falls back on its paragraphs.
@@ -170,6 +174,28 @@ def agg_keyword_score(spark, d):
     return longs(N.sentences(sections_of(spark, d), P).select("doc_id", "chunk_no", "ord", T.word_score(F.col("sentence"), P.study_words).alias("score")), "chunk_no", "ord", "score")
 
 
+def lexicon(spark, d):
+    """Words of four letters and more in the texts of `benchmark`, a table that doesn't grow."""
+    words = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"(\p{L}{4,})"))).alias("w")).distinct()
+    return sorted(r.w for r in words.collect())
+
+
+@query
+def agg_lexicon_score(spark, d):
+    """Two for each word of a lexicon in a sentence: all words are looked for in one pass."""
+    rows = N.sentences(sections_of(spark, d), P).select("doc_id", "chunk_no", "ord", "sentence")
+    found = with_words(rows, "sentence", lexicon(spark, d)).select("doc_id", "chunk_no", "ord", (2 * F.size("found")).alias("score")).where("score > 0")
+    return longs(found, "chunk_no", "ord", "score")
+
+
+@query
+def agg_lexicon_words(spark, d):
+    """Documents in which each word of the lexicon stands."""
+    words = lexicon(spark, d)
+    found = with_words(dealt(docs_of(spark, d)), "text", words).select(F.explode("found.word").alias("word")).groupBy("word").agg(F.count("*").alias("documents"))
+    return found.select(F.element_at(F.lit(words), F.col("word") + 1).alias("word"), "documents")
+
+
 @query
 def topk_study(spark, d):
     return longs(N.study_points(sections_of(spark, d), P, P.study_limit), "chunk_no", "rank")
@@ -411,19 +437,18 @@ def out_assets(spark, d):
 @query
 def fn_section_by_id(spark, d):
     whole = report.render(sections_of(spark, d), P, "clean")
-    found = html.element_by_id(whole, whole.select("doc_id", F.lit("c02").alias("id")), "doc_id", "html")
+    found = html.elements_by_id(whole, "doc_id", "html", F.array(F.lit("c02")))
     return found.select("doc_id", F.md5(F.col("element").cast("binary")).alias("section"))
 
 
 @query
 def fn_section_nested(spark, d):
     """Sections within parts of three: a part by its id, with the sections that it holds."""
-    s = report.render_sections(sections_of(spark, d), P, "clean").withColumn("part", F.floor((F.col("chunk_no") - 1) / 3))
-    inner = s.groupBy("doc_id", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "html"))), lambda x: x["html"]), "").alias("html"))
-    parts = inner.withColumn("html", report.tag("section", F.col("html"), attrs=F.format_string('id="p%d"', "part")))
-    pages = parts.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "html"))), lambda x: x["html"]), "").alias("html"))
-    asked = pages.select("doc_id", F.explode(F.array(*map(F.lit, ("p0", "p1", "c05")))).alias("id"))
-    return html.element_by_id(pages, asked, "doc_id", "html").select("doc_id", "id", F.md5(F.col("element").cast("binary")).alias("section"))
+    rows = report.whole_versions(sections_of(spark, d), P, ("clean",))
+    own = lambda p: F.array_join(F.transform(F.slice("rows", p * 3 + 1, 3), lambda r: r["html_clean"]), "")
+    part = lambda p: F.concat(F.lit('<section id="p'), p.cast("string"), F.lit('">'), own(p), F.lit("</section>"))
+    pages = rows.select("doc_id", F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.size("rows") - 1) / 3).cast("int")), part), "").alias("html"))
+    return html.elements_by_id(pages, "doc_id", "html", F.array(*map(F.lit, ("p0", "p1", "c05")))).select("doc_id", "id", F.md5(F.col("element").cast("binary")).alias("section"))
 
 
 @query
@@ -508,15 +533,27 @@ def src_generated(spark, d):
     return from_json(snk_json(spark, d), RESULT).select("doc_id", "paragraphs", "raw_chars", "chunks")
 
 
-@query
-def out_sample_html(spark, d):
-    """All of a result's sections and versions, as digests."""
-    s = report.samples(docs_of(spark, d), sections_of(spark, d), P)
+def digests(s):
+    """Of nested results, all sections and versions as digests."""
     md5 = lambda c: F.md5(c.cast("binary"))
     chunk = lambda c: F.concat_ws("|", *(c[k].cast("string") for k in ("id", "title", "start_para", "end_para", "chars", "raw_html")))
     return s.select("doc_id", md5(F.array_join(F.transform("chunks", chunk), "\n")).alias("chunks"), *(md5(F.element_at("versions", v)).alias(v) for v in report.VERSIONS))
 
 
+@query
+def out_sample_html(spark, d):
+    return digests(report.samples(docs_of(spark, d), sections_of(spark, d), P))
+
+
+@query
+def snk_document(spark, d):
+    """Nested results written as one JSON document, with what a script needs around it, and read again from its files."""
+    results = report.samples(docs_of(spark, d), sections_of(spark, d), P)
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    write_document(results, path, prefix="window.samples = ", suffix=";")
+    return digests(read_document(spark, path, results.schema.simpleString()))
+
+
 def courses_of(spark, d):
     done = F.when(F.col("p_size") % 2 == 0, "已完成").otherwise("处理中")
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("teacher"), F.col("p_type").alias("type"), done.alias("status"), (F.col("p_size") % 3).cast("long").alias("review_count"))
