@@ -19,13 +19,17 @@ LABELLED, POOL = 4000, 4000
 ROUNDS, CONFIDENT, EXCHANGED = 4, 0.95, 0.05
 #: Documents whose combined probability is below this are rejected.
 THRESHOLD = 0.5
-#: Sizes of the views' feature vectors: byte shares and text shape; hashed source and language, length class.
-SHAPE, SOURCES, LANGS, LENGTHS = 12, 64, 16, 14
-TEXT, META = 128 + SHAPE, SOURCES + LANGS + LENGTHS
+#: A view counts if its area under the curve on held-out labels is above one half by so much, and by two standard errors.
+MARGIN = 0.1
+#: Parts of the labels where too few are held out.
+FOLDS = 5
+#: Sizes of the views' feature vectors: byte shares, text shape and hashed words; hashed source and language, length class.
+SHAPE, WORDS, SOURCES, LANGS, LENGTHS = 12, 256, 64, 16, 14
+TEXT, META = 128 + SHAPE + WORDS, SOURCES + LANGS + LENGTHS
 
 
 def text_view(texts: list[bytes]) -> np.ndarray:
-    """Features of texts: shares of bytes, and shape (capitals, digits, marks, repetition of words and lines, lengths)."""
+    """Features of texts: shares of bytes, shape (capitals, digits, marks, repetition of words and lines, lengths), shares of words."""
     out = np.zeros((len(texts), TEXT))
     for a, b in common.runs(texts):
         w = common.Words(texts[a:b])
@@ -39,6 +43,8 @@ def text_view(texts: list[bytes]) -> np.ndarray:
         np.maximum.at(top, row_of_word[order][new], size)
         words = np.diff(w.first)
         letters = np.bincount(row_of_word, w.end - w.start, b - a)
+        bucket = (hashes >> np.uint64(40)).astype(np.int64) % WORDS
+        shares = np.bincount(row_of_word * WORDS + bucket, minlength=(b - a) * WORDS).reshape(b - a, WORDS) / np.maximum(1, words)[:, None]
         for i in range(a, b):
             data = w.data[w.base[i - a] : w.base[i - a + 1] - 1]
             n = max(1, len(data))
@@ -52,17 +58,19 @@ def text_view(texts: list[bytes]) -> np.ndarray:
                 np.log1p(words[k]), letters[k] / max(1, words[k]) / 10, float(len(data) == 0),
             ]
             out[i, :128] = np.sqrt(count[:128] / n)
-            out[i, 128:] = shape
+            out[i, 128 : 128 + SHAPE] = shape
+        out[a:b, 128 + SHAPE :] = np.sqrt(shares)
     return out
 
 
 def meta_view(source: list, lang: list, n_chars: list) -> np.ndarray:
     """Features of metadata; null is a value of its own."""
-    out = np.zeros((len(source), META))
-    for i, (s, g, n) in enumerate(zip(source, lang, n_chars)):
-        out[i, zlib.crc32(repr(s).encode()) % SOURCES] = 1
-        out[i, SOURCES + zlib.crc32(repr(g).encode()) % LANGS] = 1
-        out[i, SOURCES + LANGS + min(LENGTHS - 1, 0 if n is None or n < 0 else 1 + int(np.log2(1 + n) / 1.5))] = 1
+    out, at = np.zeros((len(source), META)), np.arange(len(source))
+    for values, first, many in ((source, 0, SOURCES), (lang, SOURCES, LANGS)):
+        place = {v: first + zlib.crc32(repr(v).encode()) % many for v in set(values)}
+        out[at, np.fromiter((place[v] for v in values), np.int64, len(values))] = 1
+    n = np.array([-1 if v is None else v for v in n_chars], float)
+    out[at, SOURCES + LANGS + np.minimum(LENGTHS - 1, np.where(n < 0, 0, 1 + (np.log2(1 + np.maximum(n, 0)) / 1.5).astype(int)))] = 1
     return out
 
 
@@ -79,7 +87,7 @@ class Logistic:
         rate = 1 / (0.25 * max(1.0, np.einsum("ij,ij->", z, z) / len(z) / 4) + penalty)
         w = ahead = np.zeros(z.shape[1])
         for t in range(steps):
-            slope = np.einsum("i,ij->j", sigmoid(np.einsum("ij,j->i", z, ahead)) - y, z) / len(z) + penalty * ahead
+            slope = (sigmoid(z @ ahead) - y) @ z / len(z) + penalty * ahead
             new = ahead - rate * slope
             ahead, w = new + (t / (t + 3)) * (new - w), new
         self.weights = w
@@ -88,39 +96,87 @@ class Logistic:
         return self.weights[0] + np.einsum("ij,j->i", (x - self.mean) / self.scale, self.weights[1:])
 
 
+def area(score: np.ndarray, y: np.ndarray) -> float:
+    """The area under the curve: the share of pairs (good, bad) in the right order, ties by half."""
+    _, place, many = np.unique(score, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(many) - (many - 1) / 2)[place]
+    good, bad = (y == 1).sum(), (y == 0).sum()
+    return float((rank[y == 1].sum() - good * (good + 1) / 2) / (good * bad))
+
+
 class CoTrained:
-    """Two calibrated views. Without labels of both classes, everything gets the share of good labels (1 without any)."""
+    """Two calibrated views. Without labels of both classes, everything gets the share of good labels (1 without any).
+
+    Held-out labels calibrate a view before each round, and decide what it may do: a view whose order of them isn't above
+    chance by a margin hands over nothing and adds nothing to the score. What a view has been handed is taken back where it
+    is itself as sure of the opposite, and all of a round's labels if its loss on the held-out ones has grown with them by
+    more than a standard error. Where fewer than five labels of a class are held out, all are learned from, and models
+    without a fifth of them judge that fifth.
+    """
 
     def __init__(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray, hold: np.ndarray):
         """y: 1, 0, or -1 where there is no label; hold: labelled rows that only calibrate."""
-        views, known = (text, meta), (y >= 0) & ~hold
+        views, known, held = (text, meta), (y >= 0) & ~hold, hold & (y >= 0)
         self.prior = float(y[y >= 0].mean()) if (y >= 0).any() else 1.0
-        self.views = None
+        self.views, self.exchanged = None, [0, 0]
+        enough = min(y[part].sum() if k else (1 - y[part]).sum() for part in (held, known) for k in (0, 1)) >= 5
+        if not enough:
+            known = held = y >= 0
         if min(y[known].sum(), (1 - y[known]).sum()) < 5:
             return
+        good, bad = y[held].sum(), (1 - y[held]).sum()
+        least = 0.5 + max(MARGIN, 2 * np.sqrt((good + bad + 1) / (12 * good * bad)))
+
+        def fitted(x: np.ndarray, own: np.ndarray):
+            """Model, calibration, whether it counts, and its losses on the held-out labels."""
+            model = Logistic(x[own >= 0], own[own >= 0])
+            z = model.logit(x[held])
+            if not enough:  # labels that are learned from calibrate by models that have not seen them
+                fold = np.arange(len(z)) % FOLDS
+                for f in range(FOLDS):
+                    rest = own >= 0
+                    rest[np.flatnonzero(held)[fold == f]] = False
+                    z[fold == f] = Logistic(x[rest], own[rest]).logit(x[held][fold == f])
+            z = z[:, None]
+            calibration = Logistic(z, y[held], 1e-2)
+            p = np.clip(sigmoid(calibration.logit(z)), 1e-6, 1 - 1e-6)
+            return model, calibration, area(z[:, 0], y[held]) >= least and calibration.weights[1] > 0, -np.log(np.where(y[held] == 1, p, 1 - p))
+
         labels = [np.where(known, y, -1) for _ in views]  # what each view learns from
-        for step in range(ROUNDS + 1):
-            self.views = [Logistic(x[own >= 0], own[own >= 0]) for x, own in zip(views, labels)]
-            if step == ROUNDS:
-                break
-            for mine, (model, x) in enumerate(zip(self.views, views)):
-                p, other = sigmoid(model.logit(x)), labels[1 - mine]
+        state = [fitted(x, own) for x, own in zip(views, labels)]
+        for _ in range(ROUNDS):
+            sure_of = [sigmoid(c.logit(m.logit(x)[:, None])) for (m, c, *_), x in zip(state, views)]
+            new = [own.copy() for own in labels]
+            for mine, p in enumerate(sure_of):
+                other, given = new[1 - mine], (y < 0) & (labels[1 - mine] >= 0)
+                if state[1 - mine][2]:
+                    against = np.where(other == 1, 1 - sure_of[1 - mine], sure_of[1 - mine])
+                    other[given & (against >= CONFIDENT)] = -1
+                if not state[mine][2]:
+                    continue
                 for value, sure in ((1, p), (0, 1 - p)):
-                    free = np.flatnonzero((y < 0) & (other < 0) & (sure >= CONFIDENT))
+                    free = np.flatnonzero((y < 0) & (labels[1 - mine] < 0) & (sure >= CONFIDENT))
                     other[free[np.argsort(-sure[free], kind="stable")][: int(EXCHANGED * (y < 0).sum())]] = value
-        held = hold & (y >= 0)
-        if min(y[held].sum(), (1 - y[held]).sum()) < 5:
-            held = y >= 0
-        self.calibration = [Logistic(m.logit(x[held])[:, None], y[held], 1e-2) for m, x in zip(self.views, views)]
+            for k, x in enumerate(views):
+                if (new[k] != labels[k]).any():
+                    after = fitted(x, new[k])
+                    more = after[3] - state[k][3]
+                    if more.mean() <= more.std() / np.sqrt(len(more)):
+                        labels[k], state[k] = new[k], after
+        self.exchanged = [int(((own >= 0) & (y < 0)).sum()) for own in labels]
+        self.views, self.calibration, self.counts = [s[0] for s in state], [s[1] for s in state], [s[2] for s in state]
+        if not any(self.counts):  # none is above chance: the text decides as far as it can
+            self.counts = [True, False]
 
     def probabilities(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the text view, the metadata view, and both: their calibrated logits add up, the prior counts once."""
+        """Of the text view, the metadata view, and both: the calibrated logits of views that count add up, the prior counts once."""
         if self.views is None:
             flat = np.full(len(text), self.prior)
             return flat, flat, flat
         a, b = (c.logit(m.logit(x)[:, None]) for c, m, x in zip(self.calibration, self.views, (text, meta)))
         prior = np.log(self.prior / (1 - self.prior))
-        return sigmoid(a), sigmoid(b), sigmoid(a + b - prior)
+        both = sum(z - prior for z, counts in zip((a, b), self.counts) if counts)
+        return sigmoid(a), sigmoid(b), sigmoid(both + prior)
 
 
 COLUMNS = ("text", "source", "lang", "n_chars")

@@ -169,6 +169,70 @@ def test_quality_of_odd_rows(spark):
     assert quality.classify(empty, quality.train(empty, labels)).count() == 0
 
 
+def test_exchange_does_no_harm_on_the_table(spark, monkeypatch):
+    """On sf0.1 with few and many labels: four rounds aren't below none in order or in bad documents rejected."""
+    d = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{d}/documents.parquet").join(spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "quality"), "doc_id", "left").orderBy(F.xxhash64("doc_id")).select("doc_id", "text", "source", "lang", "n_chars", "quality").collect()
+    text, meta = quality.text_view([(r.text or "").encode() for r in rows]), quality.meta_view([r.source for r in rows], [r.lang for r in rows], [r.n_chars for r in rows])
+    label = np.array([-1 if r.quality is None else r.quality for r in rows])
+    test = (label >= 0) & (np.array([zlib.crc32(str(r.doc_id).encode()) for r in rows]) % 5 == 0)
+    seeds, pool = np.flatnonzero((label >= 0) & ~test), np.flatnonzero(label < 0)[:4000]
+    exchanged = 0
+    sixty = [(60, b) for b in range(0, 900, 60) if (label[seeds[b : b + 60]] == 0).sum() >= 5]  # fewer teach nothing: see CoTrained
+    for many, begin in (*sixty[:4], (200, 0), (200, 200), (4000, 0)):
+        own = seeds[begin : begin + many]
+        at = np.concatenate((own, pool))
+        y = np.where(np.arange(len(at)) < len(own), label[at], -1)
+        found = []
+        for rounds in (0, 4):
+            monkeypatch.setattr(quality, "ROUNDS", rounds)
+            model = quality.CoTrained(text[at], meta[at], y, (np.arange(len(at)) % 4 == 0) & (y >= 0))
+            p = model.probabilities(text[test], meta[test])
+            found.append((quality.area(p[0], label[test]), quality.area(p[2], label[test]), ((p[2] < 0.5) & (label[test] == 0)).sum(), ((p[2] >= 0.5) & (label[test] == 1)).sum()))
+        exchanged += sum(model.exchanged)
+        assert all(b >= a - 1e-3 for a, b in zip(found[0][:2], found[1][:2])) and found[1][2] >= found[0][2]
+        assert found[1][1] > 0.95 and found[1][3] > 0.96 * (label[test] == 1).sum()
+    assert exchanged > 500
+
+
+def test_area_under_the_curve():
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        y, score = rng.integers(0, 2, 30), rng.integers(0, 8, 30)
+        y[:2] = 0, 1
+        pairs = [(a > b) + (a == b) / 2 for a in score[y == 1] for b in score[y == 0]]
+        assert abs(quality.area(score, y) - np.mean(pairs)) < 1e-12
+
+
+def test_exchange_by_hand():
+    """One round against a plain version: what is handed over, taken back and kept."""
+    rng = np.random.default_rng(3)
+    y = np.where(np.arange(900) < 300, rng.integers(0, 2, 900), -1)
+    truth = np.where(y >= 0, y, rng.integers(0, 2, 900))
+    text, meta = (truth[:, None] * 2 - 1 + 1.2 * rng.standard_normal((900, 3)) for _ in range(2))
+    hold = (np.arange(900) % 4 == 0) & (y >= 0)
+    old, quality.ROUNDS = quality.ROUNDS, 1
+    try:
+        model = quality.CoTrained(text, meta, y, hold)
+    finally:
+        quality.ROUNDS = old
+    fit = lambda x, own: (m := quality.Logistic(x[own >= 0], own[own >= 0]), quality.Logistic(m.logit(x[hold])[:, None], y[hold], 1e-2))
+    loss = lambda m, c, x: -np.log(np.abs(1 - y[hold] - quality.sigmoid(c.logit(m.logit(x[hold])[:, None]))))
+    first = np.where(hold, -1, y)
+    fits = [fit(x, first) for x in (text, meta)]
+    want = []
+    for giver, taker, x, z in ((1, 0, meta, text), (0, 1, text, meta)):
+        p, own = quality.sigmoid(fits[giver][1].logit(fits[giver][0].logit(x)[:, None])), first.copy()
+        for value, sure in ((1, p), (0, 1 - p)):
+            best = sorted((i for i in range(900) if y[i] < 0 and own[i] < 0 and sure[i] >= quality.CONFIDENT), key=lambda i: (-sure[i], i))
+            for i in best[: int(quality.EXCHANGED * (y < 0).sum())]:
+                own[i] = value
+        after = fit(z, own)
+        more = loss(*after, z) - loss(*fits[taker], z)
+        want.append(after if more.mean() <= more.std() / len(more) ** 0.5 else fits[taker])
+    assert all(np.abs(a.weights - b[0].weights).max() < 1e-9 for a, b in zip(model.views, want)) and all(model.counts)
+
+
 # ---- mixing -------------------------------------------------------------------------------------------------------------
 
 
