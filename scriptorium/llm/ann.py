@@ -15,7 +15,7 @@ SHARD, TOGETHER, QUERIES = 8192, 256, 8192
 #: Links chosen for a node and links that it can have on a level (twice as many on the lowest), candidates for them.
 CHOSEN, LINKS, CANDIDATES = 16, 24, 64
 #: Beam on the lowest level and above it; nodes expanded in a step.
-BEAM, UPPER_BEAM, WIDTH = 112, 16, 4
+BEAM, UPPER_BEAM, WIDTH = 160, 16, 4
 
 
 class Graph:
@@ -140,12 +140,12 @@ def index(points: DataFrame) -> DataFrame:
         x = np.ascontiguousarray(x[order])
         graph = Graph.build(unit(x), int(key[0].as_py()))
         return pa.table({
-            "shard": [key[0].as_py()], "size": pa.array([x.shape[1]], pa.int32()), "v": pa.array([x.astype(np.float32).tobytes()], pa.binary()),
+            "shard": [key[0].as_py()], "size": pa.array([x.shape[1]], pa.int32()), "v": pa.array([x.tobytes()], pa.binary()), "bytes": pa.array([x.itemsize], pa.int32()),
             "ids": pa.array([group.column("ids").combine_chunks().take(pa.array(order)).to_pylist()], pa.list_(pa.list_(pa.int64()))),
             "nodes": pa.array([[n.astype(np.int32).tobytes() for n, _ in graph.levels]], pa.list_(pa.binary())), "links": pa.array([[k.tobytes() for _, k in graph.levels]], pa.list_(pa.binary())),
         })
 
-    return points.groupBy("shard").applyInArrow(build, "shard long, size int, v binary, ids array<array<long>>, nodes array<binary>, links array<binary>")
+    return points.groupBy("shard").applyInArrow(build, "shard long, size int, v binary, bytes int, ids array<array<long>>, nodes array<binary>, links array<binary>")
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", beam: int = BEAM, shard: int = SHARD) -> DataFrame:
@@ -156,10 +156,11 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_
     queries go to every shard, in groups of QUERIES at most on average, and the shards' k best are merged. Scores are
     double cosines of the original vectors; ties go to the smaller id. Vectors that are null, zero, hold null or
     non-finite components, or have another length than the query take no part; rows without id neither. Fewer candidates
-    than k: all of them. Repeated ids count once each. Empty tables give no rows. Recall depends on
+    than k: all of them. Vectors keep their type: of array<double>, scores are those of the doubles. Repeated ids count once each. Empty tables give no rows. Recall depends on
     `beam`; the search is approximate, scores are not.
     """
-    ok = lambda df: df.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<float>").alias("v")).where(F.col("id").isNotNull() & usable("v"))
+    kind = "array<double>" if "double" in {df.schema[embedding].dataType.simpleString()[6:-1] for df in (rows, queries)} else "array<float>"
+    ok = lambda df: df.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast(kind).alias("v")).where(F.col("id").isNotNull() & usable("v"))
     points = ok(rows).withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     points = cut(points.withColumn("size", F.size("v")))
     # each length of vectors has shards of its own
@@ -180,7 +181,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_
         if not questions.num_rows or not graph.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         row = {c: graph.column(c)[0] for c in graph.column_names}
-        x = np.frombuffer(row["v"].as_py(), np.float32).reshape(-1, row["size"].as_py())
+        x = np.frombuffer(row["v"].as_py(), np.float64 if row["bytes"].as_py() == 8 else np.float32).reshape(-1, row["size"].as_py())
         nodes = [np.frombuffer(b, np.int32) for b in row["nodes"].as_py()]
         net = Graph(unit(x), [(n, np.frombuffer(b, np.int32).reshape(len(n), -1)) for n, b in zip(nodes, row["links"].as_py())])
         ids, names = row["ids"].as_py(), questions.column("id").to_pylist()

@@ -128,7 +128,8 @@ def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     of different vectors with one vec_id, links and components count for the id. Ties don't matter; an empty table gives no
     rows. Other columns are ignored.
     """
-    base = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<float>").alias("v")).withColumn("ok", F.col("vec_id").isNotNull() & usable("v"))
+    kind = "array<double>" if rows.schema[embedding].dataType.simpleString() == "array<double>" else "array<float>"
+    base = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast(kind).alias("v")).withColumn("ok", F.col("vec_id").isNotNull() & usable("v"))
     good = base.where("ok").select("vec_id", "v")
     bits, tables = plan_tables(good.count(), cell, cosine)
 
@@ -141,7 +142,8 @@ def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "e
                 for d in np.unique(size):
                     at = np.flatnonzero(size == d)
                     keys[at] = sign_keys(vectors(v.take(pa.array(at))), bits, tables, (seed,))
-                flat, begin = v.values.to_numpy() + np.float32(0), v.offsets.to_numpy()
+                flat, begin = v.values.to_numpy(), v.offsets.to_numpy()
+                flat = flat + flat.dtype.type(0)
                 for i in range(n):
                     names += hashlib.blake2b(flat[begin[i] : begin[i + 1]], digest_size=16).digest()
                 halves = np.frombuffer(bytes(names), np.int64).reshape(-1, 2)
@@ -150,7 +152,7 @@ def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "e
                 columns |= {"v": v} if with_vectors else {"keys": lists}
                 yield pa.RecordBatch.from_pydict(columns)
 
-        return good.mapInArrow(work, "vec_id long, d1 long, d2 long, size int, " + ("v array<float>" if with_vectors else "keys array<int>"))
+        return good.mapInArrow(work, "vec_id long, d1 long, d2 long, size int, " + (f"v {kind}" if with_vectors else "keys array<int>"))
 
     names = cut(hashed(False))
     groups = cut(names.groupBy("d1", "d2", "size").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.any_value("keys").alias("keys")))

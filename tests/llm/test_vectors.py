@@ -165,3 +165,16 @@ def test_links_do_not_depend_on_order_or_partitions(spark):
     rows = fixture()
     one = embeddings.near_duplicates(frame(spark, rows).repartition(1)).orderBy("vec_id").collect()
     assert one == embeddings.near_duplicates(frame(spark, rows[::-1]).repartition(7, F.col("vec_id"))).orderBy("vec_id").collect()
+
+
+def test_doubles_keep_their_precision(spark):
+    """Cosines of doubles that floats can't tell apart: order and links are those of the doubles."""
+    x = [[1.0, 0.0], [1.0, 1e-9], [1.0, 0.4843221], [1.0, 0.48432210483785], [1.0, 2e-9]]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = ann.nearest(rows, rows.where("vec_id = 0"), k=4).orderBy("rank").collect()
+    a = np.array(x)
+    cosine = a @ a.T / np.outer(*[np.sqrt((a * a).sum(axis=1))] * 2)
+    assert [r.vec_id for r in found] == sorted(range(1, 5), key=lambda i: (-cosine[0, i], i))
+    assert [r.score for r in found] == pytest.approx([cosine[0, r.vec_id] for r in found], abs=1e-15)
+    links = {r.vec_id: r.n_links for r in embeddings.near_duplicates(rows).collect()}
+    assert links == {i: int((cosine[i] >= 0.9).sum()) - 1 for i in range(5)}
