@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
-from scriptorium.operators.sections import documents, neighbour
+from scriptorium.operators.sections import documents, neighbour, of_documents
 from scriptorium.operators.sentences import KEYS, digest_array, group_array, outline_array, study_array, with_sentences
 from scriptorium.plans.rules import RulePack
-from scriptorium.sources.text import dealt, paragraph_array
 
 # Labels of the rendered versions.
 LABELS = {"clean": ("保真清洗", "保留课堂顺序"), "digest": ("精简整理", "保留展开脉络"), "study": ("学习整理", "默认阅读版"), "outline": ("结构提纲", "快速复盘"), "raw": ("原文", "转写稿")}
@@ -31,11 +30,6 @@ def stats_columns(pack: RulePack) -> list[Column]:
     ]
 
 
-def raw_length() -> Column:
-    """Characters of a text's paragraphs."""
-    return F.aggregate(F.coalesce(paragraph_array(F.col("text")), F.array().cast("array<string>")), F.lit(0).cast("long"), lambda s, x: s + F.length(x))
-
-
 def stats(docs: DataFrame, pack: RulePack) -> DataFrame:
     """doc_id, paragraphs, raw_chars, clean_chars, chunks, chunk_target_chars."""
     return documents(docs, pack).select("doc_id", *stats_columns(pack))
@@ -124,30 +118,55 @@ def render(sections: DataFrame, pack: RulePack, version: str) -> DataFrame:
     return whole_versions(sections, pack, (version,)).select("doc_id", _whole(F.col("rows"), version).alias("html"))
 
 
-def version_stats(docs: DataFrame, sections: DataFrame, pack: RulePack) -> DataFrame:
-    """doc_id, version, label, chars, tone: text lengths of the four versions and the raw text (1 where it is empty)."""
+def _rendered(docs: DataFrame, pack: RulePack, versions: tuple[str, ...], *extra: str) -> DataFrame:
+    """doc_id, stats, review_items, rows (see whole_versions; null without sections): documents are read, cleaned and rendered
+    once. They are dealt by doc_id before anything else, so that sections find together again where they are."""
+    d = documents(docs, pack, None, "doc_id").withColumns({"stats": F.struct(*stats_columns(pack)), "review_items": flags(pack)})
+    # a document without sections goes along as an empty one, which is left out of its rows
+    none = F.size("begins") == 0
+    d = d.withColumns({"begins": F.when(none, F.array(F.lit(1))).otherwise(F.col("begins")), "none": none})
+    rows = with_html(of_documents(d, pack, "stats", "review_items", "none"), pack, versions)
+    row = F.when(~F.col("none"), F.struct("chunk_no", *extra, *(f"html_{v}" for v in versions)))
+    out = rows.groupBy("doc_id").agg(F.first("stats").alias("stats"), F.first("review_items").alias("review_items"), F.array_sort(F.collect_list(row)).alias("rows"))
+    return out.withColumn("rows", F.when(F.size("rows") > 0, F.col("rows")))
+
+
+def compared(sections: DataFrame, pack: RulePack, version: str, whole: str) -> DataFrame:
+    """doc_id, chunk_id, raw_html, version_html: raw sections beside the same section of a version, from one rendering; where the
+    version has no such sections (an outline), beside the whole of `whole`."""
+    if version != "outline":
+        rows = with_html(sections, pack, ("raw", version))
+        return rows.select("doc_id", "chunk_id", F.col("html_raw").alias("raw_html"), F.col(f"html_{version}").alias("version_html"))
+    rows = whole_versions(sections, pack, tuple(dict.fromkeys(("raw", whole))), "chunk_id")
+    return rows.select("doc_id", F.explode("rows").alias("r"), _whole(F.col("rows"), whole).alias("version_html")).select("doc_id", "r.chunk_id", F.col("r.html_raw").alias("raw_html"), "version_html")
+
+
+def version_stats(docs: DataFrame, pack: RulePack) -> DataFrame:
+    """doc_id, version, label, chars, tone: text lengths of the four versions (where there are sections) and the raw text (1 where
+    it is empty). A whole text's length is the sum of its sections', so sections are measured in their rows and no HTML moves."""
     label, tone = (F.create_map(*(F.lit(x) for k, v in LABELS.items() for x in (k, v[i]))) for i in (0, 1))
-    shown = F.array(*(F.struct(F.lit(v).alias("version"), T.html_text_length(_whole(F.col("rows"), v)).cast("long").alias("chars")) for v in VERSIONS))
-    parts = whole_versions(sections, pack, VERSIONS).select("doc_id", F.inline(shown))
-    raw = dealt(docs).select("doc_id", F.lit("raw").alias("version"), F.greatest(raw_length(), F.lit(1)).alias("chars"))
-    return parts.unionByName(raw).select("doc_id", "version", F.element_at(label, F.col("version")).alias("label"), "chars", F.element_at(tone, F.col("version")).alias("tone"))
+    d = documents(docs, pack, None, "doc_id").withColumns({"raw_length": stats_columns(pack)[1], "none": F.size("begins") == 0})
+    d = d.withColumn("begins", F.when(F.col("none"), F.array(F.lit(1))).otherwise(F.col("begins")))
+    rows = with_html(of_documents(d, pack, "raw_length", "none"), pack, VERSIONS)
+    sums = rows.groupBy("doc_id").agg(F.first("raw_length").alias("raw"), F.first("none").alias("none"), *(F.sum(T.html_text_length(F.col(f"html_{v}"))).alias(v) for v in VERSIONS))
+    about = {"outline": F.lit(len("".join(OUTLINE_TITLE.split())))}  # what the whole has besides its sections
+    shown = F.array(*(F.when(~F.col("none"), F.struct(F.lit(v).alias("version"), (F.col(v) + about.get(v, F.lit(0))).cast("long").alias("chars"))) for v in VERSIONS), F.struct(F.lit("raw").alias("version"), F.greatest(F.col("raw"), F.lit(1)).cast("long").alias("chars")))
+    out = sums.select("doc_id", F.inline(F.filter(shown, lambda x: x.isNotNull())))
+    return out.select("doc_id", "version", F.element_at(label, F.col("version")).alias("label"), "chars", F.element_at(tone, F.col("version")).alias("tone"))
 
 
-def samples(docs: DataFrame, sections: DataFrame, pack: RulePack, about: DataFrame | None = None) -> DataFrame:
+def samples(docs: DataFrame, pack: RulePack, about: DataFrame | None = None) -> DataFrame:
     """The nested result of each document: title, subtitle, source_file, stats, chunks, review_items and versions.
 
-    about: doc_id, title, subtitle, source; the file's name is the last part of its source. Sections are made and rendered
-    in one pass; statistics and flags come from another one over the documents. Documents without sections have empty
-    chunks and versions. Timing isn't part of a result: it belongs to the run.
+    about: doc_id, title, subtitle, source; the file's name is the last part of its source. Documents are read and rendered
+    once. Documents without sections have empty chunks and versions. Timing isn't part of a result: it belongs to the run.
     """
-    s = documents(docs, pack).select("doc_id", F.struct(*stats_columns(pack)).alias("stats"), flags(pack).alias("review_items"))
+    made = _rendered(docs, pack, (*VERSIONS, "raw"), "chunk_id", "title", "start_para", "end_para", "raw_chars")
     chunk = lambda r: F.struct(r["chunk_id"].alias("id"), *(r[c].alias(c) for c in ("title", "start_para", "end_para")), r["raw_chars"].alias("chars"), r["html_raw"].alias("raw_html"))
-    versions = F.create_map(*(x for v in VERSIONS for x in (F.lit(v), _whole(F.col("rows"), v))))
-    made = whole_versions(sections, pack, (*VERSIONS, "raw"), "chunk_id", "title", "start_para", "end_para", "raw_chars")
-    out = s.join(made.select("doc_id", F.transform("rows", chunk).alias("chunks"), versions.alias("versions")), "doc_id", "left")
-    none = F.array().cast(out.schema["chunks"].dataType)
-    out = out.withColumns({"chunks": F.coalesce("chunks", none), "versions": F.coalesce("versions", F.create_map(*(F.lit(x) for v in VERSIONS for x in (v, ""))))})
+    versions = F.create_map(*(x for v in VERSIONS for x in (F.lit(v), F.when(F.col("rows").isNull(), "").otherwise(_whole(F.col("rows"), v)))))
+    out = made.select("doc_id", "stats", F.transform("rows", chunk).alias("chunks"), "review_items", versions.alias("versions"))
+    out = out.withColumn("chunks", F.coalesce("chunks", F.array().cast(out.schema["chunks"].dataType)))
     if about is not None:
         out = out.join(about.select("doc_id", "title", "subtitle", T.basename(F.col("source")).alias("source_file")), "doc_id", "left")
         return out.select("doc_id", "title", "subtitle", "source_file", "stats", "chunks", "review_items", "versions")
-    return out.select("doc_id", "stats", "chunks", "review_items", "versions")
+    return out

@@ -36,9 +36,9 @@ def section_begins(paras: Column, max_chars: Column | int) -> Column:
     return F.aggregate(paras, empty, step)["begins"]
 
 
-def documents(docs: DataFrame, pack: RulePack, max_chars: Column | int | None = None) -> DataFrame:
-    """doc_id, raw (paragraphs), paras (kept ones), begins (places of the sections' first paragraphs among these)."""
-    out = dealt(docs).select("doc_id", F.coalesce(paragraph_array(F.col("text")), F.array().cast("array<string>")).alias("raw"))
+def documents(docs: DataFrame, pack: RulePack, max_chars: Column | int | None = None, *keys: str) -> DataFrame:
+    """doc_id, raw (paragraphs), paras (kept ones), begins (places of the sections' first paragraphs among these). keys: see dealt()."""
+    out = dealt(docs, 4, *keys).select("doc_id", F.coalesce(paragraph_array(F.col("text")), F.array().cast("array<string>")).alias("raw"))
     out = out.withColumn("paras", cleaned_array(F.col("raw"), pack))
     return out.withColumn("begins", section_begins(F.col("paras"), pack.max_chars if max_chars is None else max_chars))
 
@@ -50,11 +50,15 @@ def sections(docs: DataFrame, pack: RulePack, max_chars: Column | int | None = N
     counts cleaned text without separators. A document without kept paragraphs has no section. Each section's row carries
     its own slice of the paragraphs.
     """
-    d = documents(docs, pack, max_chars)
+    return of_documents(documents(docs, pack, max_chars), pack)
+
+
+def of_documents(d: DataFrame, pack: RulePack, *keep: str) -> DataFrame:
+    """The sections of rows of documents(), each with the columns `keep` of its document."""
     last = lambda i: F.coalesce(F.try_element_at("begins", i + 2) - 1, F.size("paras"))
     after = lambda i: F.try_element_at("paras", F.try_element_at("begins", i + 2))["para_no"] - 1
     pieces = F.transform("begins", lambda b, i: F.struct(F.slice("paras", b, last(i) - b + 1).alias("own"), F.coalesce(after(i), F.size("raw")).alias("to")))
-    d = d.select("doc_id", F.size("begins").alias("chunks"), F.posexplode(pieces).alias("at", "piece")).select("doc_id", "chunks", (F.col("at") + 1).alias("chunk_no"), "piece.own", "piece.to")
+    d = d.select("doc_id", *keep, F.size("begins").alias("chunks"), F.posexplode(pieces).alias("at", "piece")).select("doc_id", *keep, "chunks", (F.col("at") + 1).alias("chunk_no"), "piece.own", "piece.to")
     d = d.withColumn("body", F.array_join(F.transform("own", lambda p: p["text"]), "\n"))
     return d.select(
         "doc_id",
@@ -67,6 +71,7 @@ def sections(docs: DataFrame, pack: RulePack, max_chars: Column | int | None = N
         F.col("own").alias("paras"),
         "body",
         "chunks",
+        *keep,
     )
 
 

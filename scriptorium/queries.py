@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions import html
 from scriptorium.functions import text as T
 from scriptorium.functions.automaton import with_words
-from scriptorium.operators import catalog, long_documents, report
+from scriptorium.operators import catalog, long_documents, report, search
 from scriptorium.operators import sections as S
 from scriptorium.operators import sentences as N
 from scriptorium.operators.positions import circular_siblings, positions, sibling
@@ -279,7 +279,7 @@ QUERIES["snk_html_digest"], QUERIES["out_study"], QUERIES["out_outline"] = (_sec
 
 @query
 def agg_version_stats(spark, d):
-    return report.version_stats(docs_of(spark, d), sections_of(spark, d), P)
+    return report.version_stats(docs_of(spark, d), P)
 
 
 @query
@@ -292,7 +292,7 @@ def out_overview(spark, d):
 
 @query
 def out_sample(spark, d):
-    s = report.samples(docs_of(spark, d), sections_of(spark, d), P)
+    s = report.samples(docs_of(spark, d), P)
     return longs(s.select("doc_id", "stats.paragraphs", "stats.clean_chars", F.coalesce(F.size("chunks"), F.lit(0)).alias("chunks"), F.element_at("review_items", 1).alias("first_flag"), F.coalesce(F.length(F.element_at("versions", "study")), F.lit(0)).alias("study_length")).withColumn("chunks", F.greatest("chunks", F.lit(0))), "paragraphs", "chunks", "study_length")
 
 
@@ -404,8 +404,7 @@ def set_dedupe_prefix(spark, d):
 @query
 def join_compare(spark, d):
     """Raw sections beside the clean version of each; tests show a version without such sections."""
-    s = sections_of(spark, d)
-    out = catalog.compare(report.render_sections(s, P, "raw"), report.render_sections(s, P, "clean"), report.render(s, P, "outline"))
+    out = report.compared(sections_of(spark, d), P, "clean", "outline")
     return out.select("doc_id", "chunk_id", F.length("raw_html").cast("long").alias("raw_length"), F.md5(F.col("version_html").cast("binary")).alias("version"))
 
 
@@ -427,6 +426,15 @@ def flt_course_ui(spark, d):
     return found.select("p_partkey", "title")
 
 
+@query
+def flt_course_search(spark, d):
+    """Parts of the names and brands of all parts, each searched for among all of them, by postings."""
+    parts = table(spark, d, "part").select("p_partkey", "p_name", "p_brand")
+    index = search.build(parts, "p_partkey", ("p_name", "p_brand"))
+    asked = parts.select(F.explode(F.array(F.substring("p_name", 3, 6), F.substring("p_brand", 5, 4), F.substring("p_name", 1, 2))).alias("asked")).distinct()
+    return search.search_many(spark, index, asked, "asked").groupBy("asked").agg(F.count("*").alias("found"), F.sum("key").alias("keys"))
+
+
 @query
 def out_assets(spark, d):
     turns = table(spark, d, "conversations")
@@ -542,13 +550,13 @@ def digests(s):
 
 @query
 def out_sample_html(spark, d):
-    return digests(report.samples(docs_of(spark, d), sections_of(spark, d), P))
+    return digests(report.samples(docs_of(spark, d), P))
 
 
 @query
 def snk_document(spark, d):
     """Nested results written as one JSON document, with what a script needs around it, and read again from its files."""
-    results = report.samples(docs_of(spark, d), sections_of(spark, d), P)
+    results = report.samples(docs_of(spark, d), P)
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     write_document(results, path, prefix="window.samples = ", suffix=";")
     return digests(read_document(spark, path, results.schema.simpleString()))

@@ -23,11 +23,15 @@ def paragraph_array(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n", -1), strip), lambda p: F.length(p) > 0)
 
 
-def dealt(docs: DataFrame, tasks_per_core: int = 4) -> DataFrame:
-    """docs over all cores, where the scan has few partitions: cleaning takes far longer than moving texts."""
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    few = not docs.isStreaming and docs.rdd.getNumPartitions() < tasks_per_core * cores
-    return docs.repartition(cores) if few else docs
+def dealt(docs: DataFrame, tasks_per_core: int = 4, *keys: str) -> DataFrame:
+    """docs over all cores, where the scan has few partitions: cleaning takes far longer than moving texts. With keys, always,
+    by these: what is grouped by them afterwards then stays where it is, and texts move before they become much more."""
+    if docs.isStreaming:
+        return docs
+    cores, parts = docs.sparkSession.sparkContext.defaultParallelism, docs.rdd.getNumPartitions()
+    if keys:
+        return docs.repartition(max(cores, parts), *keys)
+    return docs.repartition(cores) if parts < tasks_per_core * cores else docs
 
 
 def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.operators import report
-from scriptorium.operators import sections as S
 from scriptorium.plans.rules import LATIN
 from scriptorium.sources.document_file import read_document, write_document
 
@@ -18,7 +17,7 @@ def whole(path):
 
 def test_nested_results_make_one_document(spark, small, tmp_path):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").repartition(7)
-    results = report.samples(docs, S.sections(docs, LATIN), LATIN)
+    results = report.samples(docs, LATIN)
     path = f"{tmp_path}/out"
     write_document(results, path, prefix="window.samples = ", suffix=";")
     text = whole(path)

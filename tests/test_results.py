@@ -17,7 +17,7 @@ def docs(spark):
 
 def test_samples_are_read_as_they_were_written(spark, docs, tmp_path):
     about = registry(spark, [("a", "One", "first", "/x/y/one.docx", 3600)]).withColumnRenamed("sample_id", "doc_id")
-    made = report.samples(docs, S.sections(docs, LATIN), LATIN, about)
+    made = report.samples(docs, LATIN, about)
     write_json(made, str(tmp_path / "out"))
     again = {r.doc_id: r for r in read_results(spark, str(tmp_path / "out"), made.schema).collect()}
     rows = {r.doc_id: r for r in made.collect()}
