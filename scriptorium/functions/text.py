@@ -88,6 +88,13 @@ def html_escape(c: Column) -> Column:
     return reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ESCAPES, c)
 
 
+def rendered_length(c: Column) -> Column:
+    """html_text_length of HTML that this library has rendered: plain tags, and html_escape()'s references alone; each of these
+    is a character, and texts hold no tags."""
+    c = F.regexp_replace(F.regexp_replace(c, "<[^>]+>", ""), WS + "+", "")
+    return F.length(F.regexp_replace(c, "&(?:amp|lt|gt|quot|#x27);", "&"))
+
+
 def html_text_length(c: Column) -> Column:
     """Characters of HTML's text that aren't white space."""
     return F.length(F.regexp_replace(html_text(c), WS + "+", ""))

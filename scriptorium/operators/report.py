@@ -148,7 +148,7 @@ def version_stats(docs: DataFrame, pack: RulePack) -> DataFrame:
     d = documents(docs, pack, None, "doc_id").withColumns({"raw_length": stats_columns(pack)[1], "none": F.size("begins") == 0})
     d = d.withColumn("begins", F.when(F.col("none"), F.array(F.lit(1))).otherwise(F.col("begins")))
     rows = with_html(of_documents(d, pack, "raw_length", "none"), pack, VERSIONS)
-    sums = rows.groupBy("doc_id").agg(F.first("raw_length").alias("raw"), F.first("none").alias("none"), *(F.sum(T.html_text_length(F.col(f"html_{v}"))).alias(v) for v in VERSIONS))
+    sums = rows.groupBy("doc_id").agg(F.first("raw_length").alias("raw"), F.first("none").alias("none"), *(F.sum(T.rendered_length(F.col(f"html_{v}"))).alias(v) for v in VERSIONS))
     about = {"outline": F.lit(len("".join(OUTLINE_TITLE.split())))}  # what the whole has besides its sections
     shown = F.array(*(F.when(~F.col("none"), F.struct(F.lit(v).alias("version"), (F.col(v) + about.get(v, F.lit(0))).cast("long").alias("chars"))) for v in VERSIONS), F.struct(F.lit("raw").alias("version"), F.greatest(F.col("raw"), F.lit(1)).cast("long").alias("chars")))
     out = sums.select("doc_id", F.inline(F.filter(shown, lambda x: x.isNotNull())))

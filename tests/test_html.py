@@ -10,6 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions import html as H
+from scriptorium.functions import text as T
+from scriptorium.operators import report
+from scriptorium.operators import sections as S
+from scriptorium.plans.rules import LATIN
 
 SPACE = "\t\n\f\r "
 
@@ -147,6 +151,13 @@ def test_pages_have_the_text_that_a_parser_finds(spark, sf):
     assert rows and all(r.text == parsed(r.html) == by_states(r.html) for r in rows)
 
 
+def test_length_of_rendered_html(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", F.concat(F.lit("a &amp; <b> 'x' \"y\" &#x27; &amp;lt;\n"), "text", F.lit("\nlast & <p>")).alias("text"))
+    rows = report.with_html(S.sections(docs, LATIN), LATIN)
+    html = rows.select(F.explode(F.array(*(f"html_{v}" for v in (*report.VERSIONS, "raw")))).alias("html"))
+    assert html.where(T.rendered_length(F.col("html")) != T.html_text_length(F.col("html"))).count() == 0 and html.count() > 100
+
+
 class Tree(HTMLParser):
     """Elements with ids by Python's parser, with the same rules for ends that are implied."""
 
