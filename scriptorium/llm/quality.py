@@ -212,7 +212,7 @@ def train(docs: DataFrame, labels: DataFrame) -> CoTrained:
 def classify(docs: DataFrame, model: CoTrained, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep`, text_score, meta_score and score (calibrated probabilities of good quality) and kept.
 
-    A narrow map over whole texts; null texts count as empty, null metadata as a value of its own; repeated rows each give
+    A narrow map over whole texts, in runs of about 1 MB (a longer text by itself); null texts count as empty, null metadata as a value of its own; repeated rows each give
     a row, an empty table none; other columns are not read.
     """
     rows = docs.select(*dict.fromkeys((*keep, *COLUMNS)))
@@ -220,8 +220,9 @@ def classify(docs: DataFrame, model: CoTrained, keep: tuple[str, ...] = ("doc_id
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = text_view(common.utf8(batch.column("text")))
-            scores = model.probabilities(text, meta_view(*(batch.column(c).to_pylist() for c in COLUMNS[1:])))
+            texts, (source, lang, n_chars) = common.utf8(batch.column("text")), (batch.column(c).to_pylist() for c in COLUMNS[1:])
+            parts = [model.probabilities(text_view(texts[a:b]), meta_view(source[a:b], lang[a:b], n_chars[a:b])) for a, b in common.runs(texts)]
+            scores = [np.concatenate([np.zeros(0), *x]) for x in zip(*parts)] or [np.zeros(0)] * 3
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *map(pa.array, scores), pa.array(scores[2] >= THRESHOLD)], [*keep, "text_score", "meta_score", "score", "kept"])
 
     return rows.mapInArrow(work, f"{kinds}, text_score double, meta_score double, score double, kept boolean")
