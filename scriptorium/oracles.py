@@ -347,3 +347,4 @@ ORACLES["join_compare"] = q(L.FOLD, L.RAW, L.CLEAN, "SELECT r.doc_id, r.chunk_id
 ORACLES["snk_document"] = ORACLES["out_sample_html"]
 ORACLES["flt_course_search"] = """SELECT asked, count(*) AS found, sum(p_partkey)::BIGINT AS keys FROM (SELECT DISTINCT unnest([substr(p_name, 3, 6), substr(p_brand, 5, 4), substr(p_name, 1, 2)]) AS asked FROM part)
 JOIN part ON asked <> '' AND (contains(lower(p_name), lower(asked)) OR contains(lower(p_brand), lower(asked))) GROUP BY asked"""
+ORACLES["src_docx_files"] = q(L.LINES, "SELECT doc_id, count(*) AS paragraphs, sum(length(raw))::BIGINT AS chars FROM paras GROUP BY doc_id")

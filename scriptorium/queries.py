@@ -21,6 +21,7 @@ from scriptorium.plans.rules import LATIN, LECTURE_CLASSICAL, LECTURE_ESSAY, LEC
 from scriptorium.sources.document_file import read_document, write_document
 from scriptorium.sources.shared import shared_folder
 from scriptorium.sources.text import dealt, docx_texts, from_json, paragraphs, registry, to_docx, to_json
+from scriptorium.sources.word_files import read_word_files, write_word_files
 
 P = LATIN
 #: Nothing scores: every section falls back on its paragraphs.
@@ -64,6 +65,18 @@ def src_docx(spark, d):
     return longs(paragraphs(docx_texts(to_docx(docs_of(spark, d)), "doc_id")), "para_no")
 
 
+@query
+def src_docx_files(spark, d):
+    """Documents in Word files of about 256 each, written to a folder and read by the data source."""
+    docs = docs_of(spark, d)
+    files = docs.count() // 256 + 1
+    lines = paragraphs(docs).select("doc_id", "para_no", F.pmod(F.xxhash64("doc_id"), F.lit(files)).alias("file"), F.concat(F.col("doc_id").cast("string"), F.lit(":"), "raw").alias("text"))
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    write_word_files(lines, path, "file", "doc_id", "para_no").agg(F.sum("paragraphs")).collect()
+    found = read_word_files(spark, path).where("error is null").select(F.substring_index("text", ":", 1).cast("long").alias("doc_id"), F.length("text").alias("n"))
+    return found.groupBy("doc_id").agg(F.count("*").alias("paragraphs"), F.sum(F.col("n") - F.length(F.col("doc_id").cast("string")) - 1).alias("chars"))
+
+
 @query
 def src_registry(spark, d):
     return longs(registry(spark, [(p.name, p.untitled, p.noise_text, f"/packs/{p.name}.docx", p.max_chars) for p in PACKS.values()]).withColumn("file", T.basename(F.col("source"))), "max_chars")

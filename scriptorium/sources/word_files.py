@@ -10,7 +10,6 @@ from xml.etree import ElementTree
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from scriptorium.sources.document_file import opened
@@ -111,7 +110,7 @@ def write_word_files(lines: DataFrame, path: str, file: str, *order: str) -> Dat
     file and paragraphs, and writes as this is read. A file is one task's work."""
     kind = lines.schema[file].dataType.simpleString()
 
-    def work(key, group: pa.Table) -> pa.Table:
+    def work(key, group):
         store, root = opened(path)
         store.create_dir(root, recursive=True)
         texts = group.sort_by([(c, "ascending") for c in order]).column("text").to_pylist()
@@ -120,4 +119,4 @@ def write_word_files(lines: DataFrame, path: str, file: str, *order: str) -> Dat
             out.write(content)
         return pa.table({file: group.column(file)[:1], "paragraphs": pa.array([len(texts)], pa.int64())})
 
-    return lines.select(file, "text", *order).groupBy(file).applyInArrow(work, f"`{file}` {kind}, paragraphs long").withColumn("paragraphs", F.col("paragraphs"))
+    return lines.select(file, "text", *order).groupBy(file).applyInArrow(work, f"`{file}` {kind}, paragraphs long")
