@@ -48,7 +48,7 @@ def paragraphs_of(file) -> Iterator[str]:
 
 
 class Reader(DataSourceReader):
-    def __init__(self, options: dict):
+    def __init__(self, options):
         self.path, self.task = options["path"], int(options.get("taskBytes", TASK))
 
     def partitions(self) -> list[Files]:
@@ -79,7 +79,7 @@ class Reader(DataSourceReader):
                         rows.append((path, n, text, None))
                         if len(rows) == TOGETHER:
                             yield batch()
-            except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError, EOFError, OSError, NotImplementedError, zipfile.zlib.error) as e:
+            except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError, EOFError, NotImplementedError, zipfile.zlib.error) as e:
                 rows.append((path, None, None, f"{type(e).__name__}: {e}"))
         yield batch()
 
@@ -95,7 +95,7 @@ class WordFiles(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> Reader:
-        return Reader(dict(self.options))
+        return Reader(self.options)
 
 
 def read_word_files(spark: SparkSession, path: str, task_bytes: int = TASK) -> DataFrame:
