@@ -18,10 +18,12 @@ from scriptorium.sources.shared import written
 BLOCK = 1 << 20
 
 
-def kept_paragraphs(paragraphs: DataFrame, pack: RulePack) -> DataFrame:
-    """doc_id, para_no, text of the paragraphs (doc_id, para_no, raw) that stay: as sections.cleaned_array, row by row."""
-    rows = paragraphs.where((F.col("para_no") > 1) & ~T.is_timestamp(F.col("raw"), pack)).select("doc_id", "para_no", T.clean(F.col("raw"), pack).alias("text"))
-    return rows.where(F.length("text") > 0).withColumn("text", T.mark_noise(F.col("text"), pack))
+def measured(paragraphs: DataFrame, pack: RulePack) -> DataFrame:
+    """doc_id, para_no and n of all paragraphs (doc_id, para_no, raw): characters of what cleaning leaves, as in
+    sections.cleaned_array; 0 for those that go."""
+    stays = (F.col("para_no") > 1) & ~T.is_timestamp(F.col("raw"), pack)
+    text = F.when(stays, T.mark_noise(T.clean(F.col("raw"), pack), pack))
+    return paragraphs.select("doc_id", "para_no", F.coalesce(F.length(text), F.lit(0)).alias("n"))
 
 
 class Blocks:
@@ -134,11 +136,12 @@ def fold(paragraphs: DataFrame, most: int, block: int = BLOCK) -> DataFrame:
 def sections(paragraphs: DataFrame, pack: RulePack, most: int | None = None, block: int = BLOCK) -> DataFrame:
     """doc_id, chunk_no, start_para, end_para, n_paras, chars of paragraphs (doc_id, para_no, raw): as sections.sections, for documents
     of any length. A section's end comes from a join with the next one's first paragraph, so no window goes over a document."""
-    kept = written(kept_paragraphs(paragraphs, pack).select("doc_id", "para_no", F.length("text").alias("n")))
+    every = written(measured(paragraphs, pack))
+    kept = every.where("n > 0")
     placed = fold(kept, pack.max_chars if most is None else most, block)
     own = placed.alias("p").join(kept.alias("k"), F.expr("p.doc_id <=> k.doc_id and p.para_no = k.para_no"))
     s = written(own.groupBy("p.doc_id", "chunk_no").agg(F.min("p.para_no").alias("first"), F.count("*").alias("n_paras"), F.sum("n").alias("chars")))
-    total = paragraphs.groupBy("doc_id").agg(F.max("para_no").alias("last"))
+    total = every.groupBy("doc_id").agg(F.max("para_no").alias("last"))
     after = s.select(F.col("doc_id").alias("_doc"), (F.col("chunk_no") - 1).alias("_no"), (F.col("first") - 1).alias("_end"))
     out = s.join(after, F.expr("doc_id <=> _doc and chunk_no = _no"), "left").alias("s").join(total.alias("t"), F.expr("s.doc_id <=> t.doc_id"))
     return out.select("s.doc_id", "chunk_no", F.when(F.col("chunk_no") == 1, 1).otherwise(F.col("first")).alias("start_para"), F.coalesce("_end", "last").alias("end_para"), "n_paras", "chars")
