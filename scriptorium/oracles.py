@@ -222,6 +222,7 @@ ORACLES = {
     "flt_noise_flag": q(L.KEPT, f"SELECT doc_id, para_no, {L.noisy_text('text')} AS text FROM cleaned WHERE {L.noise('text')}"),
     "seg_fold": q(L.FOLD, "SELECT doc_id, chunk_no, start_para, end_para, n_paras, raw_chars AS chars FROM chunks"),
     "seg_fold_long": q(L.FOLD, "SELECT doc_id, chunk_no, start_para, end_para, n_paras, raw_chars AS chars FROM chunks"),
+    "seg_fold_stream": q(L.FOLD, "SELECT doc_id, chunk_no, start_para, end_para, n_paras, raw_chars AS chars FROM chunks"),
     "gen_chunk": q(L.FOLD, "SELECT doc_id, chunk_no, pos, para_no FROM placed"),
     "agg_chunk_body": q(L.FOLD, "SELECT doc_id, chunk_id, body FROM chunks"),
     "fn_title_first_match": q(L.FOLD, "SELECT doc_id, chunk_id, title FROM chunks"),

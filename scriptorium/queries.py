@@ -20,8 +20,9 @@ from scriptorium.operators.positions import circular_siblings, positions, siblin
 from scriptorium.plans.rules import LATIN, LECTURE_CLASSICAL, LECTURE_ESSAY, LECTURE_WORDS, PACKS
 from scriptorium.sources.document_file import read_document, write_document
 from scriptorium.sources.shared import shared_folder
-from scriptorium.sources.text import dealt, docx_texts, from_json, paragraphs, registry, to_docx, to_json
+from scriptorium.sources.text import dealt, docx_texts, from_json, paragraph_array, paragraphs, registry, to_docx, to_json
 from scriptorium.sources.word_files import read_word_files, write_word_files
+from scriptorium.streaming import incremental
 
 P = LATIN
 #: Nothing scores: every section falls back on its paragraphs.
@@ -129,6 +130,22 @@ def seg_fold_long(spark, d):
     return longs(long_documents.sections(paragraphs(docs_of(spark, d)), P, block=8192), "chunk_no", "start_para", "end_para", "n_paras", "chars")
 
 
+@query
+def seg_fold_stream(spark, d):
+    """The same sections from paragraphs that arrive in three deliveries, a third of each document at a time: one run each on the state before."""
+    lines = F.coalesce(paragraph_array(F.col("text")), F.array().cast("array<string>"))
+    every = dealt(docs_of(spark, d)).select("doc_id", lines.alias("lines"), F.size(lines).alias("paras"))
+    base = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    for k in range(3):
+        begin, end = (F.floor(F.col("paras") * i / 3).cast("int") for i in (k, k + 1))
+        part = every.select("doc_id", "paras", begin.alias("begin"), F.posexplode(F.slice("lines", begin + 1, end - begin)).alias("at", "raw"))
+        part.select("doc_id", (F.col("begin") + F.col("at") + 1).alias("para_no"), "raw", "paras").write.mode("append").parquet(f"{base}/in")
+        arriving = spark.readStream.schema("doc_id long, para_no int, raw string, paras int").parquet(f"{base}/in")
+        incremental.ingest(arriving, P, f"{base}/out", f"{base}/state").awaitTermination()
+    s = spark.read.parquet(f"{base}/out")
+    return longs(s.select("doc_id", "chunk_no", "start_para", "end_para", "n_paras", F.col("raw_chars").alias("chars")), "chunk_no")
+
+
 @query
 def gen_chunk(spark, d):
     return longs(S.section_paragraphs(sections_of(spark, d)).select("doc_id", "chunk_no", "pos", "para_no"), "chunk_no", "pos", "para_no")
