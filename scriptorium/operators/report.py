@@ -141,6 +141,31 @@ def compared(sections: DataFrame, pack: RulePack, version: str, whole: str) -> D
     return rows.select("doc_id", F.explode("rows").alias("r"), _whole(F.col("rows"), whole).alias("version_html")).select("doc_id", "r.chunk_id", F.col("r.html_raw").alias("raw_html"), "version_html")
 
 
+# Headings of the two columns.
+COLUMN_TITLES = ("原始转写稿｜", "当前整理版｜")
+
+
+def compare_view(docs: DataFrame, pack: RulePack, version: str, chunk_id: str) -> DataFrame:
+    """doc_id, stats, left_title, left_html, right_title, right_html: a document's raw section beside a version of it.
+
+    Left is the section chunk_id, or else the first one; right that section of the version (an item of an outline), or else
+    the whole version. A document without sections has empty columns under the id asked for. Documents are read, cleaned and
+    rendered once; a document's sections meet where they are.
+    """
+    made = _rendered(docs, pack, tuple(dict.fromkeys(("raw", version))), "chunk_id")
+    own = F.try_element_at(F.filter("rows", lambda r: r["chunk_id"] == chunk_id), F.lit(1))
+    left = F.coalesce(own, F.try_element_at("rows", F.lit(1)))
+    label = LABELS.get(version, LABELS["study"])[0]
+    return made.select(
+        "doc_id",
+        "stats",
+        F.concat(F.lit(COLUMN_TITLES[0]), F.upper(F.coalesce(left["chunk_id"], F.lit(chunk_id)))).alias("left_title"),
+        F.coalesce(left["html_raw"], F.lit("")).alias("left_html"),
+        F.lit(COLUMN_TITLES[1] + label).alias("right_title"),
+        F.coalesce(own[f"html_{version}"], _whole(F.col("rows"), version), F.lit("")).alias("right_html"),
+    )
+
+
 def version_stats(docs: DataFrame, pack: RulePack) -> DataFrame:
     """doc_id, version, label, chars, tone: text lengths of the four versions (where there are sections) and the raw text (1 where
     it is empty). A whole text's length is the sum of its sections', so sections are measured in their rows and no HTML moves."""

@@ -10,6 +10,7 @@ from scriptorium.functions.html import ESCAPABLE, RAW
 from scriptorium.functions.text import ESCAPES, quoted
 from scriptorium.operators import report
 from scriptorium.operators.catalog import COURSES, KEYWORDS, NOTES, PRESETS
+from scriptorium.operators.lessons import SUMMARIES
 from scriptorium.plans.rules import LATIN, LECTURE_CLASSICAL, LECTURE_ESSAY, LECTURE_WORDS, PACKS, WS, RulePack
 
 
@@ -349,3 +350,39 @@ ORACLES["snk_document"] = ORACLES["out_sample_html"]
 ORACLES["flt_course_search"] = """SELECT asked, count(*) AS found, sum(p_partkey)::BIGINT AS keys FROM (SELECT DISTINCT unnest([substr(p_name, 3, 6), substr(p_brand, 5, 4), substr(p_name, 1, 2)]) AS asked FROM part)
 JOIN part ON asked <> '' AND (contains(lower(p_name), lower(asked)) OR contains(lower(p_brand), lower(asked))) GROUP BY asked"""
 ORACLES["src_docx_files"] = q(L.LINES, "SELECT doc_id, count(*) AS paragraphs, sum(length(raw))::BIGINT AS chars FROM paras GROUP BY doc_id")
+_COMPARE = "LEFT JOIN html_raw a ON a.doc_id = s.doc_id AND a.chunk_id = '{0}' LEFT JOIN html_raw f ON f.doc_id = s.doc_id AND f.chunk_no = 1 LEFT JOIN {1} o ON o.doc_id = s.doc_id AND o.chunk_id = '{0}' LEFT JOIN ({2}) w ON w.doc_id = s.doc_id"
+_EVERY = "every AS (" + " UNION ALL ".join(f"SELECT doc_id, '{v}' AS version, {text_length('html')} AS chars FROM ({L.whole(f'html_{v}')})" for v in report.VERSIONS) + ")"
+_BY_LANG = lambda table, value: "CASE lang " + " ".join(f"WHEN {lit(k)} THEN {lit(value(v))}" for k, v in table.items() if k) + f" ELSE {lit(value(table['']))} END"
+ORACLES |= {
+    "join_lesson_active": q(
+        L.STATS, L.SENTENCES[len(L.FOLD) + 2 :], L.digest(), L.STUDY_POINTS, L.HTML_DIGEST, L.HTML_STUDY,
+        "base AS (SELECT d.doc_id, source, lang, string_split(text, chr(10))[1] AS study, CASE WHEN lang = 'en' THEN source ELSE '' END AS digest, r.items FROM documents d LEFT JOIN (SELECT conv_id, string_agg(text, '|' ORDER BY turn) AS items FROM conversations WHERE role = 'system' GROUP BY conv_id) r ON r.conv_id = d.doc_id)",
+        f"SELECT b.doc_id, l.doc_id IS NOT NULL AS has_full, source AS source_file, CASE WHEN l.doc_id IS NULL THEN lang ELSE {_STATS_TEXT} END AS stats_text, CASE WHEN l.doc_id IS NULL THEN lang || '.' ELSE lang || '. 当前页面已接入全文试处理结果：保真清洗、精简整理、学习整理和结构提纲按 ' || chunks || ' 个语义块合并生成。' END AS summary, "
+        "md5(CASE WHEN l.doc_id IS NULL THEN study ELSE coalesce(t.html, '') END) AS study, md5(CASE WHEN l.doc_id IS NULL THEN coalesce(nullif(digest, ''), study) ELSE coalesce(g.html, '') END) AS digest, "
+        f"concat_ws('|', CASE WHEN l.doc_id IS NOT NULL THEN list_aggregate(CASE WHEN n.doc_id IS NULL THEN {_FLAGS} ELSE list_append({_FLAGS}, {lit(LATIN.noise_flag)}) END, 'string_agg', '|') END, b.items) AS items FROM base b JOIN stats s ON s.doc_id = b.doc_id LEFT JOIN labels l ON l.doc_id = b.doc_id "
+        f"LEFT JOIN ({L.whole('html_study')}) t ON t.doc_id = b.doc_id LEFT JOIN ({L.whole('html_digest')}) g ON g.doc_id = b.doc_id LEFT JOIN (SELECT DISTINCT doc_id FROM kept WHERE contains(text, {lit(LATIN.noise_text)})) n ON n.doc_id = b.doc_id",
+    ),
+    "out_detail_compare": q(
+        L.STATS, L.SENTENCES[len(L.FOLD) + 2 :], L.digest(), L.RAW, L.HTML_DIGEST,
+        f"SELECT s.doc_id, d.lang || '｜' || coalesce(d.source, '') AS header, {_STATS_TEXT} AS stats_text, '原始转写稿｜' || upper(coalesce(a.chunk_id, f.chunk_id, 'c02')) AS left_title, md5(coalesce(a.html, f.html, '')) AS left_html, '当前整理版｜精简整理' AS right_title, md5(coalesce(o.html, w.html, '')) AS right_html FROM stats s JOIN documents d ON d.doc_id = s.doc_id " + _COMPARE.format("c02", "html_digest", L.whole("html_digest")),
+    ),
+    "out_detail_outline": q(
+        L.STATS, L.SENTENCES[len(L.FOLD) + 2 :], L.OUTLINE_POINTS, L.RAW, L.HTML_OUTLINE,
+        "SELECT s.doc_id, '原始转写稿｜' || upper(coalesce(a.chunk_id, f.chunk_id, 'c03')) AS left_title, '当前整理版｜结构提纲' AS right_title, md5(coalesce(o.html, w.html, '')) AS right_html FROM stats s " + _COMPARE.format("c03", "html_outline", L.whole("html_outline")),
+    ),
+    "out_overview_card": q(
+        L.STATS, resources().removeprefix("WITH "), "counts AS (SELECT lesson_id, " + ", ".join(f"count(*) FILTER (kind = '{k}') AS {k}" for k in PRESETS) + " FROM resources WHERE chunk_id = 'c02' GROUP BY lesson_id)",
+        f"SELECT d.doc_id, coalesce(lang, '') || '：' || coalesce(source, '') AS heading, {_BY_LANG(SUMMARIES, lambda v: v[0])} AS summary, {_BY_LANG(KEYWORDS, '、'.join)} AS keywords, '原文 ' || printf('%.2f', round(raw_chars / 10000.0, 2)) || ' 万字｜' || chunks || ' 个正文分段' AS process, "
+        + ", ".join(f"coalesce({k}, 0) AS {k}" for k in PRESETS) + " FROM documents d JOIN stats s ON s.doc_id = d.doc_id LEFT JOIN counts c ON c.lesson_id = d.doc_id",
+    ),
+    "out_version_buttons": q(
+        L.STATS, L.SENTENCES[len(L.FOLD) + 2 :], L.digest(), L.STUDY_POINTS, L.OUTLINE_POINTS, L.CLEAN, L.HTML_DIGEST, L.HTML_STUDY, L.HTML_OUTLINE, _EVERY,
+        "SELECT e.doc_id, version, CASE version " + " ".join(f"WHEN {lit(k)} THEN {lit(v[0])}" for k, v in report.LABELS.items()) + f" END AS label, {format_chars('chars')} || ' · ' || {compression('chars', 'greatest(raw_chars, 1)')} AS shown FROM every e JOIN stats s ON s.doc_id = e.doc_id",
+    ),
+    "out_assets_tabs": """WITH turns AS (SELECT conv_id AS k1, turn AS k2, role AS type, substr(text, 1, 12) AS title, text AS summary FROM conversations),
+every AS (SELECT 'methods' AS tab, '知识点：' || title AS heading, type, summary, CASE WHEN k2 % 4 = 0 THEN title || '|' || type ELSE '来源课程：五上寒假第七讲' END AS details, k1, k2 FROM turns WHERE type = 'user'
+UNION ALL SELECT 'materials', '素材：' || title, type, summary, summary, k1, k2 FROM turns WHERE type = 'assistant'
+UNION ALL SELECT 'words', '词：' || string_split(text, ' ')[1], 'word', text, array_to_string(string_split(text, ' '), '|'), item_id, 0 FROM benchmark
+UNION ALL SELECT 'works', '作品：' || n_name, r_name, lower(n_name), '关联课堂：' || r_name || '|已记字词：' || n_name || '、' || r_name || '|主题：' || lower(r_name), n_nationkey, 0 FROM nation JOIN region ON r_regionkey = n_regionkey)
+SELECT tab, row_number() OVER (PARTITION BY tab ORDER BY k1, k2) - 1 AS ord, heading, type, summary, details FROM every""",
+}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions import html
 from scriptorium.functions import text as T
 from scriptorium.functions.automaton import with_words
-from scriptorium.operators import catalog, long_documents, report, search
+from scriptorium.operators import catalog, lessons, long_documents, report, search
 from scriptorium.operators import sections as S
 from scriptorium.operators import sentences as N
 from scriptorium.operators.positions import circular_siblings, positions, sibling
@@ -689,3 +689,61 @@ def nav_sibling_unknown(spark, d):
 def join_lesson_fallback(spark, d):
     """Unknown documents have what the first known one has."""
     return longs(catalog.or_first(table(spark, d, "documents").select("doc_id"), "doc_id", table(spark, d, "labels"), ["quality", "toxic"]), "quality", "toxic")
+
+
+# ---- the page of a lesson -------------------------------------------------------------------------------------------------
+
+
+@query
+def join_lesson_active(spark, d):
+    """Each document as a catalogue has it (only English ones with a digest there), with the full result of those that have a label."""
+    docs = table(spark, d, "documents")
+    items = table(spark, d, "conversations").where("role = 'system'").groupBy(F.col("conv_id").alias("doc_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("review_items"))
+    versions = F.create_map(F.lit("study"), F.substring_index("text", "\n", 1), F.lit("digest"), F.when(F.col("lang") == "en", F.col("source")).otherwise(""))
+    base = docs.select("doc_id", F.col("source").alias("source_file"), F.col("lang").alias("stats_text"), F.concat("lang", F.lit(".")).alias("summary"), versions.alias("versions")).join(items, "doc_id", "left")
+    full = report.samples(docs.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi"), P).withColumn("source_file", F.lit(""))
+    out = lessons.active(base, full, "doc_id")
+    return out.select("doc_id", "has_full", "source_file", "stats_text", "summary", *(F.md5(F.col("versions")[v].cast("binary")).alias(v) for v in ("study", "digest")), F.array_join("review_items", "|").alias("items"))
+
+
+@query
+def out_detail_compare(spark, d):
+    """The page of a document while it is compared: header, statistics, its second section beside that of the digest."""
+    header = table(spark, d, "documents").select("doc_id", F.concat("lang", F.lit("｜"), F.coalesce("source", F.lit(""))).alias("header"))
+    s = report.compare_view(docs_of(spark, d), P, "digest", "c02").join(header, "doc_id")
+    return s.select("doc_id", "header", lessons.shown_stats(F.col("stats")).alias("stats_text"), "left_title", F.md5(F.col("left_html").cast("binary")).alias("left_html"), "right_title", F.md5(F.col("right_html").cast("binary")).alias("right_html"))
+
+
+@query
+def out_detail_outline(spark, d):
+    """The same beside an outline, of the third section: items of the outline, or all of it."""
+    s = report.compare_view(docs_of(spark, d), P, "outline", "c03")
+    return s.select("doc_id", "left_title", "right_title", F.md5(F.col("right_html").cast("binary")).alias("right_html"))
+
+
+@query
+def out_overview_card(spark, d):
+    """The card over each document: summary and keywords of its language, sizes, and what belongs to its second section."""
+    docs = table(spark, d, "documents")
+    shown = docs.select("doc_id", F.col("lang").alias("title"), F.col("source").alias("subtitle"), catalog.overview(F.col("lang"), lessons.SUMMARIES)[0].alias("summary"), catalog.overview(F.col("lang"), catalog.KEYWORDS).alias("keywords"))
+    out = lessons.cards(shown, report.stats(docs, P), catalog.resource_counts(resources(spark, d)), "doc_id", "c02")
+    return out.withColumns({"keywords": F.array_join("keywords", "、"), "process": F.array_join("process", "｜")})
+
+
+@query
+def out_version_buttons(spark, d):
+    return lessons.buttons(report.version_stats(docs_of(spark, d), P))
+
+
+@query
+def out_assets_tabs(spark, d):
+    """All four tabs: questions as methods, nations as works, benchmark items as words, answers as materials."""
+    turns = table(spark, d, "conversations").select(F.col("conv_id").alias("k1"), F.col("turn").cast("long").alias("k2"), "role", F.col("role").alias("type"), F.substring("text", 1, 12).alias("title"), F.col("text").alias("summary"))
+    none = F.lit(None).cast("array<string>")
+    methods = turns.where("role = 'user'").withColumns({"points": F.when(F.col("k2") % 4 == 0, F.array("title", "type")), "examples": none})
+    materials = turns.where("role = 'assistant'").withColumns({"points": none, "examples": F.array("summary")})
+    words = table(spark, d, "benchmark").select(F.col("item_id").cast("long").alias("k1"), F.lit(0).cast("long").alias("k2"), F.substring_index("text", " ", 1).alias("title"), F.lit("word").alias("type"), F.col("text").alias("summary"), F.split("text", " ").alias("points"), none.alias("examples"))
+    regions = table(spark, d, "region")
+    works = table(spark, d, "nation").join(regions, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").cast("long").alias("k1"), F.lit(0).cast("long").alias("k2"), F.col("n_name").alias("title"), F.col("r_name").alias("type"), F.lower("n_name").alias("summary"), F.col("r_name").alias("course"), F.array("n_name", "r_name").alias("words"), F.lower("r_name").alias("appreciation"))
+    out = lessons.assets({"methods": methods, "works": works, "words": words, "materials": materials}, ["k1", "k2"])
+    return out.select("tab", "ord", "heading", "type", "summary", F.array_join("details", "|").alias("details"))
