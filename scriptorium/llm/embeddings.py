@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,12 +48,21 @@ def sign_keys(x: np.ndarray, bits: int, tables: int, seed: tuple[int, ...]) -> n
     return (signs << np.arange(bits)).sum(axis=2) if bits else np.zeros((len(x), tables), np.int64)
 
 
+def block_pairs(members: np.ndarray, part: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Blocks of a bucket's members that are compared, and whether both are the same one: all of a whole cell (part: -1), and
+    those of the first part with those of the second one where these have groups of their own."""
+    first, second = (members, members) if not len(members) or part[members[0]] < 0 else (members[part[members] == 0], members[part[members] == 1])
+    for p in range(0, len(first), BLOCK):
+        for q in range(p if first is second else 0, len(second), BLOCK):
+            yield first[p : p + BLOCK], second[q : q + BLOCK], first is second and p == q
+
+
 def compare_cell(x: np.ndarray, copies: np.ndarray, part: np.ndarray, earlier: np.ndarray, cosine: float, seed: int, bucket: int = BUCKET) -> tuple[np.ndarray, np.ndarray]:
     """For each vector of a cell, the copies of others that it is linked with, and the first place of its local component.
 
     The cell's own tables deal it to buckets, which are compared in blocks. A pair is counted in the first bucket it shares,
-    and not at all if it shares an earlier cell (`earlier`: keys of these) or if both are in one of the cell's two parts
-    and that part has a group of its own (part: 0 and 1; all -1 for a whole cell).
+    and not at all if it shares an earlier cell (`earlier`: keys of these). Vectors of one of a cell's two parts aren't compared,
+    as that part has a group of its own (part: 0 and 1; all -1 for a whole cell).
     """
     n = len(x)
     bits, tables = plan_tables(n, bucket, cosine)
@@ -63,24 +73,21 @@ def compare_cell(x: np.ndarray, copies: np.ndarray, part: np.ndarray, earlier: n
         order = np.argsort(fine[:, t], kind="stable")
         edge = np.flatnonzero(np.append(True, np.diff(fine[order, t]) != 0)) if n else np.zeros(0, np.int64)
         for lo, hi in zip(edge, np.append(edge[1:], n)):
-            for p in range(lo, hi, BLOCK):
-                a = order[p : min(p + BLOCK, hi)]
-                for q in range(p, hi, BLOCK):
-                    b = order[q : min(q + BLOCK, hi)]
-                    linked = (x[a] @ x[b].T) / (norm[a][:, None] * norm[b][None, :]) >= cosine
-                    i, j = np.nonzero(linked)
-                    i, j = a[i], b[j]
-                    fresh = (i < j) if p == q else np.ones(len(i), bool)
-                    i, j = i[fresh], j[fresh]
-                    if not len(i):
-                        continue
-                    edges.append(np.stack(first_links(i, j)))
-                    fresh = (part[i] < 0) | (part[i] != part[j])
-                    for keys in (earlier, fine[:, :t]):
-                        for s in range(keys.shape[1]):
-                            fresh &= keys[i, s] != keys[j, s]
-                    i, j = i[fresh], j[fresh]
-                    links += np.bincount(i, copies[j], n).astype(np.int64) + np.bincount(j, copies[i], n).astype(np.int64)
+            for a, b, same in block_pairs(order[lo:hi], part):
+                linked = (x[a] @ x[b].T) / (norm[a][:, None] * norm[b][None, :]) >= cosine
+                i, j = np.nonzero(linked)
+                i, j = a[i], b[j]
+                fresh = (i < j) if same else np.ones(len(i), bool)
+                i, j = i[fresh], j[fresh]
+                if not len(i):
+                    continue
+                edges.append(np.stack(first_links(i, j)))
+                fresh = np.ones(len(i), bool)
+                for keys in (earlier, fine[:, :t]):
+                    for s in range(keys.shape[1]):
+                        fresh &= keys[i, s] != keys[j, s]
+                i, j = i[fresh], j[fresh]
+                links += np.bincount(i, copies[j], n).astype(np.int64) + np.bincount(j, copies[i], n).astype(np.int64)
     label = np.arange(n)
     if edges:
         i, j = np.concatenate(edges, axis=1)

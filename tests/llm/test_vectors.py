@@ -59,6 +59,28 @@ def test_near_duplicate_vectors(spark, monkeypatch):
         assert check_links(rows, found, 0.98) > 0.95
 
 
+def test_parts_with_groups_of_their_own_are_compared_with_each_other_only(monkeypatch):
+    rows = [r for r in fixture()[:900] if r[0] <= 100 or r[0] >= 160]
+    _, c = cosines(rows)
+    x, n = np.array([v for _, v in rows], np.float32).astype(float), len(rows)
+    copies, part = np.random.default_rng(1).integers(1, 4, n), np.random.default_rng(2).integers(0, 2, n)
+    monkeypatch.setattr(embeddings, "BLOCK", 64)
+    compared = []
+    pairs = embeddings.block_pairs
+    monkeypatch.setattr(embeddings, "block_pairs", lambda m, p: ((a, b, same) for a, b, same in pairs(m, p) if compared.append((a, b)) is None))
+    links, first = embeddings.compare_cell(x, copies, part, np.zeros((n, 0), np.int64), 0.9, 7, bucket=4 * n)
+    linked = (c >= 0.9) & (part[:, None] != part[None, :])
+    assert (links == linked @ copies).all()
+    assert all((part[a] == 0).all() and (part[b] == 1).all() for a, b in compared) and sum(len(a) * len(b) for a, b in compared) == (part == 0).sum() * (part == 1).sum()
+    label = np.arange(n)
+    while True:
+        new = np.minimum(label, np.where(linked, label[None, :], n).min(axis=1))
+        if (new == label).all():
+            break
+        label = new
+    assert (first == label).all()
+
+
 def test_planted_links_of_a_table(spark):
     """The table's vectors with copies at cosines from 0.85 to 0.99, and a chain: exact counts for all links above 0.92."""
     rng = np.random.default_rng(8)
