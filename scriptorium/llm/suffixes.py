@@ -258,7 +258,7 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), group:
     if (most or 0) > split:
         judged = cut(judged)  # read three times
         left = judged.where("kind = 1").drop("kind")
-        crowded = F.broadcast(cut(left.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > split).select("h")))
+        crowded = cut(left.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > split).select("h"))
         again = left.join(crowded, "h", "left_anti").withColumn("bucket", bucket).groupBy("bucket").applyInArrow(judge, JUDGED)
         first = Window.partitionBy("w1", "w2")
         met = strings(left.join(crowded, "h", "left_semi")).withColumn("first", F.min(F.struct("doc_id", "start")).over(first))
