@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .common import cut, table
+from .common import cut, drop, table
 from .components import connected_components
 
 #: Words of a shingle, similarity of a link, coordinates of a signature in bands.
@@ -18,6 +18,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 30, 5
 #: Texts, and cells of their shingles, that meet in one block on each side.
 TOGETHER, CELLS = 1024, 1 << 20
+#: Texts with a rare cell in common that are paired one by one; where more have it, they meet in blocks.
+FEW = 64
 
 
 def regions(name: np.ndarray, row: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -167,6 +169,46 @@ def reached(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = new
 
 
+def rare_cells(held: DataFrame, lists: DataFrame, similarity: float) -> DataFrame:
+    """cell, doc_id, component, cells, short: the rarest of each document's cells, as far as several documents have them.
+
+    Let the cells of all documents be in one order, rare ones first. Two texts x and y, y not the smaller one, that are alike
+    share `similarity` of y's cells at least, and 2 * similarity / (1 + similarity) of x's. So one of the cells that they share
+    is among the first of each, as many as y and x may lack, and one more: for y all rows given here, for x those marked short.
+    Cells of one document only take places in the order, but meet nothing; what very many texts have (a template) comes last.
+    """
+    own = lists.join(held.select("doc_id"), "doc_id", "left_semi").select("doc_id", "cells", F.explode("elements").alias("cell"))
+    many = cut(own.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"))
+    first = lambda share: (F.col("cells") - F.ceil(F.lit(share) * F.col("cells") - F.lit(1e-6)) + 1).cast("int")
+    shared = own.join(many, "cell").groupBy("doc_id", "cells").agg(F.array_sort(F.collect_list(F.struct("n", "cell"))).alias("shared")).withColumn("alone", F.col("cells") - F.size("shared"))
+    rows = shared.select("doc_id", "cells", "alone", F.posexplode(F.slice("shared", 1, F.greatest(F.lit(0), first(similarity) - F.col("alone")))).alias("at", "s"))
+    short = F.col("alone") + F.col("at") < first(2 * similarity / (1 + similarity))
+    out = cut(rows.select("doc_id", "cells", F.col("s.cell").alias("cell"), short.alias("short")).join(held, "doc_id"))
+    drop(many)
+    return out
+
+
+def candidates(members: DataFrame, lists: DataFrame, similarity: float, few: int) -> tuple[DataFrame, DataFrame]:
+    """a, b: texts of different components that have one of their rarest cells in common, where at most `few` have it (so rows
+    grow with the members); and doc_id of those with a rare cell that more have, which are left to across().
+
+    members: leader, doc_id, component. Texts of one template that have nothing else in common meet nobody here.
+    """
+    mixed = members.groupBy("leader").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("high > low").select("leader")
+    held = cut(members.join(mixed, "leader", "left_semi").select("doc_id", "component").distinct())
+    rare = rare_cells(held, lists, similarity)
+    several = rare.groupBy("cell").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("high > low").select("cell", "n")
+    several = cut(several)
+    x, y = (rare.join(several.where(F.col("n") <= few).select("cell"), "cell", "left_semi").alias(k) for k in "xy")
+    ordered = F.struct("x.cells", "x.doc_id") < F.struct("y.cells", "y.doc_id")
+    alike = F.col("x.cells") >= F.lit(similarity) * F.col("y.cells") - F.lit(1e-9)
+    met = x.where("short").join(y, F.expr("x.cell = y.cell and x.component <> y.component") & ordered & alike)
+    pairs = cut(met.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct())
+    often = cut(rare.join(several.where(F.col("n") > few).select("cell"), "cell", "left_semi").select("doc_id").distinct())
+    drop(held, rare, several)
+    return pairs, often
+
+
 def across(members: DataFrame, lists: DataFrame, similarity: float, together: int, cells: int) -> DataFrame:
     """a, b: links that join components, among the members (leader, doc_id, component) of each leader.
 
@@ -214,15 +256,15 @@ def across(members: DataFrame, lists: DataFrame, similarity: float, together: in
     return spread.join(lists, "doc_id").select("leader", "i", "j", "doc_id", "component", "asks", "held", "elements").groupBy("leader", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, together: int = TOGETHER, cells: int = CELLS) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, together: int = TOGETHER, cells: int = CELLS, few: int = FEW) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of its class) and kept for every row of docs (doc_id, text).
 
     A class is a connected component of links; a link joins equal word sequences, and texts with a weighted Jaccard
     similarity of their five-word shingles of at least `similarity` that share a band of their signatures (at 0.8, all but
     7 in a million do). Equal texts are one representative from then on. The leader of a band is its smallest doc_id.
-    Members are verified against their leaders. Members of one leader that still are in several components are compared
-    across these, in blocks (see across()), so that every candidate pair is linked, or in one class anyway, or found not
-    to be alike.
+    Members are verified against their leaders. Where members of one leader still are in several components, those that have
+    one of their rarest shingles in common are compared (see candidates(); alike texts always have), in blocks where many have
+    it (see across()), so that every candidate pair is linked, or in one class anyway, or found not to be alike.
 
     Texts without words (null, empty, white space) and rows without doc_id are classes of their own. A repeated doc_id
     gives a row each; of several texts with one doc_id, one (by a hash) stands for all. Other columns are ignored; an
@@ -244,9 +286,15 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, together: i
     links = cut(verified(pairs.where(alike).select("a", "b"), lists, similarity))
     components = connected_components(links)
     members = led.join(components, led["doc_id"] == components["id"], "left").select("leader", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    more = cut(across(members, lists, similarity, together, cells))
+    members = cut(members)
+    pairs, often = candidates(members, lists, similarity, few)
+    more = verified(pairs, lists, similarity)
+    if not often.isEmpty():
+        more = more.unionByName(across(members.join(often, "doc_id", "left_semi"), lists, similarity, together, cells))
+    more = cut(more)
     if not more.isEmpty():
         components = connected_components(links.unionByName(more))
+    drop(led, lists, links, members, pairs, often, more, sketches)
     classes = known.drop("size").join(reps, ["w1", "w2"]).join(components, F.col("rep") == components["id"], "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
     return docs.select(F.col("doc_id").cast("long")).join(classes, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce(F.col("class_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 

@@ -84,11 +84,41 @@ def test_members_of_one_leader_in_blocks(spark):
             other[rng.randrange(120)] = f"n{rng.random()}"
         texts.append(" ".join(other))
     rows = list(enumerate(texts))
-    for together, cells in ((1024, 1 << 20), (7, 1 << 20), (1024, 1000)):
-        found = minhash.near_duplicates(frame(spark, [(i, t, None, None) for i, t in rows]), together=together, cells=cells).collect()
+    for together, cells, few in ((1024, 1 << 20, 64), (7, 1 << 20, 1), (1024, 1000, 1)):
+        found = minhash.near_duplicates(frame(spark, [(i, t, None, None) for i, t in rows]), together=together, cells=cells, few=few).collect()
         assert {r.doc_id: r.class_id for r in found} == brute_classes(rows)
 
 
+def of_one_template(count, seed=5):
+    """Texts with two thirds of their words from one template, and, of every tenth one, a near copy next to it."""
+    rng = random.Random(seed)
+    template, texts = [f"t{k}" for k in range(200)], []
+    while len(texts) < count:
+        text = template + [f"n{rng.random()}" for _ in range(100)]
+        texts.append(" ".join(text))
+        if len(texts) % 10 == 0:
+            texts.append(" ".join([*text[:-3], "x", "y", "z"]))
+    return list(enumerate(texts[:count]))
+
+
+def test_texts_of_one_template_meet_few_others(spark):
+    """Pairs to compare grow with the texts; all that are alike are among them, and no text is left to blocks."""
+    for count in (500, 1000, 2000):
+        rows = of_one_template(count)
+        lists = minhash.element_lists(spark.createDataFrame(rows, "doc_id long, text string"))
+        members = lists.select(F.lit(0).cast("long").alias("leader"), "doc_id", F.col("doc_id").alias("component"))
+        pairs, often = minhash.candidates(members, lists, 0.8, 64)
+        assert often.isEmpty()
+        found = {tuple(sorted(p)) for p in pairs.collect()}
+        assert {(i, i + 1) for i, (_, t) in enumerate(rows[1:]) if t.endswith(" x y z")} <= found and len(found) <= count // 2
+
+
+def test_near_duplicates_of_one_template(spark):
+    rows = of_one_template(300)
+    found = minhash.near_duplicates(frame(spark, [(i, t, None, None) for i, t in rows])).collect()
+    assert {r.doc_id: r.class_id for r in found} == brute_classes(rows)
+
+
 def test_links_within_a_block():
     rng = np.random.default_rng(4)
     for density in (0.0, 0.02, 0.05, 0.3):
