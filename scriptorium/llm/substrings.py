@@ -17,6 +17,10 @@ PASSAGE, BLOCK = 50, 5
 RUN = (PASSAGE - BLOCK + 1) // BLOCK
 #: Occurrences of an anchor above which the passages with it are split into several groups.
 SPLIT = 2_000
+#: Makes other values of the words' hashes, for the second half of a passage's hash.
+OTHER = np.uint64(0xA0761D6478BD642F)
+#: What is in a passage's tag: where it begins, how many documents have one of its windows, whether it has a hit.
+PLACE, N, LATER = "cast(shiftright(tag, 32) as int)", "cast(shiftright(tag, 1) & 2147483647 as int)", "tag & 1 = 1"
 
 
 def chosen(w: common.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,7 +81,9 @@ def index(found: DataFrame) -> DataFrame:
 
 
 def windows(docs: DataFrame) -> DataFrame:
-    """w, doc_id, place, n, later: the passages around hits, by the hash of their words; each once in a document.
+    """w, v, doc_id, tag: the passages around hits, by 128 bits of hash of their words; each once in a document.
+
+    tag holds place, n and later in one number (see PLACE, N and LATER).
 
     A hit is a window that is a reference block of a smaller doc_id (`often` is negative). It is extended to both sides as
     far as all windows that probe the index are those of other documents, too (the column `found`), as they are in a
@@ -120,10 +126,12 @@ def windows(docs: DataFrame) -> DataFrame:
                 new = np.ones(len(at), bool)
                 new[1:] = (row[1:] != row[:-1]) | (passage[at[1:]] != passage[at[:-1]])
                 at, row = at[new], row[new]
-                columns = [pa.array(passage[at].view(np.int64)), pa.array(ids[a + row]), pa.array((at - w.first[row]).astype(np.int32)), pa.array(np.minimum(most[at], 2**31 - 1).astype(np.int32)), pa.array(later[at])]
-                yield pa.RecordBatch.from_arrays(columns, ["w", "doc_id", "place", "n", "later"])
+                tag = (at - w.first[row]) << 32 | np.minimum(most[at], 2**31 - 1) << 1 | later[at]
+                other = common.span(common.prefix(common.mix(w.hash ^ OTHER)), at, at + PASSAGE)
+                columns = [pa.array(passage[at].view(np.int64)), pa.array(other.view(np.int64)), pa.array(ids[a + row]), pa.array(tag.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["w", "v", "doc_id", "tag"])
 
-    return docs.select("doc_id", "text", "found", "often").mapInArrow(work, "w long, doc_id long, place int, n int, later boolean")
+    return docs.select("doc_id", "text", "found", "often").mapInArrow(work, "w long, v long, doc_id long, tag long")
 
 
 def copies(docs: DataFrame) -> DataFrame:
@@ -196,12 +204,13 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), split:
     signed = F.when(F.col("owner") < F.col("doc_id"), -F.col("n")).otherwise(F.col("n"))
     hits = found.select("h", "doc_id").join(index(found), "h").select("doc_id", "h", signed.alias("n"))
     hits = hits.groupBy("doc_id").agg(F.collect_list("h").alias("found"), F.collect_list("n").alias("often")).join(whole, "doc_id", "left_anti")
-    near = windows(named.join(hits, "doc_id")).withColumn("salt", F.when(F.col("n") > split, F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / split))).otherwise(0))
-    judged = near.withColumn("first", F.min("doc_id").over(Window.partitionBy("w", "salt")))
+    many = F.expr(N)
+    near = windows(named.join(hits, "doc_id")).withColumn("salt", F.when(many > split, F.pmod(F.xxhash64("doc_id"), F.ceil(many / split))).otherwise(0))
+    judged = near.withColumn("first", F.min("doc_id").over(Window.partitionBy("w", "v", "salt")))
     # the smallest documents of each part of a split group meet once more; what is decided already stays apart
-    again = F.when(F.col("doc_id") == F.col("first"), F.lit(0)).otherwise(F.xxhash64("doc_id", "place"))
-    met = judged.where((F.col("doc_id") > F.col("first")) | (F.col("n") > split)).withColumn("again", again).withColumn("least", F.min("doc_id").over(Window.partitionBy("w", "again")))
-    repeats = met.where("later and (doc_id > first or doc_id > least)").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+    again = F.when(F.col("doc_id") == F.col("first"), F.lit(0)).otherwise(F.xxhash64("doc_id", F.expr(PLACE)))
+    met = judged.where((F.col("doc_id") > F.col("first")) | (many > split)).withColumn("again", again).withColumn("least", F.min("doc_id").over(Window.partitionBy("w", "v", "again")))
+    repeats = met.where(f"{LATER} and (doc_id > first or doc_id > least)").groupBy("doc_id").agg(F.collect_list(F.expr(PLACE)).alias("places"))
     judged = named.join(repeats, "doc_id", "left").join(whole.withColumn("whole", F.lit(True)), "doc_id", "left")
     rest = base.where("doc_id is null").withColumns({"places": F.lit(None).cast("array<int>"), "whole": F.lit(None).cast("boolean")})
     return removed(judged.unionByName(rest), keep)
