@@ -195,18 +195,16 @@ def candidates(members: DataFrame, lists: DataFrame, similarity: float, few: int
     members: leader, doc_id, component. Texts of one template that have nothing else in common meet nobody here.
     """
     mixed = members.groupBy("leader").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("high > low").select("leader")
-    held = cut(members.join(mixed, "leader", "left_semi").select("doc_id", "component").distinct())
+    held = members.join(mixed, "leader", "left_semi").select("doc_id", "component").distinct()
     rare = rare_cells(held, lists, similarity)
     several = rare.groupBy("cell").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("high > low").select("cell", "n")
-    several = cut(several)
-    x, y = (rare.join(several.where(F.col("n") <= few).select("cell"), "cell", "left_semi").alias(k) for k in "xy")
+    groups = cut(rare.join(several, "cell"))
+    drop(rare)
+    x, y = (groups.where(F.col("n") <= few).alias(k) for k in "xy")
     ordered = F.struct("x.cells", "x.doc_id") < F.struct("y.cells", "y.doc_id")
     alike = F.col("x.cells") >= F.lit(similarity) * F.col("y.cells") - F.lit(1e-9)
     met = x.where("short").join(y, F.expr("x.cell = y.cell and x.component <> y.component") & ordered & alike)
-    pairs = cut(met.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct())
-    often = cut(rare.join(several.where(F.col("n") > few).select("cell"), "cell", "left_semi").select("doc_id").distinct())
-    drop(held, rare, several)
-    return pairs, often
+    return met.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), groups.where(F.col("n") > few).select("doc_id").distinct()
 
 
 def across(members: DataFrame, lists: DataFrame, similarity: float, together: int, cells: int) -> DataFrame:
@@ -294,7 +292,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, together: i
     more = cut(more)
     if not more.isEmpty():
         components = connected_components(links.unionByName(more))
-    drop(led, lists, links, members, pairs, often, more, sketches)
+    drop(led, lists, links, members, more, sketches)
     classes = known.drop("size").join(reps, ["w1", "w2"]).join(components, F.col("rep") == components["id"], "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
     return docs.select(F.col("doc_id").cast("long")).join(classes, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce(F.col("class_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
