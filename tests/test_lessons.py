@@ -4,6 +4,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from scriptorium.functions import text as T
 from scriptorium.operators import lessons, report
 from scriptorium.plans.rules import LATIN
 
@@ -36,6 +37,16 @@ def test_the_result_in_force(spark):
     assert lessons.active(base.limit(0), full, "id").count() == 0 and lessons.active(base, full.limit(0), "id").where("has_full").count() == 0
 
 
+def test_sizes_are_rounded_as_in_sql(spark):
+    import duckdb
+
+    shown = [lessons.shown_stats(F.struct(F.lit(1).alias("paragraphs"), F.col("id").alias("raw_chars"), F.lit(1).alias("chunks"))), F.format_string("%.2f", T.ten_thousands(F.col("id")))]
+    got = {r.id: r for r in spark.range(0, 400000, 50).select("id", *(c.alias(n) for c, n in zip(shown, "ab"))).collect()}
+    want = dict(duckdb.sql("SELECT i, printf('%.2f', round(i / 10000.0, 2)) FROM range(0, 400000, 50) t(i)").fetchall())
+    assert {i: r.b for i, r in got.items()} == want
+    assert want[1450] == "0.14" and "约 0.14 万字" in got[1450].a
+
+
 def test_columns_of_a_comparison(spark):
     pack = replace(LATIN, max_chars=30)
     text = "head\n" + "\n".join("a line of words, some of it" for _ in range(3))
