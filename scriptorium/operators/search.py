@@ -14,6 +14,8 @@ from scriptorium.sources.shared import shared_folder
 
 #: Letters of a gram; folders that postings and rows are dealt to, of which a search reads those it needs.
 GRAM, FOLDERS = 3, 64
+#: Letters of the searched columns that a task makes postings of (up to GRAM each): at most, and enough for a task of its own.
+MOST, ENOUGH = 1 << 21, 1 << 17
 
 
 def _runs(small: Column, size: int) -> Column:
@@ -51,15 +53,23 @@ class SearchIndex:
         return spark.read.schema(of[table]).parquet(f"{self.path}/{table}")
 
 
+def _shares(rows: DataFrame, texts: Column) -> DataFrame:
+    """rows dealt to tasks by how many letters they have, however few partitions the table is read in: a task sorts its postings."""
+    letters = rows.agg(F.sum(F.aggregate(texts, F.lit(0).cast("long"), lambda s, t: s + F.length(t)))).first()[0] or 0
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(min(cores, letters // ENOUGH + 1), letters // MOST + 1))
+
+
 def build(rows: DataFrame, key: str, columns: Sequence[str], path: str | None = None) -> SearchIndex:
     """Writes the index of rows (one for each key) to a folder that all executors share.
 
     postings: a row for each key and gram, in folders by gram and sorted in these, so that a search reads little of them; a
     gram that a third of all rows have is as many rows, never a list. counts: how many rows have each gram. rows: dealt to
-    folders by key.
+    folders by key. Each task writes the postings and rows of at most MOST letters.
     """
     index = SearchIndex(path or f"{shared_folder(rows.sparkSession)}/{uuid.uuid4().hex}", key, tuple(columns), rows.schema)
     texts = F.filter(F.array(*(F.col(c).cast("string") for c in columns)), lambda t: t.isNotNull())
+    rows = _shares(rows, texts)
     each = rows.select(F.col(key).alias("key"), F.explode(F.array_distinct(F.flatten(F.transform(texts, grams)))).alias("gram"))
     each.withColumn("folder", _folder(F.col("gram"))).sortWithinPartitions("folder", "gram").write.partitionBy("folder").parquet(f"{index.path}/postings")
     index.read(rows.sparkSession, "postings").groupBy("gram").agg(F.count("*").alias("n")).write.parquet(f"{index.path}/counts")

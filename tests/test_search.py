@@ -46,6 +46,18 @@ def test_only_folders_with_candidates_are_read(spark, rows):
     assert "PushedFilters: [In(gram" in plan and "PartitionFilters" in plan and "dynamicpruning" in found._jdf.queryExecution().toString().lower()
 
 
+def test_a_table_read_in_one_partition_is_indexed_by_many_tasks(spark, rows, monkeypatch):
+    whole = rows.coalesce(1).where("id % 17 > 0")
+    letters = whole.agg(F.sum(F.length("title") + F.length(F.coalesce("teacher", F.lit(""))))).first()[0]
+    monkeypatch.setattr(search, "MOST", letters // 20)
+    index = search.build(whole, "id", ("title", "teacher"))
+    for table in ("postings", "rows"):
+        files = spark.read.parquet(f"{index.path}/{table}").select(F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1).alias("task"))
+        assert files.distinct().count() > 15
+    got = {r.id for r in search.search(spark, index, "essay").collect()}
+    assert got == {r.id for r in catalog.search(whole, text="essay", columns=("title", "teacher")).collect()}
+
+
 def test_empty_tables(spark, rows):
     index = search.build(rows.where("false"), "id", ("title",))
     assert search.search(spark, index, "read").collect() == []
