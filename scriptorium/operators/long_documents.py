@@ -22,7 +22,7 @@ def measured(paragraphs: DataFrame, pack: RulePack) -> DataFrame:
     """doc_id, para_no and n of all paragraphs (doc_id, para_no, raw): characters of what cleaning leaves, as in
     sections.cleaned_array; 0 for those that go."""
     stays = (F.col("para_no") > 1) & ~T.is_timestamp(F.col("raw"), pack)
-    text = F.when(stays, T.mark_noise(T.clean(F.col("raw"), pack), pack))
+    text = F.when(stays, T.cleaned(F.col("raw"), pack))
     return paragraphs.select("doc_id", "para_no", F.coalesce(F.length(text), F.lit(0)).alias("n"))
 
 

@@ -1,14 +1,16 @@
 """Cleaning, sections, sentences, selections and reports on hand-made cases."""
 
 import io
+import random
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from scriptorium import queries
 from scriptorium.functions import text as T
-from scriptorium.operators import report, sections, sentences
-from scriptorium.plans.rules import LATIN, LECTURE_CLASSICAL, LECTURE_ESSAY
+from scriptorium.operators import long_documents, report, sections, sentences
+from scriptorium.plans.rules import LATIN, LECTURE_CLASSICAL, LECTURE_ESSAY, WS
 from scriptorium.sources import text as sources
 from scriptorium.streaming import ingest
 
@@ -127,3 +129,45 @@ def test_json_round_trip(spark, tmp_path):
     s = sections.sections(docs(spark, "标题\n甲乙"), ZH).select("doc_id", "body")
     sources.write_json(s, str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).first().body == "甲乙"
+
+
+PLAIN_LATIN = (r"(?i)\b(u+h+m*|hmm+|e+h+)\b", r"(?i)\b(ha){2,}h?\b[,. ]*", r"(?i)\byou know\b[?,. ]*", r"(?i)\bok[,. ]+(?=so|then|now|next)", r"(?i)\b(the the|and and|of of)\b")
+PLAIN_ZH = (
+    r"(?iU)\bMm+\b|hmm|yes", r"[嗯呃]{1,3}[，。 ]*", r"呵呵|哈哈", r"是不是(啊|呀)?[？?，,。 ]*", r"对吧[？?，,。 ]*", r"能理解吧[？?，,。 ]*", r"懂了吗[？?，,。 ]*",
+    r"好[，,。 ]*(?=第|接下来|我们|那么|来|翻|往下)", r"这个这个|那个那个|就就|把把|的的的",
+)
+
+
+@pytest.mark.parametrize("pack, plain", [(LATIN, PLAIN_LATIN), (ZH, PLAIN_ZH)])
+def test_rules_with_look_aheads_do_what_the_plain_ones_do(spark, pack, plain):
+    draw = random.Random(3)
+    bits = [*"uhmeHaAo ,.?!;x9_é\u212a\u017f\u00a0\u3000\t\x1f\u200a\U0001d4d0嗯呃好，。？！；第来这个那就把的", "haha", "you know", "ok", "so", "the the", "AND and", "of of", "hmm", "Mm", "yes", "ye\u017f", "呵呵", "哈哈", "是不是啊", "对吧", "能理解吧", "懂了吗", "我们", "这个这个", "那个那个"]
+    rows = docs(spark, *("".join(draw.choices(bits, k=draw.randint(0, 40))) for _ in range(20000)))
+    c = F.col("text")
+    pairs = [(F.regexp_replace(c, rule, to), F.regexp_replace(c, old, to)) for (rule, to), old in zip(pack.clean, plain)]
+    pairs += [(F.regexp_replace(c, *pack.clean[-1]), F.regexp_replace(c, WS + "+", " ")), (T.strip(c), F.regexp_replace(c, f"^{WS}+|{WS}+$", "")), (T.inked(c), F.length(F.regexp_replace(c, WS + "+", "")))]
+    cut = F.filter(F.transform(F.split(c, f"(?<={T.quoted(pack.terminators)})", -1), T.strip), lambda s: F.length(s) >= pack.sentence)
+    pairs.append((sentences.sentence_array(c, pack), cut))
+    wrong = rows.select(*(F.sum((~a.eqNullSafe(b)).cast("int")).alias(f"c{i}") for i, (a, b) in enumerate(pairs))).first()
+    assert len(pack.clean) == len(plain) + 1 and not any(wrong)
+
+
+@pytest.mark.parametrize("name", ["flt_empty_clean", "agg_exists_noise", "flt_noise_flag", "lecture_cleaned", "lecture_study", "lecture_flags", "out_raw", "topk_outline", "agg_version_stats"])
+def test_texts_are_cleaned_once(spark, small, name):
+    plan = queries.QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(ZH.clean[3][0] if name.startswith("lecture") else LATIN.clean[0][0]) == 1
+
+
+def test_arriving_paragraphs_are_cleaned_once(spark):
+    rows = spark.createDataFrame([(1, 2, "uh a text")], "doc_id long, para_no int, raw string")
+    plan = long_documents.measured(rows, LATIN)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(LATIN.clean[0][0]) == 1
+
+
+def test_lengths_of_versions_are_those_of_their_text(spark, small):
+    some = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").limit(60).unionByName(docs(spark, "h\n<b> & \"it's\" &lt; a text, which is longer than some.", "h", "").withColumn("doc_id", -F.col("doc_id") - 1))
+    got = {(r.doc_id, r.version): r.chars for r in report.version_stats(some, LATIN).collect()}
+    made = report.samples(some, LATIN).where("size(chunks) > 0").select("doc_id", F.explode("versions").alias("version", "html"))
+    want = {(r.doc_id, r.version): r.n for r in made.select("doc_id", "version", T.html_text_length(F.col("html")).alias("n")).collect()}
+    assert want and want == {k: v for k, v in got.items() if k[1] != "raw"}
+    assert {k for k, v in got.items() if k[0] == -2} == {(-2, "raw")}
