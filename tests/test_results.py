@@ -1,11 +1,13 @@
 """Results written and read again, siblings and drawers of unknown ids, drawer levels."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.operators import catalog, report
 from scriptorium.operators import sections as S
 from scriptorium.plans.rules import LATIN
+from scriptorium.sources import text
 from scriptorium.sources.text import from_json, read_docx, read_results, registry, to_docx, to_json, write_json
 
 
@@ -60,3 +62,11 @@ def test_word_files_are_read_as_they_were_written(spark, docs, tmp_path):
     found = {r.doc_id.rsplit("/", 1)[-1][0]: r.text for r in read_docx(spark, str(tmp_path)).collect()}
     want = {r.doc_id: (r.text or "").replace("\x07", " ") for r in odd.collect()}
     assert found == want
+
+
+def test_word_files_are_made_a_few_at_a_time(spark):
+    """Rows of one batch (a limit makes one partition) come back in order of the pieces they were taken in."""
+    sizes = [b.num_rows for b in text._few(iter([pa.RecordBatch.from_pydict({"k": list(range(text.FILES * 2 + 3))}), pa.RecordBatch.from_pydict({"k": []})]))]
+    assert sizes == [text.FILES, text.FILES, 3]
+    rows = spark.range(700).coalesce(1).select(F.col("id").alias("doc_id"), F.format_string("t%d\nx", "id").alias("text"))
+    assert {r.doc_id: r.text for r in text.docx_texts(to_docx(rows), "doc_id").collect()} == {i: f"t{i}\nx" for i in range(700)}
