@@ -83,7 +83,8 @@ class Logistic:
 
     def __init__(self, x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 400):
         self.mean, self.scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
-        z = np.column_stack((np.ones(len(x)), (x - self.mean) / self.scale))
+        z = np.ones((len(x), x.shape[1] + 1))
+        np.divide(np.subtract(x, self.mean, out=z[:, 1:]), self.scale, out=z[:, 1:])  # in place: this runs in the driver
         rate = 1 / (0.25 * max(1.0, np.einsum("ij,ij->", z, z) / len(z) / 4) + penalty)
         w = ahead = np.zeros(z.shape[1])
         for t in range(steps):
@@ -93,7 +94,9 @@ class Logistic:
         self.weights = w
 
     def logit(self, x: np.ndarray) -> np.ndarray:
-        return self.weights[0] + np.einsum("ij,j->i", (x - self.mean) / self.scale, self.weights[1:])
+        z = x - self.mean
+        z /= self.scale
+        return self.weights[0] + np.einsum("ij,j->i", z, self.weights[1:])
 
 
 def area(score: np.ndarray, y: np.ndarray) -> float:
@@ -182,6 +185,15 @@ class CoTrained:
 COLUMNS = ("text", "source", "lang", "n_chars")
 
 
+def matrix(rows: pa.ChunkedArray) -> np.ndarray:
+    """Feature vectors as a matrix of doubles, chunk by chunk: as lists, each number would be an object of the driver's Python."""
+    out, at = np.empty((len(rows), TEXT + META)), 0
+    for chunk in rows.chunks:
+        out[at : at + len(chunk)] = chunk.flatten().to_numpy().reshape(-1, TEXT + META)
+        at += len(chunk)
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame) -> CoTrained:
     """Fit on LABELLED labelled documents and POOL others, those with the smallest hashes of doc_id (documented bounds).
 
@@ -205,7 +217,8 @@ def train(docs: DataFrame, labels: DataFrame) -> CoTrained:
 
     found = rows.mapInArrow(features, "h long, y int, x array<float>").toArrow().sort_by([("h", "ascending"), ("y", "ascending")])
     y, h = found.column("y").to_numpy(), found.column("h").to_numpy()
-    x = np.array(found.column("x").to_pylist(), float).reshape(-1, TEXT + META)
+    x = matrix(found.column("x"))
+    del found
     return CoTrained(x[:, :TEXT], x[:, TEXT:], y, (h % 4 == 0) & (y >= 0))
 
 
