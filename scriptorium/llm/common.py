@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -152,16 +154,32 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def runs(texts: list[bytes], most: int = 1 << 20):
+#: Bytes of text that are Python objects at a time in a worker, with their working arrays; a longer text by itself.
+AT_ONCE = 1 << 18
+
+
+def ranges(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbours of about `most` together."""
+    begin = size = end = 0
+    for end, n in enumerate(sizes, 1):
+        if end - 1 > begin and size + n > most:
+            yield begin, end - 1
+            begin, size = end - 1, 0
+        size += n + 1
+    if begin < end:
+        yield begin, end
+
+
+def runs(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about `most` bytes together, so that working arrays stay small."""
-    begin = size = 0
-    for i, t in enumerate(texts):
-        if i > begin and size + len(t) > most:
-            yield begin, i
-            begin, size = i, 0
-        size += len(t) + 1
-    if begin < len(texts):
-        yield begin, len(texts)
+    return ranges(map(len, texts), most)
+
+
+def slices(batches: Iterable[pa.RecordBatch], most: int = AT_ONCE, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in slices of about `most` bytes of text: a whole batch as Python objects is larger than all working arrays."""
+    for batch in batches:
+        for a, b in ranges(pc.binary_length(batch.column(column)).fill_null(0).to_pylist(), most):
+            yield batch.slice(a, b - a)
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:

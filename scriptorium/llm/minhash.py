@@ -16,6 +16,8 @@ from .components import connected_components
 #: Words of a shingle, similarity of a link, coordinates of a signature in bands.
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 30, 5
+#: Bytes of text whose signatures are made at a time; each run throws darts as often as its shortest text needs.
+RUN = 1 << 20
 #: Texts, and cells of their shingles, that meet in one block on each side.
 TOGETHER, CELLS = 1024, 1 << 20
 #: Texts with a rare cell in common that are paired one by one; where more have it, they meet in blocks.
@@ -101,16 +103,15 @@ def sketch(docs: DataFrame) -> DataFrame:
     """doc_id, pick, a digest of the word sequence in two halves (null without words), number of cells, and band keys."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches, RUN):
             texts = common.utf8(batch.column("text"))
-            for a, b in common.runs(texts):
-                cell, row, fill = elements(common.Words(texts[a:b]))
-                keys = band_keys(signatures(cell, row, fill, b - a))
-                w1, w2, many = common.digests(texts[a:b])
-                whole = [pa.array(w, mask=many == 0) for w in (w1, w2)]
-                offsets = pa.array(np.arange(b - a + 1, dtype=np.int32) * BANDS)
-                lists = pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("doc_id", "pick")), *whole, pa.array(np.bincount(row, minlength=b - a)), lists], ["doc_id", "pick", "w1", "w2", "size", "keys"])
+            cell, row, fill = elements(common.Words(texts))
+            keys = band_keys(signatures(cell, row, fill, len(texts)))
+            w1, w2, many = common.digests(texts)
+            whole = [pa.array(w, mask=many == 0) for w in (w1, w2)]
+            offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS)
+            lists = pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "pick")), *whole, pa.array(np.bincount(row, minlength=len(texts))), lists], ["doc_id", "pick", "w1", "w2", "size", "keys"])
 
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("pick"), "text").mapInArrow(work, "doc_id long, pick long, w1 long, w2 long, size long, keys array<long>")
 
@@ -119,13 +120,11 @@ def element_lists(docs: DataFrame) -> DataFrame:
     """doc_id, the sorted hashes of the cells of its weighted shingles, which are all different, and their number."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = common.utf8(batch.column("text"))
-            for a, b in common.runs(texts):
-                cell, row, _ = elements(common.Words(texts[a:b]))
-                order = np.lexsort((cell, row))
-                bounds = np.searchsorted(row[order], np.arange(b - a + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.ListArray.from_arrays(bounds, pa.array(cell[order].view(np.int64))), pa.array(np.diff(bounds))], ["doc_id", "elements", "cells"])
+        for batch in common.slices(batches):
+            cell, row, _ = elements(common.Words(common.utf8(batch.column("text"))))
+            order = np.lexsort((cell, row))
+            bounds = np.searchsorted(row[order], np.arange(batch.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(bounds, pa.array(cell[order].view(np.int64))), pa.array(np.diff(bounds))], ["doc_id", "elements", "cells"])
 
     return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, elements array<long>, cells int")
 

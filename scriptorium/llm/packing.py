@@ -33,18 +33,14 @@ def cut_documents(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
-        for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
+        for batch in common.slices(batches):
             row, rest = [], []
-            i = 0
-            for a, b in common.runs(texts, 1 << 20):
-                for ids in encoder.ids(texts[a:b]):
-                    ids = np.append(ids, np.uint32(END)).astype("<u4")
-                    for start in range(0, len(ids), length):
-                        piece = ids[start : start + length]
-                        row.append(i)
-                        rest.append((start, len(piece), zlib.crc32(piece.tobytes()), len(ids)))
-                    i += 1
+            for i, ids in enumerate(encoder.ids([t or "" for t in batch.column("text").to_pylist()])):
+                ids = np.append(ids, np.uint32(END)).astype("<u4")
+                for start in range(0, len(ids), length):
+                    piece = ids[start : start + length]
+                    row.append(i)
+                    rest.append((start, len(piece), zlib.crc32(piece.tobytes()), len(ids)))
             columns = np.array(rest, np.int64).reshape(-1, 4).T
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row, pa.int64())), *map(pa.array, columns)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 

@@ -24,7 +24,9 @@ SPECIAL = "<|endoftext|>"
 @cache
 def classes() -> np.ndarray:
     """The class of each code point."""
-    every = "".join(chr(c) if not 0xD800 <= c < 0xE000 else "?" for c in range(sys.maxunicode + 1))
+    codes = np.arange(sys.maxunicode + 1, dtype="<u4")
+    codes[0xD800:0xE000] = ord("?")
+    every = codes.tobytes().decode("utf-32-le")  # as characters one by one, it would be a million objects
     out = np.full(len(every), OTHER, np.uint8)
     for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
         for m in regex.finditer(pattern, every):

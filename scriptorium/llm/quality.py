@@ -211,7 +211,7 @@ def train(docs: DataFrame, labels: DataFrame) -> CoTrained:
     rows = docs.select("doc_id", *COLUMNS).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(own).select("own.*")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             x = np.hstack((text_view(common.utf8(batch.column("text"))), meta_view(*(batch.column(c).to_pylist() for c in COLUMNS[1:])))).astype(np.float32)
             yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("y"), pa.array(list(x), pa.list_(pa.float32()))], ["h", "y", "x"])
 
@@ -232,10 +232,9 @@ def classify(docs: DataFrame, model: CoTrained, keep: tuple[str, ...] = ("doc_id
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             texts, (source, lang, n_chars) = common.utf8(batch.column("text")), (batch.column(c).to_pylist() for c in COLUMNS[1:])
-            parts = [model.probabilities(text_view(texts[a:b]), meta_view(source[a:b], lang[a:b], n_chars[a:b])) for a, b in common.runs(texts)]
-            scores = [np.concatenate([np.zeros(0), *x]) for x in zip(*parts)] or [np.zeros(0)] * 3
+            scores = model.probabilities(text_view(texts), meta_view(source, lang, n_chars))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *map(pa.array, scores), pa.array(scores[2] >= THRESHOLD)], [*keep, "text_score", "meta_score", "score", "kept"])
 
     return rows.mapInArrow(work, f"{kinds}, text_score double, meta_score double, score double, kept boolean")

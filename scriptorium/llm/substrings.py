@@ -57,7 +57,7 @@ def probes(docs: DataFrame) -> DataFrame:
     """h, doc_id, block: the windows that each document probes with; block: it is one of its own non-overlapping blocks, too."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             texts, ids = common.utf8(batch.column("text")), batch.column("doc_id").to_numpy()
             for a, b in common.runs(texts):
                 w = common.Words(texts[a:b])
@@ -93,7 +93,7 @@ def windows(docs: DataFrame) -> DataFrame:
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             texts, ids = common.utf8(batch.column("text")), batch.column("doc_id").to_numpy()
             for a, b in common.runs(texts):
                 w = common.Words(texts[a:b])
@@ -138,7 +138,7 @@ def copies(docs: DataFrame) -> DataFrame:
     """doc_id of documents with the word sequence of a smaller doc_id, which has at least PASSAGE words."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             w1, w2, many = common.digests(common.utf8(batch.column("text")))
             k = np.flatnonzero(many >= PASSAGE)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(k)), pa.array(w1[k]), pa.array(w2[k])], ["doc_id", "w1", "w2"])
@@ -159,7 +159,7 @@ def removed(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             texts, places, whole = common.utf8(batch.column("text")), batch.column("places"), batch.column("whole").to_pylist()
             n_words, n_removed, kept = [], [], []
             for i, t in enumerate(texts):

@@ -18,6 +18,8 @@ from .pretoken import SPECIAL, Pretokens
 VOCABULARY = "byte_bpe_50k.json"
 #: Distinct pre-tokens that a Python worker remembers; beyond it, it starts afresh.
 REMEMBERED = 500_000
+#: Bytes and ids of the pre-tokens that it remembers, for each of them.
+LETTERS = 16
 NONE = np.int32(1 << 30)
 
 
@@ -122,48 +124,46 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        """known: hashes, in order; for each, where its ids and its bytes are in `ids_pool` and `text`, and how many."""
-        self.known = np.zeros(0, np.uint64)
-        self.at, self.size, self.text_at, self.text_size = (np.zeros(0, np.int64) for _ in range(4))
+        """known: hashes, in order; slot: their entries. An entry's ids are in `ids_pool` between ids_at[k] and ids_at[k + 1], its bytes in `text`."""
+        self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.ids_at, self.text_at = np.zeros(1, np.int64), np.zeros(1, np.int64)
         self.ids_pool, self.text = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
 
-    def merged(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Bytes of these pre-tokens; their ids go to the pool: places there and numbers."""
+    def add(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """New entries for these pre-tokens: their numbers."""
         text = data[np.repeat(start, length) + common.ragged(length)]
         symbols, size = self.merges.merge(text, length)
-        at = len(self.ids_pool) + np.cumsum(size) - size
-        self.ids_pool = np.concatenate((self.ids_pool, self.merges.ids(symbols)))
-        return text, at, size
+        new = len(self.ids_at) - 1 + np.arange(len(size))
+        self.ids_at = np.concatenate((self.ids_at, len(self.ids_pool) + np.cumsum(size)))
+        self.text_at = np.concatenate((self.text_at, len(self.text) + np.cumsum(length)))
+        self.ids_pool, self.text = np.concatenate((self.ids_pool, self.merges.ids(symbols))), np.concatenate((self.text, text))
+        return new
 
     def learn(self, p: Pretokens) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids of each pre-token are in the pool, and how many they are."""
         seen, first, back = np.unique(p.hash, return_index=True, return_inverse=True)
-        if len(self.known) > REMEMBERED or max(len(self.text), len(self.ids_pool)) > 64 * REMEMBERED:
+        if len(self.known) > REMEMBERED or max(len(self.text), len(self.ids_pool)) > LETTERS * REMEMBERED:
             self.forget()
         place = np.searchsorted(self.known, seen)
-        old = place < len(self.known)
-        old[old] = self.known[place[old]] == seen[old]
+        new = np.append(self.known, seen[-1:])[place] != seen
+        new |= place == len(self.known)
         length = p.end - p.start
-        if not old.all():
-            new = first[~old]
-            text, at, size = self.merged(p.bytes, p.start[new], length[new])
-            order = np.argsort(known := np.concatenate((self.known, seen[~old])))
-            text_at = len(self.text) + np.cumsum(length[new]) - length[new]
-            self.known, self.text = known[order], np.concatenate((self.text, text))
-            self.at, self.size, self.text_at, self.text_size = (np.concatenate(x)[order] for x in ((self.at, at), (self.size, size), (self.text_at, text_at), (self.text_size, length[new])))
-            place = np.searchsorted(self.known, seen)
-        place = place[back]
-        at, size = self.at[place], self.size[place]
-        other = self.text_size[place] != length
+        if new.any():
+            own = self.add(p.bytes, p.start[first[new]], length[first[new]])
+            self.known, self.slot = np.insert(self.known, place[new], seen[new]), np.insert(self.slot, place[new], own)
+            place += np.cumsum(new) - new
+        entry = self.slot[place[back]].astype(np.int64)
+        begin = self.text_at[entry]
+        other = self.text_at[entry + 1] - begin != length
         same = np.flatnonzero(~other)
-        begins = np.cumsum(length[same]) - length[same]
-        step = common.ragged(length[same])
-        differs = self.text[np.repeat(self.text_at[place[same]], length[same]) + step] != p.bytes[np.repeat(p.start[same], length[same]) + step]
-        if len(same) and differs.any():
-            other[same] = np.logical_or.reduceat(differs, begins)
+        many = length[same]
+        step = common.ragged(many)
+        differs = self.text[np.repeat(begin[same], many) + step] != p.bytes[np.repeat(p.start[same], many) + step]
+        if differs.any():
+            other[same] = np.logical_or.reduceat(differs, np.cumsum(many) - many)
         if other.any():  # another pre-token has its hash: its ids are made for this once
-            _, at[other], size[other] = self.merged(p.bytes, p.start[other], length[other])
-        return at, size
+            entry[other] = self.add(p.bytes, p.start[other], length[other])
+        return self.ids_at[entry], self.ids_at[entry + 1] - self.ids_at[entry]
 
     def split(self, texts: list[str]) -> tuple[Pretokens, list[int]]:
         """Pre-tokens of the texts, of which those with the special token's string are in several pieces; owners of the pieces."""
@@ -206,12 +206,10 @@ def count_tokens(docs: DataFrame, text: str = "text", path: str | None = None, k
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
-        for batch in batches:
+        for batch in common.slices(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             sizes = [len(t.encode()) for t in texts]
-            parts = [encoder.count(texts[a:b]) for a, b in common.runs(texts)]
-            counts = np.concatenate([np.zeros(0, np.int64), *parts])
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(sizes, pa.int64()), pa.array(counts)], [*keep, "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(sizes, pa.int64()), pa.array(encoder.count(texts))], [*keep, "n_bytes", "n_tokens"])
 
     return rows.mapInArrow(work, schema)
 
